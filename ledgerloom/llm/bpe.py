@@ -67,7 +67,7 @@ class Bpe:
         self.letters = letters
         words = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # The words of a Latin-1 text; other texts are normalised and cut by the library, whose Unicode tables count.
-        self.words = re.compile(words.replace(r"\p{L}", "a-zªµºß-öø-ÿ").replace(r"\p{N}", "0-9²³¹¼-¾"))
+        self.words = re.compile(words.replace(r"\p{L}", "a-zªµºß-öø-ÿ").replace(r"\p{N}", "0-9²³¹¼-¾").replace(r"[^\s", r"[^ \t-\r\x85\xa0"))
         self.beyond = re.compile("[^\x00-\xff]")
         library = Tokenizer.from_file(path)
         self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
