@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, token_files, webp
+from ledgerloom.llm import bpe, mixing, quality, token_files, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,18 +24,28 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(shards)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for quality, learning from the labelled rows that are not held out."""
+    return quality.quality_table(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as lossless WebP, decode it again and digest it."""
     return webp.read_media(webp.media_table(documents(spark, sf_dir)))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix all documents to source weights 5, 2, 1 at their own total size."""
+    return mixing.mix(documents(spark, sf_dir)).drop("source")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the lower-case word BPE."""
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op6_webp": op6_webp, "op9_bpe": op9_bpe}
+    return {"op1_token_files": op1_token_files, "op3_quality": op3_quality, "op6_webp": op6_webp, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
