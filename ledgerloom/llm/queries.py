@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, mixing, quality, simhash, token_files, webp
+from ledgerloom.llm import bpe, mixing, quality, simhash, substring, token_files, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove words of 50-word windows that also start in a document with a smaller id."""
+    return substring.substring_table(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint every document and give its class under links of two or fewer bits."""
     return simhash.simhash_table(documents(spark, sf_dir))
@@ -50,7 +55,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op3_quality": op3_quality, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
+    return {"op1_token_files": op1_token_files, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
