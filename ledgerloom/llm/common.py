@@ -63,6 +63,23 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def text_slices(texts: pa.Array, most: int = 1 << 20):
+    """Consecutive (start, number) ranges of a string array with about ``most`` bytes of text each, at least one text."""
+    _, offsets = utf8(texts)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield at, end - at
+        at = end
+
+
+def pieces(batches, column: str = "text", most: int = 1 << 20):
+    """The batches cut into slices of about ``most`` bytes of text, which bounds what is derived from a slice."""
+    for batch in batches:
+        for at, n in text_slices(batch.column(column), most):
+            yield batch.slice(at, n)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import crc_mod, stored, text_of, utf8, word_hashes, word_spans
+from ledgerloom.llm.common import crc_mod, stored, text_of, text_slices, utf8, word_hashes, word_spans
 
 BITS = 17
 HASHED = 1 << BITS
@@ -34,7 +34,12 @@ MAX_ORDER = 4
 
 
 def features_of(texts: pa.Array):
-    """The sorted feature places of each text of a string array."""
+    """The sorted feature places of each text of a string array, which is worked off in slices."""
+    for at, n in text_slices(texts):
+        yield from _features(texts.slice(at, n))
+
+
+def _features(texts: pa.Array):
     data, offsets = utf8(texts)
     padded = np.concatenate((data.astype(np.uint32), np.zeros(MAX_ORDER, np.uint32)))
     orders, h = [], np.zeros(len(data), np.uint32)
