@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import mix64, powers, stored, text_of, utf8, width, word_hashes, word_spans
+from ledgerloom.llm.common import mix64, pieces, powers, stored, text_of, utf8, width, word_hashes, word_spans
 
 WINDOW = 50
 #: A perfect difference cover: every residue is a difference of two members.
@@ -91,7 +91,7 @@ def survey(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             words = Words(batch.column("text"))
             whole = words.runs(words.first[:-1], words.counts, _B) + words.counts.astype(np.uint64)
             n = batch.num_rows
@@ -109,7 +109,7 @@ def repeated_anchors(rows: DataFrame, hot: frozenset[int]) -> DataFrame:
     skip = np.array(sorted(hot), np.int64)
 
     def emit(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             hashes, doc, place = Words(batch.column("text")).anchors()
             hashes = hashes.view(np.int64)
             kept = np.flatnonzero(~np.isin(hashes, skip))
@@ -185,7 +185,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def settle(batches):
         """Documents without a repeated anchor, and copies, are settled; the others keep text and window places."""
-        for batch in batches:
+        for batch in pieces(batches):
             words = Words(batch.column("text"))
             hashes, doc, place = words.anchors()
             known = np.isin(hashes.view(np.int64), hot_list)
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     pending = settled.where("text is not null").select("doc_id", "id", "th", "text", "windows")
 
     def emit(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             words = Words(batch.column("text"))
             lists = batch.column("windows")
             sizes = np.diff(lists.offsets.to_numpy())
