@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, mixing, quality, simhash, substring, syncmers, token_files, webp
+from ledgerloom.llm import bpe, hmm, mixing, quality, simhash, substring, syncmers, token_files, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document with a hidden Markov language model trained on nine tenths of them."""
+    return hmm.score_table(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_syncmers": op2_syncmers, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe}
+    return {"op1_token_files": op1_token_files, "op2_syncmers": op2_syncmers, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_hmm": op10_hmm}
 
 
 def oracle_sql() -> dict[str, str]:
