@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import mix64, pieces, powers, stored, text_of, utf8, width, word_hashes, word_spans
@@ -75,15 +75,19 @@ def merge_counters(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.
     return keys, counts
 
 
+def id_of(col: str) -> Column:
+    """An id without null: below all others."""
+    return F.coalesce(F.col(col).cast("long"), F.lit(-(2**63)))
+
+
+def tell_apart(col: str) -> Column:
+    """A small hash of the text that tells rows of one id apart."""
+    return F.xxhash64(text_of(col)).bitwiseAND(F.lit(0x7FFF)).cast("int")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """``doc_id, id, th, text``: an id without null, and a small hash that tells rows of one id apart."""
-    text = text_of()
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"),
-        (F.xxhash64(text).bitwiseAND(F.lit(0x7FFF))).cast("int").alias("th"),
-        text.alias("text"),
-    )
+    """``doc_id, id, th, text``: the id, its form without null, the hash that tells rows of one id apart, the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_of("doc_id").alias("id"), tell_apart("text").alias("th"), text_of().alias("text"))
 
 
 def survey(rows: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def test_links_keep_every_component(spark, radius, blocks, reach):
             fps.setdefault(x, len(fps))
     pairs = [(i, [x - (1 << 64) if x >> 63 else x]) for x, i in fps.items()]
     nodes = spark.createDataFrame(pairs, "node long, fp array<long>")
-    links = simhash.near_links(nodes, 1, radius, blocks, 3, reach, shard_rows=8)
+    links = simhash.near_links(nodes, radius, blocks, 3, reach, shard_rows=8)
     got = {r.node: r.component for r in simhash.components(links).collect()}
     want = brute_components(sorted((i, x) for x, i in fps.items()), radius)
     assert {i: got.get(i, i) for i in want} == want
@@ -119,3 +119,19 @@ def test_wide_distance_follows_similarity():
         other[k] = "changed"
     a, b, c = (simhash.wide_fingerprint(" ".join(x).encode(), 5, 12).view(np.uint64) for x in (words, other, words[::-1]))
     assert np.bitwise_count(a ^ b).sum() < 123 < 250 < np.bitwise_count(a ^ c).sum()
+
+
+def test_similar_documents_keep_one(docs_of):
+    draw = random.Random(8)
+    rows, want = [], set()
+    for g in range(30):
+        words = [f"w{draw.randrange(9999)}" for _ in range(draw.randrange(150, 400))]
+        want.add(len(rows))
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(g % 4):
+            near = list(words)
+            near[draw.randrange(len(near))] = "edited"
+            rows.append((len(rows), " ".join(near)))
+    out = simhash.keep_one(docs_of([*rows, (None, "no id"), (0, rows[0][1])]))
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(want)
+    assert out.columns == docs_of([]).columns and out.where("doc_id is null").count() == 1
