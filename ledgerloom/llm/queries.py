@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, hmm, mixing, quality, simhash, substring, syncmers, token_files, webp
+from ledgerloom.llm import bpe, hmm, mixing, quality, simhash, substring, suffixes, syncmers, token_files, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.read_media(webp.media_table(documents(spark, sf_dir)))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove bytes of 200-byte strings that start more than once."""
+    return suffixes.suffix_table(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to source weights 5, 2, 1 at their own total size."""
     return mixing.mix(documents(spark, sf_dir)).drop("source")
@@ -65,7 +70,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_syncmers": op2_syncmers, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_hmm": op10_hmm}
+    return {"op1_token_files": op1_token_files, "op2_syncmers": op2_syncmers, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op7_suffixes": op7_suffixes, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_hmm": op10_hmm}
 
 
 def oracle_sql() -> dict[str, str]:
