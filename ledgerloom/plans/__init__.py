@@ -1 +1,12 @@
-"""Part of ledgerloom."""
+"""Queries over the given tables, with their SQL twins."""
+
+from ledgerloom.plans import feeds  # noqa: F401  (registers its queries)
+from ledgerloom.plans.registry import QUERIES, TWINS
+
+
+def all_queries() -> dict:
+    return dict(QUERIES)
+
+
+def all_twins() -> dict[str, str]:
+    return dict(TWINS)
