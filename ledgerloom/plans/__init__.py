@@ -1,6 +1,6 @@
 """Queries over the given tables, with their SQL twins."""
 
-from ledgerloom.plans import feeds  # noqa: F401  (registers its queries)
+from ledgerloom.plans import feeds, labels  # noqa: F401  (they register their queries)
 from ledgerloom.plans.registry import QUERIES, TWINS
 
 
