@@ -21,7 +21,7 @@ def extract_fields(df: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 def typed_transactions(df: DataFrame) -> DataFrame:
     """Amount and time cast where they can be, and a key over all fields."""
-    return df.select("id", F.col("merchant"), safe_double(F.col("amount")).alias("amount"), safe_ts(F.col("at")).alias("at"), surrogate_key(F.col("id"), F.col("merchant"), F.col("amount"), F.col("at")).alias("key"))
+    return df.select("id", F.col("merchant"), safe_double(F.col("amount")).alias("amount"), safe_ts(F.col("booked_at")).alias("booked_at"), surrogate_key(F.col("id"), F.col("merchant"), F.col("amount"), F.col("booked_at")).alias("key"))
 
 
 def latest_row(df: DataFrame, key: str, by: str, *ties: str) -> DataFrame:
