@@ -135,3 +135,10 @@ def test_similar_documents_keep_one(docs_of):
     out = simhash.keep_one(docs_of([*rows, (None, "no id"), (0, rows[0][1])]))
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(want)
     assert out.columns == docs_of([]).columns and out.where("doc_id is null").count() == 1
+
+
+def test_block_plan_keeps_recall():
+    for rows in (0, 1, 40_000, 220_000, 10**9):
+        bits, blocks = simhash.block_plan(rows)
+        assert 2**bits >= 8 * max(1, rows - 1)
+        assert (1 - 0.8485**bits) ** blocks <= 0.06 + 1e-9
