@@ -16,7 +16,7 @@ def categorise_stream(spark: SparkSession, path: str, schema, seeds: Seeds) -> D
 
 def event_windows(events: DataFrame, length: str = "1 day", late: str = "2 days") -> DataFrame:
     """Tumbling windows of events by type; rows later than the watermark are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def run_to_end(df: DataFrame, path: str, checkpoint: str) -> None:
