@@ -73,5 +73,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_token_files": op1_token_files, "op2_syncmers": op2_syncmers, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op7_suffixes": op7_suffixes, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_hmm": op10_hmm}
 
 
+#: Windows of 50 words by content; a word goes if a window over it starts in a document of smaller id too.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50) x),
+least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT win.doc_id, i, unnest(range(0, 50)) AS k FROM win JOIN least USING (s) WHERE m < win.doc_id) x),
+word AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+#: Windows of 200 bytes as hexadecimal digits; what stands between the merged runs of repeated windows is kept.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400) x),
+twice AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM win SEMI JOIN twice USING (s)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 199 AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit) x) y GROUP BY doc_id, run),
+span AS (SELECT doc_id, list(struct_pack(a := a, z := z) ORDER BY a) AS s, sum(z - a + 1) AS gone, count(*) AS n FROM runs GROUP BY doc_id),
+edge AS (SELECT doc_id, unnest(list_concat([{'a': -1, 'z': -1}], s)) AS e, unnest(list_concat(list_transform(s, lambda x: x.a), [CAST(1000000000 AS BIGINT)])) AS nxt FROM span),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * (e.z + 1) + 1, greatest(0, 2 * (least(nxt, length(h) // 2) - e.z - 1))), '' ORDER BY e.z) AS k FROM edge JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN kept.doc_id IS NULL THEN h ELSE kept.k END)) AS kept_sha256 FROM d LEFT JOIN span USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the two removals; the other operators need hashes, merges, files or fits that SQL has none of."""
+    return {"op4_substring": OP4_SQL, "op7_suffixes": OP7_SQL}
