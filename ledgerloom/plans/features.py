@@ -96,7 +96,7 @@ _OUT = "SELECT c_custkey AS applicant, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END
 
 @query(
     "r4_r10_woe_iv",
-    "SELECT bin, n, bad, round(ln(g / b), 6) AS woe, round((g - b) * ln(g / b), 6) AS iv FROM (SELECT bin, n, bad, (bad + 0.5) / sum(bad + 0.5) OVER () AS b, (n - bad + 0.5) / sum(n - bad + 0.5) OVER () AS g FROM (SELECT bin, count(*) AS n, sum(bad) AS bad FROM (SELECT bad, CASE WHEN total IS NULL THEN -1 ELSE CAST(total > c1 AS INTEGER) + CAST(total > c2 AS INTEGER) + CAST(total > c3 AS INTEGER) END AS bin FROM outcome, (SELECT quantile_cont(total, 0.25) AS c1, quantile_cont(total, 0.5) AS c2, quantile_cont(total, 0.75) AS c3 FROM outcome) q) x GROUP BY 1) y) z",
+    "SELECT bin, n, CAST(bad AS BIGINT) AS bad, round(ln(g / b), 6) AS woe, round((g - b) * ln(g / b), 6) AS iv FROM (SELECT bin, n, bad, (bad + 0.5) / sum(bad + 0.5) OVER () AS b, (n - bad + 0.5) / sum(n - bad + 0.5) OVER () AS g FROM (SELECT bin, count(*) AS n, sum(bad) AS bad FROM (SELECT bad, CASE WHEN total IS NULL THEN -1 ELSE CAST(total > c1 AS INTEGER) + CAST(total > c2 AS INTEGER) + CAST(total > c3 AS INTEGER) END AS bin FROM outcome, (SELECT quantile_cont(total, 0.25) AS c1, quantile_cont(total, 0.5) AS c2, quantile_cont(total, 0.75) AS c3 FROM outcome) q) x GROUP BY 1) y) z",
     outcome=_OUT,
 )
 def r4(fx):

@@ -95,7 +95,7 @@ def p4(fx):
     return rows.select("pair", pri.alias("pri"), sub.alias("sub"))
 
 
-@query("p11_string_shape", "SELECT CASE WHEN regexp_matches(merchant, '^(mr|mrs|ms|miss|dr) [a-z]') OR regexp_matches(merchant, '^[a-z]\\.? [a-z]+$') THEN 'person_like' WHEN length(merchant) <= 4 THEN 'short_token' WHEN regexp_matches(merchant, '^[a-z]+ [a-z]+$') THEN 'two_word' ELSE 'long_tail' END AS shape, count(*) AS n, sum(volume) AS volume FROM strings GROUP BY 1")
+@query("p11_string_shape", "SELECT CASE WHEN regexp_matches(merchant, '^(mr|mrs|ms|miss|dr) [a-z]') OR regexp_matches(merchant, '^[a-z]\\.? [a-z]+$') THEN 'person_like' WHEN length(merchant) <= 4 THEN 'short_token' WHEN regexp_matches(merchant, '^[a-z]+ [a-z]+$') THEN 'two_word' ELSE 'long_tail' END AS shape, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM strings GROUP BY 1")
 def p11(fx):
     return fx.strings.groupBy(S.string_shape(F.col("merchant")).alias("shape")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
@@ -234,8 +234,8 @@ def u1(fx):
     return by(both(fx), "provider", "leaf")
 
 
-MODAL_A = f"SELECT m, pair, n, volume FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY n DESC, pair ASC NULLS LAST) AS rn, sum(n) OVER (PARTITION BY m) AS volume FROM (SELECT {_MA} AS m, pri || ' | ' || sub AS pair, count(*) AS n FROM feed_a WHERE direction = 'debit' AND vendor IS NOT NULL AND trim(vendor) <> '' GROUP BY 1, 2) g) r WHERE rn = 1"
-MODAL_B = f"SELECT m, cat, n, volume FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY n DESC, cat ASC NULLS LAST) AS rn, sum(n) OVER (PARTITION BY m) AS volume FROM (SELECT {_MB} AS m, cat, count(*) AS n FROM feed_b WHERE amount > 0 AND merchant_raw IS NOT NULL AND trim(merchant_raw) <> '' GROUP BY 1, 2) g) r WHERE rn = 1"
+MODAL_A = f"SELECT m, pair, n, volume FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY n DESC, pair ASC NULLS LAST) AS rn, CAST(sum(n) OVER (PARTITION BY m) AS BIGINT) AS volume FROM (SELECT {_MA} AS m, pri || ' | ' || sub AS pair, count(*) AS n FROM feed_a WHERE direction = 'debit' AND vendor IS NOT NULL AND trim(vendor) <> '' GROUP BY 1, 2) g) r WHERE rn = 1"
+MODAL_B = f"SELECT m, cat, n, volume FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY n DESC, cat ASC NULLS LAST) AS rn, CAST(sum(n) OVER (PARTITION BY m) AS BIGINT) AS volume FROM (SELECT {_MB} AS m, cat, count(*) AS n FROM feed_b WHERE amount > 0 AND merchant_raw IS NOT NULL AND trim(merchant_raw) <> '' GROUP BY 1, 2) g) r WHERE rn = 1"
 
 
 def modal_a(fx):
@@ -298,7 +298,7 @@ def agreed(fx):
     return X.with_leaves(X.shared_merchants(modal_a(fx), modal_b(fx)), fx.seeds())
 
 
-@query("a7_agreement_summary", f"SELECT count(*) AS merchants, sum(volume_b) AS volume, count(*) FILTER (leaf_a = leaf_b) AS agree, coalesce(sum(volume_b) FILTER (leaf_a = leaf_b), 0) AS agree_volume, count(*) FILTER (leaf_a <> leaf_b AND (leaf_a IN {COARSE} OR leaf_b IN {COARSE})) AS coarse, count(*) FILTER (leaf_a <> leaf_b AND NOT (leaf_a IN {COARSE} OR leaf_b IN {COARSE})) AS genuine FROM agreed", **_AGREED)
+@query("a7_agreement_summary", f"SELECT count(*) AS merchants, CAST(sum(volume_b) AS BIGINT) AS volume, count(*) FILTER (leaf_a = leaf_b) AS agree, CAST(coalesce(sum(volume_b) FILTER (leaf_a = leaf_b), 0) AS BIGINT) AS agree_volume, count(*) FILTER (leaf_a <> leaf_b AND (leaf_a IN {COARSE} OR leaf_b IN {COARSE})) AS coarse, count(*) FILTER (leaf_a <> leaf_b AND NOT (leaf_a IN {COARSE} OR leaf_b IN {COARSE})) AS genuine FROM agreed", **_AGREED)
 def a7(fx):
     return X.agreement_summary(agreed(fx), list(COARSE))
 

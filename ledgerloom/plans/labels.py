@@ -56,7 +56,7 @@ def classed(fx):
     return C.consensus_class(aligned(fx).join(fx.gold.select("merchant", "gold_leaf"), "merchant"), "gold_leaf")
 
 
-@query("l2_consensus_class", "SELECT consensus, count(*) AS n, sum(volume) AS volume FROM classed GROUP BY 1", **_A, classed=CLASSED)
+@query("l2_consensus_class", "SELECT consensus, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM classed GROUP BY 1", **_A, classed=CLASSED)
 def l2(fx):
     return classed(fx).groupBy("consensus").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
@@ -122,7 +122,7 @@ def l15(fx):
     return C.consensus_or_confident(aligned(fx)).select("merchant", "chosen")
 
 
-@query("a11_tier_stats", "SELECT tier, count(*) AS n, sum(volume) AS volume, round(100 * count(*) / sum(count(*)) OVER (), 2) AS pct, round(100 * sum(volume) / sum(sum(volume)) OVER (), 2) AS pct_volume FROM broken GROUP BY 1", **_G)
+@query("a11_tier_stats", "SELECT tier, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume, round(100 * count(*) / sum(count(*)) OVER (), 2) AS pct, round(100 * sum(volume) / sum(sum(volume)) OVER (), 2) AS pct_volume FROM broken GROUP BY 1", **_G)
 def a11(fx):
     return C.tier_stats(broken(fx))
 
