@@ -85,9 +85,10 @@ def tell_apart(col: str) -> Column:
     return F.xxhash64(text_of(col)).bitwiseAND(F.lit(0x7FFF)).cast("int")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, carry: list[Column] | None = None) -> DataFrame:
     """``doc_id, id, th, text``: the id, its form without null, the hash that tells rows of one id apart, the text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_of("doc_id").alias("id"), tell_apart("text").alias("th"), text_of().alias("text"))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_of("doc_id").alias("id"), tell_apart("text").alias("th"), text_of().alias("text"), *rest)
 
 
 def survey(rows: DataFrame) -> DataFrame:
@@ -170,12 +171,15 @@ def result_batch(batch, rows) -> dict:
     return {"doc_id": batch.column("doc_id"), "id": batch.column("id"), "th": batch.column("th"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: list[Column] | None = None) -> DataFrame:
     """``doc_id, id, th, n_words, n_removed, kept`` (the kept words joined by blanks) for every row.
 
-    ``id`` and ``th`` are ``numbered``'s key of the row, for joining other columns back.
+    With ``carry`` the struct ``rest`` of those columns goes along, which saves joining them back, and ``kept`` is the
+    text as it is where no word is removed.
     """
-    rows = numbered(docs)
+    rows = numbered(docs, carry)
+    rest, as_it_is = ["rest"] if carry else [], bool(carry)
+    rest_type = f", rest {dict(rows.dtypes)['rest']}" if carry else ""
     seen = stored(survey(rows), "survey")
     counters = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
     total = counters.agg(F.sum("n")).first()[0] or 0
@@ -211,16 +215,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                         starts = np.flatnonzero(np.cumsum(edges)[: n - WINDOW + 1] > 0).astype(np.int32)
                         row, text = (n, 0, b""), raw
                     else:
-                        row, text, starts = kept_words(raw, at), None, None
+                        row, text, starts = (n, 0, raw) if as_it_is else kept_words(raw, at), None, None
                 out.append(row)
                 texts.append(text)
                 windows.append(starts)
             columns = result_batch(batch, out) | {"text": pa.array(texts, pa.binary()).cast(pa.string()), "windows": pa.array(windows, pa.list_(pa.int32()))}
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in rest})
 
-    settled = rows.join(facts, ["id", "th"], "left").select("doc_id", "id", "th", "text", "places").mapInArrow(settle, _RESULT + ", text string, windows array<int>")
+    settled = rows.join(facts, ["id", "th"], "left").select("doc_id", "id", "th", "text", "places", *rest).mapInArrow(settle, _RESULT + ", text string, windows array<int>" + rest_type)
     settled = stored(settled, "settled")
-    pending = settled.where("text is not null").select("doc_id", "id", "th", "text", "windows")
+    pending = settled.where("text is not null").select("doc_id", "id", "th", "text", "windows", *rest)
 
     def emit(batches):
         for batch in pieces(batches):
@@ -243,10 +247,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text, starts in zip(batch.column("text"), batch.column("starts")):
-                rows.append(kept_words(text.as_buffer().to_pybytes(), np.array(starts.as_py() or [], np.int64)))
-            yield pa.RecordBatch.from_pydict(result_batch(batch, rows))
+                raw, gone_at = text.as_buffer().to_pybytes(), np.array(starts.as_py() or [], np.int64)
+                rows.append((len(raw.split()), 0, raw) if as_it_is and not len(gone_at) else kept_words(raw, gone_at))
+            yield pa.RecordBatch.from_pydict(result_batch(batch, rows) | {c: batch.column(c) for c in rest})
 
-    finished = pending.drop("windows").join(gone, ["id", "th"], "left").select("doc_id", "id", "th", "text", "starts").mapInArrow(finish, _RESULT)
+    finished = pending.drop("windows").join(gone, ["id", "th"], "left").select("doc_id", "id", "th", "text", "starts", *rest).mapInArrow(finish, _RESULT + rest_type)
     return settled.where("text is null").drop("text", "windows").unionByName(finished)
 
 
