@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import uuid
 import zlib
 
@@ -54,8 +55,8 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[^\x01-\x1b\x20-\xff]", *map(re.escape, special)]))
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
         self.letters = dict(enumerate(byte_letters()))
         self.young: dict[str, bytes] = {}
@@ -65,15 +66,27 @@ class LibraryEncoder:
         found = self.old.get(word)
         if found is None:
             lettered = word.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.library.model.tokenize(lettered)], self.dtype).tobytes()
+            ids = [t.id for t in self.library.model.tokenize(lettered)]
+            found = struct.pack(f"<{len(ids)}{self.code}", *ids)
         if len(word) <= CACHE_WORD_CHARS:
             if len(self.young) >= CACHE_WORDS:
                 self.old, self.young = self.young, {}
             self.young[word] = found
         return found
 
+    def by_words(self, text: str) -> bool:
+        """Whether the text is Latin-1 without special tokens and without those controls that are no white space here."""
+        for s in self.special:
+            if s in text:
+                return False
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return len(raw.translate(None, b"\x00\x1c\x1d\x1e\x1f")) == len(raw)
+
     def encode(self, text: str) -> bytes:
-        if self.whole.search(text):
+        if not self.by_words(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         words = self.words.findall(text)
         get = self.young.get
