@@ -238,8 +238,6 @@ def remove_repeats(docs: DataFrame, carry: list[Column] | None = None) -> DataFr
 
     candidates = pending.select("id", "th", "text", "windows").mapInArrow(emit, "h long, id long, th int, pos int")
     first = candidates.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("w"), "least")
-    # As a table, both sides of the join are dealt for it alone, so a very common window can be split over tasks.
-    first = stored(first, "repeated")
     gone = candidates.join(first, F.col("h") == F.col("w")).where("id > least").select("id", "th", "pos")
     gone = gone.groupBy("id", "th").agg(F.collect_list("pos").alias("starts"))
 
