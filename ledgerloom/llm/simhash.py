@@ -28,7 +28,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import stored, text_of, width
@@ -312,21 +312,223 @@ def block_plan(rows: int, differ: float = 0.1515, miss: float = 0.06) -> tuple[i
     return bits, math.ceil(math.log(miss) / math.log1p(-((1 - differ) ** bits)))
 
 
+#: Two documents are similar from this Jaccard similarity of their shingle sets on, as a fraction.
+SIMILAR = (4, 5)
+SHINGLE = 5
+#: 64-bit words of a parity map.
+MAP_WORDS = 8
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct shingle hashes of a text, rising."""
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42) - (1 << 63)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set by (count among ``common``, hash), so many that any two similar sets share one.
+
+    Similar sets have ceil(0.8 n) members in common at least, n the size of either, so n - ceil(0.8 n) + 1 are enough
+    under any order that is the same for all sets.  ``common`` (rising) only moves frequent shingles to the end.
+    """
+    n, (up, down) = len(hashes), SIMILAR
+    if not n:
+        return hashes
+    least = n + (-n * up // down) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))]
+    return hashes[:least]
+
+
+def parity_map(hashes: np.ndarray, words: int = MAP_WORDS) -> np.ndarray:
+    """Whether an odd number of hashes falls on each bit: two maps differ in no more bits than their sets in members."""
+    odd = np.bincount((hashes & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def full_map(hashes: np.ndarray) -> bytes:
+    """A parity map of a bit or more for each member; its length is a power of two."""
+    return parity_map(hashes, max(MAP_WORDS, 1 << (max(1, len(hashes)) - 1 >> 6).bit_length())).tobytes()
+
+
+def map_distance(a: bytes, b: bytes) -> int:
+    """Differing bits of two full maps, the longer one folded to the length of the other."""
+    x, y = (np.frombuffer(m, np.uint64) for m in (a, b))
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(m.reshape(-1, size), axis=0) for m in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def common_shingles(docs: DataFrame, sample: int = 4096, least: int = 8, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents of a sample have, rising, and their counts.  Results do not depend on them, time does."""
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column("text"):
+                yield pa.RecordBatch.from_pydict({"h": shingle_set(t.as_buffer().to_pybytes()).view(np.int64)})
+
+    every = max(1, docs.count() // sample)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).select(text_of().alias("text"))
+    rows = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n")).limit(most).collect()
+    found = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r.n for r in rows], np.int64)[order]
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """``doc_id, node, n, map, full, keys``: name, size, parity maps and prefix of every document's shingle set."""
+    common, counts = common_shingles(docs)
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_buffer().to_pybytes()) for t in batch.column("text")]
+            keys = [prefix(s, common, counts).view(np.int64) for s in sets]
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column("doc_id"),
+                    "node": pa.array([set_name(s) for s in sets], pa.int64()),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "map": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * MAP_WORDS), pa.array(np.concatenate([parity_map(s) for s in sets] or [np.zeros(0, np.int64)]))),
+                    "full": pa.array([full_map(s) for s in sets], pa.binary()),
+                    "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys or [np.zeros(0, np.int64)]))),
+                }
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, node long, n long, map array<long>, full binary, keys array<long>")
+
+
+def may_be_similar(n_a, n_b, differ):
+    """Whether sizes and differing bits of the parity maps allow similarity; never false for a similar pair."""
+    up, down = SIMILAR
+    return (n_a * down >= n_b * up) & (n_b * down >= n_a * up) & (differ * (down + up) <= (n_a + n_b) * (down - up))
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose shingle sets are similar, by the sets themselves."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_buffer().to_pybytes()) for t in batch.column("text")]
+            own = [i for i, (s, name) in enumerate(zip(sets, batch.column("node").to_pylist())) if set_name(s) == name]
+            if own:
+                yield pa.RecordBatch.from_pydict({"own": batch.column("node").take(pa.array(own)), "members": pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))})
+
+    def near(batches):
+        for batch in batches:
+            n_a, n_b, full_a, full_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "full_a", "full_b"))
+            ok = [may_be_similar(x, y, map_distance(v, w)) for x, y, v, w in zip(n_a, n_b, full_a, full_b)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("full").alias(f"full_{c}"))
+    pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long"), "pairs")
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    used = used.join(nodes.select("node", F.col("doc_id").alias("id")), "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(used, F.col("doc_id") == F.col("id"))
+    # Rows of one id may have the same text.
+    texts = texts.withColumn("same", F.xxhash64("text")).dropDuplicates(["id", "same"]).select("node", "text")
+    sets = stored(texts.mapInArrow(run, "own long, members array<long>"), "sets")
+    side = lambda c: sets.select(F.col("own").alias(c), F.col("members").alias(f"{c}_members"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared, sizes = F.size(F.array_intersect("a_members", "b_members")), F.size("a_members") + F.size("b_members")
+    return both.where(shared * (SIMILAR[0] + SIMILAR[1]) >= sizes * SIMILAR[0]).select("a", "b").distinct()
+
+
+def rest_pairs(number: np.ndarray, n: np.ndarray, classes: np.ndarray, maps: np.ndarray, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a shard (``number``, rising) that are of different classes and may be similar."""
+    first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+    size = np.diff(np.concatenate((first, [len(number)])))
+    of = np.repeat(size, size)
+    left, right = [], []
+
+    def test(i, j):
+        i, j = (x[classes[i] != classes[j]] for x in (i, j))
+        ok = may_be_similar(n[i], n[j], np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64))
+        left.append(i[ok])
+        right.append(j[ok])
+
+    for lag in range(1, min(small, int(size.max(initial=1)))):
+        i = np.flatnonzero((number[lag:] == number[:-lag]) & (of[lag:] <= small))
+        test(i, i + lag)
+    for a, m in zip(first[size > small].tolist(), size[size > small].tolist()):
+        for k in range(a, a + m - 1):
+            j = np.arange(k + 1, a + m)
+            test(np.full(len(j), k), j)
+    return (np.concatenate(left), np.concatenate(right)) if left else (first[:0], first[:0])
+
+
+def similar_links(docs: DataFrame, sets: DataFrame, shard_rows: int = 128) -> DataFrame:
+    """Links ``a, b`` between names of shingle sets that have the components of all pairs of similar sets.
+
+    A set goes to a shard for each shingle of its prefix, so every similar pair meets.  First each member is compared
+    with the least of its shard; then the pairs of a shard that are not connected by that are compared.
+    """
+    nodes = stored(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("full").alias("full"), F.first("keys").alias("keys")), "nodes")
+    shard = Window.partitionBy("key")
+    dealt = nodes.select(F.explode("keys").alias("key"), "node").withColumns({"members": F.count("*").over(shard), "hub": F.min("node").over(shard)})
+    held = stored(dealt.where("members > 1"), "held")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}"))
+    near = held.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    differ = sum((F.bit_count(F.col("map_a")[i].bitwiseXOR(F.col("map_b")[i])) for i in range(MAP_WORDS)), F.lit(0))
+    near = stored(near.where(may_be_similar(F.col("n_a"), F.col("n_b"), differ)).select("a", "b"), "pairs")
+    links = stored(confirmed(near, nodes, docs), "links")
+
+    classes = components(links).withColumnRenamed("node", "own")
+    classed = nodes.join(classes, F.col("node") == F.col("own"), "left").select("node", "n", "map", F.coalesce("component", "node").alias("class"))
+    open_ = held.join(classed.select(F.col("node").alias("own"), "class"), F.col("node") == F.col("own")).groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    open_ = open_.where("low <> high").select(F.col("key").alias("shard"))
+    rest = held.where("members > 2").join(open_, F.col("key") == F.col("shard")).select("key", "node", F.ceil(F.col("members") / shard_rows).cast("int").alias("parts"))
+    rest = rest.join(classed.withColumnRenamed("node", "own"), F.col("node") == F.col("own")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+    # A member goes to every pair of parts that holds its own: (p, q) with p <= q.
+    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q")))
+    rest = rest.select("key", F.explode(both).alias("pair"), "node", "n", "class", "map").select("key", "pair.p", "pair.q", "node", "n", "class", "map")
+    rest = rest.repartition(width(nodes), "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if kept is not None:
+                table = pa.concat_tables([kept, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            shard = np.stack([table.column(c).to_numpy() for c in ("key", "p", "q")])
+            number = np.concatenate(([0], np.cumsum((shard[:, 1:] != shard[:, :-1]).any(axis=0))))
+            whole = int(np.searchsorted(number, number[-1]))  # the last shard may go on in the next batch
+            kept = table.slice(whole)
+            if whole:
+                yield pairs_of(table.slice(0, whole), number[:whole])
+        if kept is not None and kept.num_rows:
+            yield pairs_of(kept, np.zeros(kept.num_rows, np.int64))
+
+    def pairs_of(table, number):
+        names, n, classes = (table.column(c).to_numpy() for c in ("node", "n", "class"))
+        i, j = rest_pairs(number, n, classes, matrix(table.column("map").combine_chunks()))
+        return pa.RecordBatch.from_pydict({"a": names[i], "b": names[j]})
+
+    more = stored(rest.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    return links.unionByName(confirmed(more, nodes, docs))
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` with links at a similarity of about 0.8 of five-word shingles.
+    """``doc_id, class`` of every document that has an id, linked at a Jaccard similarity of 0.8 or more.
 
-    For shingle sets of Jaccard similarity J a bit of two fingerprints differs with odds acos(2J / (1 + J)) / pi, 0.15
-    at 0.8.  Two documents are linked at 40 or fewer of 256 bits.  A pair is looked for in trees over the blocks of a
-    longer fingerprint, with block radius 0 (see ``block_plan``); it is missed only if it differs in every block: with
-    odds of 6 % at J = 0.8, under 1 % at 0.85 and under 0.02 % at 0.9.
+    Similarity is that of the sets of five-word shingles and decided by the sets.  Candidates come from a prefix of
+    each set that two similar sets always share, so no pair is missed, however many documents stand in the table.
     """
-    bits, blocks = block_plan(docs.count())
-    words = max(4, math.ceil(bits * blocks / 64))
-    return near_duplicates(docs, shingle=5, words=words, radius=40, blocks=64 * words // bits, pivots=10, reach=0, compare=4)
+    docs = docs.where("doc_id is not null")
+    sets = stored(shingle_sets(docs), "fingerprints")
+    found = components(similar_links(docs, sets)).withColumnRenamed("node", "own")
+    return sets.select("doc_id", "node").join(found, F.col("node") == F.col("own"), "left").select("doc_id", F.coalesce("component", "node").alias("class"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less all but the one of least id of each class of similar documents; rows without an id stay."""
-    kept = similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = similar_documents(docs).groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))

@@ -142,3 +142,62 @@ def test_block_plan_keeps_recall():
         bits, blocks = simhash.block_plan(rows)
         assert 2**bits >= 8 * max(1, rows - 1)
         assert (1 - 0.8485**bits) ** blocks <= 0.06 + 1e-9
+
+
+def brute_kept(rows):
+    """Ids left over by linking all pairs of Jaccard similarity 0.8 or more, and the similarities."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := t.split()) or True}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    seen = []
+    for i in sets:
+        for j in sets:
+            if i < j:
+                shared = len(sets[i] & sets[j])
+                union = len(sets[i]) + len(sets[j]) - shared
+                seen.append(shared / union)
+                if 5 * shared >= 4 * union:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+    return {i for i in sets if find(i) == i}, seen
+
+
+def edited_rows(groups, copies, seed=12):
+    """Groups of texts of 4 to 400 words with so many words of the first one replaced that J is about 0.7 to 0.95."""
+    draw = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        words = [f"w{draw.randrange(99999)}" for _ in range(draw.choice([4, 9, 30, 120, 400]))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(copies):
+            near = list(words)
+            if len(near) < 120:
+                near += [f"w{draw.randrange(99999)}"] * draw.randrange(1, 1 + len(near) // 4)
+            else:
+                for k in draw.sample(range(len(near)), max(1, int(len(near) * draw.uniform(0.004, 0.033)))):
+                    near[k] = "edited"
+            rows.append((len(rows), " ".join(near)))
+    return rows
+
+
+@pytest.mark.parametrize("groups,copies", [(80, 4), (3, 70)])
+def test_similar_documents_by_brute_force(docs_of, groups, copies):
+    rows = edited_rows(groups, copies)
+    want, seen = brute_kept(rows)
+    assert sum(0.75 <= j < 0.8 for j in seen) > 20 and sum(0.8 <= j < 0.85 for j in seen) > 20
+    assert {r.doc_id for r in simhash.keep_one(docs_of(rows)).collect()} == want
+
+
+def test_shards_in_parts_lose_no_pair(docs_of):
+    rows = edited_rows(2, 60, 3)
+    docs = docs_of(rows)
+    links = simhash.components(simhash.similar_links(docs, simhash.shingle_sets(docs), shard_rows=8))
+    want, _ = brute_kept(rows)
+    sets = len({simhash.set_name(simhash.shingle_set(t.encode())) for _, t in rows})
+    found = links.collect()
+    assert sets - sum(r.node != r.component for r in found) == len(want)
