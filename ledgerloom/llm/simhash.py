@@ -302,7 +302,7 @@ def simhash_table(docs: DataFrame) -> DataFrame:
 
 
 def block_plan(rows: int, differ: float = 0.1515, miss: float = 0.06) -> tuple[int, int]:
-    """Bits of a block and number of blocks for ``rows`` fingerprints.
+    """Bits of a block and number of blocks for ``rows`` fingerprints; no query depends on it.
 
     A block has three bits more than it takes to number the rows, so the share of shards that hold unrelated rows stays
     the same at every size; there are as many blocks as it takes for a pair whose bits differ with odds ``differ`` to

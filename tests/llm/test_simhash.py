@@ -201,3 +201,26 @@ def test_shards_in_parts_lose_no_pair(docs_of):
     sets = len({simhash.set_name(simhash.shingle_set(t.encode())) for _, t in rows})
     found = links.collect()
     assert sets - sum(r.node != r.component for r in found) == len(want)
+
+
+def test_similar_sets_share_a_prefix_shingle():
+    draw = np.random.default_rng(4)
+    for _ in range(3000):
+        both = np.unique(draw.integers(0, 2**64, draw.integers(1, 300), np.uint64))
+        spare = len(both) // 4  # so many members outside the common ones leave a similarity of 0.8 at least
+        cut = draw.integers(0, spare + 1)
+        a, b = (np.unique(np.concatenate((both, draw.integers(0, 2**64, n, np.uint64)))) for n in (cut, spare - cut))
+        common = np.sort(draw.permutation(both)[: draw.integers(0, len(both) + 1)])
+        keys = [simhash.prefix(s, common, np.arange(len(common)) % 9 + 8) for s in (a, b)]
+        assert len(np.intersect1d(*keys))
+        differ = simhash.map_distance(simhash.full_map(a), simhash.full_map(b))
+        assert simhash.may_be_similar(len(a), len(b), differ)
+
+
+def test_links_do_not_follow_the_number_of_rows(docs_of, monkeypatch):
+    monkeypatch.setattr(simhash, "block_plan", None)
+    rows = edited_rows(1, 8, 5)
+    more = [(1000 + k, f"other words of row {k} " + " ".join(str(k * j) for j in range(9))) for k in range(3000)]
+    alone = {r.doc_id for r in simhash.keep_one(docs_of(rows)).collect()}
+    within = {r.doc_id for r in simhash.keep_one(docs_of(rows + more)).collect()}
+    assert alone == {i for i in within if i < 1000} == brute_kept(rows)[0]
