@@ -25,8 +25,8 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint every document and its edited text from closed syncmers."""
-    return syncmers.fingerprints(documents(spark, sf_dir))
+    """Fingerprint every document and its edited text from all of their closed syncmers."""
+    return syncmers.fingerprints(documents(spark, sf_dir), size=None)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

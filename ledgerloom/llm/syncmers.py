@@ -3,9 +3,9 @@
 The symbols of a text are its words, long ones cut into pieces of 16 characters.  A k-mer (5 symbols) is a closed
 syncmer if the least hash of its inner substrings (2 symbols) stands first or last.  Whether it is chosen depends on
 the k-mer alone, not on what surrounds it, so two texts choose the same anchors wherever they share a passage:
-``anchors`` gives them with their places.  A fingerprint is the ``size`` least distinct anchor hashes of the whole text
-(32 bits each, rising), written as hexadecimal digits; likeness is the share of common hashes among the ``size`` least
-of both together, an estimate of the anchor sets' Jaccard similarity.
+``anchors`` gives them with their places.  A fingerprint is the distinct anchor hashes of the whole text (32 bits each,
+rising), written as hexadecimal digits; likeness is the Jaccard similarity of both sets.  With ``size`` a fingerprint
+has the least so many hashes only, and likeness is the share of common ones among the ``size`` least of both together.
 
 The next document in id order comes from one exchange of the texts: ids are cut into ranges whose edges are ids of the
 table, the document at an edge also goes to the range before it, the first of all to the last range, and a window runs
@@ -45,11 +45,12 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(found, F.expr("cast(array() as array<struct<place: int, hash: bigint>>)"))).drop(hashes, inner)
 
 
-def with_sketch(df: DataFrame, text: str, out: str, size: int = SIZE) -> DataFrame:
-    """Adds ``out``: the ``size`` least distinct anchor hashes of ``text`` modulo 2^32, rising."""
+def with_sketch(df: DataFrame, text: str, out: str, size: int | None = SIZE) -> DataFrame:
+    """Adds ``out``: the ``size`` least distinct anchor hashes of ``text`` modulo 2^32, or all of them, rising."""
     df = with_anchors(df, text, f"{out}_anchors")
     values = F.transform(f"{out}_anchors", lambda a: F.pmod(a["hash"], F.lit(1 << 32)))
-    df = df.withColumn(f"{out}_values", F.slice(F.array_sort(F.array_distinct(values)), 1, size)).drop(f"{out}_anchors")
+    values = F.sort_array(F.array_distinct(values))
+    df = df.withColumn(f"{out}_values", values if size is None else F.slice(values, 1, size)).drop(f"{out}_anchors")
     alone = F.array(F.pmod(F.xxhash64(text), F.lit(1 << 32)))
     return df.withColumn(out, F.when(F.size(f"{out}_values") > 0, F.col(f"{out}_values")).otherwise(alone)).drop(f"{out}_values")
 
@@ -59,8 +60,11 @@ def fingerprint_text(sketch: str) -> Column:
     return F.lower(F.array_join(F.transform(sketch, lambda v: F.lpad(F.hex(v), 8, "0")), ""))
 
 
-def likeness(a: str, b: str, size: int = SIZE) -> Column:
-    """Estimated Jaccard similarity of the anchor sets behind two sketches."""
+def likeness(a: str, b: str, size: int | None = SIZE) -> Column:
+    """Jaccard similarity of the anchor sets behind two sketches, an estimate where those are cut to ``size``."""
+    if size is None:
+        common = F.size(F.array_intersect(a, b))
+        return common / (F.size(a) + F.size(b) - common)
     least = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
     common = F.array_intersect(least, F.array_intersect(F.col(a), F.col(b)))
     return F.size(common) / F.size(least)
@@ -91,7 +95,7 @@ def with_next(rows: DataFrame, ranges: int) -> tuple[DataFrame, Window]:
     return rows.withColumn("next", F.lead("text").over(window)), window
 
 
-def fingerprints(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int | None = SIZE) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many of the next document.

@@ -87,3 +87,25 @@ def test_anchors_are_context_free(docs_of):
     assert alone == brute_anchors(passage)
     assert {(p + 4, h) for p, h in alone} <= set(inside)
     assert "Python" not in df._jdf.queryExecution().toString() and F is not None
+
+
+def test_query_compares_whole_anchor_sets(spark, docs_of, tmp_path):
+    from ledgerloom.llm.queries import op2_syncmers
+
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    passage = [word() for _ in range(300)]
+    texts = {i: " ".join([word() for _ in range(5000)] + passage + [word() for _ in range(5000)]) for i in range(4)} | {9: "", 10: "a b c"}
+    docs_of(list(texts.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: {v % (1 << 32) for _, v in brute_anchors(t)} or {chain(t) % (1 << 32)} for i, t in texts.items()}
+    ids = list(texts)
+    got = {r.doc_id: r for r in op2_syncmers(spark, str(tmp_path)).collect()}
+    for i, j in zip(ids, ids[1:] + ids[:1]):
+        half = len(texts[i]) // 2
+        edited = texts[i][: len(texts[i]) - half] + texts[j][:half]
+        other = {v % (1 << 32) for _, v in brute_anchors(edited)} or {chain(edited) % (1 << 32)}
+        assert got[i].fingerprint == "".join(f"{v:08x}" for v in sorted(sets[i]))
+        assert got[i].edited_fingerprint == "".join(f"{v:08x}" for v in sorted(other))
+        assert got[i].near_edited == pytest.approx(len(sets[i] & other) / len(sets[i] | other))
+        assert got[i].near_next == pytest.approx(len(sets[i] & sets[j]) / len(sets[i] | sets[j]))
+    assert all(len(sets[i]) > 4000 and got[i].near_next > 0 for i in range(3))
