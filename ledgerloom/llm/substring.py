@@ -9,12 +9,16 @@ cover place in both documents:
 
 1. Anchors are hashed at cover places only (6 of 31) and grouped by hash; those that stand in one document alone end
    here.  Very frequent anchors (found by mergeable counters of bounded size) need no grouping: they are known to
-   repeat, and leaving them out keeps every group small.
+   repeat, and leaving them out keeps the groups small; a group is read as a stream, whatever its size.
 2. Anchors that repeat extend to the windows that contain them.  Those windows alone get hashes of their own; the least
-   id of each hash is found by a pre-aggregated group and joined back.
+   id of each hash is found by a pre-aggregated group, stored, and joined back (a hot window is then one that Spark
+   can split over tasks).
 3. Documents whose whole word sequence is that of a smaller id are settled before step 2, so groups of copies cost one
    document.
 
+Only narrow tables are stored between the steps; the texts meet the places of their windows once at the end.  A row is
+known by its id, the 64-bit hash of its text and the text's size, so any number of rows may share an id.
+
 Hashes have 64 bits; two different windows are taken as equal with odds of n^2 / 2^65 over n candidate windows.
 
 Defined results: a null text has no words; texts of fewer words than a window lose none; a null id counts as smaller
@@ -80,19 +84,25 @@ def id_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(-(2**63)))
 
 
-def tell_apart(col: str) -> Column:
-    """A small hash of the text that tells rows of one id apart."""
-    return F.xxhash64(text_of(col)).bitwiseAND(F.lit(0x7FFF)).cast("int")
+#: What tells rows apart: the id without null, the hash of the text and its bytes.  Rows that agree in all are repeats.
+KEY = ("id", "name", "size")
+KEY_TYPE = "id long, name long, size int"
 
 
 def numbered(docs: DataFrame, carry: list[Column] | None = None) -> DataFrame:
-    """``doc_id, id, th, text``: the id, its form without null, the hash that tells rows of one id apart, the text."""
+    """``doc_id``, the columns of ``KEY`` and ``text`` without null."""
     rest = [F.struct(*carry).alias("rest")] if carry else []
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_of("doc_id").alias("id"), tell_apart("text").alias("th"), text_of().alias("text"), *rest)
+    text = text_of()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_of("doc_id").alias("id"), F.xxhash64(text).alias("name"), F.octet_length(text).alias("size"), text.alias("text"), *rest)
+
+
+def keys_of(batch: pa.RecordBatch, rows: np.ndarray) -> dict:
+    """The key columns of the given rows of a batch."""
+    return {c: batch.column(c).to_numpy()[rows] for c in KEY}
 
 
 def survey(rows: DataFrame) -> DataFrame:
-    """One row a document (kind 0: id, th, hash of the word sequence) and one a counter (kind 1: anchor, count)."""
+    """One row a document (kind 0: key, hash and number of its words) and one a counter (kind 1: anchor, count)."""
 
     def run(batches):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -100,17 +110,50 @@ def survey(rows: DataFrame) -> DataFrame:
             words = Words(batch.column("text"))
             whole = words.runs(words.first[:-1], words.counts, _B) + words.counts.astype(np.uint64)
             n = batch.num_rows
-            yield pa.RecordBatch.from_pydict({"kind": np.zeros(n, np.int32), "a": batch.column("id"), "th": batch.column("th"), "b": whole.view(np.int64), "n": words.counts})
+            yield pa.RecordBatch.from_pydict({"kind": np.zeros(n, np.int32), **{c: batch.column(c) for c in KEY}, "h": whole.view(np.int64), "n": words.counts})
             found = words.anchors()[0]
             keys, counts = merge_counters(np.concatenate((keys, found)), np.concatenate((counts, np.ones(len(found), np.int64))), COUNTERS)
         n = len(keys)
-        yield pa.RecordBatch.from_pydict({"kind": np.ones(n, np.int32), "a": keys.view(np.int64), "th": np.zeros(n, np.int32), "b": np.zeros(n, np.int64), "n": counts})
+        zero = np.zeros(n, np.int64)
+        yield pa.RecordBatch.from_pydict({"kind": np.ones(n, np.int32), "id": zero, "name": zero, "size": zero.astype(np.int32), "h": keys.view(np.int64), "n": counts})
+
+    return rows.select(*KEY, "text").mapInArrow(run, f"kind int, {KEY_TYPE}, h long, n long")
+
 
-    return rows.select("id", "th", "text").mapInArrow(run, "kind int, a long, th int, b long, n long")
+def of_more_documents(batches):
+    """``KEY, pos`` of the rows (sorted by hash, then key) whose hash has more than one key.
+
+    A group may go on over many batches: only the rows of its first key are held until another key shows up.
+    """
+    held, h_held, key_held, more = [], None, None, False
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        h = batch.column("h").to_numpy()
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in KEY])
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        last = np.concatenate((first[1:], [n])) - 1
+        several = (keys[:, first] != keys[:, last]).any(axis=0)
+        if h_held == h[0]:
+            several[0] |= more or tuple(keys[:, 0]) != key_held or tuple(keys[:, last[0]]) != key_held
+            if several[0]:
+                yield from held
+                held = []
+        if h_held != h[0] or len(first) > 1:
+            held = []  # the last group starts in this batch
+            key_held = tuple(keys[:, first[-1]])
+        h_held, more = h[-1], bool(several[-1])
+        kept = np.repeat(several, last - first + 1)
+        rows = batch.select([*KEY, "pos"])
+        if kept.any():
+            yield rows.filter(pa.array(kept))
+        if not more:
+            held.append(rows.slice(int(first[-1])))
 
 
 def repeated_anchors(rows: DataFrame, hot: frozenset[int]) -> DataFrame:
-    """``id, th, pos`` of every anchor, other than the hot ones, whose hash stands in more than one document."""
+    """``KEY, pos`` of every anchor, other than the hot ones, whose hash stands in more than one document."""
     skip = np.array(sorted(hot), np.int64)
 
     def emit(batches):
@@ -118,37 +161,11 @@ def repeated_anchors(rows: DataFrame, hot: frozenset[int]) -> DataFrame:
             hashes, doc, place = Words(batch.column("text")).anchors()
             hashes = hashes.view(np.int64)
             kept = np.flatnonzero(~np.isin(hashes, skip))
-            doc = doc[kept]
-            yield pa.RecordBatch.from_pydict({"h": hashes[kept], "id": batch.column("id").to_numpy()[doc], "th": batch.column("th").to_numpy()[doc], "pos": place[kept].astype(np.int32)})
-
-    dealt = rows.select("id", "th", "text").mapInArrow(emit, "h long, id long, th int, pos int")
-    dealt = dealt.repartition(width(rows), "h").sortWithinPartitions("h", "id", "th")
-
-    def keep(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table]).combine_chunks()
-            if not table.num_rows:
-                continue
-            h = table.column("h").to_numpy()
-            whole = int(np.searchsorted(h, h[-1]))  # the last group may go on in the next batch
-            held = table.slice(whole)
-            if whole:
-                yield repeats(table.slice(0, whole), h[:whole])
-        if held is not None and held.num_rows:
-            yield repeats(held, held.column("h").to_numpy())
-
-    def repeats(table, h):
-        ids, ths = table.column("id").to_numpy(), table.column("th").to_numpy()
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        last = np.concatenate((first[1:], [len(h)])) - 1
-        more = (ids[first] != ids[last]) | (ths[first] != ths[last])
-        kept = np.flatnonzero(np.repeat(more, last - first + 1))
-        return pa.RecordBatch.from_pydict({"id": ids[kept], "th": ths[kept], "pos": table.column("pos").to_numpy()[kept]})
+            yield pa.RecordBatch.from_pydict({"h": hashes[kept], **keys_of(batch, doc[kept]), "pos": place[kept].astype(np.int32)})
 
-    return dealt.mapInArrow(keep, "id long, th int, pos int")
+    dealt = rows.select(*KEY, "text").mapInArrow(emit, f"h long, {KEY_TYPE}, pos int")
+    dealt = dealt.repartition(width(rows), "h").sortWithinPartitions("h", *KEY)
+    return dealt.mapInArrow(of_more_documents, f"{KEY_TYPE}, pos int")
 
 
 def kept_words(text: bytes, starts: np.ndarray) -> tuple[int, int, bytes]:
@@ -163,16 +180,62 @@ def kept_words(text: bytes, starts: np.ndarray) -> tuple[int, int, bytes]:
     return len(words), len(words) - int(keep.sum()), b" ".join([w for w, k in zip(words, keep.tolist()) if k])
 
 
-_RESULT = "doc_id long, id long, th int, n_words long, n_removed long, kept string"
+def window_places(at: np.ndarray, n: int) -> np.ndarray:
+    """Places of the windows of a text of ``n`` words that hold an anchor that starts at one of ``at``."""
+    edges = np.zeros(n + PERIOD + 1, np.int64)
+    np.add.at(edges, np.maximum(at - PERIOD + 1, 0), 1)
+    np.add.at(edges, at + 1, -1)
+    return np.flatnonzero(np.cumsum(edges)[: n - WINDOW + 1] > 0)
 
 
-def result_batch(batch, rows) -> dict:
-    n, removed, kept = zip(*rows) if rows else ((), (), ())
-    return {"doc_id": batch.column("doc_id"), "id": batch.column("id"), "th": batch.column("th"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+def candidate_windows(rows: DataFrame, facts: DataFrame, hot: frozenset[int]) -> DataFrame:
+    """``h, KEY, pos`` of every window that holds a repeated or hot anchor; copies (place -1) have none."""
+    skip = np.array(sorted(hot), np.int64)
+
+    def emit(batches):
+        for batch in pieces(batches):
+            words = Words(batch.column("text"))
+            hashes, doc, place = words.anchors()
+            known = np.isin(hashes.view(np.int64), skip)
+            by_doc = np.searchsorted(doc[known], np.arange(batch.num_rows + 1))
+            hot_places = place[known]
+            found = []
+            for i, places in enumerate(batch.column("places")):
+                at = places.values.to_numpy().astype(np.int64) if places.is_valid else np.zeros(0, np.int64)
+                copy = (at == -1).any()
+                at = np.concatenate((at, hot_places[by_doc[i] : by_doc[i + 1]]))
+                found.append(np.zeros(0, np.int64) if copy or not len(at) else window_places(at, int(words.counts[i])))
+            doc = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            at = np.concatenate(found) if found else np.zeros(0, np.int64)
+            h = words.runs(words.first[doc] + at, WINDOW, _B).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"h": h, **keys_of(batch, doc), "pos": at.astype(np.int32)})
+
+    # Without hot anchors, texts that no fact speaks of are not needed.
+    joined = rows.select(*KEY, "text").join(facts, [*KEY], "left" if hot else "inner")
+    return joined.select(*KEY, "text", "places").mapInArrow(emit, f"h long, {KEY_TYPE}, pos int")
+
+
+def removed_windows(rows: DataFrame) -> DataFrame:
+    """``KEY, starts``: places of the windows that also start in a smaller id; -1 alone for copies of a smaller id."""
+    seen = stored(survey(rows), "survey")
+    counters = seen.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n"))
+    total = counters.agg(F.sum("n")).first()[0] or 0
+    # At most COUNTERS keys can have this share of what was counted, so the list is bounded.
+    hot = frozenset(r.h for r in counters.where(F.col("n") >= max(256, total // COUNTERS)).collect())
+    whole = seen.where(f"kind = 0 and n >= {WINDOW}").select(*KEY, "h", "n")
+    least = whole.groupBy("h", "n").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    least = stored(least, "copied").withColumnsRenamed({"h": "w", "n": "words"})
+    copies = whole.join(least, (F.col("h") == F.col("w")) & (F.col("n") == F.col("words"))).where("id > least").select(*KEY, F.lit(-1).alias("pos"))
+    facts = repeated_anchors(rows, hot).unionByName(copies).groupBy(*KEY).agg(F.collect_set("pos").alias("places"))
+    windows = stored(candidate_windows(rows, stored(facts, "anchors"), hot), "windows")
+    first = windows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    first = stored(first.select(F.col("h").alias("w"), "least"), "repeated")
+    gone = windows.join(first, F.col("h") == F.col("w")).where("id > least").select(*KEY, "pos")
+    return stored(gone.unionByName(copies).groupBy(*KEY).agg(F.collect_set("pos").alias("starts")), "removed")
 
 
 def remove_repeats(docs: DataFrame, carry: list[Column] | None = None) -> DataFrame:
-    """``doc_id, id, th, n_words, n_removed, kept`` (the kept words joined by blanks) for every row.
+    """``doc_id, n_words, n_removed, kept`` (the kept words joined by blanks) for every row.
 
     With ``carry`` the struct ``rest`` of those columns goes along, which saves joining them back, and ``kept`` is the
     text as it is where no word is removed.
@@ -180,77 +243,27 @@ def remove_repeats(docs: DataFrame, carry: list[Column] | None = None) -> DataFr
     rows = numbered(docs, carry)
     rest, as_it_is = ["rest"] if carry else [], bool(carry)
     rest_type = f", rest {dict(rows.dtypes)['rest']}" if carry else ""
-    seen = stored(survey(rows), "survey")
-    counters = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
-    total = counters.agg(F.sum("n")).first()[0] or 0
-    # At most COUNTERS keys can have this share of what was counted, so the list is bounded.
-    hot = frozenset(r.a for r in counters.where(F.col("n") >= max(256, total // COUNTERS)).collect())
-    whole = seen.where("kind = 0")
-    least = whole.groupBy("b", "n").agg(F.min("a").alias("least"), F.count("*").alias("rows")).where(f"rows > 1 and n >= {WINDOW}")
-    copies = whole.join(least.drop("rows"), ["b", "n"]).where("a > least").select(F.col("a").alias("id"), "th", F.lit(-1).alias("pos"))
-    facts = repeated_anchors(rows, hot).unionByName(copies).groupBy("id", "th").agg(F.collect_set("pos").alias("places"))
-    hot_list = np.array(sorted(hot), np.int64)
-
-    def settle(batches):
-        """Documents without a repeated anchor, and copies, are settled; the others keep text and window places."""
-        for batch in pieces(batches):
-            words = Words(batch.column("text"))
-            hashes, doc, place = words.anchors()
-            known = np.isin(hashes.view(np.int64), hot_list)
-            by_doc = np.searchsorted(doc[known], np.arange(batch.num_rows + 1))
-            hot_places = place[known]
-            out, texts, windows = [], [], []
-            for i, (text, places) in enumerate(zip(batch.column("text"), batch.column("places"))):
-                n = int(words.counts[i])
-                at = np.array(places.as_py() or [], np.int64)
-                if (at == -1).any():
-                    row, text, starts = (n, n, b""), None, None
-                else:
-                    at = np.concatenate((at, hot_places[by_doc[i] : by_doc[i + 1]]))
-                    raw = text.as_buffer().to_pybytes()
-                    if len(at):
-                        edges = np.zeros(n + PERIOD + 1, np.int64)
-                        np.add.at(edges, np.maximum(at - PERIOD + 1, 0), 1)
-                        np.add.at(edges, at + 1, -1)
-                        starts = np.flatnonzero(np.cumsum(edges)[: n - WINDOW + 1] > 0).astype(np.int32)
-                        row, text = (n, 0, b""), raw
-                    else:
-                        row, text, starts = (n, 0, raw) if as_it_is else kept_words(raw, at), None, None
-                out.append(row)
-                texts.append(text)
-                windows.append(starts)
-            columns = result_batch(batch, out) | {"text": pa.array(texts, pa.binary()).cast(pa.string()), "windows": pa.array(windows, pa.list_(pa.int32()))}
-            yield pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in rest})
-
-    settled = rows.join(facts, ["id", "th"], "left").select("doc_id", "id", "th", "text", "places", *rest).mapInArrow(settle, _RESULT + ", text string, windows array<int>" + rest_type)
-    settled = stored(settled, "settled")
-    pending = settled.where("text is not null").select("doc_id", "id", "th", "text", "windows", *rest)
-
-    def emit(batches):
-        for batch in pieces(batches):
-            words = Words(batch.column("text"))
-            lists = batch.column("windows")
-            sizes = np.diff(lists.offsets.to_numpy())
-            place = lists.flatten().to_numpy().astype(np.int64)
-            doc = np.repeat(np.arange(batch.num_rows), sizes)
-            h = words.runs(words.first[doc] + place, WINDOW, _B).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"h": h, "id": batch.column("id").to_numpy()[doc], "th": batch.column("th").to_numpy()[doc], "pos": place.astype(np.int32)})
-
-    candidates = pending.select("id", "th", "text", "windows").mapInArrow(emit, "h long, id long, th int, pos int")
-    first = candidates.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("w"), "least")
-    gone = candidates.join(first, F.col("h") == F.col("w")).where("id > least").select("id", "th", "pos")
-    gone = gone.groupBy("id", "th").agg(F.collect_list("pos").alias("starts"))
 
     def finish(batches):
-        for batch in batches:
-            rows = []
+        for batch in pieces(batches):
+            n, removed, kept = [], [], []
             for text, starts in zip(batch.column("text"), batch.column("starts")):
-                raw, gone_at = text.as_buffer().to_pybytes(), np.array(starts.as_py() or [], np.int64)
-                rows.append((len(raw.split()), 0, raw) if as_it_is and not len(gone_at) else kept_words(raw, gone_at))
-            yield pa.RecordBatch.from_pydict(result_batch(batch, rows) | {c: batch.column(c) for c in rest})
+                raw = text.as_buffer().to_pybytes()
+                gone_at = starts.values.to_numpy().astype(np.int64) if starts.is_valid else np.zeros(0, np.int64)
+                if len(gone_at) and gone_at.min() < 0:
+                    words = len(raw.split())
+                    out = words, words, b""
+                elif as_it_is and not len(gone_at):
+                    out = len(raw.split()), 0, raw
+                else:
+                    out = kept_words(raw, gone_at)
+                for to, value in zip((n, removed, kept), out):
+                    to.append(value)
+            columns = {"doc_id": batch.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | {c: batch.column(c) for c in rest})
 
-    finished = pending.drop("windows").join(gone, ["id", "th"], "left").select("doc_id", "id", "th", "text", "starts", *rest).mapInArrow(finish, _RESULT + rest_type)
-    return settled.where("text is null").drop("text", "windows").unionByName(finished)
+    joined = rows.join(removed_windows(rows), [*KEY], "left").select("doc_id", "text", "starts", *rest)
+    return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept string" + rest_type)
 
 
 def substring_table(docs: DataFrame) -> DataFrame:

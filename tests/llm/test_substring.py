@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerloom.llm import substring
 from ledgerloom.llm.substring import COVER, PERIOD, WINDOW
@@ -84,3 +85,43 @@ def test_counters_never_lose_a_frequent_key():
         new = np.concatenate((draw.integers(0, 2**60, 300, np.uint64), np.full(30, 7, np.uint64)))
         keys, counts = substring.merge_counters(np.concatenate((keys, new)), np.concatenate((counts, np.ones(len(new), np.int64))), 64)
     assert counts[keys == 7][0] >= 50 * 30 - 50 * 330 // 64
+
+
+def many_rows_of_one_id(ids, n=3000, seed=9):
+    """Rows of few ids whose texts differ, with passages that other ids share."""
+    draw = random.Random(seed)
+    passages = [[f"p{k}_{i}" for i in range(60)] for k in range(4)]
+    rows = []
+    for i in range(n):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(3, 9))]
+        if i % 3 == 0:
+            words += draw.choice(passages)
+        rows.append((ids[i % len(ids)], " ".join(words)))
+    return rows
+
+
+def test_many_rows_of_one_id(docs_of):
+    got = check(docs_of, [*many_rows_of_one_id([9]), (3, " ".join(f"p1_{i}" for i in range(60)))])
+    assert sum(r[2] > 0 for r in got) > 100
+    check(docs_of, [*many_rows_of_one_id([None]), (3, " ".join(f"p1_{i}" for i in range(60)))])
+    check(docs_of, many_rows_of_one_id([None, 4, 5], seed=2))
+
+
+def test_groups_over_many_batches():
+    draw = np.random.default_rng(4)
+    rows = sorted((int(h), int(i), 0, 0, k) for k, (h, i) in enumerate(zip(draw.zipf(1.6, 3000) % 50, draw.integers(0, 30, 3000))))
+    rows += [(60, 1, 0, 0, k) for k in range(40)] + [(61, 1, 0, 0, 1), (61, 2, 0, 0, 1)]
+    want = sorted(r[1:] for r in rows if len({q[1] for q in rows if q[0] == r[0]}) > 1)
+    types = {"h": pa.int64(), "id": pa.int64(), "name": pa.int64(), "size": pa.int32(), "pos": pa.int32()}
+    for step in (1, 7, 64, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + step]), types.values())], names=list(types)) for i in range(0, len(rows), step)]
+        got = [tuple(r.values()) for b in substring.of_more_documents(batches) for r in b.to_pylist()]
+        assert sorted(got) == want
+
+
+def test_clashing_names(spark, docs_of):
+    rows = make(40, 3)
+    docs = docs_of(rows)
+    for c in ("id", "name", "size", "places", "starts", "rest", "h", "pos", "least"):
+        docs = docs.withColumn(c, docs.text)
+    assert sorted(map(tuple, substring.substring_table(docs).collect()), key=str) == brute(rows)
