@@ -3,19 +3,23 @@
 Every window of 200 bytes has a key, the least hash of its 48-byte substrings.  Equal windows have equal keys, so each
 maximal run of windows of one key (a *piece*: the run's bytes) can be judged beside the other pieces of that key:
 
-1. Keys are counted over all texts; a text without a repeated key ends here.  Texts that are whole copies are settled;
-   one of each group stands for them.
+1. Keys are counted over all texts; pieces of keys that stand once end here.  One text of each group of whole copies
+   stands for the others.
 2. Equal pieces are one (their windows repeat by themselves).  Keys are dealt to shards of about ``SHARD_BYTES`` of
    distinct pieces, and each shard gets a suffix array by induced sorting: suffixes are classed as larger (L) or
    smaller (S) than the next, the substrings between leftmost-smaller places are sorted by induction and named, the
-   string of names is sorted, and the whole array is induced from it.  Windows are read in text order with each one's
-   predecessor in the array (the permuted common prefixes, kept only as "reaches 200 bytes"): a pair that does repeats.
-   The string of names is sorted by rank doubling, as array-wise induction needs a small alphabet, and no deeper than
-   128 names, which is over 200 bytes.
-3. The pieces of a key with over ``HOT_BYTES`` of distinct bytes are not put into one shard: their windows are grouped
-   by hash instead, with pre-aggregation, so no key fills a task.
-
-Hashes have 64 bits; n windows that are compared by hash are mistaken with odds of about n^2 / 2^65.
+   string of names is sorted by the same function (recursion), and the whole array is induced from it.
+3. Permuted common prefixes: each window in text order has its predecessor in the array; where the pair before it
+   moved on by one, its common prefix is one less (only the others are compared, eight bytes at a time).  A common
+   prefix of 200 bytes or more repeats.
+4. A key with over ``HOT_BYTES`` of distinct pieces is refined first: its windows get longer keys, the key's substring
+   widened towards the larger side of the window, so that a piece falls into a few runs of windows of one longer key.
+   Longer keys are shards' units like any other, and equal windows still meet in one.  The last refinement's key is
+   the whole window, so no unit can stay large.
+
+Only narrow tables and the distinct pieces are stored between the steps.  A row is known by its id, the 64-bit hash of
+its text and the text's size, so any number of rows may share an id.  Hashes have 64 bits; n pieces that are compared
+by hash are mistaken with odds of about n^2 / 2^65.
 
 Defined results: a null text is the empty text; texts under 200 bytes lose nothing; repeated rows are copies of each
 other; a null id is an id of its own; an empty table gives an empty table.
@@ -29,11 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import _RANDOM, mix64, pieces, powers, stored, utf8
-from ledgerloom.llm.substring import numbered
+from ledgerloom.llm.substring import KEY, KEY_TYPE, keys_of, numbered
 
 WINDOW, KMER = 200, 48
 SPAN = WINDOW - KMER + 1  # substrings in a window
 SHARD_BYTES, HOT_BYTES = 2 << 20, 256 << 10
+#: Steps by which the keys of hot pieces are widened, one refinement after the other; after 8 a key is a whole window.
+DEPTHS = (3, 8)
+#: Symbols up to which buckets are worked off with arrays, and pairs in a row that share one comparison.
+ARRAY_SYMBOLS, CHAIN = 1024, 2048
 _BASE = 0xA0761D6478BD642F
 
 
@@ -58,14 +66,17 @@ def slide(values: np.ndarray, span: int, pick) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a batch of texts: runs of equal keys as key, text, first window (in the text) and number."""
+    """The windows of a batch of texts: runs of equal keys as key, text, first window (in the text) and number.
+
+    ``tied`` marks runs in which the key's substring may stand twice, so that windows may repeat within the run.
+    """
 
     def __init__(self, texts: pa.Array):
         self.data, self.offsets = utf8(texts)
         self.sums = sums_of(self.data)
         n = len(self.data)
         none = np.zeros(0, np.int64)
-        self.keys, self.doc, self.at, self.n, self.tied = none.astype(np.uint64), none, none, none, none.astype(np.uint64)
+        self.keys, self.doc, self.at, self.n, self.tied = none.astype(np.uint64), none, none, none, none.astype(bool)
         if n < WINDOW:
             return
         kmers = hash_runs(self.sums, np.arange(n - KMER + 1), KMER)
@@ -76,11 +87,15 @@ class Windows:
         ends = np.flatnonzero(valid & np.concatenate(((keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]) | ~valid[1:], [True]))) + 1
         self.keys, self.doc, self.n = keys[starts], doc[starts], ends - starts
         self.at = starts - self.offsets[self.doc]
-        # A key whose substring stands twice within a run may have windows that repeat within that run.
         most = np.zeros(n - KMER + 1 + SPAN - 1, np.uint64)
         most[SPAN - 1 : SPAN - 1 + len(keys)] = np.where(valid, keys, np.uint64(0))
-        chosen = kmers[np.flatnonzero(kmers == slide(most, SPAN, np.maximum))]
-        self.tied = chosen[1:][chosen[1:] == chosen[:-1]]
+        places = np.flatnonzero(kmers == slide(most, SPAN, np.maximum))
+        twice = places[:-1][kmers[places[:-1]] == kmers[places[1:]]]
+        self.tied = np.searchsorted(twice, ends - 1 + SPAN) > np.searchsorted(twice, starts)
+
+    def contents(self) -> np.ndarray:
+        """Hash of the bytes of each run."""
+        return hash_runs(self.sums, self.offsets[self.doc] + self.at, self.n + WINDOW - 1)
 
 
 def types_of(s: np.ndarray) -> np.ndarray:
@@ -91,11 +106,8 @@ def types_of(s: np.ndarray) -> np.ndarray:
     return np.concatenate((rises[after], [True]))
 
 
-def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The suffix array that the order of the leftmost-S suffixes ``lms`` induces: L from the left, S from the right.
-
-    Places of one bucket that are known at the same time are worked off together.
-    """
+def induce_by_arrays(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """``induce`` for few symbols: places of one bucket that are known at the same time are worked off together."""
     sizes = np.bincount(s)
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -142,33 +154,119 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return array
 
 
-def suffix_array(s: np.ndarray, rounds: int = 7) -> np.ndarray:
-    """Suffixes of ``s`` in order of (at least) their first 2^(rounds + 1) symbols; the last symbol is the least, and alone."""
-    if len(s) == 1:
-        return np.zeros(1, np.int64)
-    small = types_of(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    # Sort the substrings from one leftmost-S place to the next by induction from their first symbols alone.
+def induce_by_lists(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """``induce`` for many symbols, whose buckets are too small for arrays."""
+    n = len(s)
+    ends = np.cumsum(np.bincount(s))
+    head, tail = (ends - np.bincount(s)).tolist(), ends.tolist()
+    # For each place the symbol before it where that is an L (S), else -1; place n stands for a cell not yet filled.
+    shared = np.arange(-1, len(ends)).astype(object)
+    before_l, before_s = (shared[np.concatenate(([0], np.where(small[:-1] == want, s[:-1] + 1, 0), [0]))].tolist() for want in (False, True))
+    array = np.full(n, n, np.int64)
+    first = s[lms]
+    by = np.argsort(first, kind="stable")
+    count = np.bincount(first, minlength=len(ends))
+    array[ends[first[by]] - np.cumsum(count)[first[by]] + np.arange(len(lms))] = lms[by]
+    array = array.tolist()
+    for i in array:  # grows ahead of the reader
+        c = before_l[i]
+        if c >= 0:
+            array[head[c]] = i - 1
+            head[c] += 1
+    for j in range(n - 1, -1, -1):
+        i = array[j]
+        c = before_s[i]
+        if c >= 0:
+            tail[c] -= 1
+            array[tail[c]] = i - 1
+    return np.array(array, np.int64)
+
+
+def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The suffix array that the order of the leftmost-S suffixes ``lms`` induces: L from the left, S from the right."""
+    return (induce_by_arrays if int(s.max()) < ARRAY_SYMBOLS else induce_by_lists)(s, small, lms)
+
+
+def names_by_symbols(s: np.ndarray, lms: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Rank of each substring of ``length`` symbols, by one symbol after the other."""
+    base = len(s) + 1
+    rank = np.unique(s[lms], return_inverse=True)[1]
+    level = np.arange(len(lms))  # those whose rank others share
+    for k in range(1, int(length.max()) + 1):
+        level = level[np.bincount(rank)[rank[level]] > 1]
+        if not len(level):
+            break
+        # A substring that has ended is an S at its last place, where a longer one is an L: it comes after that.
+        symbol = np.where(length[level] > k, s[np.minimum(lms[level] + k, len(s) - 1)], base - 1)
+        wide = rank.astype(np.int64) * base
+        wide[level] += symbol
+        rank = np.unique(wide, return_inverse=True)[1]
+    return rank
+
+
+def names_by_induction(s: np.ndarray, small: np.ndarray, lms: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Rank of each substring of ``length`` symbols, by induction from their first symbols alone."""
     array = induce(s, small, lms)
-    is_lms = np.zeros(len(s), bool)
-    is_lms[lms] = True
-    found = array[is_lms[array]]
-    number = np.zeros(len(s), np.int64)
+    number = np.full(len(s), -1, np.int64)
     number[lms] = np.arange(len(lms))
-    length = np.concatenate((np.diff(lms) + 1, [1]))
+    order = number[array]
+    order = order[order >= 0]
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix64(s.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(s)), out=sums[1:])
     content = hash_runs(sums, lms, length)
-    order = number[found]
-    fresh = np.concatenate(([True], (content[order[1:]] != content[order[:-1]]) | (length[order[1:]] != length[order[:-1]])))
+    fresh = np.concatenate(([False], (content[order[1:]] != content[order[:-1]]) | (length[order[1:]] != length[order[:-1]])))
     names = np.empty(len(lms), np.int64)
-    names[order] = np.cumsum(fresh) - 1
-    step = 1
-    while rounds and names.max() + 1 < len(names):
-        after = np.concatenate((names[step:] + 1, np.zeros(min(step, len(names)), np.int64)))[: len(names)]
-        names = np.unique(names * (len(names) + 1) + after, return_inverse=True)[1]
-        step, rounds = 2 * step, rounds - 1
-    return induce(s, small, lms[np.argsort(names, kind="stable")])
+    names[order] = np.cumsum(fresh)
+    return names
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffixes of ``s`` in order; its last symbol is the least, and alone."""
+    if len(s) == 1:
+        return np.zeros(1, np.int64)
+    small = types_of(s)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    # Name the substrings from one leftmost-S place to the next in their order.
+    length = np.concatenate((np.diff(lms) + 1, [1]))
+    if int(s.max()) < ARRAY_SYMBOLS or length.max() > 64:
+        names = names_by_induction(s, small, lms, length)
+    else:
+        names = names_by_symbols(s, lms, length)
+    # Where names repeat, the string of names, which ends in a least name of its own, tells the order.
+    order = np.argsort(names) if int(names.max()) + 1 == len(names) else suffix_array(names)
+    return induce(s, small, lms[order])
+
+
+def common_prefixes(data: np.ndarray, at: np.ndarray, before: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Common prefix of the suffixes at each pair of places, ``at`` rising, up to ``most`` bytes.
+
+    A pair that follows on the one before it (both places one on) has a prefix one less; only the others, and after
+    ``CHAIN`` such pairs one more, are compared.
+    """
+    n = len(at)
+    if not n:
+        return np.zeros(0, np.int64)
+    follows = np.concatenate(([False], (at[1:] == at[:-1] + 1) & (before[1:] == before[:-1] + 1)))
+    place = np.arange(n)
+    start = np.maximum.accumulate(np.where(follows, 0, place))
+    start = np.where(follows, start + (place - start) // CHAIN * CHAIN, place)
+    first = np.flatnonzero(start == place)
+    words = np.concatenate((data, np.zeros(16, np.uint8)))
+    words = np.ndarray(len(words) - 7, "<u8", words, strides=(1,))
+    known, left = np.zeros(len(first), np.int64), np.arange(len(first))
+    limit = np.minimum(most[first], CHAIN + WINDOW)
+    while len(left):
+        a, b = at[first[left]] + known[left], before[first[left]] + known[left]
+        differ = words[a] ^ words[b]
+        same = differ == 0
+        ended = differ[~same]
+        known[left[~same]] += np.bitwise_count((ended & (~ended + np.uint64(1))) - np.uint64(1)) // 8
+        left = left[same]
+        known[left] += 8
+        left = left[known[left] < limit[left]]
+    value = np.zeros(n, np.int64)
+    value[first] = np.minimum(known, limit)
+    return np.maximum(0, np.minimum(value[start] - (place - start), most))
 
 
 def repeated_windows(parts: list[bytes]) -> list[np.ndarray]:
@@ -180,15 +278,14 @@ def repeated_windows(parts: list[bytes]) -> list[np.ndarray]:
     s[:-1] = flat.astype(np.int32) + 2
     s[ends] = 1  # between pieces; a window never holds it
     array = suffix_array(s)
-    piece = np.repeat(np.arange(len(parts)), sizes + 1)
-    valid = np.concatenate((ends[piece] - np.arange(len(flat)) >= WINDOW, [False]))
+    end = np.concatenate((np.repeat(ends, sizes + 1), [0]))  # of the piece at each place
+    valid = end - np.arange(len(s)) >= WINDOW
     ranked = array[valid[array]]
     # Predecessors in text order: the windows of one content stand together in the array.
     before = np.full(len(s), -1, np.int64)
     before[ranked[1:]] = ranked[:-1]
-    sums = sums_of(flat)
     at = np.flatnonzero(before >= 0)
-    reach = at[hash_runs(sums, at, WINDOW) == hash_runs(sums, before[at], WINDOW)]
+    reach = at[common_prefixes(flat, at, before[at], np.minimum(end[at] - at, end[before[at]] - before[at])) >= WINDOW]
     out = np.zeros(len(s), bool)
     out[reach] = True
     out[before[reach]] = True
@@ -201,41 +298,6 @@ def intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - edges[::2]
 
 
-def survey(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """One row a document (kind 0: id, th, hash and size of the text) and counts of keys (kind 1)."""
-
-    def run(batches):
-        held: list = []
-        size = 0
-
-        def summed():
-            keys, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([h[1] for h in held]), len(keys)).astype(np.int64)
-
-        def counted(keys, n):
-            zero = np.zeros(len(keys), np.int64)
-            return pa.RecordBatch.from_pydict({"kind": np.ones(len(keys), np.int32), "a": keys.view(np.int64), "th": zero.astype(np.int32), "b": zero, "n": n})
-
-        for batch in pieces(batches):
-            w = Windows(batch.column("text"))
-            n = np.diff(w.offsets)
-            whole = hash_runs(w.sums, w.offsets[:-1], n)
-            yield pa.RecordBatch.from_pydict({"kind": np.zeros(len(n), np.int32), "a": batch.column("id"), "th": batch.column("th"), "b": whole.view(np.int64), "n": n})
-            found = np.concatenate((w.keys, w.tied))
-            held.append((found, np.ones(len(found), np.int64)))
-            size += len(found)
-            if size > most:
-                held = [summed()]
-                size = len(held[0][0])
-                if size > most // 2:
-                    yield counted(*held.pop())
-                    size = 0
-        if held:
-            yield counted(*summed())
-
-    return rows.select("id", "th", "text").mapInArrow(run, "kind int, a long, th int, b long, n long")
-
-
 def cut(text: bytes, at: np.ndarray, n: np.ndarray) -> tuple[int, int, int, bytes]:
     """Bytes, removed bytes, removed runs and what is left, for runs of ``n`` windows that start at ``at``."""
     size = len(text)
@@ -248,136 +310,162 @@ def cut(text: bytes, at: np.ndarray, n: np.ndarray) -> tuple[int, int, int, byte
     return size, int(gone.sum()), len(intervals(gone)[0]), np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-_RUNS = "array<struct<at:int,n:int>>"
-
+def wider_keys(piece: bytes, key: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and longer key of each run of windows of a piece of ``key``.
 
-def result_batch(doc_ids, rows) -> dict:
-    sizes, removed, spans, kept = zip(*rows) if rows else ((), (), (), ())
-    return {"doc_id": doc_ids, "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
+    Beginning with the first place of the key's substring in a window, each step adds half of the bytes that are left
+    of the window, rounded up, on the side where more are left.
+    """
+    data = np.frombuffer(piece, np.uint8)
+    sums = sums_of(data)
+    n = len(data) - WINDOW + 1
+    places = np.flatnonzero(hash_runs(sums, np.arange(len(data) - KMER + 1), KMER).view(np.int64) == key)
+    window = np.arange(n)
+    a = places[np.searchsorted(places, window)] - window
+    b = a + KMER
+    for _ in range(depth):
+        left, right = a, WINDOW - b
+        more = (left + right + 1) // 2
+        a, b = np.where(left >= right, a - more, a), np.where(left >= right, b, b + more)
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(a + window) != 0) | (np.diff(b + window) != 0))))
+    longer = hash_runs(sums, (a + window)[first], (b - a)[first]) ^ np.uint64(key & (1 << 64) - 1)
+    return first, np.diff(np.concatenate((first, [n]))), mix64(longer + np.uint64(depth)).view(np.int64)
 
 
 def raw(text) -> bytes:
     return text.as_buffer().to_pybytes()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes left) of every row."""
-    rows = numbered(docs)
-    seen = stored(survey(rows), "survey")
-    repeated = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("a").alias("key"))
-    whole = seen.where(f"kind = 0 and n >= {WINDOW}")
-    groups = whole.groupBy("b", "n").agg(F.count("*").alias("rows"), F.min(F.struct("a", "th")).alias("least")).where("rows > 1")
-    copies = whole.join(groups, ["b", "n"]).select(F.col("a").alias("id"), "th", (F.struct("a", "th") == F.col("least")).cast("int").alias("stands")).distinct()
+def piece_table(rows: DataFrame) -> DataFrame:
+    """``k, c, n, tied, KEY, at``: key, content, number of windows and place of every piece of every text."""
 
-    def runs(batches):
+    def run(batches):
         for batch in pieces(batches):
             w = Windows(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"k": w.keys.view(np.int64), "id": batch.column("id").to_numpy()[w.doc], "th": batch.column("th").to_numpy()[w.doc], "at": w.at.astype(np.int32), "n": w.n.astype(np.int32)})
+            yield pa.RecordBatch.from_pydict({"k": w.keys.view(np.int64), "c": w.contents().view(np.int64), "n": w.n.astype(np.int32), "tied": w.tied.astype(np.int32), **keys_of(batch, w.doc), "at": w.at.astype(np.int32)})
 
-    found = rows.select("id", "th", "text").mapInArrow(runs, "k long, id long, th int, at int, n int")
-    found = found.join(repeated, F.col("k") == F.col("key")).groupBy("id", "th").agg(F.collect_set(F.struct("at", "n", "k")).alias("runs"))
+    return rows.select(*KEY, "text").mapInArrow(run, f"k long, c long, n int, tied int, {KEY_TYPE}, at int")
+
+
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """``KEY, stands`` of the texts of 200 bytes or more that more than one row has; the least id stands for the others."""
+    known = rows.select(*KEY).where(F.col("size") >= WINDOW)
+    groups = known.groupBy("name", "size").agg(F.count("*").alias("rows"), F.min("id").alias("least")).where("rows > 1")
+    groups = stored(groups.select(F.col("name").alias("n"), F.col("size").alias("s"), "least"), "copied")
+    joined = known.join(groups, (F.col("name") == F.col("n")) & (F.col("size") == F.col("s")))
+    return stored(joined.select(*KEY, (F.col("id") == F.col("least")).alias("stands")).distinct(), "copies")
 
-    def settle(batches):
-        """Texts without a repeated key and whole copies get their result; texts whose windows are needed stay."""
-        for batch in pieces(batches):
-            results, texts = [], []
-            for text, stands, found in zip(batch.column("text"), batch.column("stands"), batch.column("runs")):
-                data, stands = raw(text), stands.as_py()
-                if stands is not None:
-                    results.append((len(data), len(data), 1, b""))
-                else:
-                    results.append((len(data), 0, 0, data if not found.is_valid else b""))
-                texts.append(data if found.is_valid and stands != 0 else None)
-            keep = result_batch(batch.column("doc_id"), results)
-            yield pa.RecordBatch.from_pydict(keep | {"id": batch.column("id"), "th": batch.column("th"), "settled": pa.array([s.is_valid or not f.is_valid for s, f in zip(batch.column("stands"), batch.column("runs"))]), "text": pa.array(texts, pa.binary()), "runs": batch.column("runs")})
-
-    joined = rows.join(copies, ["id", "th"], "left").join(found, ["id", "th"], "left").select("doc_id", "id", "th", "text", "stands", "runs")
-    table = stored(joined.mapInArrow(settle, f"{_RESULT}, id long, th int, settled boolean, text binary, runs array<struct<at:int,n:int,k:bigint>>"), "settled")
-    held = table.where("text is not null").select("doc_id", "id", "th", "settled", "text", "runs")
-
-    def hashed(batches):
-        """Every piece of the texts held, with the hash of its bytes."""
-        for batch in pieces(batches):
-            data, offsets = utf8(batch.column("text"))
-            lists = batch.column("runs")
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            at, n, k = (x.to_numpy() for x in lists.flatten().flatten())
-            h = hash_runs(sums_of(data), offsets[doc] + at, n.astype(np.int64) + WINDOW - 1)
-            yield pa.RecordBatch.from_pydict({"k": k, "h": h.view(np.int64), "n": n, "id": batch.column("id").to_numpy()[doc], "th": batch.column("th").to_numpy()[doc], "at": at})
-
-    occur = stored(held.mapInArrow(hashed, "k long, h long, n int, id long, th int, at int"), "pieces")
-    one = occur.groupBy("k", "h", "n").agg(F.count("*").alias("times"), F.min(F.struct("id", "th", "at")).alias("first"))
-    each = one.groupBy("k").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + WINDOW).alias("bytes"), F.max("times").alias("most"))
-    one = stored(one.join(each, "k"), "kinds")
-    # A key of one kind of piece that occurs again needs no comparison: all its windows repeat.
-    compared = one.where("kinds > 1 or most = 1")
-    cold = compared.where(F.col("bytes") <= HOT_BYTES)
-    size = cold.agg(F.sum(F.col("n") + WINDOW)).first()[0] or 0
-    shards = int(size // SHARD_BYTES + 1)
 
-    def of_texts(chosen: DataFrame, columns: list[str]) -> DataFrame:
-        """The texts held, each with its chosen pieces."""
-        listed = chosen.groupBy("id", "th").agg(F.collect_set(F.struct(*columns)).alias("chosen"))
-        return held.select("id", "th", "text").dropDuplicates(["id", "th"]).join(listed, ["id", "th"])
+def piece_bytes(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``k, u, c, n, times, piece``: the bytes of chosen pieces (``k, c, n, times, first``), one occurrence of each."""
 
     def extract(batches):
         for batch in pieces(batches):
-            out: list[list] = [[], [], []]
+            out: dict[str, list] = {c: [] for c in ("k", "u", "c", "n", "times", "piece")}
             for text, chosen in zip(batch.column("text"), batch.column("chosen")):
                 data = raw(text)
-                for c in chosen.as_py():
-                    out[0].append(c["k"])
-                    out[1].append(c["h"])
-                    out[2].append(data[c["at"] : c["at"] + c["n"] + WINDOW - 1])
-            yield pa.RecordBatch.from_pydict({"k": pa.array(out[0], pa.int64()), "h": pa.array(out[1], pa.int64()), "piece": pa.array(out[2], pa.binary())})
+                for p in chosen.as_py():
+                    row = (p["k"], p["k"], p["c"], p["n"], p["times"], data[p["at"] : p["at"] + p["n"] + WINDOW - 1])
+                    for to, value in zip(out.values(), row):
+                        to.append(value)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
+
+    at = chosen.select("first.*", "k", "c", "n", "times")
+    listed = at.groupBy(*KEY).agg(F.collect_set(F.struct("at", "k", "c", "n", "times")).alias("chosen"))
+    return rows.select(*KEY, "text").join(listed, [*KEY]).select("text", "chosen").mapInArrow(extract, "k long, u long, c long, n int, times long, piece binary")
+
+
+def widened(units: DataFrame, depth: int) -> DataFrame:
+    """The units cut by longer keys: ``k, u, c, n, piece`` of each run, with unit, content and place of where it is from."""
+
+    def run(batches):
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("k", "u", "c", "n", "piece", "of_u", "of_c", "at")}
+            for k, u, c, piece in zip(*(batch.column(x).to_pylist() for x in ("k", "u", "c", "piece"))):
+                sums = sums_of(np.frombuffer(piece, np.uint8))
+                first, n, longer = wider_keys(piece, k, depth)
+                content = hash_runs(sums, first, n + WINDOW - 1).view(np.int64)
+                cut_out = [piece[a : a + m + WINDOW - 1] for a, m in zip(first.tolist(), n.tolist())]
+                for to, value in zip(out.values(), ([k] * len(n), longer.tolist(), content.tolist(), n.tolist(), cut_out, [u] * len(n), [c] * len(n), first.tolist())):
+                    to.extend(value)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
+
+    return units.select("k", "u", "c", "piece").mapInArrow(run, "k long, u long, c long, n int, piece binary, of_u long, of_c long, at int")
+
+
+def sorted_spans(units: DataFrame, size: int) -> DataFrame:
+    """``u, c, at, n``: runs of windows of each unit's pieces that stand more than once in its shard."""
 
     def sort_shard(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("k", "ascending"), ("h", "ascending")])
-        flags = repeated_windows([raw(p) for p in shard.column("piece")])
-        lists = [[{"at": int(a), "n": int(n)} for a, n in zip(*intervals(f))] for f in flags]
-        return pa.table({"k": shard.column("k"), "h": shard.column("h"), "spans": pa.array(lists, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))})
-
-    first = cold.select("first.*", "k", "h", "n")
-    bytes_of = of_texts(first, ["at", "n", "k", "h"]).mapInArrow(extract, "k long, h long, piece binary")
-    bytes_of = bytes_of.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)))
-    sorted_out = bytes_of.groupBy("shard").applyInArrow(sort_shard, f"k long, h long, spans {_RUNS}").where(F.size("spans") > 0)
-
-    # Pieces that occur again repeat as a whole; of the others the shards have told the windows that do.
-    again = one.where("times > 1").select("k", "h", F.array(F.struct(F.lit(0).alias("at"), F.col("n").alias("n"))).alias("spans"))
-    single = one.where("times = 1").select("k", "h").join(sorted_out, ["k", "h"])
-    spans = again.unionByName(single).withColumnsRenamed({"k": "key", "h": "content"})
-    told = occur.join(spans, (F.col("k") == F.col("key")) & (F.col("h") == F.col("content"))).select("id", "th", F.col("at").alias("start"), F.explode("spans").alias("span"))
-    told = told.select("id", "th", (F.col("start") + F.col("span.at")).alias("at"), "span.n")
-
-    def windows(batches):
-        for batch in pieces(batches):
-            data, offsets = utf8(batch.column("text"))
-            lists = batch.column("chosen")
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            at, n = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
-            owner = np.repeat(doc, n)
-            place = np.repeat(at, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            h = hash_runs(sums_of(data), offsets[owner] + place, WINDOW)
-            yield pa.RecordBatch.from_pydict({"w": h.view(np.int64), "id": batch.column("id").to_numpy()[owner], "th": batch.column("th").to_numpy()[owner], "at": place.astype(np.int32)})
-
-    every = compared.where(F.col("bytes") > HOT_BYTES).select("first.*", "n")
-    lone = of_texts(every, ["at", "n"]).mapInArrow(windows, "w long, id long, th int, at int")
-    twice = lone.groupBy("w").agg(F.count("*").alias("times")).where("times > 1").select(F.col("w").alias("v"))
-    hot_told = lone.join(twice, F.col("w") == F.col("v")).select("id", "th", "at", F.lit(1).alias("n"))
-    gone = told.unionByName(hot_told).groupBy("id", "th").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
+        shard = shard.sort_by([("u", "ascending"), ("c", "ascending")])
+        found = [intervals(f) for f in repeated_windows([raw(p) for p in shard.column("piece")])]
+        row = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
+        at, n = (np.concatenate([f[i] for f in found]).astype(np.int32) for i in (0, 1))
+        return pa.table({"u": shard.column("u").to_numpy()[row], "c": shard.column("c").to_numpy()[row], "at": at, "n": n})
+
+    shards = int(size // SHARD_BYTES + 1)
+    dealt = units.select("u", "c", "piece").withColumn("shard", F.pmod(F.xxhash64("u"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(sort_shard, "u long, c long, at int, n int")
+
+
+def unit_spans(units: DataFrame, depths: tuple[int, ...]) -> DataFrame:
+    """``u, c, at, n``: repeated runs of windows of all units (``k, u, c, n, times, piece``), hot ones by longer keys."""
+    bytes_of = units.groupBy("u").agg(F.sum(F.octet_length("piece")).alias("bytes"))
+    sizes = bytes_of.agg(F.sum(F.when(F.col("bytes") <= HOT_BYTES, F.col("bytes"))).alias("cold"), F.max("bytes").alias("most")).first()
+    again = units.where("times > 1").select("u", "c", F.lit(0).alias("at"), "n")
+    if not depths or (sizes.most or 0) <= HOT_BYTES:
+        total = bytes_of.agg(F.sum("bytes")).first()[0] or 0
+        return again.unionByName(sorted_spans(units, total))
+    hot = stored(bytes_of.where(F.col("bytes") > HOT_BYTES).select(F.col("u").alias("hot")), "hot")
+    found = sorted_spans(units.join(hot, F.col("u") == F.col("hot"), "left_anti"), sizes.cold or 0)
+    cut_up = stored(widened(units.join(hot, F.col("u") == F.col("hot"), "left_semi"), depths[0]), "widened")
+    finer = cut_up.groupBy("u", "c", "n").agg(F.first("k").alias("k"), F.count("*").alias("times"), F.first("piece").alias("piece"))
+    spans = stored(unit_spans(stored(finer, "finer"), depths[1:]).withColumnsRenamed({"u": "v", "c": "d", "at": "start", "n": "m"}), "spans")
+    told = cut_up.join(spans, (F.col("u") == F.col("v")) & (F.col("c") == F.col("d")))
+    told = told.select(F.col("of_u").alias("u"), F.col("of_c").alias("c"), (F.col("at") + F.col("start")).alias("at"), F.col("m").alias("n"))
+    return again.unionByName(found).unionByName(told)
+
+
+def removed_windows(rows: DataFrame) -> DataFrame:
+    """``KEY, gone``: for every text that loses bytes, its runs of repeated windows."""
+    runs = stored(piece_table(rows), "runs")
+    copies = whole_copies(rows)
+    repeated = runs.groupBy("k").agg(F.sum(F.col("tied") + 1).alias("times")).where("times > 1")
+    repeated = stored(repeated.select(F.col("k").alias("key")), "keys")
+    others = copies.where("not stands").select(*KEY)
+    occur = stored(runs.join(repeated, F.col("k") == F.col("key")).drop("key").join(others, [*KEY], "left_anti"), "pieces")
+    one = occur.groupBy("k", "c", "n").agg(F.count("*").alias("times"), F.max("tied").alias("tied"), F.min(F.struct(*KEY, "at")).alias("first"))
+    one = stored(one, "kinds")
+    each = one.groupBy("k").agg(F.count("*").alias("kinds"), F.max("times").alias("most"), F.max("tied").alias("ties"))
+    # A key of one kind of piece needs no comparison where that occurs again (its windows repeat) or holds its key once.
+    each = stored(each.where("kinds > 1 or (most = 1 and ties > 0)").select(F.col("k").alias("key")), "compared")
+    chosen = one.join(each, F.col("k") == F.col("key"), "left_semi")
+    units = stored(piece_bytes(rows, chosen), "units")
+    again = one.where("times > 1").select(F.col("k").alias("u"), "c", F.lit(0).alias("at"), "n")
+    spans = stored(unit_spans(units, DEPTHS).unionByName(again).distinct().withColumnsRenamed({"c": "d", "at": "start", "n": "m"}), "spans")
+    told = occur.join(spans, (F.col("k") == F.col("u")) & (F.col("c") == F.col("d")))
+    told = told.select(*KEY, (F.col("at") + F.col("start")).alias("at"), F.col("m").alias("n"))
+    told = told.unionByName(copies.select(*KEY, F.lit(0).alias("at"), (F.col("size") - (WINDOW - 1)).alias("n")))
+    return stored(told.groupBy(*KEY).agg(F.collect_set(F.struct("at", "n")).alias("gone")), "removed")
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes left) of every row."""
+    rows = numbered(docs)
 
     def finish(batches):
         for batch in pieces(batches):
             results = []
             for text, found in zip(batch.column("text"), batch.column("gone")):
-                pairs = found.values if found.is_valid else None
-                at, n = (x.to_numpy().astype(np.int64) for x in pairs.flatten()) if pairs is not None else (np.zeros(0, np.int64),) * 2
+                at, n = (x.to_numpy().astype(np.int64) for x in found.values.flatten()) if found.is_valid else (np.zeros(0, np.int64),) * 2
                 results.append(cut(raw(text), at, n))
-            yield pa.RecordBatch.from_pydict(result_batch(batch.column("doc_id"), results))
+            sizes, removed, spans, kept = zip(*results)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    finished = held.where("not settled").select("doc_id", "id", "th", "text").join(gone, ["id", "th"], "left").select("doc_id", "text", "gone").mapInArrow(finish, _RESULT)
-    return table.where("settled").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").unionByName(finished)
+    joined = rows.join(removed_windows(rows), [*KEY], "left").select("doc_id", "text", "gone")
+    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def suffix_table(docs: DataFrame) -> DataFrame:
