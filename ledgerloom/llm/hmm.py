@@ -9,10 +9,13 @@ where q is 1 for a class of its own and else (c + 0.1) / (C + 0.1 * (V + 1)) fro
 total C and its V distinct words in the training tokens, so that unseen words have a share too.  The sum over paths is
 the scaled forward recursion over the whole text.
 
-Word counts come from a pre-aggregated group over all training texts.  Starting values come from a bounded sample
-(``sample`` documents, mixture of states); then each round of Baum-Welch runs over every training token: a partition
-yields the expected counts of its texts (cut into runs of ``RUN`` tokens) and these are summed by class.  Counts of
-frequent words (at most ``TOP``) are broadcast; the others reach their documents by a join on the word's hash (64 bits).
+Word counts come from a pre-aggregated group over all training texts.  Every text is then stored once as the classes of
+its tokens.  Starting values come from a few rounds in which each text as a whole belongs to a state (a mixture), then
+come rounds of Baum-Welch, until the likelihood settles or ``rounds`` are over.  Each round runs over every training
+token: a partition yields the expected counts of its texts and these are summed by class.  Texts are never cut: a long
+one is worked off in runs of ``RUN`` tokens side by side, and the runs' transfer matrices carry the forward and
+backward values over their edges exactly.  Counts of frequent words (at most ``TOP``) are broadcast; the others reach
+their documents by a join on the word's hash (64 bits).
 
 Defined results: a null text is the empty text, whose only token is the end; a null id counts as the empty text for
 the split; repeated rows score alike; without training texts every count is 0; an empty table gives an empty table.
@@ -28,9 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import crc_mod, mix64, pieces, stored, text_of, utf8, word_hashes, word_spans
+from ledgerloom.llm.common import crc_mod, mix64, pieces, stored, utf8, word_hashes, word_spans
+from ledgerloom.llm.substring import KEY, KEY_TYPE, numbered
 
-STATES, OWN, TAILS, TOP, RUN = 8, 8192, 2048, 1 << 17, 64
+STATES, OWN, TAILS, TOP = 8, 8192, 2048, 1 << 17
+#: Tokens of a run and runs that are worked off at once.
+RUN, RUNS = 64, 4096
 END = 0x0123456789ABCDEF
 PRIOR = 50.0
 
@@ -180,63 +186,112 @@ def estimate(start: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.n
     return Hmm((start + 1) / (start.sum() + STATES), (move + 1) / (move.sum(axis=1, keepdims=True) + STATES), emit)
 
 
-def runs_of(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The texts cut into runs: RUN x n classes, padded by the class after the last one."""
-    lengths = np.diff(first)
-    per = -(-lengths // RUN)
-    text = np.repeat(np.arange(len(per)), per)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    at = first[:-1][text] + nth * RUN
-    place = at[None, :] + np.arange(RUN)[:, None]
-    inside = place < first[1:][text][None, :]
-    return np.where(inside, classes[np.minimum(place, len(classes) - 1)], OWN + TAILS)
+def runs_of(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each run of up to RUN tokens of the texts, and for each text the number of runs before it (n+1 values)."""
+    per = -(-np.diff(first) // RUN)
+    runs = np.concatenate(([0], np.cumsum(per)))
+    nth = np.arange(runs[-1]) - np.repeat(runs[:-1], per)
+    return np.repeat(first[:-1], per) + nth * RUN, runs
 
 
-def expect(model: Hmm, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and class emissions over runs (forward-backward, scaled at each step)."""
-    emit = np.vstack((model.emit, np.ones((1, STATES))))
+def padded(classes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """RUN x n classes of the given runs, with the class after the last one where a run has ended."""
+    place = start[None, :] + np.arange(RUN)[:, None]
+    return np.where(place < end[None, :], classes[np.minimum(place, max(0, len(classes) - 1))], OWN + TAILS)
+
+
+def transfers(model: Hmm, emit: np.ndarray, obs: np.ndarray) -> np.ndarray:
+    """For each run the matrix that takes the state before its first token to that of its last, scaled."""
     n = obs.shape[1]
-    alpha, likely = np.empty((RUN, n, STATES)), emit[obs]
-    scale = np.empty((RUN, n, 1))
-    state = model.start * likely[0]
-    for t in range(RUN):
-        if t:
-            state = (alpha[t - 1] @ model.move) * likely[t]
-        scale[t] = state.sum(axis=1, keepdims=True)
-        alpha[t] = state / scale[t]
-    beta, moves = np.ones((n, STATES)), np.zeros((STATES, STATES))
-    gamma = np.empty_like(alpha)
-    gamma[-1] = alpha[-1]
-    for t in range(RUN - 2, -1, -1):
-        after = likely[t + 1] * beta / scale[t + 1]
-        real = obs[t + 1] < OWN + TAILS
-        moves += (alpha[t] * real[:, None]).T @ after
-        beta = after @ model.move.T
-        gamma[t] = alpha[t] * beta
-    flat, weights = obs.ravel(), gamma.reshape(-1, STATES)
-    counts = np.stack([np.bincount(flat, weights[:, k], OWN + TAILS + 1) for k in range(STATES)], axis=1)[:-1]
-    return gamma[0].sum(axis=0), moves * model.move, counts
-
-
-def first_model(counts: list[tuple[np.ndarray, np.ndarray]], shares: np.ndarray, rounds: int = 12) -> Hmm:
-    """Starting values from the class counts of a sample of texts: these are shared out among states by a mixture of word distributions."""
-    size = OWN + TAILS
-    emit = np.repeat(shares[:, None], STATES, axis=1)
-    if counts:
-        draw = np.random.default_rng(3)
-        weight = draw.dirichlet(np.full(STATES, 0.3), len(counts))
-        for _ in range(rounds):
-            totals = np.zeros((size, STATES))
-            for (c, n), w in zip(counts, weight):
-                totals[c] += n[:, None] * w
-            emit = (totals + PRIOR * shares[:, None]) / (totals.sum(axis=0) + PRIOR)
-            logs, mass = np.log(emit), np.log(weight.sum(axis=0) + 1)
-            score = np.array([n @ logs[c] for c, n in counts]) + mass
-            weight = np.exp(score - score.max(axis=1, keepdims=True))
-            weight /= weight.sum(axis=1, keepdims=True)
-    move = np.full((STATES, STATES), 0.05 / max(1, STATES - 1))
-    np.fill_diagonal(move, 0.95)
-    return Hmm(np.full(STATES, 1 / STATES), move, emit)
+    out = np.repeat(np.eye(STATES)[None], n, axis=0) * emit[obs[0]][:, None, :]
+    for t in range(1, RUN):
+        out = (out.reshape(-1, STATES) @ model.move).reshape(n, STATES, STATES) * emit[obs[t]][:, None, :]
+        if t % 8 == 7:
+            out /= out.sum(axis=(1, 2), keepdims=True)
+    return out / out.sum(axis=(1, 2), keepdims=True)
+
+
+def run_edges(model: Hmm, matrices: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run: the state before its first token, the state of the token before it, and the backward value at its end.
+
+    Runs of one text follow each other; the k-th runs of all texts are worked off together.
+    """
+    total = int(runs[-1])
+    before, previous, after = np.tile(model.start, (total, 1)), np.zeros((total, STATES)), np.ones((total, STATES))
+    per = np.diff(runs)
+    for k in range(1, int(per.max(initial=0))):
+        at = runs[:-1][per > k] + k
+        state = np.einsum("ni,nij->nj", before[at - 1], matrices[at - 1])
+        previous[at] = state / state.sum(axis=1, keepdims=True)
+        before[at] = previous[at] @ model.move
+    for k in range(1, int(per.max(initial=0))):
+        at = runs[1:][per > k] - 1 - k
+        value = np.einsum("nij,nj->ni", matrices[at + 1], after[at + 1]) @ model.move.T
+        after[at] = value / value.sum(axis=1, keepdims=True)
+    return before, previous, after
+
+
+def expect(model: Hmm, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and class emissions over whole texts, and their natural log likelihood."""
+    emit = np.vstack((model.emit, np.ones((1, STATES))))
+    start, runs = runs_of(classes, first)
+    total = len(start)
+    end = np.minimum(start + RUN, np.repeat(first[1:], np.diff(runs)))
+    blocks = [slice(i, min(i + RUNS, total)) for i in range(0, total, RUNS)]
+    if int(np.diff(runs).max(initial=0)) > 1:
+        matrices = np.concatenate([transfers(model, emit, padded(classes, start[b], end[b])) for b in blocks])
+    else:
+        matrices = np.zeros((total, STATES, STATES))
+    before, previous, after = run_edges(model, matrices, runs)
+    heads = np.zeros(total, bool)
+    heads[runs[:-1][np.diff(runs) > 0]] = True
+    starts, moves, counts, likely_sum = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((OWN + TAILS + 1, STATES)), 0.0
+    for b in blocks:
+        obs = padded(classes, start[b], end[b])
+        n = obs.shape[1]
+        likely, alpha, scale = emit[obs], np.empty((RUN, n, STATES)), np.empty((RUN, n, 1))
+        state = before[b] * likely[0]
+        for t in range(RUN):
+            if t:
+                state = (alpha[t - 1] @ model.move) * likely[t]
+            scale[t] = state.sum(axis=1, keepdims=True)
+            alpha[t] = state / scale[t]
+        likely_sum += float(np.log(scale[obs < OWN + TAILS]).sum())
+        # Backward values are 1 past the end of a text, and from the next run's else; their sum with alpha is 1.
+        beta = after[b] / (alpha[-1] * after[b]).sum(axis=1, keepdims=True)
+        gamma = alpha  # overwritten from the end, each step after its last use
+        for t in range(RUN - 1, -1, -1):
+            ahead = likely[t] * beta / scale[t]
+            gamma[t] = alpha[t] * beta
+            if t:
+                moves += (alpha[t - 1] * (obs[t] < OWN + TAILS)[:, None]).T @ ahead
+                beta = ahead @ model.move.T
+        moves += (previous[b] * ~heads[b][:, None]).T @ ahead
+        starts += gamma[0][heads[b]].sum(axis=0)
+        flat, weights = obs.ravel(), gamma.reshape(-1, STATES)
+        counts += np.stack([np.bincount(flat, weights[:, k], OWN + TAILS + 1) for k in range(STATES)], axis=1)
+    return starts, moves * model.move, counts[:-1], likely_sum
+
+
+def share_out(model: Hmm, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``expect`` for a model whose texts never leave the state they start in: each text belongs to a state as a whole."""
+    logs = np.vstack((np.log(model.emit), np.zeros((1, STATES))))
+    score = np.add.reduceat(logs[classes], first[:-1]) + np.log(model.start)
+    top = score.max(axis=1, keepdims=True)
+    weight = np.exp(score - top)
+    likely = top[:, 0] + np.log(weight.sum(axis=1))
+    weight /= weight.sum(axis=1, keepdims=True)
+    lengths = np.diff(first)
+    spread = np.repeat(weight, lengths, axis=0)
+    counts = np.stack([np.bincount(classes, spread[:, k], OWN + TAILS) for k in range(STATES)], axis=1)
+    return weight.sum(axis=0), np.diag((weight * (lengths - 1)[:, None]).sum(axis=0)), counts, float(likely.sum())
+
+
+def first_model(shares: np.ndarray) -> Hmm:
+    """Starting values: each state prefers a fixed pseudo-random half of the classes."""
+    draw = np.random.default_rng(3)
+    emit = shares[:, None] * draw.uniform(0.5, 1.5, (len(shares), STATES))
+    return Hmm(np.full(STATES, 1 / STATES), np.eye(STATES), emit / emit.sum(axis=0))
 
 
 def forward(model: Hmm, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -256,114 +311,125 @@ def forward(model: Hmm, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return back
 
 
-def train(rows: DataFrame, vocab, shares: np.ndarray, rounds: int, sample: int) -> Hmm:
-    """Starting values from ``sample`` texts, then ``rounds`` of Baum-Welch over all texts of ``rows``."""
-    spark = rows.sparkSession
-    few = rows.select("id", "th").distinct().orderBy(F.xxhash64("id", "th"), "id", "th").limit(sample)  # a bounded sample
-    texts = rows.join(F.broadcast(few), ["id", "th"]).groupBy("id", "th").agg(F.first("text").alias("text"))
-
-    def classify(batches):
-        """How often each class occurs in a text: at most a row of OWN + TAILS numbers a text."""
-        for batch in pieces(batches):
-            t = Tokens(batch.column("text"))
-            classes, _ = vocab.value.classes(t)
-            found = [np.unique(classes[a:b], return_counts=True) for a, b in zip(t.first, t.first[1:])]
-            yield pa.RecordBatch.from_pydict({"classes": pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), "n": pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))})
-
-    drawn = texts.select("text").mapInArrow(classify, "classes array<int>, n array<int>").collect() if sample else []
-    drawn = [(np.array(c), np.array(n)) for c, n in sorted((r.classes, r.n) for r in drawn)]
-    model = first_model(drawn, shares)
+def token_parts(batches, most: int = 1 << 18):
+    """Batches of coded texts cut into slices of about ``most`` tokens, with their classes and the texts' first tokens."""
+    for batch in batches:
+        lists = batch.column("classes")
+        first = lists.offsets.to_numpy().astype(np.int64)
+        classes = lists.flatten().to_numpy().astype(np.int64)
+        first = first - first[0]
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(first, first[at] + most, "right")) - 1)
+            yield batch.slice(at, end - at), classes[first[at] : first[end]], first[at : end + 1] - first[at]
+            at = end
+
+
+def train_round(coded: DataFrame, model: Hmm, step) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The sums of ``step`` (``expect`` or ``share_out``) over all texts."""
+    shared = coded.sparkSession.sparkContext.broadcast(model)  # a fixed 0.7 MB
+
+    def count(batches):
+        start, move, emit, likely = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((OWN + TAILS, STATES)), 0.0
+        for _, classes, first in token_parts(batches):
+            a, b, c, d = step(shared.value, classes, first)
+            start, move, emit, likely = start + a, move + b, emit + c, likely + d
+        # Rows of emissions that occur, then the moves, the starts and the likelihood.
+        seen = np.flatnonzero(emit.any(axis=1))
+        values = np.concatenate((emit[seen], move, start[None], np.full((1, STATES), likely)))
+        keys = np.concatenate((seen, OWN + TAILS + np.arange(STATES + 2))).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"k": keys} | {f"s{i}": np.ascontiguousarray(values[:, i]) for i in range(STATES)})
+
+    names = [f"s{i}" for i in range(STATES)]
+    parts = coded.select("classes").mapInArrow(count, "k int, " + ", ".join(f"{s} double" for s in names))
+    got = parts.groupBy("k").agg(*[F.sum(s).alias(s) for s in names]).toPandas()  # a row for each class and state
+    table = np.zeros((OWN + TAILS + STATES + 2, STATES))
+    table[got.k.to_numpy(int)] = got[names].to_numpy(float)
+    return table[-2], table[-2 - STATES : -2], table[: OWN + TAILS], float(table[-1, 0])
+
+
+def train(coded: DataFrame, shares: np.ndarray, rounds: int, mixture_rounds: int, settled: float = 1e-4) -> Hmm:
+    """Mixture rounds from fixed starting values, then Baum-Welch until the likelihood gains less than ``settled``."""
+    model = first_model(shares)
+    for _ in range(mixture_rounds):
+        start, _, emit, _ = train_round(coded, model, share_out)
+        model = Hmm((start + 1) / (start.sum() + STATES), model.move, estimate(start, model.move, emit, shares).emit)
+    move = np.full((STATES, STATES), 0.05 / max(1, STATES - 1))
+    np.fill_diagonal(move, 0.95)
+    model, last = Hmm(model.start, move, model.emit), -math.inf
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-
-        def count(batches, shared=shared):
-            start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((OWN + TAILS, STATES))
-            for batch in pieces(batches):
-                t = Tokens(batch.column("text"))
-                a, b, c = expect(shared.value, runs_of(vocab.value.classes(t)[0], t.first))
-                start, move, emit = start + a, move + b, emit + c
-            # Rows of emissions that occur, then the moves, then the starts.
-            seen = np.flatnonzero(emit.any(axis=1))
-            values = np.concatenate((emit[seen], move, start[None]))
-            keys = np.concatenate((seen, OWN + TAILS + np.arange(STATES + 1))).astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"k": keys} | {f"s{i}": np.ascontiguousarray(values[:, i]) for i in range(STATES)})
-
-        names = [f"s{i}" for i in range(STATES)]
-        parts = rows.select("text").mapInArrow(count, "k int, " + ", ".join(f"{s} double" for s in names))
-        got = parts.groupBy("k").agg(*[F.sum(s).alias(s) for s in names]).toPandas()  # a row for each class and state
-        table = np.zeros((OWN + TAILS + STATES + 1, STATES))
-        table[got.k.to_numpy(int)] = got[names].to_numpy(float)
-        model = estimate(table[-1], table[-1 - STATES : -1], table[: OWN + TAILS], shares)
+        start, move, emit, likely = train_round(coded, model, expect)
+        model = estimate(start, move, emit, shares)
+        if likely - last < settled * abs(likely):
+            break
+        last = likely
     return model
 
 
-def score_table(docs: DataFrame, held_out_of: int = 10, rounds: int = 2, sample: int = 2000) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
-    spark = docs.sparkSession
-    text = text_of()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFF)).cast("int").alias("th"), (crc_mod("doc_id", held_out_of) == 0).alias("held_out"), text.alias("text"))
-    learn = rows.where("not held_out")
-    counts = word_counts(learn)
-    vocab, least = vocabulary(counts)
-    own = vocab.counts[:OWN]
-    shares = np.concatenate((own + 0.1, np.full(OWN - len(own), 0.1), vocab.tail_total + 0.1))
-    shared = spark.sparkContext.broadcast(vocab)  # at most TOP words
-    model = spark.sparkContext.broadcast(train(learn, shared, shares / shares.sum(), rounds, sample))
+def coded_texts(rows: DataFrame, vocab) -> DataFrame:
+    """Every text as the classes of its tokens, with the sums that need frequent words only and the other words' hashes."""
 
-    def rare(batches):
+    def code(batches):
         for batch in pieces(batches):
-            t = Tokens(batch.column("text"))
-            at = np.flatnonzero(shared.value.index.find(t.hashes) < 0)
-            order = np.lexsort((t.hashes[at], t.doc[at]))
-            h, doc = t.hashes[at][order], t.doc[at][order]
-            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))[: len(h)])
-            n = np.diff(np.concatenate((first, [len(h)])))
-            doc = doc[first]
-            yield pa.RecordBatch.from_pydict({"h": h[first].view(np.int64), "id": batch.column("id").to_numpy()[doc], "th": batch.column("th").to_numpy()[doc], "n": n.astype(np.int32)})
-
-    distinct_rows = rows.groupBy("id", "th").agg(F.count("*").alias("copies")).where("copies > 1")
-    found = rows.select("id", "th", "text").mapInArrow(rare, "h long, id long, th int, n int")
-    found = found.join(counts.where(F.col("c") < least).select(F.col("h").alias("w"), "c"), F.col("h") == F.col("w"), "left")
-    c = F.coalesce("c", F.lit(0))
-    found = found.groupBy("id", "th").agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("rare_log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    # Repeated rows gave their words once each: back to one row's share.
-    found = found.join(distinct_rows, ["id", "th"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    found = found.select("id", "th", (F.col("rare_log") / F.col("copies")).alias("rare_log"), (F.col("rare_known") / F.col("copies")).cast("long").alias("rare_known"))
-
-    def score(batches):
-        for batch in pieces(batches, most=1 << 23):
-            t = Tokens(batch.column("text"))
-            v, m = shared.value, model.value
+            t, v, n = Tokens(batch.column("text")), vocab.value, batch.num_rows
             classes, place = v.classes(t)
-            known, n = place >= 0, batch.num_rows
-            add = lambda weights: np.bincount(t.doc, weights, n)
+            known, tail = place >= 0, classes >= OWN
             count_log = np.where(known, v.count_log[np.maximum(place, 0)] if len(v.keys) else 0.0, 0.0)
-            tail = classes >= OWN
             tail_log = np.where(tail, v.tail_log[np.maximum(classes - OWN, 0)], 0.0)
-            path = forward(m, classes, t.first) / math.log(10)
+            add = lambda weights: np.bincount(t.doc, weights, n)
+            rare = np.concatenate(([0], np.cumsum(np.bincount(t.doc[~known], minlength=n)))).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column("doc_id"),
-                    "id": batch.column("id"),
-                    "th": batch.column("th"),
-                    "held_out": batch.column("held_out"),
+                    **{c: batch.column(c) for c in ("doc_id", "held_out", *KEY)},
                     "n_tokens": np.diff(t.first),
                     "known": add(known).astype(np.int64),
                     "base": add(count_log) - np.diff(t.first) * v.base,
-                    "model": path + add(np.where(tail, count_log, 0.0) - tail_log),
+                    "inner": add(np.where(tail, count_log, 0.0) - tail_log),
+                    "classes": pa.ListArray.from_arrays(pa.array(t.first.astype(np.int32)), pa.array(classes.astype(np.int32))),
+                    "rare": pa.ListArray.from_arrays(pa.array(rare), pa.array(t.hashes[~known].view(np.int64))),
                 }
             )
 
-    schema = "doc_id long, id long, th int, held_out boolean, n_tokens long, known long, base double, model double"
-    scored = rows.mapInArrow(score, schema).join(found, ["id", "th"], "left")
+    schema = f"doc_id long, held_out boolean, {KEY_TYPE}, n_tokens long, known long, base double, inner double, classes array<int>, rare array<long>"
+    return rows.select("doc_id", "held_out", *KEY, "text").mapInArrow(code, schema)
+
+
+def rare_sums(coded: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+    """``KEY, rare_log, rare_known``: what the words that are not frequent add to a text."""
+    words = coded.where(F.size("rare") > 0).select(*KEY, "rare").dropDuplicates([*KEY])
+    words = words.select(*KEY, F.explode("rare").alias("h")).groupBy(*KEY, "h").agg(F.count("*").alias("n"))
+    words = words.join(counts.where(F.col("c") < least).select(F.col("h").alias("w"), "c"), F.col("h") == F.col("w"), "left")
+    c = F.coalesce("c", F.lit(0))
+    return words.groupBy(*KEY).agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("rare_log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
+
+
+def score_table(docs: DataFrame, held_out_of: int = 10, rounds: int = 3, mixture_rounds: int = 3) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
+    spark = docs.sparkSession
+    rows = numbered(docs).withColumn("held_out", crc_mod("doc_id", held_out_of) == 0)
+    counts = word_counts(rows.where("not held_out"))
+    vocab, least = vocabulary(counts)
+    own = vocab.counts[:OWN]
+    shares = np.concatenate((own + 0.1, np.full(OWN - len(own), 0.1), vocab.tail_total + 0.1))
+    coded = stored(coded_texts(rows, spark.sparkContext.broadcast(vocab)), "coded")  # at most TOP words
+    trained = train(coded.where("not held_out"), shares / shares.sum(), rounds, mixture_rounds)
+    model = spark.sparkContext.broadcast(trained)
+    rare = stored(rare_sums(coded, counts, least), "rare")
+
+    def score(batches):
+        for batch, classes, first in token_parts(batches, most=1 << 20):
+            path = forward(model.value, classes, first) / math.log(10)
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in batch.schema.names if c != "classes"} | {"path": path})
+
+    kept = coded.select("doc_id", "held_out", *KEY, "n_tokens", "known", "base", "inner", "classes")
+    scored = kept.mapInArrow(score, f"doc_id long, held_out boolean, {KEY_TYPE}, n_tokens long, known long, base double, inner double, path double")
     rare_log, rare_known = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
-    return scored.select(
+    return scored.join(rare, [*KEY], "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + rare_known).cast("long").alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
         (F.col("base") + rare_log).alias("base_score"),
-        (F.col("model") + rare_log).alias("score"),
+        (F.col("path") + F.col("inner") + rare_log).alias("score"),
     )

@@ -82,22 +82,90 @@ def test_forward_is_the_sum_over_paths(monkeypatch):
         assert g == pytest.approx(math.log(total))
 
 
-def test_baum_welch_never_lowers_the_likelihood(monkeypatch):
-    for name, value in (("STATES", 3), ("OWN", 5), ("TAILS", 2), ("RUN", 9), ("PRIOR", 0.0)):
+def small_sizes(monkeypatch, run):
+    for name, value in (("STATES", 3), ("OWN", 5), ("TAILS", 2), ("RUN", run), ("RUNS", 7), ("PRIOR", 0.0)):
         monkeypatch.setattr(hmm, name, value)
-    draw = np.random.default_rng(5)
-    texts = [draw.integers(0, 7, 9) if draw.random() < 0.5 else draw.integers(0, 3, 9) for _ in range(80)]
-    first, flat = np.arange(81) * 9, np.concatenate(texts)
+
+
+def texts_of_all_lengths(seed=5, n=40):
+    draw = np.random.default_rng(seed)
+    texts = [draw.integers(0, 7 if draw.random() < 0.5 else 3, draw.integers(1, 60)) for _ in range(n)]
+    return np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts]))), texts
+
+
+def brute_counts(m, text):
+    """Forward-backward over a whole text, without scaling."""
+    k, n = len(m.start), len(text)
+    alpha, beta = np.zeros((n, k)), np.ones((n, k))
+    alpha[0] = m.start * m.emit[text[0]]
+    for t in range(1, n):
+        alpha[t] = (alpha[t - 1] @ m.move) * m.emit[text[t]]
+    for t in range(n - 2, -1, -1):
+        beta[t] = m.move @ (m.emit[text[t + 1]] * beta[t + 1])
+    p = alpha[-1].sum()
+    gamma = alpha * beta / p
+    moves = sum((np.outer(alpha[t], m.emit[text[t + 1]] * beta[t + 1]) * m.move / p for t in range(n - 1)), np.zeros((k, k)))
+    emit = np.zeros((7, k))
+    np.add.at(emit, text, gamma)
+    return gamma[0], moves, emit, math.log(p)
+
+
+@pytest.mark.parametrize("run", [4, 9, 100])
+def test_counts_over_whole_texts(monkeypatch, run):
+    """Texts longer than a run give the counts and the likelihood of one recursion over the whole text."""
+    small_sizes(monkeypatch, run)
+    flat, first, texts = texts_of_all_lengths()
+    m = random_model(2, 7)
+    got = hmm.expect(m, flat, first)
+    want = [sum(parts) for parts in zip(*(brute_counts(m, t) for t in texts))]
+    for g, w in zip(got, want):
+        assert np.allclose(g, w, rtol=1e-9)
+    assert got[3] == pytest.approx(hmm.forward(m, flat, first).sum())
+
+
+def test_baum_welch_never_lowers_the_likelihood(monkeypatch):
+    small_sizes(monkeypatch, 8)
+    flat, first, texts = texts_of_all_lengths(6)
     m, last = random_model(2, 7), -np.inf
     for _ in range(8):
-        now = hmm.forward(m, flat, first).sum()
-        assert now >= last - 1e-9
+        start, move, emit, now = hmm.expect(m, flat, first)
+        assert now == pytest.approx(hmm.forward(m, flat, first).sum()) and now >= last - 1e-9
         last = now
-        start, move, emit = hmm.expect(m, hmm.runs_of(flat, first))
-        assert start.sum() == pytest.approx(80) and move.sum() == pytest.approx(80 * 8) and emit.sum() == pytest.approx(720)
+        assert start.sum() == pytest.approx(len(texts)) and move.sum() == pytest.approx(len(flat) - len(texts)) and emit.sum() == pytest.approx(len(flat))
         m = hmm.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def test_shared_out_texts_are_those_of_a_model_without_moves(monkeypatch):
+    small_sizes(monkeypatch, 8)
+    flat, first, _ = texts_of_all_lengths(7, 20)
+    m = random_model(3, 7)
+    m.move = np.eye(3)
+    for g, w in zip(hmm.share_out(m, flat, first), hmm.expect(m, flat, first)):
+        assert np.allclose(g, w)
+
+
+def test_many_rows_of_one_id(docs_of):
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    held = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % 10 == 0)
+    for ids in ([held], [None], [held, None, 3]):
+        check(docs_of, [(ids[i % len(ids)], " ".join(draw.choices(words, k=draw.randrange(1, 6)) + [f"x{draw.randrange(10**6)}"])) for i in range(3000)])
+
+
+def test_rare_words_of_many_rows_of_one_id(docs_of, monkeypatch):
+    monkeypatch.setattr(hmm, "TOP", 40)
+    draw = random.Random(4)
+    check(docs_of, [(None, f"w{draw.randrange(300)} x{draw.randrange(900)}") for i in range(3000)])
+
+
+def test_clashing_names(docs_of):
+    rows = corpus(60, 3)
+    docs = docs_of(rows)
+    for c in ("id", "name", "size", "held_out", "h", "c", "n", "rare", "classes"):
+        docs = docs.withColumn(c, docs.text)
+    assert [tuple(r)[:5] for r in sorted(hmm.score_table(docs).collect())] == [w[:5] for w in sorted(brute(rows))]
+
+
 def test_hash_index():
     draw = np.random.default_rng(1)
     keys = np.unique(draw.integers(0, 2**64, 5000, np.uint64)) & ~np.uint64(0xF0)
