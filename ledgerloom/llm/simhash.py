@@ -4,11 +4,12 @@ A fingerprint has a bit for each bit place that is set in over half of the hashe
 fingerprints are one node first, so copies cost nothing later.  Pairs of nodes within ``radius`` bits are found by
 trees of vantage points:
 
-* the bits are cut into ``blocks``; two fingerprints within ``radius`` bits are within ``radius // blocks`` bits in at
-  least one block, so each block has a tree of its own over the Hamming distance within the block;
+* the bits are cut into ``blocks``, and ``together`` blocks make a group of bits: two fingerprints within ``radius``
+  bits differ little in at least one group (by nothing in 3 of 5 blocks for a radius of 2), so each group has a tree of
+  its own over the Hamming distance within the group.  Groups of 38 bits keep shards small at billions of rows;
 * a tree deals fingerprints by their distances to ``pivots`` vantage points.  By the triangle inequality the distances
-  of a pair to one vantage point differ by at most the block radius.  Where it is 0, a pair always meets in one shard;
-  else a fingerprint also goes to the shards whose distances lie within the block radius (overlapping boundaries);
+  of a pair to one vantage point differ by at most the group's radius.  Where it is 0, a pair always meets in one shard;
+  else a fingerprint also goes to the shards whose distances lie within that radius (overlapping boundaries);
 * a shard compares its members exactly by a local vantage-point tree and yields only the links of a spanning forest
   of its members, never all pairs (all shards of up to 16 members are compared at once instead).  Shards over
   ``shard_rows`` members are cut into parts by a hash and every pair of parts is a shard of its own, so no task
@@ -23,7 +24,7 @@ only such rows have is not linked (its component is null); an empty table gives
 
 from __future__ import annotations
 
-import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored, text_of, width
+from ledgerloom.llm.common import pieces, stored, text_of, width
+from ledgerloom.llm.substring import KEY, KEY_TYPE, LEAST_ID, numbered
 
 _PLACES = np.arange(64, dtype=np.uint64)
 
@@ -67,57 +69,41 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.bitwise_or.reduce((bit_counts(hashes) * 2 > len(hashes)).astype(np.uint64) << _PLACES))
 
 
-def wide_fingerprint(text: bytes, shingle: int, words: int) -> np.ndarray:
-    """``words`` 64-bit fingerprints over different mixes of the same shingle hashes, as signed integers."""
-    hashes = shingle_hashes(text, shingle)
-    out = np.zeros(words, np.uint64)
-    for k in range(words):
-        if len(hashes):
-            mixed = hashes * np.uint64(2 * 0x9E3779B97F4A7C15 * (k + 1) + 1 & (1 << 64) - 1)
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            mixed ^= mixed >> np.uint64(32)
-            out[k] = np.bitwise_or.reduce((bit_counts(mixed) * 2 > len(hashes)).astype(np.uint64) << _PLACES)
-    return out.view(np.int64)
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 0) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as an array of signed 64-bit integers, one or ``words`` of them."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as an array of one signed 64-bit integer."""
 
     def run(batches):
         for batch in batches:
-            raw = (t.as_buffer().to_pybytes() for t in batch.column("text"))
-            if words:
-                rows = [wide_fingerprint(t, shingle, words) for t in raw]
-            else:
-                rows = [np.array([fingerprint(t, shingle)], np.uint64).view(np.int64) for t in raw]
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (words or 1)), pa.array(flat))
+            values = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle) for t in batch.column("text")], np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32)), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp array<long>")
 
 
-def block_masks(bits: int, blocks: int) -> list[list[int]]:
-    """For each block, a mask for each 64-bit word: consecutive bits, as equal in number as can be."""
+def group_masks(bits: int, blocks: int, together: int) -> list[list[int]]:
+    """For each group of ``together`` blocks, a mask for each 64-bit word; blocks are consecutive bits, as equal as can be."""
     edges = [bits * k // blocks for k in range(blocks + 1)]
-    out = []
-    for a, b in zip(edges, edges[1:]):
-        whole = ((1 << b) - 1) ^ ((1 << a) - 1)
-        out.append([(whole >> (64 * i)) & 0xFFFFFFFFFFFFFFFF for i in range(bits // 64)])
-    return out
+    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+    return [[(sum(group) >> (64 * i)) & 0xFFFFFFFFFFFFFFFF for i in range(bits // 64)] for group in combinations(block, together)]
 
 
-def vantage_keys(points: np.ndarray, blocks: int, pivots: int, reach: int) -> np.ndarray:
-    """Shard keys of fingerprints (n x words, unsigned): block and distances to its vantage points, as one integer.
+def group_radius(radius: int, blocks: int, together: int) -> int:
+    """Bits by which a pair within ``radius`` bits differs at most in the group that differs least."""
+    return 0 if radius <= blocks - together else radius * together // blocks
 
-    The vantage points are fixed pseudo-random fingerprints.  With a block radius of ``reach`` over 0, every key whose
+
+def vantage_keys(points: np.ndarray, blocks: int, together: int, pivots: int, reach: int) -> np.ndarray:
+    """Shard keys of fingerprints (n x words, unsigned): group and distances to its vantage points, as one integer.
+
+    The vantage points are fixed pseudo-random fingerprints.  With a group radius of ``reach`` over 0, every key whose
     distances differ by at most that is given too; a row of the result has all keys of a fingerprint.
     """
     words = points.shape[1]
     draw = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, (pivots, words), np.uint64)
-    masks = block_masks(64 * words, blocks)
+    masks = group_masks(64 * words, blocks, together)
     base = max(sum(m.bit_count() for m in mask) for mask in masks) + 2 * reach + 1
-    if blocks * base**pivots >= 1 << 63:
+    if len(masks) * base**pivots >= 1 << 63:
         raise ValueError("too many vantage points for a 64-bit key")
     around = np.arange(-reach, reach + 1)
     out = []
@@ -215,25 +201,22 @@ def shard_links(keys: np.ndarray, names: np.ndarray, points: np.ndarray, radius:
     return names[np.concatenate(left)], names[np.concatenate(right)]
 
 
-def near_links(nodes: DataFrame, radius: int, blocks: int, pivots: int, reach: int, shard_rows: int = 128, compare: int | None = None) -> DataFrame:
-    """Links ``a, b`` between nodes (``node long, fp array<long>``, distinct fingerprints) within ``radius`` bits.
-
-    With ``compare`` the distance is that of the first so many words; the others serve to find shards only.
-    """
+def near_links(nodes: DataFrame, radius: int, blocks: int, together: int, pivots: int, shard_rows: int = 128) -> DataFrame:
+    """Links ``a, b`` between nodes (``node long, fp array<long>``, distinct fingerprints) within ``radius`` bits."""
+    reach = group_radius(radius, blocks, together)
 
     def deal(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                keys = vantage_keys(matrix(part.column("fp")), blocks, pivots, reach)
+                keys = vantage_keys(matrix(part.column("fp")), blocks, together, pivots, reach)
                 yield pa.RecordBatch.from_pydict({"key": keys.ravel(), "node": np.repeat(part.column("node").to_numpy(), keys.shape[1])})
 
     dealt = nodes.select("node", "fp").mapInArrow(deal, "key long, node long")
     counts = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "shard")
     # Most shards have one member and end here; the rest know how many parts they need.
     held = dealt.join(counts, F.col("key") == F.col("shard")).withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int"))
-    head = nodes.select(F.col("node").alias("own"), (F.slice("fp", 1, compare) if compare else F.col("fp")).alias("fp"))
-    held = held.join(head, F.col("node") == F.col("own"))
+    held = held.join(nodes.select(F.col("node").alias("own"), "fp"), F.col("node") == F.col("own"))
     held = held.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     # A member goes to every pair of parts that holds its own: (p, q) with p <= q.
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q")))
@@ -264,10 +247,10 @@ def near_links(nodes: DataFrame, radius: int, blocks: int, pivots: int, reach: i
     return held.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, component``: the least node that each linked node reaches, by large-star and small-star steps."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    for _ in range(max_steps):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w")
         # large star: larger neighbours of u move to the least of u and its neighbours
@@ -281,18 +264,16 @@ def components(links: DataFrame, max_steps: int = 60) -> DataFrame:
         edges = new
         if same:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 0, radius: int = 2, blocks: int = 3, pivots: int = 10, reach: int | None = None, compare: int | None = None) -> DataFrame:
-    """``doc_id, fp, component_id`` of every document; ``reach``: block radius, radius // blocks unless given."""
-    fps = stored(fingerprints(docs, shingle, words), "fingerprints")
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 5, together: int = 3, pivots: int = 10) -> DataFrame:
+    """``doc_id, fp, component_id`` of every document."""
+    fps = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
     known = stored(nodes.where("node is not null"), "nodes")
-    links = near_links(known, radius, blocks, pivots, radius // blocks if reach is None else reach, compare=compare)
-    found = components(links)
+    found = components(near_links(known, radius, blocks, together, pivots))
     classes = known.join(found, "node", "left").select(F.col("fp").alias("own"), F.coalesce("component", "node").alias("component_id"))
-    return fps.join(classes, fps.fp == classes.own, "left").select("doc_id", "fp", "component_id")
+    return fps.join(stored(classes, "classes"), F.col("fp") == F.col("own"), "left").select("doc_id", "fp", "component_id")
 
 
 def simhash_table(docs: DataFrame) -> DataFrame:
@@ -301,17 +282,6 @@ def simhash_table(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def block_plan(rows: int, differ: float = 0.1515, miss: float = 0.06) -> tuple[int, int]:
-    """Bits of a block and number of blocks for ``rows`` fingerprints; no query depends on it.
-
-    A block has three bits more than it takes to number the rows, so the share of shards that hold unrelated rows stays
-    the same at every size; there are as many blocks as it takes for a pair whose bits differ with odds ``differ`` to
-    agree on one of them but with odds ``miss``.
-    """
-    bits = max(8, (max(1, rows) - 1).bit_length() + 3)
-    return bits, math.ceil(math.log(miss) / math.log1p(-((1 - differ) ** bits)))
-
-
 #: Two documents are similar from this Jaccard similarity of their shingle sets on, as a fraction.
 SIMILAR = (4, 5)
 SHINGLE = 5
@@ -364,7 +334,7 @@ def map_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def common_shingles(docs: DataFrame, sample: int = 4096, least: int = 8, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(rows: DataFrame, sample: int = 4096, least: int = 8, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents of a sample have, rising, and their counts.  Results do not depend on them, time does."""
 
     def run(batches):
@@ -372,17 +342,17 @@ def common_shingles(docs: DataFrame, sample: int = 4096, least: int = 8, most: i
             for t in batch.column("text"):
                 yield pa.RecordBatch.from_pydict({"h": shingle_set(t.as_buffer().to_pybytes()).view(np.int64)})
 
-    every = max(1, docs.count() // sample)
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).select(text_of().alias("text"))
-    rows = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n")).limit(most).collect()
-    found = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    every = max(1, rows.count() // sample)
+    some = rows.where(F.pmod(F.xxhash64("id", "name", F.lit(5)), F.lit(every)) == 0).select("text")
+    top = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n")).limit(most).collect()
+    found = np.array([r.h for r in top], np.int64).view(np.uint64)
     order = np.argsort(found)
-    return found[order], np.array([r.n for r in rows], np.int64)[order]
+    return found[order], np.array([r.n for r in top], np.int64)[order]
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, n, map, full, keys``: name, size, parity maps and prefix of every document's shingle set."""
-    common, counts = common_shingles(docs)
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """``KEY, node, n, map, full, keys``: name, size, parity maps and prefix of every row's shingle set."""
+    common, counts = common_shingles(rows)
 
     def run(batches):
         for batch in batches:
@@ -391,7 +361,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column("doc_id"),
+                    **{c: batch.column(c) for c in KEY},
                     "node": pa.array([set_name(s) for s in sets], pa.int64()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "map": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * MAP_WORDS), pa.array(np.concatenate([parity_map(s) for s in sets] or [np.zeros(0, np.int64)]))),
@@ -400,7 +370,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, node long, n long, map array<long>, full binary, keys array<long>")
+    return rows.select(*KEY, "text").mapInArrow(run, f"{KEY_TYPE}, node long, n long, map array<long>, full binary, keys array<long>")
 
 
 def may_be_similar(n_a, n_b, differ):
@@ -409,15 +379,13 @@ def may_be_similar(n_a, n_b, differ):
     return (n_a * down >= n_b * up) & (n_b * down >= n_a * up) & (differ * (down + up) <= (n_a + n_b) * (down - up))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of nodes whose shingle sets are similar, by the sets themselves."""
 
     def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t.as_buffer().to_pybytes()) for t in batch.column("text")]
-            own = [i for i, (s, name) in enumerate(zip(sets, batch.column("node").to_pylist())) if set_name(s) == name]
-            if own:
-                yield pa.RecordBatch.from_pydict({"own": batch.column("node").take(pa.array(own)), "members": pa.array([sets[i].view(np.int64) for i in own], pa.list_(pa.int64()))})
+        for batch in pieces(batches):
+            sets = [shingle_set(t.as_buffer().to_pybytes()).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"own": batch.column("node"), "members": pa.array(sets, pa.list_(pa.int64()))})
 
     def near(batches):
         for batch in batches:
@@ -428,10 +396,9 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("full").alias(f"full_{c}"))
     pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long"), "pairs")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    used = used.join(nodes.select("node", F.col("doc_id").alias("id")), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(used, F.col("doc_id") == F.col("id"))
-    # Rows of one id may have the same text.
-    texts = texts.withColumn("same", F.xxhash64("text")).dropDuplicates(["id", "same"]).select("node", "text")
+    # One row has each set; rows that repeat it in every column of the key are dropped.
+    used = used.join(nodes.select("node", "row.*"), "node")
+    texts = rows.select(*KEY, "text").join(used, [*KEY]).dropDuplicates(["node"]).select("node", "text")
     sets = stored(texts.mapInArrow(run, "own long, members array<long>"), "sets")
     side = lambda c: sets.select(F.col("own").alias(c), F.col("members").alias(f"{c}_members"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -462,13 +429,13 @@ def rest_pairs(number: np.ndarray, n: np.ndarray, classes: np.ndarray, maps: np.
     return (np.concatenate(left), np.concatenate(right)) if left else (first[:0], first[:0])
 
 
-def similar_links(docs: DataFrame, sets: DataFrame, shard_rows: int = 128) -> DataFrame:
+def similar_links(rows: DataFrame, sets: DataFrame, shard_rows: int = 128) -> DataFrame:
     """Links ``a, b`` between names of shingle sets that have the components of all pairs of similar sets.
 
     A set goes to a shard for each shingle of its prefix, so every similar pair meets.  First each member is compared
     with the least of its shard; then the pairs of a shard that are not connected by that are compared.
     """
-    nodes = stored(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("full").alias("full"), F.first("keys").alias("keys")), "nodes")
+    nodes = stored(sets.groupBy("node").agg(F.min(F.struct(*KEY)).alias("row"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("full").alias("full"), F.first("keys").alias("keys")), "nodes")
     shard = Window.partitionBy("key")
     dealt = nodes.select(F.explode("keys").alias("key"), "node").withColumns({"members": F.count("*").over(shard), "hub": F.min("node").over(shard)})
     held = stored(dealt.where("members > 1"), "held")
@@ -476,7 +443,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, shard_rows: int = 128) -> Da
     near = held.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
     differ = sum((F.bit_count(F.col("map_a")[i].bitwiseXOR(F.col("map_b")[i])) for i in range(MAP_WORDS)), F.lit(0))
     near = stored(near.where(may_be_similar(F.col("n_a"), F.col("n_b"), differ)).select("a", "b"), "pairs")
-    links = stored(confirmed(near, nodes, docs), "links")
+    links = stored(confirmed(near, nodes, rows), "links")
 
     classes = components(links).withColumnRenamed("node", "own")
     classed = nodes.join(classes, F.col("node") == F.col("own"), "left").select("node", "n", "map", F.coalesce("component", "node").alias("class"))
@@ -512,23 +479,27 @@ def similar_links(docs: DataFrame, sets: DataFrame, shard_rows: int = 128) -> Da
         return pa.RecordBatch.from_pydict({"a": names[i], "b": names[j]})
 
     more = stored(rest.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    return links.unionByName(confirmed(more, nodes, docs))
+    return links.unionByName(confirmed(more, nodes, rows))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, class`` of every document that has an id, linked at a Jaccard similarity of 0.8 or more.
+    """``KEY, class`` of every row, linked at a Jaccard similarity of 0.8 or more.
 
     Similarity is that of the sets of five-word shingles and decided by the sets.  Candidates come from a prefix of
     each set that two similar sets always share, so no pair is missed, however many documents stand in the table.
     """
-    docs = docs.where("doc_id is not null")
-    sets = stored(shingle_sets(docs), "fingerprints")
-    found = components(similar_links(docs, sets)).withColumnRenamed("node", "own")
-    return sets.select("doc_id", "node").join(found, F.col("node") == F.col("own"), "left").select("doc_id", F.coalesce("component", "node").alias("class"))
+    rows = numbered(docs)
+    sets = stored(shingle_sets(rows), "fingerprints")
+    found = stored(components(similar_links(rows, sets)), "classes").withColumnRenamed("node", "own")
+    return sets.select(*KEY, "node").join(found, F.col("node") == F.col("own"), "left").select(*KEY, F.coalesce("component", "node").alias("class"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less all but the one of least id of each class of similar documents; rows without an id stay."""
-    kept = similar_documents(docs).groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """The row of least id of each class of similar documents; among rows of one id that with the least hash of its text.
+
+    Rows of one id with different texts are different documents, and a missing id comes after all others.
+    """
+    rank = F.struct((F.col("id") == LEAST_ID).alias("late"), *KEY)
+    kept = similar_documents(docs).groupBy("class").agg(F.min(rank).alias("one")).select("one.id", "one.name", "one.size")
+    keys = numbered(docs, [docs[f"`{c}`"] for c in docs.columns]).drop("doc_id", "text")
+    return keys.join(kept, [*KEY], "left_semi").dropDuplicates([*KEY]).select("rest.*")

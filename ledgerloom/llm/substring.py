@@ -79,9 +79,13 @@ def merge_counters(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.
     return keys, counts
 
 
+#: Stands for a missing id: below all others.
+LEAST_ID = -(2**63)
+
+
 def id_of(col: str) -> Column:
-    """An id without null: below all others."""
-    return F.coalesce(F.col(col).cast("long"), F.lit(-(2**63)))
+    """An id without null."""
+    return F.coalesce(F.col(col).cast("long"), F.lit(LEAST_ID))
 
 
 #: What tells rows apart: the id without null, the hash of the text and its bytes.  Rows that agree in all are repeats.

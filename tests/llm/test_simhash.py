@@ -65,8 +65,9 @@ def test_empty_and_null_ids(docs_of):
     assert sorted(map(str, [(r.doc_id, r.component_id) for r in got])) == sorted(map(str, [(None, 3), (3, 3), (None, None), (5, 5)]))
 
 
-@pytest.mark.parametrize("radius,blocks,reach", [(2, 3, 0), (5, 2, 2), (4, 1, 4), (3, 4, 0)])
-def test_links_keep_every_component(spark, radius, blocks, reach):
+@pytest.mark.parametrize("radius,blocks,together", [(2, 3, 1), (5, 2, 1), (4, 1, 1), (3, 4, 1), (2, 5, 3), (4, 4, 2)])
+def test_links_keep_every_component(spark, radius, blocks, together):
+    """Also with overlapping boundaries: groups within which a pair may differ."""
     draw = random.Random(radius)
     fps = {}
     for _ in range(25):
@@ -77,7 +78,7 @@ def test_links_keep_every_component(spark, radius, blocks, reach):
             fps.setdefault(x, len(fps))
     pairs = [(i, [x - (1 << 64) if x >> 63 else x]) for x, i in fps.items()]
     nodes = spark.createDataFrame(pairs, "node long, fp array<long>")
-    links = simhash.near_links(nodes, radius, blocks, 3, reach, shard_rows=8)
+    links = simhash.near_links(nodes, radius, blocks, together, 3, shard_rows=8)
     got = {r.node: r.component for r in simhash.components(links).collect()}
     want = brute_components(sorted((i, x) for x, i in fps.items()), radius)
     assert {i: got.get(i, i) for i in want} == want
@@ -111,14 +112,15 @@ def test_chain_is_one_component(spark):
     assert {r.component for r in simhash.components(links).collect()} == {0}
 
 
-def test_wide_distance_follows_similarity():
+def test_group_radius_by_brute_force():
     draw = random.Random(3)
-    words = [f"w{draw.randrange(9999)}" for _ in range(300)]
-    other = list(words)
-    for k in (20, 120, 220):
-        other[k] = "changed"
-    a, b, c = (simhash.wide_fingerprint(" ".join(x).encode(), 5, 12).view(np.uint64) for x in (words, other, words[::-1]))
-    assert np.bitwise_count(a ^ b).sum() < 123 < 250 < np.bitwise_count(a ^ c).sum()
+    for blocks, together in ((3, 1), (5, 3), (2, 1), (1, 1), (4, 2)):
+        masks = [m[0] for m in simhash.group_masks(64, blocks, together)]
+        for radius in range(1, 7):
+            bound = simhash.group_radius(radius, blocks, together)
+            for _ in range(300):
+                x = sum(1 << b for b in draw.sample(range(64), radius))
+                assert min((x & m).bit_count() for m in masks) <= bound
 
 
 def test_similar_documents_keep_one(docs_of):
@@ -135,13 +137,26 @@ def test_similar_documents_keep_one(docs_of):
     out = simhash.keep_one(docs_of([*rows, (None, "no id"), (0, rows[0][1])]))
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(want)
     assert out.columns == docs_of([]).columns and out.where("doc_id is null").count() == 1
+    assert simhash.keep_one(docs_of([])).count() == 0
 
 
-def test_block_plan_keeps_recall():
-    for rows in (0, 1, 40_000, 220_000, 10**9):
-        bits, blocks = simhash.block_plan(rows)
-        assert 2**bits >= 8 * max(1, rows - 1)
-        assert (1 - 0.8485**bits) ** blocks <= 0.06 + 1e-9
+def test_rows_of_one_id_are_documents(docs_of):
+    draw = random.Random(2)
+    for i in (None, 5):
+        rows = [(i, " ".join(f"w{draw.randrange(10**6)}" for _ in range(draw.randrange(1, 12)))) for _ in range(3000)]
+        got = simhash.keep_one(docs_of([*rows, rows[0], (9, rows[1][1])])).collect()
+        assert sorted(r.text for r in got) == sorted(t for _, t in rows)
+        assert {r.doc_id for r in got if r.text == rows[1][1]} == {9 if i is None else 5}
+
+
+def test_clashing_names(docs_of):
+    rows = edited_rows(10, 2)
+    docs = docs_of(rows)
+    for c in ("id", "name", "size", "rest", "class", "node", "own", "late"):
+        docs = docs.withColumn(c, docs.doc_id + 1)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and {(r.doc_id, r["class"]) for r in got.collect()} == {(i, i + 1) for i in brute_kept(rows)[0]}
+    assert {r.doc_id for r in simhash.simhash_table(docs).collect()} == {r[0] for r in rows}
 
 
 def brute_kept(rows):
@@ -195,7 +210,7 @@ def test_similar_documents_by_brute_force(docs_of, groups, copies):
 
 def test_shards_in_parts_lose_no_pair(docs_of):
     rows = edited_rows(2, 60, 3)
-    docs = docs_of(rows)
+    docs = simhash.numbered(docs_of(rows))
     links = simhash.components(simhash.similar_links(docs, simhash.shingle_sets(docs), shard_rows=8))
     want, _ = brute_kept(rows)
     sets = len({simhash.set_name(simhash.shingle_set(t.encode())) for _, t in rows})
@@ -217,8 +232,7 @@ def test_similar_sets_share_a_prefix_shingle():
         assert simhash.may_be_similar(len(a), len(b), differ)
 
 
-def test_links_do_not_follow_the_number_of_rows(docs_of, monkeypatch):
-    monkeypatch.setattr(simhash, "block_plan", None)
+def test_links_do_not_follow_the_number_of_rows(docs_of):
     rows = edited_rows(1, 8, 5)
     more = [(1000 + k, f"other words of row {k} " + " ".join(str(k * j) for j in range(9))) for k in range(3000)]
     alone = {r.doc_id for r in simhash.keep_one(docs_of(rows)).collect()}
