@@ -46,7 +46,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as lossless WebP, decode it again and digest it."""
-    return webp.read_media(webp.media_table(documents(spark, sf_dir)))
+    return webp.read_media(webp.stored_media(documents(spark, sf_dir)))
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,19 @@
-"""Lossless WebP: a decoder for whole VP8L streams and an encoder for byte payloads.
+"""Lossless WebP: media columns of byte payloads, and a decoder for whole VP8L streams.
 
 The decoder reads prefix codes, meta prefix groups, back-references and the colour cache, inverts the predictor,
-cross-colour, subtract-green and palette transforms and returns an array of ARGB pixels.  Where a stream has one
-group of prefix codes whose lengths are equal within each channel, literals only and no cache, every pixel has the
-same number of bits and all are read at once with numpy; other streams are read pixel by pixel.
+cross-colour, subtract-green and palette transforms and returns an array of ARGB pixels.  Streams of the encoder, and
+others that use no more than it does, are decoded many at a time (``webp_batch``); the rest pixel by pixel, here.
 
-The encoder stores 192 bytes as a row of 64 RGB pixels.  For each channel it gives the byte values that occur one
-code length, the least that suffices, so text of up to 64 (128) different bytes takes 6 (7) bits a sample and both
-directions run at array speed.  Payloads of more than 16,384 rows become several files, one after the other.
+A payload is stored as rows of 64 RGB pixels, 192 bytes each; payloads of more than 32 rows become several files, one
+after the other, so that a long text is as many images as any other bytes of its size.
 
 Defined results: a null or empty text is one row of blanks; equal texts give equal bytes; repeated rows give
-repeated results; an empty table gives an empty table; columns beyond ``doc_id`` and ``text`` are left out.
+repeated results; an empty table gives an empty table; columns beyond ``doc_id`` and ``text`` are left out.  Damaged
+streams (ended early, incomplete codes, references to before the first pixel) raise ValueError.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import struct
 import zlib
@@ -25,25 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_of
-
-ROW_PIXELS, ROW_BYTES, MAX_ROWS = 64, 192, 16384
-#: Fixed values of the format: order in which the lengths of the code-length code are stored.
-LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
-#: Fixed values of the format: the 120 near neighbours (columns left, rows up) that short distance codes mean.
-NEIGHBOURS = (
-    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0),
-    (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1),
-    (3, 3), (-3, 3), (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0), (1, 5), (-1, 5),
-    (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2), (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0),
-    (1, 6), (-1, 6), (6, 1), (-6, 1), (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6),
-    (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1), (4, 6), (-4, 6), (6, 4), (-6, 4),
-    (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7),
-    (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7),
-    (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
-)
-CACHE_FACTOR = 0x1E35A7BD
-PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+from ledgerloom.llm import webp_batch
+from ledgerloom.llm.common import pieces, stored, text_of
+from ledgerloom.llm.webp_batch import CACHE_FACTOR, CROSS_COLOUR, LENGTH_ORDER, NEIGHBOURS, PREDICTOR, SUBTRACT_GREEN
+
+ROW_PIXELS, ROW_BYTES, MAX_ROWS = 64, 192, 32
 
 
 class BitReader:
@@ -52,43 +36,26 @@ class BitReader:
     def __init__(self, data: bytes):
         self.data, self.at, self.word, self.have = data, 0, 0, 0
 
-    def fill(self, n: int) -> None:
-        step = max(8, (n + 7) // 8)
-        self.word |= int.from_bytes(self.data[self.at : self.at + step], "little") << self.have
-        self.at += step
-        self.have += 8 * step
-
     def read(self, n: int) -> int:
         if self.have < n:
-            self.fill(n)
+            self.word |= int.from_bytes(self.data[self.at : self.at + 8], "little") << self.have
+            self.at += 8
+            self.have += 64
         out = self.word & ((1 << n) - 1)
         self.word >>= n
         self.have -= n
+        if 8 * self.at - self.have > 8 * len(self.data):
+            raise ValueError("a stream ends early")
         return out
 
-    def place(self) -> int:
-        """Bits read so far."""
-        return 8 * self.at - self.have
-
-
-def reverse_bits(values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros_like(values)
-    for i in range(n):
-        out |= ((values >> i) & 1) << (n - 1 - i)
-    return out
-
 
 class Prefix:
     """A canonical prefix code, from the code length of each symbol."""
 
     def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else None
-        self.symbols = used
-        kinds = {lengths[s] for s in used}
-        #: Bits of every symbol where all have as many, else -1.
-        self.equal = 0 if self.only is not None else kinds.pop() if len(kinds) == 1 else -1
-        self.lengths, self.table, self.lookup = lengths, None, None
+        self.symbols = [s for s, n in enumerate(lengths) if n]
+        self.only = self.symbols[0] if len(self.symbols) == 1 else None
+        self.lengths, self.table = lengths, None
 
     def build(self) -> None:
         code, found = 0, {}
@@ -115,7 +82,7 @@ class Prefix:
 
 
 def read_prefix(bits: BitReader, alphabet: int) -> Prefix:
-    lengths = [0] * alphabet
+    lengths = [0] * max(alphabet, 256)  # one or two symbols by themselves have up to 8 bits
     if bits.read(1):
         two = bits.read(1)
         lengths[bits.read(8 if bits.read(1) else 1)] = 1
@@ -125,18 +92,8 @@ def read_prefix(bits: BitReader, alphabet: int) -> Prefix:
     own = [0] * 19
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         own[k] = bits.read(3)
-    code = Prefix(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    if len(code.symbols) == 2 and code.symbols[1] < 16 and left == alphabet:
-        return from_flags(alphabet, *code.symbols, bits.read(alphabet))
-    return read_lengths(bits, alphabet, code, left)
-
-
-@functools.lru_cache(maxsize=4096)
-def from_flags(alphabet: int, low: int, high: int, flags: int) -> Prefix:
-    """The code whose symbols have one of two lengths each, told by a bit."""
-    raw = np.frombuffer(flags.to_bytes((alphabet + 7) // 8, "little"), np.uint8)
-    return Prefix(np.where(np.unpackbits(raw, bitorder="little")[:alphabet], high, low).tolist())
+    return read_lengths(bits, alphabet, Prefix(own), left)
 
 
 def read_lengths(bits: BitReader, alphabet: int, code: Prefix, left: int) -> Prefix:
@@ -156,7 +113,7 @@ def read_lengths(bits: BitReader, alphabet: int, code: Prefix, left: int) -> Pre
             i += n
         else:
             i += 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-    return Prefix(lengths)
+    return Prefix(lengths[:alphabet])
 
 
 def extra(bits: BitReader, prefix: int) -> int:
@@ -179,8 +136,6 @@ def read_pixels(bits: BitReader, w: int, h: int, main: bool) -> np.ndarray:
     cache_size = 1 << cache_bits if cache_bits else 0
     groups = [[read_prefix(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(n_groups)]
     n = w * h
-    if n_groups == 1 and not cache_bits and groups[0][0].symbols[-1] < 256 and all(c.equal >= 0 for c in groups[0][:4]):
-        return read_equal(bits, n, groups[0])
     out, cache = [0] * n, [0] * cache_size
     at, shift, put = 0, 32 - cache_bits, 0
     while at < n:
@@ -199,6 +154,8 @@ def read_pixels(bits: BitReader, w: int, h: int, main: bool) -> np.ndarray:
             else:
                 x, y = NEIGHBOURS[far - 1]
                 far = max(1, x + y * w)
+            if far > at or length > n - at:
+                raise ValueError("a back-reference leaves the image")
             for k in range(at, at + length):
                 out[k] = out[k - far]
             at += length
@@ -211,43 +168,6 @@ def read_pixels(bits: BitReader, w: int, h: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def read_equal(bits: BitReader, n: int, codes: list[Prefix]) -> np.ndarray:
-    """n literal pixels whose channels have fixed numbers of bits, all at once: 8 pixels fill whole bytes."""
-    green, red, blue, alpha = codes[:4]
-    wide = [c.equal for c in (green, red, blue, alpha)]
-    step = sum(wide)
-    start = bits.place()
-    groups = -(-n // 8)
-    raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - start // 8, groups * step + 1), start // 8)
-    raw = np.concatenate((raw, np.zeros(groups * step + 9 - len(raw), np.uint8)))
-    if start % 8:
-        raw = (raw[:-1] >> (start % 8)) | (raw[1:] << (8 - start % 8))
-    bits.at, bits.word, bits.have = (start + n * step) // 8, 0, 0
-    if (start + n * step) % 8:
-        bits.read((start + n * step) % 8)
-    out = np.empty((groups, 8), np.uint32)
-    tables = []
-    for c, k in zip((green, red, blue, alpha), wide):
-        if c.lookup is None:
-            c.lookup = np.array(c.symbols, np.uint32)[reverse_bits(np.arange(1 << k, dtype=np.int64), k)]
-        tables.append(c.lookup)
-    cells = raw[: groups * step].reshape(groups, step) if step else None
-    for j in range(8):
-        value = np.zeros(groups, np.uint64)
-        if step:
-            first, last = j * step // 8, (j * step + step + 7) // 8
-            for i in range(first, last):
-                value |= cells[:, i].astype(np.uint64) << np.uint64(8 * (i - first))
-            value >>= np.uint64(j * step % 8)
-        pixel, down = np.zeros(groups, np.uint32), 0
-        for table, k, to in zip(tables, wide, (8, 16, 0, 24)):
-            part = (value >> np.uint64(down)) & np.uint64((1 << k) - 1)
-            pixel |= table[part.astype(np.intp)] << np.uint32(to)
-            down += k
-        out[:, j] = pixel
-    return out.reshape(-1)[:n]
-
-
 def channels(pixels: np.ndarray) -> np.ndarray:
     """ARGB values as an array of four bytes each: blue, green, red, alpha."""
     return np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(*pixels.shape, 4)
@@ -367,113 +287,34 @@ def decode_vp8l(data: bytes) -> np.ndarray:
     return pixels.reshape(h, w)
 
 
-def decode_files(media: bytes):
-    """The images of WebP files that stand one after the other."""
-    at = 0
+def streams_of(media: bytes) -> list[bytes]:
+    """The VP8L streams of WebP files that stand one after the other."""
+    at, out = 0, []
     while at < len(media):
+        if len(media) - at < 20:
+            raise ValueError("a file ends early")
         riff, size, webp, kind, n = struct.unpack_from("<4sI4s4sI", media, at)
-        if (riff, webp, kind) != (b"RIFF", b"WEBP", b"VP8L"):
+        if (riff, webp, kind) != (b"RIFF", b"WEBP", b"VP8L") or at + 8 + size > len(media) or n + 12 > size:
             raise ValueError("not a simple lossless WebP file")
-        yield decode_vp8l(media[at + 20 : at + 20 + n])
+        out.append(media[at + 20 : at + 20 + n])
         at += 8 + size
+    return out
 
 
-class BitWriter:
-    """Bits to a byte string, lowest first."""
-
-    def __init__(self):
-        self.word, self.n = 0, 0
-
-    def write(self, value: int, n: int) -> None:
-        self.word |= value << self.n
-        self.n += n
-
-    def bytes(self) -> bytes:
-        return self.word.to_bytes((self.n + 7) // 8, "little")
-
-
-@functools.lru_cache(maxsize=4096)
-def equal_code(used: bytes, alphabet: int) -> tuple[int, int, int]:
-    """Bits (value and number) that store a code of equal lengths for the symbols ``used``, and that length.
-
-    Symbols are added up to a power of two, so that the code is complete.
-    """
-    out = BitWriter()
-    if len(used) == 1:
-        out.write(0b101, 3)
-        out.write(used[0], 8)
-        return out.word, out.n, 0
-    k = (len(used) - 1).bit_length()
-    out.write(0, 1)
-    place = {s: i for i, s in enumerate(LENGTH_ORDER)}
-    count = max(place[k], place[0]) + 1
-    out.write(max(count, 4) - 4, 4)
-    for s in LENGTH_ORDER[: max(count, 4)]:
-        out.write(1 if s in (0, k) else 0, 3)
-    out.write(0, 1)
-    # In the two-symbol code-length code the lower symbol, 0, is bit 0; one bit a symbol.
-    out.write(sum(1 << s for s in used), alphabet)
-    return out.word, out.n, k
-
-
-def completed(used: np.ndarray) -> np.ndarray:
-    """Byte values in order: those used and, up to a power of two, the lowest others."""
-    n = len(used)
-    short = (1 << (n - 1).bit_length()) - n
-    if short:
-        flags = np.zeros(256, bool)
-        flags[used] = True
-        flags[np.flatnonzero(~flags)[:short]] = True
-        return np.flatnonzero(flags).astype(np.uint8)
-    return used
-
-
-def encode_image(rows: np.ndarray) -> bytes:
-    """A WebP file of h rows of 64 RGB pixels."""
-    h = len(rows)
-    bits = BitWriter()
-    bits.write(0x2F, 8)
-    bits.write(ROW_PIXELS - 1, 14)
-    bits.write(h - 1, 14)
-    bits.write(0, 1 + 3 + 1 + 1 + 1)  # alpha, version, no transform, no cache, one group
-    rgb = rows.reshape(-1, 3)
-    value, down = np.zeros(len(rgb), np.uint32), 0
-    for place, channel in ((0, 1), (1, 0), (2, 2)):  # green, red, blue
-        samples = rgb[:, channel]
-        used = completed(np.flatnonzero(np.bincount(samples, minlength=256)).astype(np.uint8))
-        word, n, k = equal_code(used.tobytes(), 280 if place == 0 else 256)
-        bits.write(word, n)
-        codes = np.zeros(256, np.uint32)
-        codes[used] = reverse_bits(np.arange(len(used), dtype=np.uint32), k)
-        value |= codes[samples] << np.uint32(down)
-        down += k
-    for symbol in (255, 0):  # alpha, distance
-        word, n, _ = equal_code(bytes([symbol]), 256)
-        bits.write(word, n)
-    if down:
-        groups = value.reshape(-1, 8)
-        cells = np.zeros((len(groups), down), np.uint8)
-        for i in range(down):
-            cell = np.zeros(len(groups), np.uint64)
-            for j in range(8 * i // down, min(7, (8 * i + 7) // down) + 1):
-                v, shift = groups[:, j].astype(np.uint64), j * down - 8 * i
-                cell |= v << np.uint64(shift) if shift >= 0 else v >> np.uint64(-shift)
-            cells[:, i] = cell.astype(np.uint8)
-        stream = cells.reshape(-1)
-        odd = bits.n % 8
-        if odd:
-            shifted = np.zeros(len(stream) + 1, np.uint8)
-            shifted[:-1] = stream << odd
-            shifted[1:] |= stream >> (8 - odd)
-            head = bits.bytes()
-            shifted[0] |= head[-1]
-            data = head[:-1] + shifted.tobytes()
-        else:
-            data = bits.bytes() + stream.tobytes()
-    else:
-        data = bits.bytes()
-    pad = len(data) & 1
-    return struct.pack("<4sI4s4sI", b"RIFF", 12 + len(data) + pad, b"WEBP", b"VP8L", len(data)) + data + b"\0" * pad
+def decode_streams(streams: list[bytes]) -> list[np.ndarray]:
+    """The images (height x width ARGB pixels) of VP8L streams, by many at a time where all they use is known there."""
+    left, out = list(range(len(streams))), [None] * len(streams)
+    while left:
+        try:
+            for i, image in zip(left, webp_batch.decode_streams([streams[i] for i in left])):
+                out[i] = image
+            break
+        except webp_batch.Unknown as found:
+            others = {left[k] for k in found.rows.tolist()}
+            for i in others:
+                out[i] = decode_vp8l(streams[i])
+            left = [i for i in left if i not in others]
+    return out
 
 
 def payload_of(text: bytes) -> bytes:
@@ -481,14 +322,27 @@ def payload_of(text: bytes) -> bytes:
     return text.ljust(max(1, -(-len(text) // ROW_BYTES)) * ROW_BYTES)
 
 
-def encode_payload(payload: bytes) -> bytes:
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES)
-    return b"".join(encode_image(rows[i : i + MAX_ROWS]) for i in range(0, len(rows), MAX_ROWS))
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """The WebP files of each payload, one after the other."""
+    rows = np.array([len(p) // ROW_BYTES for p in payloads])
+    files = -(-rows // MAX_ROWS)
+    ends = np.cumsum(files)
+    heights = np.full(int(ends[-1]), MAX_ROWS)
+    heights[ends - 1] = rows - (files - 1) * MAX_ROWS
+    images = webp_batch.encode_images(np.frombuffer(b"".join(payloads), np.uint8), heights, ROW_PIXELS)
+    return [b"".join(images[a:b]) for a, b in zip((ends - files).tolist(), ends.tolist())]
+
+
+def decode_media(media: list[bytes]) -> list[list[np.ndarray]]:
+    """The images of each row's files."""
+    streams = [streams_of(m) for m in media]
+    images = iter(decode_streams([s for own in streams for s in own]))
+    return [[next(images) for _ in own] for own in streams]
 
 
-def decode_payload(media: bytes) -> np.ndarray:
-    """RGB samples of the stored files, in order."""
-    return np.concatenate([channels(p)[..., 2::-1].reshape(-1) for p in decode_files(media)])
+def samples_of(images: list[np.ndarray]) -> np.ndarray:
+    """RGB samples of images, one after the other."""
+    return np.concatenate([channels(p)[..., 2::-1].reshape(-1) for p in images])
 
 
 def feature_of(samples: np.ndarray) -> str:
@@ -501,33 +355,59 @@ def feature_of(samples: np.ndarray) -> str:
     return f"{len(rows)}:{','.join(map(str, sums))}:{','.join(map(str, squares))}:{brighter}"
 
 
+def slices(batches, column: str, most: int, rows: int = 2048):
+    """Batches of about ``most`` bytes of a column and at most ``rows`` rows."""
+    for part in pieces(batches, column, most):
+        for at in range(0, part.num_rows, rows):
+            yield part.slice(at, rows)
+
+
 def media_table(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: every text as lossless WebP bytes."""
 
     def run(batches):
-        for batch in batches:
-            n, media = [], []
-            for text in batch.column("text"):
-                raw = text.as_buffer().to_pybytes()
-                n.append(len(raw))
-                media.append(encode_payload(payload_of(raw)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "media": pa.array(media, pa.binary())})
+        for batch in slices(batches, "text", 4 << 20):
+            raw = [text.as_buffer().to_pybytes() for text in batch.column("text")]
+            media = encode_payloads([payload_of(r) for r in raw])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(map(len, raw), pa.int64()), "media": pa.array(media, pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def stored_media(docs: DataFrame) -> DataFrame:
+    """The media table, written to the shared folder and read back."""
+    return stored(media_table(docs), "media")
+
+
+def pixel_table(table: DataFrame) -> DataFrame:
+    """``doc_id, image, height, width, pixels``: every image of a media table as an array of ARGB pixels, row by row."""
+
+    def run(batches):
+        for batch in slices(batches, "media", 2 << 20):
+            out: dict[str, list] = {c: [] for c in ("doc_id", "image", "height", "width", "pixels")}
+            images = decode_media([m.as_buffer().to_pybytes() for m in batch.column("media")])
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), images):
+                for k, pixels in enumerate(own):
+                    for to, value in zip(out.values(), (doc_id, k, *pixels.shape, pixels.reshape(-1).view(np.int32))):
+                        to.append(value)
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
+
+    return table.select("doc_id", "media").mapInArrow(run, "doc_id long, image int, height int, width int, pixels array<int>")
+
+
 def read_media(table: DataFrame) -> DataFrame:
     """Decode the stored bytes: the payload's size and digests, the media's size and digest, and features."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "media", 2 << 20):
             out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for media in batch.column("media"):
-                media = media.as_buffer().to_pybytes()
-                samples = decode_payload(media)
+            media = [m.as_buffer().to_pybytes() for m in batch.column("media")]
+            for raw, images in zip(media, decode_media(media)):
+                samples = samples_of(images)
                 payload = samples.tobytes()
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples))
+                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature_of(samples))
                 for k, v in zip(out, row):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes")} | out)

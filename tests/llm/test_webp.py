@@ -1,5 +1,6 @@
 import hashlib
 import heapq
+import random
 import struct
 import zlib
 from collections import Counter
@@ -9,9 +10,23 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm import webp
+from ledgerloom.llm import webp, webp_batch
 
-# A plain encoder of whole streams, for the decoder's slow paths.
+# A plain encoder of whole streams, with every part of the format.
+
+
+class BitWriter:
+    """Bits to a byte string, lowest first."""
+
+    def __init__(self):
+        self.word, self.n = 0, 0
+
+    def write(self, value, n):
+        self.word |= int(value) << self.n
+        self.n += n
+
+    def bytes(self):
+        return self.word.to_bytes((self.n + 7) // 8, "little")
 
 
 def code_lengths(counts, alphabet):
@@ -140,7 +155,7 @@ def put_image(w, pixels, width, main, cache_bits=0, copies=False, tile=0):
 
 def stream(pixels, transforms=(), **kw):
     h, width = pixels.shape
-    w = webp.BitWriter()
+    w = BitWriter()
     w.write(0x2F, 8)
     w.write(width - 1, 14)
     w.write(h - 1, 14)
@@ -220,10 +235,10 @@ CASES = [
     ((), {"copies": True, "cache_bits": 6, "tile": 2}),
     (((webp.SUBTRACT_GREEN,),), {}),
     (((webp.CROSS_COLOUR,),), {}),
-    (((webp.PALETTE,),), {"copies": True}),
+    (((webp_batch.PALETTE,),), {"copies": True}),
     *[(((webp.PREDICTOR, k),), {}) for k in range(14)],
     (((webp.PREDICTOR, 3), (webp.CROSS_COLOUR,), (webp.SUBTRACT_GREEN,)), {"copies": True, "cache_bits": 3}),
-    (((webp.PALETTE,), (webp.PREDICTOR, 5)), {}),
+    (((webp_batch.PALETTE,), (webp.PREDICTOR, 5)), {}),
 ]
 
 
@@ -239,35 +254,139 @@ def test_one_colour():
     assert np.array_equal(webp.decode_vp8l(stream(pixels)), pixels)
 
 
+@pytest.mark.parametrize("transforms,kw", CASES)
+def test_many_at_a_time_agrees(transforms, kw):
+    """Streams of one kind beside others, some of which only the pixel-by-pixel decoder knows."""
+    pixels = [picture(h, w, colours, seed) for seed, (h, w, colours) in enumerate([(13, 21, 9), (1, 64, 2), (32, 64, 300), (7, 5, 40), (2, 3, 3)])]
+    streams = [stream(p, transforms if k % 2 else (), **(kw if k % 2 else {"copies": True})) for k, p in enumerate(pixels)]
+    for got, want in zip(webp.decode_streams(streams), pixels):
+        assert np.array_equal(got, want)
+
+
+def both_decoders(payload):
+    (media,) = webp.encode_payloads([payload])
+    assert struct.unpack_from("<4sI", media)[1] + 8 <= len(media)
+    streams = webp.streams_of(media)
+    many, single = webp_batch.decode_streams(streams), [webp.decode_vp8l(s) for s in streams]
+    assert webp.samples_of(many).tobytes() == webp.samples_of(single).tobytes() == payload
+    return media
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.binary(max_size=2000))
+@given(st.one_of(st.binary(max_size=2000), st.text(max_size=900).map(str.encode), st.text("ab ", max_size=3000).map(str.encode)))
 def test_payload_round_trip(raw):
     payload = webp.payload_of(raw)
-    media = webp.encode_payload(payload)
     assert len(payload) % 192 == 0 and payload.startswith(raw)
-    assert webp.decode_payload(media).tobytes() == payload
-    assert struct.unpack_from("<4sI", media)[1] + 8 == len(media)
+    both_decoders(payload)
 
 
 def test_long_payload_is_several_files():
-    payload = webp.payload_of(bytes(range(97, 122)) * 200_000)
-    media = webp.encode_payload(payload)
-    assert sum(1 for _ in webp.decode_files(media)) == 2
-    assert webp.decode_payload(media).tobytes() == payload
-
-
-def test_fast_path_agrees_with_pixel_by_pixel():
-    data = webp.encode_image(np.frombuffer(webp.payload_of("plain täxt ".encode() * 99), np.uint8).reshape(-1, 192))[20:]
-    fast = webp.decode_vp8l(data)
-    kept, webp.read_equal = webp.read_equal, None
-    try:
-        bits = webp.BitReader(data)
-        bits.read(8 + 14 + 14 + 1 + 3 + 1 + 1 + 1)
-        codes = [webp.read_prefix(bits, n) for n in (280, 256, 256, 256, 40)]
-        slow = [[c.read(bits) for c in codes[:4]] for _ in range(fast.size)]
-    finally:
-        webp.read_equal = kept
-    assert [[p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24] for p in fast.reshape(-1).tolist()] == slow
+    payload = webp.payload_of(bytes(range(97, 122)) * 2000)
+    assert len(webp.streams_of(both_decoders(payload))) == -(-len(payload) // (192 * webp.MAX_ROWS)) > 5
+
+
+def prose(draw, words):
+    common = [f"{a}{b}" for a in ("th", "an", "wor", "s", "que") for b in ("e", "d", "ld", "tion", "ing")]
+    return " ".join(draw.choice(common) if draw.random() < 0.7 else "".join(draw.choice("etaoinshrdlu") for _ in range(draw.randrange(2, 9))) for _ in range(words))
+
+
+def test_files_use_every_part_and_are_small(monkeypatch):
+    """What the query stores has codes of unlike lengths, back-references, cache symbols and palettes."""
+    seen, kinds = Counter(), Counter()
+    read = webp.Prefix.read
+
+    def counted(self, bits):
+        symbol = read(self, bits)
+        if len(self.lengths) >= 280:
+            seen["literal" if symbol < 256 else "copy" if symbol < 280 else "cache"] += 1
+            kinds[len({n for n in self.lengths if n})] += 1
+        return symbol
+
+    monkeypatch.setattr(webp.Prefix, "read", counted)
+    palettes = []
+    invert = webp.invert_palette
+    monkeypatch.setattr(webp, "invert_palette", lambda *a: palettes.append(a[3]) or invert(*a))
+    draw = random.Random(1)
+    texts = [prose(draw, draw.randrange(1, 900)) for _ in range(30)] + ["", "one line of it again and again\n" * 40, "ab" * 500]
+    payloads = [webp.payload_of(t.encode()) for t in texts]
+    media = [both_decoders(p) for p in payloads]
+    assert min(seen["literal"], seen["copy"], seen["cache"]) > 200
+    assert sum(n for k, n in kinds.items() if k > 3) > 1000
+    assert {p for p in palettes} >= {0, 3} and len(palettes) >= 3
+    # Six bits a byte is what packing the letters would take.
+    assert sum(map(len, media)) < 0.6 * sum(map(len, payloads))
+    assert webp.encode_payloads(payloads) == [webp.encode_payloads([p])[0] for p in payloads]
+
+
+def test_code_lengths_are_the_best_within_the_limit():
+    draw = np.random.default_rng(3)
+    counts = draw.geometric(0.02, (40, 60)) * draw.integers(0, 2, (40, 60))
+    counts[0], counts[1] = 0, 0
+    counts[0, 7], counts[1, :12] = 5, [2**k for k in range(12)]
+    counts[2, :2] = 0
+    got = webp_batch.code_lengths(counts, 9)
+    for row, own in zip(counts.tolist(), got.tolist()):
+        used = {s: n for s, n in enumerate(row) if n}
+        assert {s for s, n in enumerate(own) if n} == set(used) and max(own) <= 9
+        if len(used) > 1:
+            assert sum(2.0**-n for n in own if n) == 1
+            best = code_lengths(used, 60)
+            if max(best) <= 9:
+                assert sum(row[s] * own[s] for s in used) == sum(row[s] * best[s] for s in used)
+
+
+def test_damaged_streams_are_refused():
+    payload = webp.payload_of(prose(random.Random(2), 300).encode())
+    (media,) = webp.encode_payloads([payload])
+    (data,) = webp.streams_of(media)
+    for cut in (3, 30, len(data) // 2, len(data) - 3):
+        for decode in (webp.decode_vp8l, lambda d: webp.decode_streams([d])):
+            with pytest.raises(ValueError):
+                decode(data[:cut])
+    for cut in (1, 19, 40):
+        with pytest.raises(ValueError):
+            webp.streams_of(media[:-cut])
+    with pytest.raises(ValueError):
+        webp.streams_of(b"JUNK" + media[4:])
+
+    def header(w):
+        for value, n in ((0x2F, 8), (3, 14), (0, 14), (1, 4), (0, 1), (0, 1), (0, 1)):
+            w.write(value, n)
+
+    before, empty = BitWriter(), BitWriter()
+    header(before)  # the only green symbol is a copy of one pixel, which nothing stands before
+    put_code(before, [0] * 256 + [1, 1] + [0] * 22)
+    for symbol in (0, 0, 255, 0):
+        before.write(0b101 | symbol << 3, 11)
+    before.write(0, 64)
+    header(empty)
+    put_code_plain(empty, [0] * 280)
+    empty.write(0, 400)
+    for w in (before, empty):
+        for decode in (webp.decode_vp8l, lambda d: webp.decode_streams([d])):
+            with pytest.raises(ValueError):
+                decode(w.bytes())
+
+
+def put_code_plain(w, lengths):
+    """Lengths of 4 bits each, whatever they are."""
+    w.write(0, 1)
+    w.write(15, 4)
+    for s in webp.LENGTH_ORDER:
+        w.write(4 if s < 16 else 0, 3)
+    w.write(0, 1)
+    for n in lengths:
+        w.write(int(f"{n:04b}"[::-1], 2), 4)
+
+
+def test_pixels_of_stored_media(docs_of, odd_rows):
+    table = webp.stored_media(docs_of(odd_rows))
+    got = webp.pixel_table(table).orderBy("doc_id", "image").collect()
+    text = "a b c d e f g h i j " * 4000
+    own = [r for r in got if r.doc_id == 5]
+    assert [r.image for r in own] == list(range(len(own))) and all(r.width == 64 and r.height * 64 == len(r.pixels) for r in own)
+    pixels = np.array([p for r in own for p in r.pixels], np.int32).view(np.uint32)
+    assert webp.samples_of([pixels.reshape(-1, 64)]).tobytes() == webp.payload_of(text.encode())
 
 
 def test_query_on_odd_rows(docs_of, odd_rows):
