@@ -18,7 +18,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +34,7 @@ MAX_ORDER = 4
 
 def features_of(texts: pa.Array):
     """The sorted feature places of each text of a string array, which is worked off in slices."""
-    for at, n in text_slices(texts):
+    for at, n in text_slices(texts, most=1 << 18):
         yield from _features(texts.slice(at, n))
 
 
@@ -62,7 +61,7 @@ def _features(texts: pa.Array):
                 flags[HASHED + k] = longest >= n
             for k, n in enumerate(SHARES):
                 flags[HASHED + len(RUNS) + k] = total * n >= wb - wa
-        found = np.flatnonzero(flags)
+        found = np.flatnonzero(flags).astype(np.int32)
         yield found
         flags[found] = False
 
@@ -119,7 +118,7 @@ def calibrate(margin: np.ndarray, label: np.ndarray, share: float) -> tuple[floa
     return float(beta[0]), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 8192, blocks: int = 4, cost: float = 0.01, epochs: int = 10) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 8192, blocks: int = 8, cost: float = 0.01, epochs: int = 10) -> QualityModel:
     """Learn from labelled rows; which rows may be learned from is the caller's filter on ``labels``."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     usable = usable.groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -135,33 +134,37 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     sample = stored(rows.withColumn("block", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks))).cast("int")), "labelled")
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+    def column(block: pa.Table, name: str) -> pa.Array:
+        return block.column(name).combine_chunks()
+
+    def count(block: pa.Table) -> pa.Table:
         totals = np.zeros((2, SIZE), np.int32)
-        for x, y in zip(features_of(pa.array(pdf.text, pa.large_string())), pdf.y):
+        for x, y in zip(features_of(column(block, "text")), block.column("y").to_pylist()):
             totals[y, x] += 1
-        return pd.DataFrame({"block": [pdf.block[0]], "counts": [totals.tobytes()], "n": [len(pdf)]})
+        return pa.table({"block": block.column("block")[:1], "counts": pa.array([totals.tobytes()], pa.binary())})
 
-    counted = sample.groupBy("block").applyInPandas(count, "block int, counts binary, n long").collect()
+    counted = sample.groupBy("block").applyInArrow(count, "block int, counts binary").collect()
     if not counted:
         return flat
     totals = sum(np.frombuffer(r.counts, np.int32).reshape(2, SIZE).astype(np.float64) for r in counted) + 1
     ratio = np.log(totals[1] / totals[1].sum()) - np.log(totals[0] / totals[0].sum())
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(features_of(pa.array(pdf.text, pa.large_string())))
-        y = pdf.y.to_numpy()
+    def train(block: pa.Table) -> pa.Table:
+        block = block.sort_by("doc_id")  # the descent's order must not depend on how rows arrive
+        rows = list(features_of(column(block, "text")))
+        y = column(block, "y").to_numpy()
         w, bias = descend(rows, np.where(y == 1, 1.0, -1.0), ratio, np.full(len(y), cost), epochs)
-        return pd.DataFrame({"block": [pdf.block[0]], "w": [w.astype(np.float32).tobytes()], "bias": [bias]})
+        return pa.table({"block": block.column("block")[:1], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias])})
 
-    fitted = {r.block: (np.frombuffer(r.w, np.float32), r.bias) for r in sample.groupBy("block").applyInPandas(train, "block int, w binary, bias double").collect()}
+    fitted = {r.block: (np.frombuffer(r.w, np.float32), r.bias) for r in sample.groupBy("block").applyInArrow(train, "block int, w binary, bias double").collect()}
     mean = lambda parts: (np.mean([p[0] for p in parts], axis=0), float(np.mean([p[1] for p in parts])))
     others = {b: mean([p for c, p in fitted.items() if c != b] or [fitted[b]]) for b in fitted}
 
-    def margins(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, bias = others[int(pdf.block[0])]
-        return pd.DataFrame({"y": pdf.y, "m": [float(w[x].sum()) + bias for x in features_of(pa.array(pdf.text, pa.large_string()))]})
+    def margins(block: pa.Table) -> pa.Table:
+        w, bias = others[block.column("block")[0].as_py()]
+        return pa.table({"y": block.column("y"), "m": pa.array([float(w[x].sum()) + bias for x in features_of(column(block, "text"))], pa.float64())})
 
-    seen = sample.groupBy("block").applyInPandas(margins, "y int, m double").toPandas()
+    seen = sample.groupBy("block").applyInArrow(margins, "y int, m double").toPandas()
     weights, bias = mean([fitted[b] for b in sorted(fitted)])
     # sorted: sums of the calibration must not depend on the order in which tasks end
     seen = seen.sort_values(["y", "m"])

@@ -72,3 +72,52 @@ def test_descent_separates():
     rows = [np.array([0, 2]), np.array([1, 2]), np.array([0]), np.array([1])]
     w, bias = quality.descend(rows, np.array([1.0, -1, 1, -1]), np.ones(quality.SIZE), np.full(4, 1.0), 200)
     assert [w[x].sum() + bias > 0 for x in rows] == [True, False, True, False]
+
+
+def test_descent_finds_the_dual_optimum():
+    """Against projected gradient steps on the dual with its matrix written out."""
+    draw = np.random.default_rng(3)
+    rows = [np.sort(draw.choice(12, draw.integers(1, 6), replace=False)).astype(np.int32) for _ in range(40)]
+    sign, ratio = draw.choice([-1.0, 1.0], 40), draw.normal(size=quality.SIZE)
+    cost = np.full(40, 0.3)
+    x = np.zeros((40, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r]
+    x[:, 12] = 1  # the intercept is a feature like any other
+    q = (sign[:, None] * x) @ (sign[:, None] * x).T
+    alpha = np.zeros(40)
+    for _ in range(200_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    w = (alpha * sign) @ x
+    got, bias = quality.descend(rows, sign, ratio, cost, 20_000)
+    assert np.allclose(got[:12], w[:12] * ratio[:12], atol=1e-3) and abs(bias - w[12]) < 1e-3
+
+
+def test_ratios_and_scores_by_brute_force(spark, docs_of, monkeypatch):
+    """One block: ratios from counted documents, the descent on them, and the score of every text."""
+    rows, marks = corpus(60)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    seen = {}
+    descend = quality.descend
+    monkeypatch.setattr(quality, "calibrate", lambda margin, label, share: seen.update(n=len(margin)) or (1.0, 0.0))
+    model = quality.fit(docs_of(rows), labels, blocks=1, epochs=30)
+    texts = [t for _, t in rows]
+    sets = list(quality.features_of(pa.array(texts)))
+    y = np.array([q for _, q, _ in marks])
+    counts = np.ones((2, quality.SIZE))
+    for s, label in zip(sets, y):
+        counts[label, s] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    w, bias = descend(sets, np.where(y == 1, 1.0, -1.0), ratio, np.full(60, 0.01), 30)
+    assert seen["n"] == 60 and np.allclose(model.weights, w, atol=1e-4) and abs(model.bias - bias) < 1e-6
+    got = {r.doc_id: r.quality_score for r in quality.score(docs_of(rows), model).collect()}
+    for (i, _), s in zip(rows, sets):
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.weights[s].sum() + model.bias)))) < 1e-9
+
+
+def test_many_rows_of_one_id(spark, docs_of):
+    draw = random.Random(5)
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    for i in (None, 7):
+        rows = [(i, f"t{draw.randrange(10**6)}") for _ in range(3000)] + [(8, "low"), (9, "high")]
+        assert quality.quality_table(docs_of(rows), labels).count() == len(rows)
