@@ -79,8 +79,11 @@ def merge_verdicts(sources: list[DataFrame], key: str = "merchant") -> DataFrame
     return first_seen_wins(every, key, [F.col("source_rank").desc(), "verdict"])
 
 
-def promotable(gold: DataFrame, known: DataFrame, rails: str, mechanism_leaves: list[str]) -> DataFrame:
-    """Gold merchants fit for the dictionary: one leaf, no generic payment rail, no mechanism leaf, not known yet."""
-    one = gold.groupBy("merchant").agg(F.countDistinct("gold_leaf").alias("n"), F.min("gold_leaf").alias("leaf")).where("n = 1").drop("n")
+def promotable(gold: DataFrame, known: DataFrame, rails: str, mechanism_leaves: list[str], order: str = "row_no") -> DataFrame:
+    """Gold merchants fit for the dictionary: one leaf, a reviewer's note, no generic payment rail, no mechanism leaf,
+    not known yet.  The first note by ``order`` goes along."""
+    said = F.when(F.trim(F.coalesce("notes", F.lit(""))) != "", F.struct(order, "notes"))
+    one = gold.groupBy("merchant").agg(F.countDistinct("gold_leaf").alias("n"), F.min("gold_leaf").alias("leaf"), F.min(said)["notes"].alias("notes"))
+    one = one.where("n = 1 and notes is not null").drop("n")
     fit = one.where(~F.col("merchant").rlike(rails) & ~F.col("leaf").isin(mechanism_leaves))
     return fit.join(known.select("merchant"), "merchant", "left_anti")

@@ -52,7 +52,7 @@ def tiebreak(gated: DataFrame, taxonomy: DataFrame, risky_generals: list[str]) -
     With three different leaves: one shared general category accepts the second leaf, mixed risk stays under review
     (with the second leaf, which may be blank), anything else abstains.
     """
-    meta = F.broadcast(taxonomy.select(F.col("leaf").alias("_l"), "general", ((F.col("general").isin(risky_generals)) | (F.col("is_priority") == "true") | (F.col("is_age") == "true") | (F.col("is_debt") == "true")).alias("risk_flag")))
+    meta = taxonomy.select(F.col("leaf").alias("_l"), "general", ((F.col("general").isin(risky_generals)) | (F.col("is_priority") == "true") | (F.col("is_age") == "true") | (F.col("is_debt") == "true")).alias("risk_flag"))
     for n in "abc":
         gated = gated.join(meta.withColumnsRenamed({"general": f"g_{n}", "risk_flag": f"r_{n}"}), F.col(f"leaf_{n}") == F.col("_l"), "left").drop("_l")
     third = (F.col("tier") == "needs_review") & _said("leaf_c")
@@ -77,28 +77,39 @@ def fold_verdicts(labels: DataFrame, verdicts: DataFrame) -> DataFrame:
     v = verdicts.where("verdict <> ''").select("merchant", "verdict", "correct_leaf")
     df = labels.join(v, "merchant", "left")
     turn = (F.col("tier") == "needs_review") & F.col("verdict").isNotNull()
-    leaf = F.when(F.col("verdict") == "first", F.col("leaf_a")).when(F.col("verdict") == "second", F.col("leaf_b")).when(F.col("verdict") == "other", F.col("correct_leaf"))
+    leaf = F.when(F.col("verdict").isin("agreed", "first"), F.col("leaf_a")).when(F.col("verdict") == "second", F.col("leaf_b")).when(F.col("verdict") == "other", F.col("correct_leaf"))
     tier = F.when(F.col("verdict") == "context_dependent", "context_dependent").when(F.col("verdict") == "unsure", "abstain_human").otherwise("human_reviewed")
-    return df.withColumns({"final_leaf": F.when(turn & F.col("verdict").isin("first", "second", "other"), F.coalesce(leaf, F.lit(""))).when(turn, RESIDUAL).otherwise(F.col("final_leaf")), "tier": F.when(turn, tier).otherwise(F.col("tier"))}).drop("verdict", "correct_leaf")
+    return df.withColumns({"final_leaf": F.when(turn & F.col("verdict").isin("agreed", "first", "second", "other"), F.coalesce(leaf, F.lit(""))).when(turn, RESIDUAL).otherwise(F.col("final_leaf")), "tier": F.when(turn, tier).otherwise(F.col("tier"))}).drop("verdict", "correct_leaf")
+
+
+#: Verdicts that give a gold leaf.
+SCORING = ("agreed", "first", "second", "other", "unclassifiable")
 
 
 def verdict_to_gold(aligned: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """A gold leaf of every scoring verdict (first, second, other); the rest is left out."""
+    """A gold leaf of every scoring verdict; where nothing can be known, abstaining is the right answer."""
     df = aligned.join(verdicts, "merchant")
-    leaf = F.when(F.col("verdict") == "first", F.col("leaf_a")).when(F.col("verdict") == "second", F.col("leaf_b")).when(F.col("verdict") == "other", F.col("correct_leaf"))
+    said = F.col("verdict")
+    leaf = F.when(said.isin("agreed", "first"), F.col("leaf_a")).when(said == "second", F.col("leaf_b")).when(said == "other", F.col("correct_leaf")).when(said == "unclassifiable", RESIDUAL)
     return df.withColumn("gold_leaf", leaf).where("gold_leaf <> ''").select("merchant", "gold_leaf", F.col("verdict").alias("gold_source"))
 
 
+def excluded_verdicts(verdicts: DataFrame) -> DataFrame:
+    """How many verdicts give no gold leaf, by verdict; a missing one counts as blank."""
+    said = F.when(F.coalesce("verdict", F.lit("")) == "", "blank").otherwise(F.col("verdict"))
+    return verdicts.withColumn("verdict", said).where(~F.col("verdict").isin(*SCORING)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 def corrected_accuracy(classed: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Share of agreed rows that are right once humans have judged the wrong ones, with bounds for those unjudged.
 
-    ``first`` and ``second`` verdicts confirm the agreed leaf; context-dependent rows leave the denominator.
+    ``agreed``, ``first`` and ``second`` verdicts confirm the agreed leaf; context-dependent rows leave the denominator.
     """
     df = classed.where("consensus <> 'disagree'").join(verdicts.select("merchant", "verdict"), "merchant", "left")
     wrong = F.col("consensus") == "agree_wrong"
     out = df.agg(
         F.count_if(~wrong).alias("right"),
-        F.count_if(wrong & F.col("verdict").isin("first", "second")).alias("confirmed"),
+        F.count_if(wrong & F.col("verdict").isin("agreed", "first", "second")).alias("confirmed"),
         F.count_if(wrong & (F.col("verdict") == "context_dependent")).alias("excluded"),
         F.count_if(wrong & F.coalesce(F.col("verdict").isin("", "unsure"), F.lit(True))).alias("open"),
         F.count("*").alias("rows"),
@@ -123,7 +134,7 @@ def new_entries(verdicts: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def pairwise_agreement(a: DataFrame, b: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Keys both labelled, and the shares of equal leaves and equal general categories."""
-    general = F.broadcast(taxonomy.select("leaf", "general"))
+    general = taxonomy.select("leaf", "general")
     one = a.where("llm_leaf <> ''").select("merchant", F.col("llm_leaf").alias("leaf")).join(general, "leaf", "left").withColumnsRenamed({"leaf": "l1", "general": "g1"})
     two = b.where("llm_leaf <> ''").select("merchant", F.col("llm_leaf").alias("leaf")).join(general, "leaf", "left").withColumnsRenamed({"leaf": "l2", "general": "g2"})
     same = lambda x, y: F.round(F.avg(F.expr(f"{x} <=> {y}").cast("int")), 6)
@@ -138,7 +149,7 @@ def accept_agreed(aligned: DataFrame, target: str) -> DataFrame:
 
 def apply_review(rows: DataFrame, verdicts: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Reviewed rows as gold, blank or invalid, counted."""
-    df = rows.join(verdicts, "merchant", "left").join(F.broadcast(taxonomy.select(F.col("leaf").alias("correct_leaf"), F.lit(1).alias("_k"))), "correct_leaf", "left")
+    df = rows.join(verdicts, "merchant", "left").join(taxonomy.select(F.col("leaf").alias("correct_leaf"), F.lit(1).alias("_k")), "correct_leaf", "left")
     kind = F.when(F.coalesce("correct_leaf", F.lit("")) == "", "blank").when(F.col("_k").isNull(), "invalid").otherwise("gold")
     return df.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
 
@@ -168,4 +179,4 @@ def reconcile(batch: DataFrame, answers: DataFrame) -> DataFrame:
 
 def leaf_from_index(answers: DataFrame, leaf_numbers: DataFrame) -> DataFrame:
     """Leaves of 1-based places in the sorted list of leaves; places out of range drop out."""
-    return answers.join(F.broadcast(leaf_numbers.withColumn("place", F.col("leaf_no") + 1)), "place").select("merchant", "leaf")
+    return answers.join(leaf_numbers.withColumn("place", F.col("leaf_no") + 1), "place").select("merchant", "leaf")

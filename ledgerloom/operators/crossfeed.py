@@ -18,7 +18,7 @@ def with_risk(df: DataFrame, taxonomy: DataFrame, risky_generals: list[str], lea
     """Whether a leaf is risky: by general category, priority debt, age restriction or debt; an unknown leaf is not."""
     flags = (F.col("general").isin(risky_generals)) | (F.col("is_priority") == "true") | (F.col("is_age") == "true") | (F.col("is_debt") == "true")
     known = taxonomy.select(F.col("leaf").alias("_leaf"), flags.alias("_risky"))
-    return df.join(F.broadcast(known), F.col(leaf) == F.col("_leaf"), "left").withColumn("risky", F.coalesce("_risky", F.lit(False))).drop("_leaf", "_risky")
+    return df.join(known, F.col(leaf) == F.col("_leaf"), "left").withColumn("risky", F.coalesce("_risky", F.lit(False))).drop("_leaf", "_risky")
 
 
 def keys_in(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -117,15 +117,37 @@ def ground_truth_counts(agreed: DataFrame, mechanisms: list[str]) -> DataFrame:
 
 
 def per_applicant(df: DataFrame) -> DataFrame:
-    """Applicants, and the mean, greatest and least number of their transactions."""
-    each = df.groupBy("applicant").agg(F.count("*").alias("n"))
-    return each.agg(F.count("*").alias("applicants"), F.round(F.avg("n"), 4).alias("mean"), F.max("n").alias("most"), F.min("n").alias("least"))
+    """Applicants, and the mean, greatest, least, median and high percentiles of their numbers of transactions.
+
+    The percentiles are over counts of counts, a table of as many rows as there are different numbers.
+    """
+    each = df.groupBy("applicant").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("k"))
+    marks = F.percentile("n", [0.5, 0.9, 0.95, 0.99], F.col("k"))
+    out = each.agg(F.sum("k").alias("applicants"), F.round(F.sum(F.col("n") * F.col("k")) / F.sum("k"), 4).alias("mean"), F.max("n").alias("most"), F.min("n").alias("least"), marks.alias("_p"))
+    return out.select("applicants", "mean", "most", "least", *[F.round(F.col("_p")[i], 4).alias(c) for i, c in enumerate(("median", "p90", "p95", "p99"))])
 
 
-def source_match(feed: DataFrame, predicates: DataFrame) -> DataFrame:
-    """Transactions of each parsed source: two equi joins, one by sub and one by primary category."""
-    subs, pris = (F.broadcast(predicates.where(F.col("kind") == k).select("value", "leaf")) for k in ("sub", "pri"))
-    return feed.join(subs, F.col("sub") == F.col("value")).unionByName(feed.join(pris, F.col("pri") == F.col("value")))
+def source_match(feed: DataFrame, predicates: DataFrame, compounds: DataFrame | None = None) -> DataFrame:
+    """Transactions of each parsed source, by equi joins: on sub, on primary category, and for compound sources on both.
+
+    A compound source (``leaf, pri, subs``) may leave either side out, which then is any; its value is ``pri + sub``.
+    """
+    subs, pris = (predicates.where(F.col("kind") == k).select("value", "leaf") for k in ("sub", "pri"))
+    out = feed.join(subs, F.col("sub") == F.col("value")).unionByName(feed.join(pris, F.col("pri") == F.col("value")))
+    if compounds is None:
+        return out
+    each = compounds.select("leaf", F.col("pri").alias("_p"), F.explode_outer(F.array_distinct("subs")).alias("_s")).distinct()
+    each = each.withColumn("value", F.concat_ws(" + ", "_p", "_s"))
+    both, left, right = each.where("_p is not null and _s is not null"), each.where("_p is not null and _s is null"), each.where("_p is null and _s is not null")
+    hits = feed.join(both, (F.col("pri") == F.col("_p")) & (F.col("sub") == F.col("_s")))
+    for side, on in ((left, F.col("pri") == F.col("_p")), (right, F.col("sub") == F.col("_s"))):
+        hits = hits.unionByName(feed.join(side, on))
+    return out.unionByName(hits.drop("_p", "_s"))
+
+
+def label_rows(df: DataFrame, labels: DataFrame, key: str = "merchant", label: str = "leaf") -> DataFrame:
+    """Transactions with the label of their key; those without one are left out."""
+    return df.join(labels.where(F.col(label).isNotNull()).select(key, label), key)
 
 
 def prefer(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

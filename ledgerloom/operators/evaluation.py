@@ -8,12 +8,29 @@ from pyspark.sql import functions as F
 
 def with_generals(df: DataFrame, taxonomy: DataFrame, *leaf_cols: str) -> DataFrame:
     """``<col>_general`` of each leaf column; null for unknown leaves."""
-    meta = F.broadcast(taxonomy.select(F.col("leaf").alias("_l"), F.col("general").alias("_g")))
+    meta = taxonomy.select(F.col("leaf").alias("_l"), F.col("general").alias("_g"))
     for c in leaf_cols:
         df = df.join(meta.withColumnRenamed("_g", f"{c}_general"), F.col(c) == F.col("_l"), "left").drop("_l")
     return df
 
 
+def gold_with_pred(gold: DataFrame, preds: DataFrame, key: str = "merchant", pred: str = "pred") -> DataFrame:
+    """Gold rows with their prediction; rows that have none are left out."""
+    return gold.join(preds.where(F.col(pred).isNotNull()), key)
+
+
+def score_votes(votes: DataFrame, gold: DataFrame, taxonomy: DataFrame, *by: str, pred: str = "leaf", other: str = "alt_leaf") -> DataFrame:
+    """Accuracy of voted leaves over gold merchants at leaf and general level; an alternative leaf counts as right.
+
+    A right leaf is right at general level too.  With ``by``, for each value of those columns.
+    """
+    rows = with_generals(gold_with_pred(gold, votes.withColumnRenamed(pred, "pred")), taxonomy, "pred", "gold_leaf")
+    alt = (F.coalesce(other, F.lit("")) != "") & (F.col("pred") == F.col(other))
+    rows = rows.withColumn("_leaf", (F.col("pred") == F.col("gold_leaf")) | F.coalesce(alt, F.lit(False)))
+    general = F.col("_leaf") | F.col("pred_general").eqNullSafe(F.col("gold_leaf_general"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), _share(F.col("_leaf")).alias("leaf_accuracy"), _share(general).alias("general_accuracy"))
+
+
 def _share(c: Column) -> Column:
     return F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
 

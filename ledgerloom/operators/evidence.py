@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.tables import stable_ids
+
 
 def top_k_counts(df: DataFrame, key: str, col: str, k: int) -> DataFrame:
     """``key, value, n, rank``: the k most frequent values of each key, null counting as one; ties by value, null last."""
@@ -13,9 +15,25 @@ def top_k_counts(df: DataFrame, key: str, col: str, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def credit_and_median(df: DataFrame, key: str) -> DataFrame:
+    """Credit share and exact median absolute amount of each key.
+
+    Amounts are counted first; the counts run over each key's amounts in order, which spills where a key is hot.
+    """
+    credit = F.count_if(F.col("direction") == "credit")
+    counts = df.groupBy(key, F.abs("amount").alias("v")).agg(F.count("*").alias("n"), credit.alias("c"))
+    whole = Window.partitionBy(key)
+    upto = F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).over(whole)
+    run = counts.withColumns({"upto": upto, "total": total})
+    at = lambda place: F.max(F.when(F.col("v").isNotNull() & (place < F.col("upto")) & (place >= F.col("upto") - F.col("n")), F.col("v")))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    return run.groupBy(key).agg(F.round(F.sum("c") / F.sum("n"), 2).alias("pct_credit"), F.round((at(low) + at(high)) / 2, 4).alias("median_amount"))
+
+
 def evidence(feed_b: DataFrame) -> DataFrame:
     """Credit share, median absolute amount, top 2 categories and top 3 narratives of each merchant ``m``."""
-    base = feed_b.groupBy("m").agg(F.round(F.avg((F.col("direction") == "credit").cast("int")), 2).alias("pct_credit"), F.round(F.percentile(F.abs("amount"), 0.5), 4).alias("median_amount"))
+    base = credit_and_median(feed_b, "m")
     listed = lambda c, k: top_k_counts(feed_b, "m", c, k).groupBy("m").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("_l")).select("m", F.transform("_l", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias("found"))
     return base.join(listed("cat", 2).withColumnRenamed("found", "cats"), "m").join(listed("description_raw", 3).withColumnRenamed("found", "descs"), "m")
 
@@ -26,19 +44,24 @@ def render_evidence(df: DataFrame, col: str, trim: int = 70) -> DataFrame:
     return df.withColumn(f"{col}_text", text)
 
 
-def category_mix(df: DataFrame, key: str, col: str, k: int) -> DataFrame:
+def category_mix(df: DataFrame, key: str, col: str, k: int, between: str = ", ") -> DataFrame:
     """The k largest categories of each key with their share in percent, as one text."""
     whole = Window.partitionBy(key)
     counts = df.groupBy(key, col).agg(F.count("*").alias("n"))
     counts = counts.withColumns({"total": F.sum("n").over(whole), "rank": F.row_number().over(whole.orderBy(F.col("n").desc(), F.col(col).asc_nulls_last()))}).where(F.col("rank") <= k)
     part = F.concat(F.coalesce(F.col(col), F.lit("n/a")), F.lit(" "), F.round(100 * F.col("n") / F.col("total"), 0).cast("int").cast("string"), F.lit("%"))
     out = counts.select(key, F.struct("rank", part.alias("part")).alias("p")).groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return out.select(key, F.array_join(F.transform("ps", lambda x: x["part"]), ", ").alias("mix"))
+    return out.select(key, F.array_join(F.transform("ps", lambda x: x["part"]), between).alias("mix"))
+
+
+def native_share(df: DataFrame, key: str, col: str, k: int = 2) -> DataFrame:
+    """The provider's own k largest categories of each key with their share."""
+    return category_mix(df, key, col, k, " · ").withColumnRenamed("mix", "native")
 
 
 def render_requests(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """Numbered request lines in batches of ``n`` rows: ``batch, request``."""
-    rows = df.withColumn("_rn", F.row_number().over(Window.orderBy(*order)) - 1)
+    rows = stable_ids(df, order, -1).withColumnRenamed("row_id", "_rn")
     line = F.concat((F.col("_rn") % n + 1).cast("string"), F.lit(". "), F.coalesce("merchant", F.lit("n/a")))
     each = rows.select(F.floor(F.col("_rn") / n).alias("batch"), F.struct((F.col("_rn") % n).alias("i"), line.alias("line")).alias("l"))
     return each.groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("request"))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer, MinHashLSH
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.textml import char_wb_ngrams
-
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct keys of both sides and of their intersection."""
@@ -28,17 +25,46 @@ def new_values(feed: DataFrame, col: str, ts: str, since: str) -> DataFrame:
     return late.select(col).distinct().join(early.select(col).distinct(), col, "left_anti")
 
 
-def fuzzy_match(raw: DataFrame, canonical: DataFrame, most: float = 0.6, edits: int = 4) -> DataFrame:
-    """The nearest canonical name of each raw one: MinHash buckets of character n-grams propose, edit distance decides.
+def _start(length: Column, i: Column, parts: int) -> Column:
+    """First character (from 1) of the i-th of ``parts`` even segments of a text of the length; the last ones are longer."""
+    short, longer = F.floor(length / parts), length % parts
+    return ((i - 1) * short + F.greatest(F.lit(0), i - 1 - (parts - longer)) + 1).cast("int")
+
+
+def _segments(name: Column, edits: int) -> Column:
+    """(length, number, text) of the ``edits`` + 1 even segments of a name."""
+    n, parts = F.length(name), edits + 1
+    one = lambda i: F.struct(n.alias("n"), i.alias("i"), name.substr(_start(n, i, parts), _start(n, i + 1, parts) - _start(n, i, parts)).alias("s"))
+    return F.transform(F.sequence(F.lit(1), F.lit(parts)), one)
+
+
+def _probes(name: Column, edits: int) -> Column:
+    """(length, number, text) of the parts of a name that a segment of a name within so many edits may equal.
+
+    If two names are within the edits, one segment of the one stands whole in the other, at a place that the edits before
+    it and after it allow.
+    """
+    m, parts = F.length(name), edits + 1
+
+    def of(n: Column, i: Column) -> Column:
+        start, length, more = _start(n, i, parts), _start(n, i + 1, parts) - _start(n, i, parts), m - n
+        low = F.greatest(F.lit(1), start + F.greatest(1 - i, more - (parts - i)))
+        high = F.least(m - length + 1, start + F.least(i - 1, more + (parts - i)))
+        found = F.transform(F.sequence(low, high), lambda p: F.struct(n.alias("n"), i.alias("i"), name.substr(p, length).alias("s")))
+        return F.when(low <= high, found).otherwise(F.expr("cast(array() as array<struct<n: int, i: int, s: string>>)"))
+
+    lengths = F.sequence(F.greatest(F.lit(0), m - edits), m + edits)
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda i: of(n, i))))))
+
+
+def fuzzy_match(raw: DataFrame, canonical: DataFrame, edits: int = 4) -> DataFrame:
+    """``raw, canonical, edits``: the nearest canonical name of each raw one within ``edits``; ties go to the lesser name.
 
-    Every name has one n-gram more, its start, so that no vector is empty (MinHash takes none).
+    Candidates share a segment of the canonical name at a fitting place, so none is missed; the edit distance decides.
     """
-    grams = lambda df: df.select(F.col(df.columns[0]).alias("name"), F.array_append(char_wb_ngrams(F.col(df.columns[0]), 2, 3), "^").alias("grams"))
-    a, b = grams(raw), grams(canonical)
-    counter = CountVectorizer(inputCol="grams", outputCol="v", binary=True).fit(a.union(b))
-    a, b = counter.transform(a), counter.transform(b)
-    lsh = MinHashLSH(inputCol="v", outputCol="h", numHashTables=6, seed=1).fit(b)
-    pairs = lsh.approxSimilarityJoin(a, b, most, "d")
-    pairs = pairs.select(F.col("datasetA.name").alias("raw"), F.col("datasetB.name").alias("canonical"))
+    names = lambda df, out: df.select(F.col(df.columns[0]).alias(out)).where(F.col(out).isNotNull()).distinct()
+    left = names(raw, "raw").select("raw", F.explode(_probes(F.col("raw"), edits)).alias("k"))
+    right = names(canonical, "canonical").select("canonical", F.explode(_segments(F.col("canonical"), edits)).alias("k"))
+    pairs = left.join(right, "k").select("raw", "canonical").distinct()
     pairs = pairs.withColumn("edits", F.levenshtein("raw", "canonical")).where(F.col("edits") <= edits)
     return pairs.groupBy("raw").agg(F.min(F.struct("edits", "canonical")).alias("m")).select("raw", "m.canonical", "m.edits")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.scalars import draw_key
 
 
-def percent_sample(df: DataFrame, pct: float, seed: int) -> DataFrame:
-    """Each row with a chance of ``pct`` percent."""
-    return df.sample(fraction=pct / 100, seed=seed)
+def percent_sample(df: DataFrame, pct: float, seed: int, *key: str) -> DataFrame:
+    """Each row with a chance of ``pct`` percent, by the draw of its key, however the rows are partitioned."""
+    return df.where(uniform(seed, *map(F.col, key)) < pct / 100)
 
 
 def cap_per_group(df: DataFrame, group: str | list[str], n: int, seed: int, *key: str) -> DataFrame:
@@ -26,6 +26,23 @@ def one_per_key(df: DataFrame, key: str, seed: int, *tie: str) -> DataFrame:
     return cap_per_group(df, key, 1, seed, *tie)
 
 
+def least_drawn(keys: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """The ``n`` keys of least draw, a share of all: whole ranges of draws, and the first rows of one range.
+
+    Draws are counted by their first three digits (4,096 ranges); only within the range where the number is reached
+    are keys put in order.
+    """
+    drawn = keys.select(key, draw_key(seed, F.col(key)).alias("_d")).withColumn("_b", F.substring("_d", 1, 3))
+    left, last = n, "zzz"
+    for r in drawn.groupBy("_b").agg(F.count("*").alias("n")).orderBy("_b").collect():
+        if r.n > left:
+            last = r._b
+            break
+        left -= r.n
+    within = drawn.where(F.col("_b") == last).orderBy("_d", key).limit(left)
+    return drawn.where(F.col("_b") < last).unionByName(within).select(key)
+
+
 def random_n(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     return df.orderBy(draw_key(seed, *map(F.col, key)), *key).limit(n)
 
@@ -86,11 +103,11 @@ def split_quota(n: int, ratio: float) -> tuple[int, int]:
 def merchant_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """``split``: validation for a drawn share of the keys (at least one), train for the rest; no key is in both.
 
-    The rank is over distinct keys, and its window is one sort of those.
+    The rank is over distinct keys.
     """
     keys = df.select(key).distinct()
     held = max(1, math.floor(keys.count() * fraction))
-    chosen = random_n(keys, held, seed, key).withColumn("_v", F.lit(1))
+    chosen = least_drawn(keys, held, seed, key).withColumn("_v", F.lit(1))
     return df.join(chosen, key, "left").withColumn("split", F.when(F.col("_v") == 1, "validation").otherwise("train")).drop("_v")
 
 
@@ -99,7 +116,7 @@ def holdout(gold: DataFrame, key: str, label: str, fraction: float, seed: int) -
     agreed = gold.groupBy(key).agg((F.countDistinct(label) > 1).alias("conflicting"))
     calm = agreed.where("not conflicting").select(key)
     held = max(1, math.floor(calm.count() * fraction))
-    chosen = random_n(calm, held, seed, key).withColumn("_v", F.lit(1))
+    chosen = least_drawn(calm, held, seed, key).withColumn("_v", F.lit(1))
     out = gold.join(agreed, key).join(chosen, key, "left")
     return out.withColumn("split", F.when(F.col("_v") == 1, "holdout").otherwise("train")).drop("_v")
 

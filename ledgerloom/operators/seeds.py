@@ -12,7 +12,7 @@ def expand_taxonomy(leaves: DataFrame, defaults: DataFrame) -> DataFrame:
     """Each leaf with its general category's defaults where it has no value of its own; absent flags become false, none or blank."""
     d = defaults.select("general", *[F.col(c).alias(f"d_{c}") for c in defaults.columns if c != "general"])
     last = {"necessity": "none", "flow": "none", "is_debt": "false", "is_priority": "false", "is_age": "false", "risk": ""}
-    out = leaves.join(F.broadcast(d), "general", "left")
+    out = leaves.join(d, "general", "left")
     return out.withColumns({c: F.coalesce(c, f"d_{c}", F.lit(v)) for c, v in last.items()}).drop(*[f"d_{c}" for c in last])
 
 
@@ -38,7 +38,7 @@ def parse_compound(taxonomy: DataFrame, col: str = "sources") -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """One deterministic rule; ``exact_set`` searches its words anywhere between word edges."""
+    """One deterministic rule; all kinds but ``regex`` search their words anywhere between word edges; case is ignored."""
 
     rule_id: str
     priority: int
@@ -57,15 +57,15 @@ def active_rules(rules: list[Rule]) -> list[Rule]:
 
 
 def exact_set_match(c: Column, words: str) -> Column:
-    return c.rlike(rf"\b({words})\b")
+    return c.rlike(rf"(?i)\b({words})\b")
 
 
 def rule_matches(rule: Rule, merchant: Column, description: Column, direction: Column) -> Column:
     """Whether a rule fires; a null field never matches."""
     field = merchant if rule.field == "merchant" else description
-    hit = exact_set_match(field, rule.pattern) if rule.kind == "exact_set" else field.rlike(rule.pattern)
+    hit = field.rlike(f"(?i){rule.pattern}") if rule.kind == "regex" else exact_set_match(field, rule.pattern)
     if rule.exclude:
-        hit = hit & ~field.rlike(rule.exclude)
+        hit = hit & ~field.rlike(f"(?i){rule.exclude}")
     if rule.direction != "any":
         hit = hit & (direction == rule.direction)
     return F.coalesce(hit, F.lit(False))

@@ -2,13 +2,12 @@
 
 Production order is direction, compound, mechanism, dictionary, rules, crosswalk, residual.  Evaluation order puts the
 dictionary and the rules before the feed's own category; the two are not the same and both stay.  Lookup tables are
-small user seeds and are joined as ``Seeds`` says: broadcast while they are under ``broadcast_rows`` rows, which is
-counted, and by the planner's choice beyond that.
+user seeds with one row a key; whether they are broadcast is the planner's choice by their size.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,15 +33,10 @@ class Seeds:
     salary_primary: str = "Identified Salary"
     gig_subs: tuple[str, ...] = ("Taxis", "Delivery", "Take Away")
     agency_subs: tuple[str, ...] = ("Recruitment Services", "Employment Agencies")
-    broadcast_rows: int = 1_000_000
-    _sized: dict = field(default_factory=dict)
 
     def lookup(self, df: DataFrame, key: str, leaf: str) -> DataFrame:
-        """A two-column lookup with one row a key, broadcast if its counted size is within the bound."""
-        small = df.select(F.col(df.columns[0]).alias(key), F.col(df.columns[1]).alias(leaf)).groupBy(key).agg(F.min(leaf).alias(leaf))
-        if key not in self._sized:
-            self._sized[key] = df.count() <= self.broadcast_rows
-        return F.broadcast(small) if self._sized[key] else small
+        """A two-column lookup with one row a key."""
+        return df.select(F.col(df.columns[0]).alias(key), F.col(df.columns[1]).alias(leaf)).groupBy(key).agg(F.min(leaf).alias(leaf))
 
     def kind(self, kind: str) -> DataFrame:
         return parse_sources(self.sources_a).where(F.col("kind") == kind).select("value", "leaf")
@@ -147,12 +141,12 @@ def native_from_pair(df: DataFrame, seeds: Seeds, pair: str = "native_category")
 
 def attach_metadata(df: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """General category and flags of each row's leaf, null where the taxonomy lacks it."""
-    return df.join(F.broadcast(taxonomy.drop("sources", "sources_b")), "leaf", "left")
+    return df.join(taxonomy.drop("sources", "sources_b"), "leaf", "left")
 
 
 def tier_report(resolved: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Rows, share of the provider, distinct leaves and rows without metadata for each provider and tier."""
-    known = F.broadcast(taxonomy.select("leaf", F.lit(1).alias("_known")))
+    known = taxonomy.select("leaf", F.lit(1).alias("_known"))
     out = resolved.join(known, "leaf", "left").groupBy("provider", "resolution_tier")
     out = out.agg(F.count("*").alias("n"), F.countDistinct("leaf").alias("distinct_leaves"), F.count_if(F.col("_known").isNull()).alias("leaves_missing_metadata"))
     share = F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("provider")), 2)

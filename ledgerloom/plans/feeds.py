@@ -116,15 +116,35 @@ def p13(fx):
     return X.with_risk(fx.gold.select("merchant", F.col("gold_leaf").alias("leaf")), fx.taxonomy, list(RISKY)).select("merchant", "leaf", "risky")
 
 
-@query("p14_parse_sources", "SELECT CASE WHEN starts_with(entry, 'primary:') THEN 'pri' ELSE 'sub' END AS kind, trim(replace(entry, 'primary:', '')) AS value, leaf, n FROM entries, (SELECT count(*) AS n FROM part) k WHERE NOT contains(entry, '+') AND NOT contains(entry, '|') AND entry <> 'primary:(null)'", entries=MAPS["entries"])
+#: Source lists as a feed's own columns give them: each part names a sub, a primary, a compound, a blank and the null primary.
+PART_SOURCES = """
+SELECT p_name AS leaf, p_brand || '; primary:' || p_type || ' ;; primary:' || p_type || ' + sub:' || p_brand || '|Other; '
+  || CASE WHEN p_partkey % 3 = 0 THEN 'primary:(null)' ELSE p_name || ' ' END AS sources
+FROM {part}
+"""
+
+
+@query(
+    "p14_parse_sources",
+    """
+SELECT kind, value, leaf, count(*) AS n
+FROM (
+  SELECT leaf, CASE WHEN starts_with(entry, 'primary:') THEN 'pri' ELSE 'sub' END AS kind, trim(replace(entry, 'primary:', '')) AS value
+  FROM (SELECT leaf, trim(unnest(string_split(sources, ';'))) AS entry FROM listed) e
+  WHERE entry <> '' AND NOT contains(entry, '+') AND NOT contains(entry, '|') AND entry <> 'primary:(null)'
+) x GROUP BY 1, 2, 3
+""",
+    listed=PART_SOURCES.replace("{part}", "part"),
+)
 def p14(fx):
-    return parse_sources(fx.taxonomy).crossJoin(F.broadcast(fx.part.agg(F.count("*").alias("n"))))
+    listed = fx.spark.sql(PART_SOURCES, part=fx.part)
+    return parse_sources(listed).groupBy("kind", "value", "leaf").agg(F.count("*").alias("n"))
 
 
 @query("p15_parse_compound", "SELECT e.leaf, 'Identified Salary' AS pri, t.sub AS sub, count(*) AS n FROM (SELECT leaf, trim(unnest(string_split(substr(entry, strpos(entry, 'sub:') + 4), '|'))) AS sub FROM entries WHERE contains(entry, '+')) e JOIN feed_a t ON t.pri = 'Identified Salary' AND t.sub = e.sub GROUP BY 1, 2, 3", **MAPS)
 def p15(fx):
     rules = parse_compound(fx.taxonomy).where("pri is not null").select("leaf", "pri", F.explode("subs").alias("sub"))
-    return a(fx).join(F.broadcast(rules), ["pri", "sub"]).groupBy("leaf", "pri", "sub").agg(F.count("*").alias("n"))
+    return a(fx).join(rules, ["pri", "sub"]).groupBy("leaf", "pri", "sub").agg(F.count("*").alias("n"))
 
 
 @query("p16_expand_taxonomy", "SELECT c_mktsegment AS leaf, 'general' || CAST(c_nationkey % 3 AS VARCHAR) AS general, CASE WHEN c_nationkey % 2 = 0 THEN 'essential' WHEN c_nationkey % 3 = 0 THEN 'discretionary' ELSE 'none' END AS necessity, CASE WHEN c_nationkey % 3 = 0 THEN 'expense' ELSE 'none' END AS flow, 'false' AS is_debt, CASE WHEN c_nationkey % 3 = 1 THEN 'true' ELSE 'false' END AS is_priority, 'false' AS is_age, '' AS risk FROM customer")
@@ -323,7 +343,7 @@ def a17(fx):
     return both(fx).groupBy("provider").agg(F.round(F.avg((F.col("leaf") == W.RESIDUAL).cast("int")), 6).alias("rate"))
 
 
-@query("a18_per_applicant", "SELECT count(*) AS applicants, round(avg(n), 4) AS mean, max(n) AS most, min(n) AS least FROM (SELECT applicant, count(*) AS n FROM (SELECT applicant FROM raw_a UNION ALL SELECT applicant FROM raw_b) x GROUP BY 1) y")
+@query("a18_per_applicant", "SELECT count(*) AS applicants, round(avg(n), 4) AS mean, max(n) AS most, min(n) AS least, round(quantile_cont(n, 0.5), 4) AS median, round(quantile_cont(n, 0.9), 4) AS p90, round(quantile_cont(n, 0.95), 4) AS p95, round(quantile_cont(n, 0.99), 4) AS p99 FROM (SELECT applicant, count(*) AS n FROM (SELECT applicant FROM raw_a UNION ALL SELECT applicant FROM raw_b) x GROUP BY 1) y")
 def a18(fx):
     return X.per_applicant(fx.raw_a.select("applicant").union(fx.raw_b.select("applicant")))
 
@@ -339,9 +359,38 @@ def j9(fx):
     return orphans(fx.verdicts.withColumnRenamed("correct_leaf", "leaf"), fx.taxonomy, "leaf").select("merchant", "verdict", "leaf")
 
 
-@query("j10_source_match", f"SELECT t.leaf, t.value, count(*) AS n FROM (SELECT 'sub' AS kind, value, leaf FROM sub_map UNION ALL SELECT 'pri', value, leaf FROM pri_map) t JOIN feed_a f ON (t.kind = 'sub' AND f.sub = t.value) OR (t.kind = 'pri' AND f.pri = t.value) GROUP BY 1, 2", **MAPS)
+#: Every source as a pair of sides, either of which may be any (null); values of compounds are ``pri + sub``.
+SIDES = """
+SELECT leaf, value, CASE WHEN kind = 'pri' THEN value END AS p, CASE WHEN kind = 'sub' THEN value END AS s
+FROM (
+  SELECT leaf, CASE WHEN starts_with(entry, 'primary:') THEN 'pri' ELSE 'sub' END AS kind, trim(replace(entry, 'primary:', '')) AS value
+  FROM entries WHERE NOT contains(entry, '+') AND NOT contains(entry, '|') AND entry <> 'primary:(null)'
+) x
+UNION ALL
+SELECT leaf, concat_ws(' + ', p, s), p, s
+FROM (
+  SELECT leaf, nullif(trim(regexp_extract(entry, 'primary:([^+]*)', 1)), '') AS p, trim(unnest(string_split(regexp_extract(entry, 'sub:([^+]*)', 1), '|'))) AS s
+  FROM entries WHERE contains(entry, '+') OR contains(entry, '|')
+) y
+"""
+SOURCED = "SELECT f.*, t.leaf, t.value FROM sides t JOIN feed_a f ON (t.p IS NULL OR f.pri = t.p) AND (t.s IS NULL OR f.sub = t.s)"
+_S = {"entries": MAPS["entries"], "sides": SIDES, "feed_a": FEED_A, "sourced": SOURCED}
+
+
+def sourced(fx):
+    """Transactions of feed A by the sources of each leaf, compound ones included."""
+    return X.source_match(a(fx), parse_sources(fx.taxonomy), parse_compound(fx.taxonomy))
+
+
+@query("j10_source_match", "SELECT leaf, value, count(*) AS n FROM sourced GROUP BY 1, 2", **_S)
 def j10(fx):
-    return X.source_match(a(fx), parse_sources(fx.taxonomy)).groupBy("leaf", "value").agg(F.count("*").alias("n"))
+    return sourced(fx).groupBy("leaf", "value").agg(F.count("*").alias("n"))
+
+
+@query("j11_label_rows", f"SELECT leaf, {_BY} FROM (SELECT f.amount, g.gold_leaf AS leaf FROM feed_b f JOIN gold g ON {_MB} = g.merchant) x GROUP BY 1", feed_b=FEED_B)
+def j11(fx):
+    rows = b(fx).withColumn("merchant", S.norm_merchant(F.col("merchant_raw")))
+    return by(X.label_rows(rows, fx.gold.withColumnRenamed("gold_leaf", "leaf")), "leaf")
 
 
 @query("j6_prefer", f"SELECT coalesce(b.m, a.m) AS m, coalesce(b.cat, a.pair) AS category, CASE WHEN b.m IS NULL THEN 'A' ELSE 'B' END AS provider FROM modal_a a FULL JOIN modal_b b ON a.m = b.m WHERE (b.m IS NOT NULL AND b.cat IS NOT NULL) OR b.m IS NULL", **_MODALS)

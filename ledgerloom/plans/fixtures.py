@@ -79,8 +79,12 @@ def _values(rows: list[tuple], columns: str) -> str:
 
 
 def _labeller(seed: str, blank: int) -> str:
-    """Leaf and confidence of one labeller for each merchant of ``strings``: mostly the common draw, sometimes its own."""
-    own, common = _pick(seed, "merchant", len(LEAVES)), _pick("truth", "merchant", len(LEAVES))
+    """Leaf and confidence of one labeller for each merchant of ``strings``: mostly the common draw, sometimes its own.
+
+    The common draw is the truth, but for a sixth of the merchants an error that all labellers share.
+    """
+    own, truth, error = (_pick(s, "merchant", len(LEAVES)) for s in (seed, "truth", "error"))
+    common = f"CASE WHEN {_pick('shared', 'merchant', 6)} = 0 THEN {error} ELSE {truth} END"
     number = f"CASE WHEN {_pick(seed + 'p', 'merchant', 10)} < 7 THEN {common} ELSE {own} END"
     leaf = f"CASE WHEN {_pick(seed + 'b', 'merchant', blank)} = 0 THEN '' ELSE leaf END"
     return f"SELECT merchant, {leaf} AS llm_leaf, CASE WHEN {_pick(seed + 'n', 'merchant', 11)} = 0 THEN NULL ELSE {_pick(seed + 'c', 'merchant', 101)} / 100.0E0 END AS llm_confidence FROM (SELECT merchant, {number} AS no FROM {{strings}}) s JOIN {{leaf_numbers}} n ON s.no = n.leaf_no"
@@ -101,9 +105,9 @@ TABLES = {
     "labels_a": _labeller("a", 15),
     "labels_b": _labeller("b", 20),
     "labels_c": _labeller("c", 6),
-    "verdicts": f"SELECT merchant, CASE {_pick('v', 'merchant', 6)} WHEN 0 THEN 'first' WHEN 1 THEN 'second' WHEN 2 THEN 'other' WHEN 3 THEN 'context_dependent' WHEN 4 THEN '' ELSE 'unsure' END AS verdict, CASE WHEN {_pick('v', 'merchant', 6)} = 2 THEN (CASE WHEN {_pick('w', 'merchant', 9)} = 0 THEN 'no_such_leaf' ELSE 'shopping_other' END) ELSE '' END AS correct_leaf FROM {{strings}} WHERE {_pick('r', 'merchant', 3)} = 0",
+    "verdicts": f"SELECT merchant, CASE {_pick('v', 'merchant', 8)} WHEN 0 THEN 'first' WHEN 1 THEN 'second' WHEN 2 THEN 'other' WHEN 3 THEN 'context_dependent' WHEN 4 THEN '' WHEN 5 THEN 'agreed' WHEN 6 THEN 'unclassifiable' ELSE 'unsure' END AS verdict, CASE WHEN {_pick('v', 'merchant', 8)} = 2 THEN (CASE WHEN {_pick('w', 'merchant', 9)} = 0 THEN 'no_such_leaf' ELSE 'shopping_other' END) ELSE '' END AS correct_leaf FROM {{strings}} WHERE {_pick('r', 'merchant', 3)} = 0",
     "gold": f"SELECT merchant, leaf AS gold_leaf, CASE {_pick('gs', 'merchant', 4)} WHEN 0 THEN 'human' WHEN 1 THEN 'dictionary' WHEN 2 THEN 'agreed' ELSE 'first' END AS gold_source, CASE {_pick('st', 'merchant', 3)} WHEN 0 THEN 'head' WHEN 1 THEN 'middle' ELSE 'tail' END AS stratum, volume FROM (SELECT merchant, volume, {_pick('truth', 'merchant', len(LEAVES))} AS no FROM {{strings}} WHERE {_pick('g', 'merchant', 2)} = 0) s JOIN {{leaf_numbers}} n ON s.no = n.leaf_no",
-    "gold_rows": f"SELECT merchant, leaf AS gold_leaf, row_no FROM (SELECT merchant, row_no, CASE WHEN {_pick('k', 'merchant', 4)} = 0 THEN ({_pick('truth', 'merchant', len(LEAVES))} + row_no) % {len(LEAVES)} ELSE {_pick('truth', 'merchant', len(LEAVES))} END AS no FROM {{strings}} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS r(row_no)) r) s JOIN {{leaf_numbers}} n ON s.no = n.leaf_no",
+    "gold_rows": f"SELECT merchant, leaf AS gold_leaf, row_no, CASE {_pick('note', 'merchant || CAST(row_no AS VARCHAR(4))', 4)} WHEN 0 THEN 'seen on statement ' || CAST(row_no AS VARCHAR(4)) WHEN 1 THEN '  ' END AS notes FROM (SELECT merchant, row_no, CASE WHEN {_pick('k', 'merchant', 4)} = 0 THEN ({_pick('truth', 'merchant', len(LEAVES))} + row_no) % {len(LEAVES)} ELSE {_pick('truth', 'merchant', len(LEAVES))} END AS no FROM {{strings}} CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2)) AS r(row_no)) r) s JOIN {{leaf_numbers}} n ON s.no = n.leaf_no",
     "blocks": "SELECT o_orderkey AS id, o_orderdate AS searched, '<report>' || '<transactions><merchant>' || o_orderpriority || '</merchant><amount>' || CASE WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE CAST(o_custkey AS VARCHAR(20)) END || '</amount><at>2024-01-0' || CAST(o_orderkey % 9 + 1 AS VARCHAR(4)) || 'T10:20:30' || CASE WHEN o_orderkey % 5 = 0 THEN 'nonsense' ELSE '.250+00:00' END || '</at></transactions>' || CASE WHEN o_orderkey % 2 = 0 THEN '<transactions><merchant></merchant><amount>1.5</amount></transactions>' ELSE '' END || '</report>' AS response_xml FROM {orders}",
 }
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

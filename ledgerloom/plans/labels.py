@@ -76,7 +76,7 @@ def l5(fx):
     return broken(fx).select("merchant", "tier", F.coalesce("final_leaf", F.lit("")).alias("final_leaf"))
 
 
-FOLDED = "SELECT b.merchant, b.volume, CASE WHEN turn AND verdict = 'first' THEN coalesce(leaf_a, '') WHEN turn AND verdict = 'second' THEN coalesce(leaf_b, '') WHEN turn AND verdict = 'other' THEN coalesce(correct_leaf, '') WHEN turn THEN 'unclassified_other' ELSE final_leaf END AS final_leaf, CASE WHEN turn AND verdict = 'context_dependent' THEN 'context_dependent' WHEN turn AND verdict = 'unsure' THEN 'abstain_human' WHEN turn THEN 'human_reviewed' ELSE tier END AS tier FROM (SELECT b.*, v.verdict, v.correct_leaf, b.tier = 'needs_review' AND v.verdict IS NOT NULL AS turn FROM broken b LEFT JOIN (SELECT * FROM verdicts WHERE verdict <> '') v USING (merchant)) b"
+FOLDED = "SELECT b.merchant, b.volume, CASE WHEN turn AND verdict IN ('agreed', 'first') THEN coalesce(leaf_a, '') WHEN turn AND verdict = 'second' THEN coalesce(leaf_b, '') WHEN turn AND verdict = 'other' THEN coalesce(correct_leaf, '') WHEN turn THEN 'unclassified_other' ELSE final_leaf END AS final_leaf, CASE WHEN turn AND verdict = 'context_dependent' THEN 'context_dependent' WHEN turn AND verdict = 'unsure' THEN 'abstain_human' WHEN turn THEN 'human_reviewed' ELSE tier END AS tier FROM (SELECT b.*, v.verdict, v.correct_leaf, b.tier = 'needs_review' AND v.verdict IS NOT NULL AS turn FROM broken b LEFT JOIN (SELECT * FROM verdicts WHERE verdict <> '') v USING (merchant)) b"
 
 
 @query("l7_fold_verdicts", "SELECT merchant, tier, coalesce(final_leaf, '') AS final_leaf FROM folded", **_G, folded=FOLDED)
@@ -84,12 +84,28 @@ def l7(fx):
     return C.fold_verdicts(broken(fx), fx.verdicts).select("merchant", "tier", F.coalesce("final_leaf", F.lit("")).alias("final_leaf"))
 
 
-@query("l8_verdict_to_gold", "SELECT merchant, gold_leaf, verdict AS gold_source FROM (SELECT a.merchant, verdict, CASE verdict WHEN 'first' THEN leaf_a WHEN 'second' THEN leaf_b WHEN 'other' THEN correct_leaf END AS gold_leaf FROM aligned a JOIN verdicts v USING (merchant)) x WHERE gold_leaf <> ''", **_A)
+@query(
+    "l8_verdict_to_gold",
+    """
+SELECT merchant, gold_leaf, verdict AS gold_source
+FROM (
+  SELECT a.merchant, verdict, CASE verdict WHEN 'agreed' THEN leaf_a WHEN 'first' THEN leaf_a WHEN 'second' THEN leaf_b WHEN 'other' THEN correct_leaf
+    WHEN 'unclassifiable' THEN 'unclassified_other' END AS gold_leaf
+  FROM aligned a JOIN verdicts v USING (merchant)
+) x WHERE gold_leaf <> ''
+""",
+    **_A,
+)
 def l8(fx):
     return C.verdict_to_gold(aligned(fx), fx.verdicts)
 
 
-_CORR = "SELECT count(*) FILTER (consensus = 'agree_right') AS \"right\", count(*) FILTER (consensus = 'agree_wrong' AND verdict IN ('first', 'second')) AS confirmed, count(*) FILTER (consensus = 'agree_wrong' AND verdict = 'context_dependent') AS excluded, count(*) FILTER (consensus = 'agree_wrong' AND (verdict IS NULL OR verdict IN ('', 'unsure'))) AS open, count(*) AS rows FROM classed LEFT JOIN verdicts USING (merchant) WHERE consensus <> 'disagree'"
+@query("l8_excluded_verdicts", "SELECT CASE WHEN verdict = '' THEN 'blank' ELSE verdict END AS verdict, count(*) AS n FROM verdicts WHERE verdict NOT IN ('agreed', 'first', 'second', 'other', 'unclassifiable') GROUP BY 1")
+def l8x(fx):
+    return C.excluded_verdicts(fx.verdicts)
+
+
+_CORR = "SELECT count(*) FILTER (consensus = 'agree_right') AS \"right\", count(*) FILTER (consensus = 'agree_wrong' AND verdict IN ('agreed', 'first', 'second')) AS confirmed, count(*) FILTER (consensus = 'agree_wrong' AND verdict = 'context_dependent') AS excluded, count(*) FILTER (consensus = 'agree_wrong' AND (verdict IS NULL OR verdict IN ('', 'unsure'))) AS open, count(*) AS rows FROM classed LEFT JOIN verdicts USING (merchant) WHERE consensus <> 'disagree'"
 
 
 @query("l9_l10_corrected_accuracy", "SELECT *, CASE WHEN pessimistic >= 0.95 THEN 'go' WHEN optimistic < 0.8 THEN 'stop' ELSE 'undecided' END AS decision FROM (SELECT *, round((\"right\" + confirmed) / (rows - excluded), 6) AS pessimistic, round((\"right\" + confirmed + open) / (rows - excluded), 6) AS optimistic FROM corr) x", **_A, classed=CLASSED, corr=_CORR)
@@ -152,6 +168,11 @@ def a5(fx):
     return E.category_mix(keyed_b(fx), "m", "cat", 3)
 
 
+@query("a6_native_share", "SELECT m, string_agg(coalesce(cat, 'n/a') || ' ' || CAST(round(100.0 * n / total) AS INTEGER) || '%', ' · ' ORDER BY rank) AS native FROM (SELECT m, cat, n, sum(n) OVER (PARTITION BY m) AS total, row_number() OVER (PARTITION BY m ORDER BY n DESC, cat ASC NULLS LAST) AS rank FROM (SELECT m, cat, count(*) AS n FROM keyed GROUP BY 1, 2) g) x WHERE rank <= 2 GROUP BY 1", **_K)
+def a6(fx):
+    return E.native_share(keyed_b(fx), "m", "cat")
+
+
 @query("p19_render_requests", "SELECT CAST(floor(rn / 20) AS BIGINT) AS batch, string_agg((rn % 20 + 1) || '. ' || merchant, chr(10) ORDER BY rn) AS request FROM (SELECT merchant, row_number() OVER (ORDER BY volume DESC, merchant) - 1 AS rn FROM strings) x GROUP BY 1")
 def p19(fx):
     return E.render_requests(fx.strings, [F.col("volume").desc(), F.col("merchant")], 20)
@@ -202,7 +223,7 @@ def s13(fx):
     return tables.pending(fx.strings, fx.labels_c, "merchant")
 
 
-VOCABULARY = ["first", "second", "other", "context_dependent", "unsure"]
+VOCABULARY = ["agreed", "first", "second", "other", "unclassifiable", "context_dependent", "unsure"]
 
 
 @query("s14_read_verdicts", f"SELECT CASE WHEN verdict IN {tuple(VOCABULARY)} AND (correct_leaf = '' OR correct_leaf IN (SELECT leaf FROM taxonomy)) THEN 'good' ELSE 'bad' END AS side, count(*) AS n FROM verdicts GROUP BY 1")
@@ -217,9 +238,9 @@ def a14(fx):
     return fx.verdicts.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("q1_q8_duplicate_keys", "SELECT merchant, count(*) AS n FROM dictionary GROUP BY 1 HAVING count(*) > 1")
+@query("q1_q8_duplicate_keys", "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def q1(fx):
-    return Q.duplicates(fx.dictionary, "merchant")
+    return Q.duplicates(fx.part, "p_name")
 
 
 @query("q2_multi_parent", f"SELECT merchant, count(DISTINCT gold_leaf) AS parents FROM gold_rows GROUP BY 1 HAVING count(DISTINCT gold_leaf) > 1")
@@ -279,7 +300,7 @@ def u6(fx):
     return Q.merge_verdicts([fx.verdicts.select("merchant", "verdict"), fx.gold.where("gold_source = 'human'").select("merchant", F.lit("first").alias("verdict"))])
 
 
-@query("f9_promotable", "SELECT merchant, leaf FROM (SELECT merchant, min(gold_leaf) AS leaf FROM gold_rows GROUP BY 1 HAVING count(DISTINCT gold_leaf) = 1) x WHERE NOT regexp_matches(merchant, 'gear|bolt') AND leaf NOT IN ('salary', 'refund_received') AND merchant NOT IN (SELECT merchant FROM dictionary)")
+@query("f9_promotable", "SELECT merchant, leaf, notes FROM (SELECT merchant, min(gold_leaf) AS leaf, arg_min(notes, row_no) FILTER (trim(coalesce(notes, '')) <> '') AS notes FROM gold_rows GROUP BY 1 HAVING count(DISTINCT gold_leaf) = 1) x WHERE notes IS NOT NULL AND NOT regexp_matches(merchant, 'gear|bolt') AND leaf NOT IN ('salary', 'refund_received') AND merchant NOT IN (SELECT merchant FROM dictionary)")
 def f9(fx):
     return Q.promotable(fx.gold_rows, fx.dictionary, "gear|bolt", ["salary", "refund_received"])
 
@@ -287,7 +308,7 @@ def f9(fx):
 @query("f8_f10_accepted_valid", "SELECT b.merchant, b.final_leaf AS leaf FROM broken b WHERE tier IN ('auto_accept', 'accepted', 'accepted_tiebreak') AND final_leaf IN (SELECT leaf FROM taxonomy)", **_G)
 def f8(fx):
     rows = broken(fx).where(F.col("tier").isin("auto_accept", "accepted", "accepted_tiebreak")).select("merchant", F.col("final_leaf").alias("leaf"))
-    return rows.join(F.broadcast(fx.taxonomy.select("leaf")), "leaf", "left_semi").select("merchant", "leaf")
+    return rows.join(fx.taxonomy.select("leaf"), "leaf", "left_semi").select("merchant", "leaf")
 
 
 @query("a8_label_conflicts", "SELECT merchant, count(DISTINCT gold_leaf) AS leaves, count(DISTINCT gold_leaf) > 1 AS conflicting FROM gold_rows GROUP BY 1")

@@ -9,10 +9,10 @@ from ledgerloom.operators import consensus as C
 from ledgerloom.operators import evaluation as V
 from ledgerloom.operators import sampling as G
 from ledgerloom.operators import waterfall as W
-from ledgerloom.plans.feeds import EVAL_B, MAPS, NATIVE_A, NATIVE_B, a, b
+from ledgerloom.plans.feeds import CAT_B, EVAL_B, MAPS, NATIVE_A, NATIVE_B, STRIP, _MA, _S, a, b, sourced
 from ledgerloom.plans.labels import ALIGNED, BROKEN, GATED, aligned, broken
 from ledgerloom.plans.registry import query
-from ledgerloom.sources import tables
+from ledgerloom.sources import feeds, tables
 
 _draw = lambda seed, key: f"md5('{seed}' || {key})"
 
@@ -80,6 +80,23 @@ def g7(fx):
     return G.gap_fill(matched, 5, 22, "merchant", G.targeted_sample(matched, 5, 21, "merchant"))
 
 
+_FROM_SOURCES = f"""
+SELECT merchant, leaf
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY {_draw(23, 'merchant')}, merchant) AS rn
+  FROM (SELECT DISTINCT {_MA} AS merchant, leaf FROM sourced WHERE vendor IS NOT NULL AND trim(vendor) <> '') d
+  WHERE merchant NOT IN (SELECT merchant FROM gold)
+) x WHERE rn <= 5
+"""
+
+
+@query("g6_from_sources", "SELECT merchant, min(leaf) AS leaf FROM capped GROUP BY 1", **_S, capped=_FROM_SOURCES)
+def g6s(fx):
+    """Merchants for leaves from their own provider categories, compound ones included, without those of the gold set."""
+    rows = feeds.has_merchant(sourced(fx), "vendor").select(S.norm_merchant(F.col("vendor")).alias("merchant"), "leaf").distinct()
+    return G.gap_fill(rows, 5, 23, "merchant", fx.gold)
+
+
 @query("g8_split_quota", f"SELECT * FROM (SELECT 'A' AS provider, merchant FROM dictionary GROUP BY 2 ORDER BY {_draw(2, 'merchant')}, merchant LIMIT 18) x UNION ALL SELECT * FROM (SELECT 'B', merchant FROM strings ORDER BY {_draw(2, 'merchant')}, merchant LIMIT 12) y")
 def g8(fx):
     one, two = G.split_quota(30, 0.6)
@@ -127,9 +144,12 @@ def g16(fx):
     return G.auto_resolve(fx.strings, truth, "merchant").select("merchant", "known_leaf", "provenance")
 
 
-@query("g1_percent_sample")
+_KEY = "CAST(l_orderkey AS VARCHAR) || CAST(l_linenumber AS VARCHAR)"
+
+
+@query("g1_percent_sample", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (CAST(('0x' || substr({_draw(42, _KEY)}, 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0 < 0.05")
 def g1(fx):
-    return G.percent_sample(fx.lineitem, 5, 42).select("l_orderkey", "l_linenumber", "l_partkey")
+    return G.percent_sample(fx.lineitem, 5, 42, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("w7_stable_ids", "SELECT merchant, 100 + row_number() OVER (ORDER BY volume DESC, merchant) AS row_id FROM strings")
@@ -207,6 +227,35 @@ def e12(fx):
     return V.by_coverage(scored(fx), fx.dictionary, "pred", "gold_leaf")
 
 
+@query("j8_gold_with_pred", "SELECT g.merchant, g.gold_leaf, b.llm_leaf AS pred FROM gold g JOIN labels_b b USING (merchant) WHERE b.llm_confidence >= 0.5")
+def j8(fx):
+    preds = fx.labels_b.where("llm_confidence >= 0.5").select("merchant", F.col("llm_leaf").alias("pred"))
+    return V.gold_with_pred(fx.gold, preds).select("merchant", "gold_leaf", "pred")
+
+
+_ROWS = f"SELECT {STRIP.format('lower(merchant_raw)')} AS merchant, leaf FROM cat_b WHERE merchant_raw IS NOT NULL"
+_VOTES = "SELECT merchant, leaf FROM (SELECT merchant, leaf, row_number() OVER (PARTITION BY merchant ORDER BY count(*) DESC, leaf) AS rn FROM rowed GROUP BY 1, 2) x WHERE rn = 1"
+_ALT = "SELECT g.merchant, g.gold_leaf, g.stratum, a.llm_leaf AS alt_leaf FROM gold g LEFT JOIN labels_a a USING (merchant)"
+_OK = "v.leaf = g.gold_leaf OR (coalesce(alt_leaf, '') <> '' AND v.leaf = alt_leaf)"
+_M8 = {**MAPS, "cat_b": CAT_B, "rowed": _ROWS, "votes": _VOTES, "alts": _ALT}
+
+
+@query(
+    "m8_vote_scoring",
+    f"""
+SELECT stratum, count(*) AS n, round(avg(CASE WHEN {_OK} THEN 1.0 ELSE 0.0 END), 6) AS leaf_accuracy,
+  round(avg(CASE WHEN {_OK} OR tv.general IS NOT DISTINCT FROM tg.general THEN 1.0 ELSE 0.0 END), 6) AS general_accuracy
+FROM alts g JOIN votes v USING (merchant) LEFT JOIN taxonomy tv ON v.leaf = tv.leaf LEFT JOIN taxonomy tg ON g.gold_leaf = tg.leaf GROUP BY 1
+""",
+    **_M8,
+)
+def m8(fx):
+    """Predictions of transactions voted by merchant and held against gold merchants, by stratum."""
+    rows = W.categorise_b(b(fx), fx.seeds()).withColumn("merchant", S.norm_merchant(F.col("merchant_raw"))).where("merchant is not null").withColumn("confidence", F.lit(1.0))
+    gold = fx.gold.join(fx.labels_a.select("merchant", F.col("llm_leaf").alias("alt_leaf")), "merchant", "left").select("merchant", "gold_leaf", "stratum", "alt_leaf")
+    return V.score_votes(V.modal_vote(rows, "merchant", "leaf", "confidence"), gold, fx.taxonomy, "stratum")
+
+
 # Transactions of merchants with a gold leaf, scored in evaluation order against the feed's own category.
 _GB = "SELECT e.leaf AS ours, e.resolution_tier, n.native_leaf AS native, g.gold_leaf, g.merchant FROM (SELECT *, row_number() OVER (PARTITION BY cat, merchant_raw, description_raw, direction, amount, ts, applicant) AS k FROM ev) e JOIN (SELECT *, row_number() OVER (PARTITION BY cat, merchant_raw, description_raw, direction, amount, ts, applicant) AS k FROM nat) n ON e.merchant_raw = n.merchant_raw AND e.cat = n.cat AND e.description_raw = n.description_raw AND e.direction = n.direction AND e.amount = n.amount AND e.ts = n.ts AND e.applicant = n.applicant AND e.k = n.k JOIN gold g ON lower(trim(e.merchant_raw)) = g.merchant"
 _EB = {**MAPS, "ev": EVAL_B, "nat": NATIVE_B, "gb": _GB}

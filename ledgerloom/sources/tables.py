@@ -1,8 +1,10 @@
-"""Seed readers, ranked reports, chat rows, prediction tables and incremental partitions."""
+"""Seed readers, ranked reports, chat rows, prediction tables, incremental partitions and global orders."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,7 +85,55 @@ def read_verdicts(df: DataFrame, vocabulary: list[str], leaves: DataFrame) -> tu
     return flagged.where("ok").drop("ok"), flagged.where("not ok").drop("ok")
 
 
-def stable_ids(df: DataFrame, order: list[str], offset: int = 0, within: list[str] | None = None) -> DataFrame:
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or else the context's own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running_sums(df: DataFrame, order: list[str | Column], **sums: str | Column) -> DataFrame:
+    """Running totals over a global order, the row's own value included, as columns of the given names.
+
+    The rows are cut into ranges of the order and stored; each range sums its own rows and begins at the total of the
+    ranges before it, a table of one row a range.  No task sees more than its range.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialised(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    values = {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
+    each = cut.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in values.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.select("_range", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_s_{name}") for name in values])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(F.broadcast(starts), "_range")  # at most as many rows as there are ranges
+    return out.withColumns({name: F.col(f"_s_{name}") + F.sum(c).over(within) for name, c in values.items()}).drop("_range", *[f"_s_{name}" for name in values])
+
+
+def quantiles(df: DataFrame, col: str, at: list[float]) -> list[float | None]:
+    """Exact quantiles (interpolated) of a column: values are counted, and the counts run over their order."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n"))
+    run = materialised(running_sums(counts, ["v"], upto="n"), "quantiles")
+    total = run.agg(F.max("upto")).first()[0]
+    if not total:
+        return [None] * len(at)
+    places = [q * (total - 1) for q in at]
+    wanted = sorted({p for x in places for p in (int(x), min(int(x) + 1, total - 1))})
+    # The value at each wanted place, at most two for each quantile.
+    found = run.select("v", F.explode(F.filter(F.array(*[F.lit(p) for p in wanted]), lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))).alias("p")).collect()
+    value = {r.p: float(r.v) for r in found}
+    return [value[int(x)] + (x - int(x)) * (value[min(int(x) + 1, total - 1)] - value[int(x)]) for x in places]
+
+
+def stable_ids(df: DataFrame, order: list[str | Column], offset: int = 0, within: list[str] | None = None) -> DataFrame:
     """Row numbers over a total order, from ``offset`` on; with ``within``, for each group of those columns."""
-    window = Window.partitionBy(*(within or [])).orderBy(*order)
-    return df.withColumn("row_id", F.row_number().over(window) + offset)
+    if within:
+        return df.withColumn("row_id", F.row_number().over(Window.partitionBy(*within).orderBy(*order)) + offset)
+    return running_sums(df, order, row_id=F.lit(1)).withColumn("row_id", F.col("row_id") + offset)
