@@ -6,14 +6,15 @@ the k-mer alone, not on what surrounds it, so two texts choose the same anchors
 ``anchors`` gives them with their places.  A fingerprint is the distinct anchor hashes of the whole text (32 bits each,
 rising), written as hexadecimal digits; likeness is the Jaccard similarity of both sets.  With ``size`` a fingerprint
 has the least so many hashes only, and likeness is the share of common ones among the ``size`` least of both together.
+Anchors also match by position: ``n_in_place`` counts those of a text that stand at the same place in its edited text.
 
-The next document in id order comes from one exchange of the texts: ids are cut into ranges whose edges are ids of the
-table, the document at an edge also goes to the range before it, the first of all to the last range, and a window runs
-within each range.
+The next document in id order comes from one exchange of the texts: rows are cut into ranges of id and text hash (an id
+that many rows share is cut by the hash alone), the first row of a range also goes to the range before it, that of the
+first range to the last one, and a window runs within each range.
 
 Defined results: a null text is the empty text; a text without a syncmer has the hash of the whole text as its one
-anchor; null ids come first, rows of equal id are ordered by text; the only document of a table is its own next one;
-an empty table gives an empty table.
+anchor and none in place; null ids come first, rows of equal id are ordered by the hash of their text; the only document
+of a table is its own next one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -46,11 +47,15 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def with_sketch(df: DataFrame, text: str, out: str, size: int | None = SIZE) -> DataFrame:
-    """Adds ``out``: the ``size`` least distinct anchor hashes of ``text`` modulo 2^32, or all of them, rising."""
+    """Adds ``out``: the ``size`` least distinct anchor hashes of ``text`` modulo 2^32, or all of them, rising.
+
+    ``out_placed`` has a hash of place and anchor for each anchor.
+    """
     df = with_anchors(df, text, f"{out}_anchors")
     values = F.transform(f"{out}_anchors", lambda a: F.pmod(a["hash"], F.lit(1 << 32)))
     values = F.sort_array(F.array_distinct(values))
-    df = df.withColumn(f"{out}_values", values if size is None else F.slice(values, 1, size)).drop(f"{out}_anchors")
+    placed = F.transform(f"{out}_anchors", lambda a: F.xxhash64(a["place"], a["hash"]))
+    df = df.withColumns({f"{out}_values": values if size is None else F.slice(values, 1, size), f"{out}_placed": placed}).drop(f"{out}_anchors")
     alone = F.array(F.pmod(F.xxhash64(text), F.lit(1 << 32)))
     return df.withColumn(out, F.when(F.size(f"{out}_values") > 0, F.col(f"{out}_values")).otherwise(alone)).drop(f"{out}_values")
 
@@ -70,28 +75,40 @@ def likeness(a: str, b: str, size: int | None = SIZE) -> Column:
     return F.size(common) / F.size(least)
 
 
+def range_edges(rows: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """At most ``ranges`` edges (id, hash) between ranges of about equal numbers of rows, in order.
+
+    An id that stands for several of the quantiles is cut into as many parts by the hash of the text.
+    """
+    found = rows.agg(F.percentile_approx("id", F.array(*[F.lit(k / ranges) for k in range(ranges)]), 20 * ranges).alias("edges")).first().edges or []
+    times = {v: found.count(v) for v in found}
+    return [(v, LEAST_ID + (k << 64) // n) for v, n in sorted(times.items()) for k in range(n)][1:]
+
+
 def with_next(rows: DataFrame, ranges: int) -> tuple[DataFrame, Window]:
-    """Adds ``next``, the text of the next row by (id, text); guard rows of other ranges are marked by ``guard``.
+    """Adds ``next``, the text of the next row by (id, hash of the text); rows of other ranges are marked by ``guard``.
 
     Returns the rows with the window, so that more can be taken from the next row without another exchange.
     """
-    edges = rows.agg(F.percentile_approx("id", F.array(*[F.lit(k / ranges) for k in range(ranges)]), 20 * ranges).alias("edges"), F.min("id").alias("least")).first()
-    inner = sorted(set(edges.edges or []) - {edges.least})
-    depth = max(1, len(inner).bit_length())
-    padded = inner + [2**63 - 1] * ((1 << depth) - len(inner))
-    table = F.array(*[F.lit(v).cast("long") for v in padded])
-    # Number of edges at or below the id, by binary search; the padding is beyond every id but the largest long.
+    rows = rows.withColumn("name", F.xxhash64("text"))
+    edges = range_edges(rows, ranges)
+    depth = max(1, len(edges).bit_length())
+    pair = lambda v, q: F.struct(F.lit(v).cast("long").alias("id"), F.lit(q).cast("long").alias("name"))
+    table = F.array(*[pair(*e) for e in edges + [(2**63 - 1, 2**63 - 1)] * ((1 << depth) - len(edges))])
+    # Number of edges at or below the row, by binary search.
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(depth))])
-    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= F.col("id"), at + step).otherwise(at))
-    rows = rows.withColumn("range", F.least(place, F.lit(len(inner))))
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= F.struct("id", "name"), at + step).otherwise(at))
+    rows = rows.withColumn("range", F.least(place, F.lit(len(edges))))
+    # The first row of each range that has rows, at most ``ranges`` of them.
+    heads = sorted((r.range, *r.head) for r in rows.groupBy("range").agg(F.min(F.struct("id", "name")).alias("head")).collect())
+    known = {r: (i, n, heads[k - 1][0], int(k == 0)) for k, (r, i, n) in enumerate(heads)}
+    head = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip(("id", "name", "to", "turn"), known.get(r, (0, 0, -1, 0)))]) for r in range(len(edges) + 1)])
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guard"), F.lit(0).alias("turn"))
-    before = F.struct((F.col("range") - 1).alias("range"), F.lit(True).alias("guard"), F.lit(0).alias("turn"))
-    around = F.struct(F.lit(len(inner)).alias("range"), F.lit(True).alias("guard"), F.lit(1).alias("turn"))
-    is_edge = (F.col("range") > 0) & (F.get(table, F.col("range") - 1) == F.col("id"))
-    is_first = F.col("id") == F.lit(LEAST_ID if edges.least is None else edges.least).cast("long")
-    copies = F.filter(F.array(own, F.when(is_edge, before), F.when(is_first, around)), lambda c: c.isNotNull())
-    rows = rows.withColumn("copy", F.explode(copies)).select("doc_id", "id", "text", "copy.range", "copy.guard", "copy.turn")
-    window = Window.partitionBy("range").orderBy("turn", "id", "text")
+    rows = rows.withColumn("head", F.get(head, F.col("range")))
+    guard = F.struct(F.col("head.to").cast("int").alias("range"), F.lit(True).alias("guard"), F.col("head.turn").cast("int").alias("turn"))
+    copies = F.array_compact(F.array(own, F.when((F.col("head.id") == F.col("id")) & (F.col("head.name") == F.col("name")), guard)))
+    rows = rows.withColumn("copy", F.explode(copies)).select("doc_id", "id", "name", "text", "copy.range", "copy.guard", "copy.turn")
+    window = Window.partitionBy("range").orderBy("turn", "id", "name", "guard")
     return rows.withColumn("next", F.lead("text").over(window)), window
 
 
@@ -116,4 +133,6 @@ def fingerprints(docs: DataFrame, size: int | None = SIZE) -> DataFrame:
         fingerprint_text("edited_sketch").alias("edited_fingerprint"),
         likeness("sketch", "edited_sketch", size).alias("near_edited"),
         likeness("sketch", "next_sketch", size).alias("near_next"),
+        F.size("sketch_placed").cast("long").alias("n_anchors"),
+        F.size(F.array_intersect("sketch_placed", "edited_sketch_placed")).cast("long").alias("n_in_place"),
     )

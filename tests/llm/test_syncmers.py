@@ -39,7 +39,7 @@ def brute_likeness(a, b):
 
 
 def brute(rows):
-    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], (r[1] or "").encode()))
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], chain(r[1] or "")))
     out = []
     for (i, text), (_, nxt) in zip(order, order[1:] + order[:1]):
         text, nxt = text or "", nxt or ""
@@ -47,16 +47,18 @@ def brute(rows):
         edited = text[: len(text) - half] + nxt[:half]
         a, e, n = brute_sketch(text), brute_sketch(edited), brute_sketch(nxt)
         show = lambda s: "".join(f"{v:08x}" for v in s)
-        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(e), brute_likeness(a, e), brute_likeness(a, n)))
+        placed, other = set(brute_anchors(text)), set(brute_anchors(edited))
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(e), len(placed), len(placed & other), brute_likeness(a, e), brute_likeness(a, n)))
     return out
 
 
 def check(docs_of, rows):
-    got = sorted(map(tuple, syncmers.fingerprints(docs_of(rows)).collect()), key=str)
+    got = sorted((tuple(r[:5]) + tuple(r[7:]) + tuple(r[5:7]) for r in syncmers.fingerprints(docs_of(rows)).collect()), key=str)
     want = sorted(brute(rows), key=str)
-    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[:7] for r in got] == [r[:7] for r in want]
     for g, w in zip(got, want):
-        assert g[5:] == pytest.approx(w[5:])
+        assert g[7:] == pytest.approx(w[7:])
+    return got
 
 
 def random_rows(n, seed=1):
@@ -72,6 +74,26 @@ def test_odd_rows(docs_of, odd_rows):
     check(docs_of, [*odd_rows, (None, "no id"), (None, None), (2**63 - 1, "last"), (-5, "minus 😀😀😀")])
 
 
+def test_many_rows_of_one_id(docs_of):
+    """An id that most rows share is cut into ranges by the hash of the text."""
+    draw = random.Random(7)
+    for hot in (None, 5):
+        rows = [(hot if draw.random() < 0.8 else draw.randrange(100), f"text {draw.randrange(10**6)} of a few words to tell apart") for _ in range(3000)]
+        got = check(docs_of, rows)
+        assert any(0 < g[6] < g[5] for g in got) or all(g[5] < 3 for g in got)
+        known = docs_of(rows).selectExpr("coalesce(doc_id, -9223372036854775808) as id")
+        edges = syncmers.range_edges(known, 64)
+        assert len(edges) > 50 and edges == sorted(set(edges))
+
+
+def test_clashing_names(docs_of):
+    rows = random_rows(40, 6)
+    docs = docs_of(rows)
+    for c in ("id", "name", "range", "guard", "next", "copy", "head", "edited", "sketch"):
+        docs = docs.withColumn(c, docs.text)
+    assert sorted(r.edited_sha256 for r in syncmers.fingerprints(docs).collect()) == sorted(w[2] for w in brute(rows))
+
+
 def test_few_rows(docs_of):
     check(docs_of, [])
     check(docs_of, [(4, "only one document here")])
