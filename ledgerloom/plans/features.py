@@ -28,12 +28,19 @@ def s5(fx):
     return fields(fx).drop("searched")
 
 
-@query("p8_p10_typed_blocks", "SELECT id, merchant, TRY_CAST(amount AS DOUBLE) AS amount, TRY_CAST(CASE WHEN booked_at LIKE '%+00:00' THEN replace(substr(booked_at, 1, 23), 'T', ' ') END AS TIMESTAMP) AS booked_at, sha256(CAST(id AS VARCHAR) || '|' || coalesce(merchant, '') || '|' || coalesce(amount, '') || '|' || coalesce(booked_at, '')) AS key FROM fields", **_X)
+@query("p8_p10_typed_blocks", """
+SELECT id, merchant, TRY_CAST(amount AS DOUBLE) AS amount, TRY_CAST(CASE WHEN booked_at LIKE '%+00:00' THEN replace(substr(booked_at, 1, 23), 'T',
+' ') END AS TIMESTAMP) AS booked_at, sha256(CAST(id AS VARCHAR) || '|' || coalesce(merchant, '') || '|' || coalesce(amount,
+'') || '|' || coalesce(booked_at, '')) AS key FROM fields
+""", **_X)
 def p8(fx):
     return blocks.typed_transactions(fields(fx))
 
 
-@query("w2_latest_row", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) x WHERE rn = 1")
+@query("w2_latest_row", """
+SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn
+FROM orders) x WHERE rn = 1
+""")
 def w2(fx):
     return blocks.latest_row(fx.orders, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderdate")
 
@@ -43,7 +50,10 @@ def chat(fx):
     return tables.chat_rows(rows, "Label the transaction.")
 
 
-@query("s8_s9_chat_round_trip", "SELECT coalesce(vendor, 'n/a') AS merchant, description_raw AS description, round(abs(amount), 2) AS amount, CASE WHEN direction = 'credit' THEN 1 ELSE 0 END AS is_credit, coalesce(sub, 'none') AS leaf FROM feed_a", feed_a=FEED_A)
+@query("s8_s9_chat_round_trip", """
+SELECT coalesce(vendor, 'n/a') AS merchant, description_raw AS description, round(abs(amount), 2) AS amount, CASE WHEN direction = 'credit' THEN 1
+ELSE 0 END AS is_credit, coalesce(sub, 'none') AS leaf FROM feed_a
+""", feed_a=FEED_A)
 def s9(fx):
     return tables.parse_chat(chat(fx))
 
@@ -70,12 +80,21 @@ def r1(fx):
     return R.applicant_aggs(a(fx))
 
 
-@query("r1_modal_category", "SELECT applicant, mode, n FROM (SELECT applicant, leaf AS mode, count(*) AS n, row_number() OVER (PARTITION BY applicant ORDER BY count(*) DESC, leaf ASC NULLS LAST) AS rn FROM app GROUP BY 1, 2) x WHERE rn = 1", **_R)
+@query("r1_modal_category", """
+SELECT applicant, mode, n FROM (SELECT applicant, leaf AS mode, count(*) AS n, row_number() OVER (PARTITION BY applicant
+ORDER BY count(*) DESC, leaf ASC NULLS LAST) AS rn FROM app GROUP BY 1, 2) x WHERE rn = 1
+""", **_R)
 def r1m(fx):
     return R.modal_category(applicants(fx), "applicant", "leaf")
 
 
-@query("r2_deep_features", "SELECT applicant, round(avg(gap), 4) AS mean_gap, round(avg(CASE WHEN dayofweek(ts) IN (0, 6) THEN 1.0 ELSE 0.0 END), 4) AS weekend_share, count(DISTINCT date_trunc('month', ts)) AS months, round(sum(CASE WHEN leaf = 'salary' THEN amount ELSE 0 END), 2) AS sum_salary, round(sum(CASE WHEN leaf = 'groceries' THEN amount ELSE 0 END), 2) AS sum_groceries FROM (SELECT *, date_diff('day', CAST(lag(ts) OVER (PARTITION BY applicant ORDER BY ts, amount) AS DATE), CAST(ts AS DATE)) AS gap FROM app) x GROUP BY 1", **_R)
+@query("r2_deep_features", """
+SELECT applicant, round(avg(gap), 4) AS mean_gap, round(avg(CASE WHEN dayofweek(ts) IN (0, 6) THEN 1.0
+ELSE 0.0 END), 4) AS weekend_share, count(DISTINCT date_trunc('month', ts)) AS months, round(sum(CASE WHEN leaf = 'salary' THEN amount
+ELSE 0 END), 2) AS sum_salary, round(sum(CASE WHEN leaf = 'groceries' THEN amount ELSE 0 END), 2) AS sum_groceries
+FROM (SELECT *, date_diff('day', CAST(lag(ts) OVER (PARTITION BY applicant ORDER BY ts, amount) AS DATE), CAST(ts AS DATE)) AS gap FROM app) x
+GROUP BY 1
+""", **_R)
 def r2(fx):
     return R.deep_features(applicants(fx), ["salary", "groceries"])
 
@@ -84,7 +103,10 @@ def evals(fx):
     return fx.orders.groupBy(F.col("o_custkey").alias("applicant")).agg(F.max("o_orderdate").alias("eval_ts"))
 
 
-@query("r3_as_of_eval", "SELECT applicant, count(*) AS n, round(sum(amount), 2) AS total FROM raw_a JOIN (SELECT o_custkey AS applicant, max(o_orderdate) AS eval_ts FROM orders GROUP BY 1) e USING (applicant) WHERE ts < eval_ts AND ts >= eval_ts - INTERVAL 365 DAY GROUP BY 1")
+@query("r3_as_of_eval", """
+SELECT applicant, count(*) AS n, round(sum(amount), 2) AS total FROM raw_a JOIN (SELECT o_custkey AS applicant, max(o_orderdate) AS eval_ts
+FROM orders GROUP BY 1) e USING (applicant) WHERE ts < eval_ts AND ts >= eval_ts - INTERVAL 365 DAY GROUP BY 1
+""")
 def r3(fx):
     return R.as_of_eval(a(fx), evals(fx), 365).groupBy("applicant").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"))
 
@@ -96,12 +118,23 @@ def outcome(fx):
     return fx.customer.select(F.col("c_custkey").alias("applicant"), bad).join(base, "applicant", "left")
 
 
-_OUT = "SELECT c_custkey AS applicant, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS bad, n, total, credits FROM customer LEFT JOIN (SELECT applicant, count(*) AS n, round(sum(Amount), 2) AS total, round(sum(CASE WHEN TransactionTypeId = 1 THEN Amount ELSE 0 END), 2) AS credits FROM raw_a GROUP BY 1) f ON c_custkey = applicant"
+_OUT = """
+SELECT c_custkey AS applicant, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS bad, n, total, credits FROM customer LEFT
+JOIN (SELECT applicant, count(*) AS n, round(sum(Amount), 2) AS total, round(sum(CASE WHEN TransactionTypeId = 1 THEN Amount
+ELSE 0 END), 2) AS credits FROM raw_a GROUP BY 1) f ON c_custkey = applicant
+"""
 
 
 @query(
     "r4_woe_iv",
-    "SELECT bin, n, CAST(bad AS BIGINT) AS bad, round(ln(g / b), 6) AS woe, round((g - b) * ln(g / b), 6) AS iv FROM (SELECT bin, n, bad, (bad + 0.5) / sum(bad + 0.5) OVER () AS b, (n - bad + 0.5) / sum(n - bad + 0.5) OVER () AS g FROM (SELECT bin, count(*) AS n, sum(bad) AS bad FROM (SELECT bad, CASE WHEN total IS NULL THEN -1 ELSE CAST(total > c1 AS INTEGER) + CAST(total > c2 AS INTEGER) + CAST(total > c3 AS INTEGER) END AS bin FROM outcome, (SELECT quantile_cont(total, 0.25) AS c1, quantile_cont(total, 0.5) AS c2, quantile_cont(total, 0.75) AS c3 FROM outcome) q) x GROUP BY 1) y) z",
+    """
+SELECT bin, n, CAST(bad AS BIGINT) AS bad, round(ln(g / b), 6) AS woe, round((g - b) * ln(g / b), 6) AS iv
+FROM (SELECT bin, n, bad, (bad + 0.5) / sum(bad + 0.5) OVER () AS b, (n - bad + 0.5) / sum(n - bad + 0.5) OVER () AS g
+FROM (SELECT bin, count(*) AS n, sum(bad) AS bad FROM (SELECT bad, CASE WHEN total IS NULL THEN -1
+ELSE CAST(total > c1 AS INTEGER) + CAST(total > c2 AS INTEGER) + CAST(total > c3 AS INTEGER) END AS bin
+FROM outcome, (SELECT quantile_cont(total, 0.25) AS c1, quantile_cont(total, 0.5) AS c2, quantile_cont(total, 0.75) AS c3 FROM outcome) q) x
+GROUP BY 1) y) z
+""",
     outcome=_OUT,
 )
 def r4(fx):
@@ -133,7 +166,10 @@ FROM (
 
 
 _FORMS = {f"{form}_{h}": _iv_sql(form, h) for h in _HORIZONS for form in ("persistence", "frequency")}
-_MONTHLY = f"SELECT applicant, date_diff('month', date_trunc('month', ts), DATE '{_END}') AS ago, count(*) AS k FROM app WHERE leaf = 'groceries' AND ts < TIMESTAMP '{_END}' GROUP BY 1, 2"
+_MONTHLY = f"""
+SELECT applicant, date_diff('month', date_trunc('month', ts), DATE '{_END}') AS ago, count(*) AS k FROM app
+WHERE leaf = 'groceries' AND ts < TIMESTAMP '{_END}' GROUP BY 1, 2
+"""
 
 
 @query("r10_iv_by_form", " UNION ALL ".join(sql for sql, _ in _FORMS.values()), **_R, outcome=_OUT, monthly=_MONTHLY, **{name: table for name, (_, table) in _FORMS.items()})
@@ -141,12 +177,20 @@ def r10(fx):
     return R.iv_by_form(applicants(fx), outcome(fx), "groceries", _END, _HORIZONS, "bad")
 
 
-@query("r6_live_rate", "SELECT 'n' AS feature, round(avg(CASE WHEN coalesce(n, 0) <> 0 THEN 1.0 ELSE 0.0 END), 6) AS live, min(n) IS NOT DISTINCT FROM max(n) AS constant FROM outcome UNION ALL SELECT 'credits', round(avg(CASE WHEN coalesce(credits, 0) <> 0 THEN 1.0 ELSE 0.0 END), 6), min(credits) IS NOT DISTINCT FROM max(credits) FROM outcome", outcome=_OUT)
+@query("r6_live_rate", """
+SELECT 'n' AS feature, round(avg(CASE WHEN coalesce(n, 0) <> 0 THEN 1.0 ELSE 0.0 END), 6) AS live, min(n) IS NOT DISTINCT FROM max(n) AS constant
+FROM outcome UNION ALL SELECT 'credits', round(avg(CASE WHEN coalesce(credits, 0) <> 0 THEN 1.0 ELSE 0.0 END), 6), min(credits) IS NOT DISTINCT
+FROM max(credits) FROM outcome
+""", outcome=_OUT)
 def r6(fx):
     return R.live_rate(outcome(fx), ["n", "credits"])
 
 
-@query("r7_redundant_pairs", "SELECT a, b, r FROM (SELECT 'n' AS a, 'total' AS b, round(corr(n, total), 4) AS r FROM outcome UNION ALL SELECT 'n', 'credits', round(corr(n, credits), 4) FROM outcome UNION ALL SELECT 'total', 'credits', round(corr(total, credits), 4) FROM outcome) x WHERE abs(r) >= 0.3", outcome=_OUT)
+@query("r7_redundant_pairs", """
+SELECT a, b, r FROM (SELECT 'n' AS a, 'total' AS b, round(corr(n, total), 4) AS r FROM outcome
+UNION ALL SELECT 'n', 'credits', round(corr(n, credits), 4) FROM outcome UNION ALL SELECT 'total', 'credits', round(corr(total, credits), 4)
+FROM outcome) x WHERE abs(r) >= 0.3
+""", outcome=_OUT)
 def r7(fx):
     return R.redundant_pairs(outcome(fx), ["n", "total", "credits"], 0.3)
 
@@ -186,7 +230,12 @@ def r8(fx):
     return R.named_features(applicants(fx))
 
 
-@query("r9_auc_ks", "SELECT round(sum(bad * (g - good / 2.0)) / (max(tb) * max(tg)), 6) AS auc, round(max(abs(b / tb - g / tg)), 6) AS ks FROM (SELECT bad, n - bad AS good, sum(bad) OVER (ORDER BY n_tx ROWS UNBOUNDED PRECEDING) AS b, sum(n - bad) OVER (ORDER BY n_tx ROWS UNBOUNDED PRECEDING) AS g, sum(bad) OVER () AS tb, sum(n - bad) OVER () AS tg FROM (SELECT coalesce(n, 0) AS n_tx, sum(bad) AS bad, count(*) AS n FROM outcome GROUP BY 1) y) x", outcome=_OUT)
+@query("r9_auc_ks", """
+SELECT round(sum(bad * (g - good / 2.0)) / (max(tb) * max(tg)), 6) AS auc, round(max(abs(b / tb - g / tg)), 6) AS ks
+FROM (SELECT bad, n - bad AS good, sum(bad) OVER (ORDER BY n_tx ROWS UNBOUNDED PRECEDING) AS b,
+sum(n - bad) OVER (ORDER BY n_tx ROWS UNBOUNDED PRECEDING) AS g, sum(bad) OVER () AS tb, sum(n - bad) OVER () AS tg
+FROM (SELECT coalesce(n, 0) AS n_tx, sum(bad) AS bad, count(*) AS n FROM outcome GROUP BY 1) y) x
+""", outcome=_OUT)
 def r9(fx):
     return R.auc_ks(outcome(fx).withColumn("n_tx", F.coalesce("n", F.lit(0))), "n_tx", "bad")
 
@@ -200,14 +249,21 @@ def r5(fx):
     return fx.spark.createDataFrame(found or [("none", 0.0)], "feature string, gini double")
 
 
-@query("n1_clean_merchant", "SELECT DISTINCT transaction_name, trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(trim(transaction_name)), '\\b(pos|card|ref|txn)\\b[ :#]*[0-9a-z]*$', '')), '[ ]+[0-9]+$', ''), '\\s+', ' ', 'g')) AS cleaned FROM raw_b")
+@query("n1_clean_merchant", """
+SELECT DISTINCT transaction_name, trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(trim(transaction_name)),
+'\\b(pos|card|ref|txn)\\b[ :#]*[0-9a-z]*$', '')), '[ ]+[0-9]+$', ''), '\\s+', ' ', 'g')) AS cleaned FROM raw_b
+""")
 def n1(fx):
     cleaned = S.clean_merchant(F.regexp_replace(S.clean_merchant(F.col("transaction_name")), r"[ ]+[0-9]+$", ""))
     return fx.raw_b.select("transaction_name", cleaned.alias("cleaned")).distinct()
 
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({})), '\b(pos|card|ref|txn)\b[ :#]*[0-9a-z]*$', ''), '[ ]+[0-9]+$', ''), '\s+', ' ', 'g'))"
-_STAGE = "SELECT '{s}' AS stage, (SELECT count(DISTINCT {a}) FROM raw_a WHERE VendorDescription IS NOT NULL) AS left_keys, (SELECT count(DISTINCT {b}) FROM raw_b WHERE merchant_name IS NOT NULL) AS right_keys, (SELECT count(*) FROM (SELECT {a} FROM raw_a WHERE VendorDescription IS NOT NULL INTERSECT SELECT {b} FROM raw_b WHERE merchant_name IS NOT NULL) x) AS common"
+_STAGE = """
+SELECT '{s}' AS stage, (SELECT count(DISTINCT {a}) FROM raw_a WHERE VendorDescription IS NOT NULL) AS left_keys, (SELECT count(DISTINCT {b})
+FROM raw_b WHERE merchant_name IS NOT NULL) AS right_keys, (SELECT count(*) FROM (SELECT {a} FROM raw_a WHERE VendorDescription IS NOT NULL
+INTERSECT SELECT {b} FROM raw_b WHERE merchant_name IS NOT NULL) x) AS common
+"""
 
 
 @query("n3_overlap", _STAGE.format(s="before", a="VendorDescription", b="merchant_name") + " UNION ALL " + _STAGE.format(s="after", a=_CLEAN.format("VendorDescription"), b=_CLEAN.format("merchant_name")))
@@ -219,28 +275,47 @@ def n3(fx):
     return out.unionByName(N.overlap(cleaned(left), cleaned(right)).withColumn("stage", F.lit("after")))
 
 
-@query("n4_drift", "SELECT date_trunc('month', ts) AS period, count(*) AS n, round(avg(CASE WHEN resolution_tier = 'T7_unclassified' THEN 1.0 ELSE 0.0 END), 6) AS fall_through, round(avg(CASE WHEN resolution_tier = 'T4_merchant_dictionary' THEN 1.0 ELSE 0.0 END), 6) AS dictionary FROM cat_b GROUP BY 1", **MAPS, cat_b=CAT_B)
+@query("n4_drift", """
+SELECT date_trunc('month', ts) AS period, count(*) AS n, round(avg(CASE WHEN resolution_tier = 'T7_unclassified' THEN 1.0
+ELSE 0.0 END), 6) AS fall_through, round(avg(CASE WHEN resolution_tier = 'T4_merchant_dictionary' THEN 1.0 ELSE 0.0 END), 6) AS dictionary FROM cat_b
+GROUP BY 1
+""", **MAPS, cat_b=CAT_B)
 def n4(fx):
     return N.drift(W.categorise_b(b(fx), fx.seeds()), "month")
 
 
-@query("n4_new_values", "SELECT DISTINCT merchant_name FROM raw_b WHERE ts >= TIMESTAMP '1995-03-15' AND merchant_name IS NOT NULL AND merchant_name NOT IN (SELECT merchant_name FROM raw_b WHERE ts < TIMESTAMP '1995-03-15' AND merchant_name IS NOT NULL)")
+@query("n4_new_values", """
+SELECT DISTINCT merchant_name FROM raw_b
+WHERE ts >= TIMESTAMP '1995-03-15' AND merchant_name IS NOT NULL AND merchant_name NOT IN (SELECT merchant_name FROM raw_b
+WHERE ts < TIMESTAMP '1995-03-15' AND merchant_name IS NOT NULL)
+""")
 def n4n(fx):
     return N.new_values(fx.raw_b.where("merchant_name is not null"), "merchant_name", "ts", "1995-03-15")
 
 
-@query("n2_fuzzy_match", "SELECT raw, canonical, edits FROM (SELECT raw, canonical, edits, row_number() OVER (PARTITION BY raw ORDER BY edits, canonical) AS rn FROM (SELECT s.merchant AS raw, p.p_name AS canonical, CAST(levenshtein(s.merchant, p.p_name) AS INTEGER) AS edits FROM strings s, (SELECT DISTINCT p_name FROM part) p) x WHERE edits <= 4) y WHERE rn = 1")
+@query("n2_fuzzy_match", """
+SELECT raw, canonical, edits FROM (SELECT raw, canonical, edits, row_number() OVER (PARTITION BY raw ORDER BY edits, canonical) AS rn
+FROM (SELECT s.merchant AS raw, p.p_name AS canonical, CAST(levenshtein(s.merchant, p.p_name) AS INTEGER) AS edits
+FROM strings s, (SELECT DISTINCT p_name FROM part) p) x WHERE edits <= 4) y WHERE rn = 1
+""")
 def n2(fx):
     return N.fuzzy_match(fx.strings.select("merchant"), fx.part.select("p_name").distinct())
 
 
-@query("m1_char_wb_ngrams", "SELECT g, count(*) AS n FROM (SELECT unnest(list_concat(list_transform(range(1, length(p) - 1 + 1), lambda i: substr(p, i, 2)), list_transform(range(1, length(p) - 2 + 1), lambda i: substr(p, i, 3)))) AS g FROM (SELECT ' ' || unnest(string_split(p_name, ' ')) || ' ' AS p FROM part) w) x GROUP BY 1")
+@query("m1_char_wb_ngrams", """
+SELECT g, count(*) AS n FROM (SELECT unnest(list_concat(list_transform(range(1, length(p) - 1 + 1), lambda i: substr(p, i, 2)),
+list_transform(range(1, length(p) - 2 + 1), lambda i: substr(p, i, 3)))) AS g FROM (SELECT ' ' || unnest(string_split(p_name, ' ')) || ' ' AS p
+FROM part) w) x GROUP BY 1
+""")
 def m1(fx):
     grams = fx.part.select(F.explode(M.char_wb_ngrams(F.col("p_name"), 2, 3)).alias("g"))
     return grams.groupBy("g").agg(F.count("*").alias("n"))
 
 
-@query("m5_class_weights", "SELECT lang, n, round(least(100.0, sqrt(CAST(max(n) OVER () AS DOUBLE) / n)), 6) AS weight FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1) x")
+@query("m5_class_weights", """
+SELECT lang, n, round(least(100.0, sqrt(CAST(max(n) OVER () AS DOUBLE) / n)), 6) AS weight FROM (SELECT lang, count(*) AS n FROM documents
+GROUP BY 1) x
+""")
 def m5(fx):
     return M.class_weights(fx.documents, "lang")
 

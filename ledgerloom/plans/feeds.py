@@ -12,12 +12,24 @@ from ledgerloom.plans.fixtures import MECHANISMS, RULE_SQL, RULES, rule_case
 from ledgerloom.plans.registry import query
 from ledgerloom.sources import feeds
 
-FEED_A = "SELECT PrimaryCategoryDescription AS pri, SubCategoryDescription AS sub, VendorDescription AS vendor, Description AS description_raw, CASE WHEN TransactionTypeId = 1 THEN 'credit' ELSE 'debit' END AS direction, Amount AS amount, ts, applicant FROM raw_a"
-FEED_B = "SELECT credit_category_detailed AS cat, merchant_name AS merchant_raw, coalesce(original_description, transaction_name) AS description_raw, CASE WHEN amount < 0 THEN 'credit' ELSE 'debit' END AS direction, amount, ts, applicant FROM raw_b"
+FEED_A = """
+SELECT PrimaryCategoryDescription AS pri, SubCategoryDescription AS sub, VendorDescription AS vendor, Description AS description_raw, CASE
+WHEN TransactionTypeId = 1 THEN 'credit' ELSE 'debit' END AS direction, Amount AS amount, ts, applicant FROM raw_a
+"""
+FEED_B = """
+SELECT credit_category_detailed AS cat, merchant_name AS merchant_raw, coalesce(original_description, transaction_name) AS description_raw, CASE
+WHEN amount < 0 THEN 'credit' ELSE 'debit' END AS direction, amount, ts, applicant FROM raw_b
+"""
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 SOURCES = "SELECT leaf, trim(e) AS entry FROM (SELECT leaf, unnest(string_split({c}, ';')) AS e FROM taxonomy) x WHERE trim(e) <> ''"
-SUB_MAP = "SELECT entry AS value, min(leaf) AS leaf FROM entries WHERE NOT contains(entry, '+') AND NOT contains(entry, '|') AND NOT starts_with(entry, 'primary:') GROUP BY 1"
-PRI_MAP = "SELECT trim(replace(entry, 'primary:', '')) AS value, min(leaf) AS leaf FROM entries WHERE NOT contains(entry, '+') AND NOT contains(entry, '|') AND starts_with(entry, 'primary:') AND entry <> 'primary:(null)' GROUP BY 1"
+SUB_MAP = """
+SELECT entry AS value, min(leaf) AS leaf FROM entries WHERE NOT contains(entry, '+') AND NOT contains(entry, '|') AND NOT starts_with(entry,
+'primary:') GROUP BY 1
+"""
+PRI_MAP = """
+SELECT trim(replace(entry, 'primary:', '')) AS value, min(leaf) AS leaf FROM entries
+WHERE NOT contains(entry, '+') AND NOT contains(entry, '|') AND starts_with(entry, 'primary:') AND entry <> 'primary:(null)' GROUP BY 1
+"""
 CAT_MAP = "SELECT entry AS value, min(leaf) AS leaf FROM entries_b GROUP BY 1"
 DICT = "SELECT merchant AS value, min(leaf) AS leaf FROM dictionary GROUP BY 1"
 _T1A = [("starts_with(pri, 'Gambling and Betting') AND direction = 'credit'", "gambling_unspecified"), ("sub = 'Council' AND direction = 'credit'", "salary")]
@@ -29,11 +41,30 @@ _JOIN_A = f"FROM feed_a LEFT JOIN sub_map s ON sub = s.value LEFT JOIN pri_map p
 _JOIN_B = f"FROM feed_b LEFT JOIN cat_map c ON cat = c.value LEFT JOIN dict d ON {_MB} = d.value"
 _ALL_A = "pri, sub, vendor, description_raw, direction, amount, ts, applicant"
 _ALL_B = "cat, merchant_raw, description_raw, direction, amount, ts, applicant"
-CAT_A = f"SELECT {_ALL_A}, CASE {_when(_T1A)} {_when(_T2A)} {_when(_T3A)} WHEN d.leaf IS NOT NULL THEN d.leaf {rule_case(None, _MA, _DA)} ELSE coalesce(s.leaf, p.leaf, 'unclassified_other') END AS leaf, CASE {_when(_T1A, 'T1_direction')} {_when(_T2A, 'T2_compound')} {_when(_T3A, 'T3_mechanism_override')} WHEN d.leaf IS NOT NULL THEN 'T4_merchant_dictionary' {rule_case('T5_rule_', _MA, _DA)} WHEN coalesce(s.leaf, p.leaf) IS NOT NULL THEN 'T6_provider_crosswalk' ELSE 'T7_unclassified' END AS resolution_tier {_JOIN_A}"
+CAT_A = f"""
+SELECT {_ALL_A}, CASE {_when(_T1A)} {_when(_T2A)} {_when(_T3A)} WHEN d.leaf IS NOT NULL THEN d.leaf {rule_case(None, _MA, _DA)}
+ELSE coalesce(s.leaf, p.leaf, 'unclassified_other') END AS leaf,
+CASE {_when(_T1A, 'T1_direction')} {_when(_T2A, 'T2_compound')} {_when(_T3A, 'T3_mechanism_override')}
+WHEN d.leaf IS NOT NULL THEN 'T4_merchant_dictionary' {rule_case('T5_rule_', _MA, _DA)}
+WHEN coalesce(s.leaf, p.leaf) IS NOT NULL THEN 'T6_provider_crosswalk' ELSE 'T7_unclassified' END AS resolution_tier {_JOIN_A}
+"""
 _GAMBLE = "cat = 'ENTERTAINMENT_CASINOS_AND_GAMBLING' AND direction = 'credit'"
-CAT_B = f"SELECT {_ALL_B}, CASE WHEN {_GAMBLE} THEN 'gambling_unspecified' WHEN d.leaf IS NOT NULL THEN d.leaf {rule_case(None, _MB, _DA)} ELSE coalesce(c.leaf, 'unclassified_other') END AS leaf, CASE WHEN {_GAMBLE} THEN 'T1_direction' WHEN d.leaf IS NOT NULL THEN 'T4_merchant_dictionary' {rule_case('T5_rule_', _MB, _DA)} WHEN c.leaf IS NOT NULL THEN 'T6_provider_crosswalk' ELSE 'T7_unclassified' END AS resolution_tier {_JOIN_B}"
-EVAL_A = f"SELECT {_ALL_A}, CASE WHEN d.leaf IS NOT NULL THEN d.leaf {rule_case(None, _MA, _DA)} {_when(_T1A)} {_when(_T2A)} {_when(_T3A)} ELSE coalesce(s.leaf, p.leaf, 'unclassified_other') END AS leaf, CASE WHEN d.leaf IS NOT NULL THEN 'T4_dictionary' {rule_case('T5_', _MA, _DA)} ELSE 'T6_native_fallback' END AS resolution_tier {_JOIN_A}"
-EVAL_B = f"SELECT {_ALL_B}, CASE WHEN d.leaf IS NOT NULL THEN d.leaf {rule_case(None, _MB, _DA)} WHEN {_GAMBLE} THEN 'gambling_unspecified' ELSE coalesce(c.leaf, 'unclassified_other') END AS leaf, CASE WHEN d.leaf IS NOT NULL THEN 'T4_dictionary' {rule_case('T5_', _MB, _DA)} ELSE 'T6_native_fallback' END AS resolution_tier {_JOIN_B}"
+CAT_B = f"""
+SELECT {_ALL_B}, CASE WHEN {_GAMBLE} THEN 'gambling_unspecified' WHEN d.leaf IS NOT NULL THEN d.leaf {rule_case(None, _MB, _DA)}
+ELSE coalesce(c.leaf, 'unclassified_other') END AS leaf, CASE WHEN {_GAMBLE} THEN 'T1_direction'
+WHEN d.leaf IS NOT NULL THEN 'T4_merchant_dictionary' {rule_case('T5_rule_', _MB, _DA)} WHEN c.leaf IS NOT NULL THEN 'T6_provider_crosswalk'
+ELSE 'T7_unclassified' END AS resolution_tier {_JOIN_B}
+"""
+EVAL_A = f"""
+SELECT {_ALL_A}, CASE WHEN d.leaf IS NOT NULL THEN d.leaf {rule_case(None, _MA, _DA)} {_when(_T1A)} {_when(_T2A)} {_when(_T3A)}
+ELSE coalesce(s.leaf, p.leaf, 'unclassified_other') END AS leaf, CASE WHEN d.leaf IS NOT NULL THEN 'T4_dictionary' {rule_case('T5_', _MA, _DA)}
+ELSE 'T6_native_fallback' END AS resolution_tier {_JOIN_A}
+"""
+EVAL_B = f"""
+SELECT {_ALL_B}, CASE WHEN d.leaf IS NOT NULL THEN d.leaf {rule_case(None, _MB, _DA)} WHEN {_GAMBLE} THEN 'gambling_unspecified'
+ELSE coalesce(c.leaf, 'unclassified_other') END AS leaf, CASE WHEN d.leaf IS NOT NULL THEN 'T4_dictionary' {rule_case('T5_', _MB, _DA)}
+ELSE 'T6_native_fallback' END AS resolution_tier {_JOIN_B}
+"""
 NATIVE_A = f"SELECT {_ALL_A}, CASE {_when(_T1A)} {_when(_T2A)} {_when(_T3A)} ELSE coalesce(s.leaf, p.leaf, 'unclassified_other') END AS native_leaf {_JOIN_A}"
 NATIVE_B = f"SELECT {_ALL_B}, CASE WHEN {_GAMBLE} THEN 'gambling_unspecified' ELSE coalesce(c.leaf, 'unclassified_other') END AS native_leaf {_JOIN_B}"
 MAPS = {"entries": SOURCES.format(c="sources"), "entries_b": SOURCES.format(c="sources_b"), "sub_map": SUB_MAP, "pri_map": PRI_MAP, "cat_map": CAT_MAP, "dict": DICT, "feed_a": FEED_A, "feed_b": FEED_B}
@@ -71,7 +102,12 @@ def p1(fx):
 
 @query(
     "p2_p10_scalars",
-    f"SELECT {_DA} AS desc_text, pri || ' | ' || sub AS pair, CASE WHEN sub IS NULL THEN pri ELSE pri || ' | ' || sub END AS pair_kept, round(abs(amount), 2) AS amount_2dp, round(ln(1 + abs(amount)), 6) AS log_amount, CASE WHEN direction = 'credit' THEN 1 ELSE 0 END AS is_credit, lower(coalesce(vendor, '') || ' | ' || coalesce(description_raw, '')) AS model_text, sha256(coalesce(pri, '') || '|' || coalesce(sub, '') || '|' || coalesce(vendor, '')) AS key FROM feed_a",
+    f"""
+SELECT {_DA} AS desc_text, pri || ' | ' || sub AS pair, CASE WHEN sub IS NULL THEN pri
+ELSE pri || ' | ' || sub END AS pair_kept, round(abs(amount), 2) AS amount_2dp, round(ln(1 + abs(amount)), 6) AS log_amount, CASE
+WHEN direction = 'credit' THEN 1 ELSE 0 END AS is_credit, lower(coalesce(vendor, '') || ' | ' || coalesce(description_raw, '')) AS model_text,
+sha256(coalesce(pri, '') || '|' || coalesce(sub, '') || '|' || coalesce(vendor, '')) AS key FROM feed_a
+""",
     feed_a=FEED_A,
 )
 def p2(fx):
@@ -88,14 +124,21 @@ def p2(fx):
     )
 
 
-@query("p4_split_pair", "SELECT DISTINCT pair, split_part(coalesce(pair, ''), ' | ', 1) AS pri, CASE WHEN contains(coalesce(pair, ''), ' | ') THEN substr(pair, strpos(pair, ' | ') + 3) ELSE '' END AS sub FROM (SELECT pri || ' | ' || sub AS pair FROM feed_a) x", feed_a=FEED_A)
+@query("p4_split_pair", """
+SELECT DISTINCT pair, split_part(coalesce(pair, ''), ' | ', 1) AS pri, CASE WHEN contains(coalesce(pair, ''), ' | ') THEN substr(pair, strpos(pair,
+' | ') + 3) ELSE '' END AS sub FROM (SELECT pri || ' | ' || sub AS pair FROM feed_a) x
+""", feed_a=FEED_A)
 def p4(fx):
     rows = a(fx).select(S.native_pair(F.col("pri"), F.col("sub")).alias("pair")).distinct()
     pri, sub = S.split_pair(F.col("pair"))
     return rows.select("pair", pri.alias("pri"), sub.alias("sub"))
 
 
-@query("p11_string_shape", "SELECT CASE WHEN regexp_matches(merchant, '^(mr|mrs|ms|miss|dr) [a-z]') OR regexp_matches(merchant, '^[a-z]\\.? [a-z]+$') THEN 'person_like' WHEN length(merchant) <= 4 THEN 'short_token' WHEN regexp_matches(merchant, '^[a-z]+ [a-z]+$') THEN 'two_word' ELSE 'long_tail' END AS shape, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM strings GROUP BY 1")
+@query("p11_string_shape", """
+SELECT CASE WHEN regexp_matches(merchant, '^(mr|mrs|ms|miss|dr) [a-z]') OR regexp_matches(merchant, '^[a-z]\\.? [a-z]+$') THEN 'person_like'
+WHEN length(merchant) <= 4 THEN 'short_token' WHEN regexp_matches(merchant, '^[a-z]+ [a-z]+$') THEN 'two_word'
+ELSE 'long_tail' END AS shape, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM strings GROUP BY 1
+""")
 def p11(fx):
     return fx.strings.groupBy(S.string_shape(F.col("merchant")).alias("shape")).agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
@@ -111,7 +154,10 @@ def p12(fx):
 RISKY = ("gambling", "debt")
 
 
-@query("p13_risky_leaf", f"SELECT g.merchant, g.gold_leaf AS leaf, coalesce(t.general IN {RISKY} OR t.is_priority = 'true' OR t.is_age = 'true' OR t.is_debt = 'true', false) AS risky FROM gold g LEFT JOIN taxonomy t ON g.gold_leaf = t.leaf")
+@query("p13_risky_leaf", f"""
+SELECT g.merchant, g.gold_leaf AS leaf, coalesce(t.general IN {RISKY} OR t.is_priority = 'true' OR t.is_age = 'true' OR t.is_debt = 'true',
+false) AS risky FROM gold g LEFT JOIN taxonomy t ON g.gold_leaf = t.leaf
+""")
 def p13(fx):
     return X.with_risk(fx.gold.select("merchant", F.col("gold_leaf").alias("leaf")), fx.taxonomy, list(RISKY)).select("merchant", "leaf", "risky")
 
@@ -141,13 +187,21 @@ def p14(fx):
     return parse_sources(listed).groupBy("kind", "value", "leaf").agg(F.count("*").alias("n"))
 
 
-@query("p15_parse_compound", "SELECT e.leaf, 'Identified Salary' AS pri, t.sub AS sub, count(*) AS n FROM (SELECT leaf, trim(unnest(string_split(substr(entry, strpos(entry, 'sub:') + 4), '|'))) AS sub FROM entries WHERE contains(entry, '+')) e JOIN feed_a t ON t.pri = 'Identified Salary' AND t.sub = e.sub GROUP BY 1, 2, 3", **MAPS)
+@query("p15_parse_compound", """
+SELECT e.leaf, 'Identified Salary' AS pri, t.sub AS sub, count(*) AS n FROM (SELECT leaf, trim(unnest(string_split(substr(entry, strpos(entry,
+'sub:') + 4), '|'))) AS sub FROM entries WHERE contains(entry, '+')) e JOIN feed_a t ON t.pri = 'Identified Salary' AND t.sub = e.sub GROUP BY 1, 2, 3
+""", **MAPS)
 def p15(fx):
     rules = parse_compound(fx.taxonomy).where("pri is not null").select("leaf", "pri", F.explode("subs").alias("sub"))
     return a(fx).join(rules, ["pri", "sub"]).groupBy("leaf", "pri", "sub").agg(F.count("*").alias("n"))
 
 
-@query("p16_expand_taxonomy", "SELECT c_mktsegment AS leaf, 'general' || CAST(c_nationkey % 3 AS VARCHAR) AS general, CASE WHEN c_nationkey % 2 = 0 THEN 'essential' WHEN c_nationkey % 3 = 0 THEN 'discretionary' ELSE 'none' END AS necessity, CASE WHEN c_nationkey % 3 = 0 THEN 'expense' ELSE 'none' END AS flow, 'false' AS is_debt, CASE WHEN c_nationkey % 3 = 1 THEN 'true' ELSE 'false' END AS is_priority, 'false' AS is_age, '' AS risk FROM customer")
+@query("p16_expand_taxonomy", """
+SELECT c_mktsegment AS leaf, 'general' || CAST(c_nationkey % 3 AS VARCHAR) AS general, CASE WHEN c_nationkey % 2 = 0 THEN 'essential'
+WHEN c_nationkey % 3 = 0 THEN 'discretionary' ELSE 'none' END AS necessity, CASE WHEN c_nationkey % 3 = 0 THEN 'expense'
+ELSE 'none' END AS flow, 'false' AS is_debt, CASE WHEN c_nationkey % 3 = 1 THEN 'true' ELSE 'false' END AS is_priority, 'false' AS is_age, '' AS risk
+FROM customer
+""")
 def p16(fx):
     c = F.col("c_nationkey")
     none = F.lit(None).cast("string")
@@ -172,7 +226,10 @@ def f3(fx):
     return by(feeds.exclude_primaries(a(fx), "sub", ["Council", "Fuel"]), "sub")
 
 
-@query("f4_keys_in_and_out", "SELECT k.side, count(*) AS n FROM (SELECT CASE WHEN merchant IN (SELECT merchant FROM dictionary) THEN 'in' ELSE 'out' END AS side FROM strings) k GROUP BY 1")
+@query("f4_keys_in_and_out", """
+SELECT k.side, count(*) AS n FROM (SELECT CASE WHEN merchant IN (SELECT merchant FROM dictionary) THEN 'in' ELSE 'out' END AS side FROM strings) k
+GROUP BY 1
+""")
 def f4(fx):
     inside, outside = X.keys_in(fx.strings, fx.dictionary, "merchant"), X.keys_not_in(fx.strings, fx.dictionary, "merchant")
     n = F.count("*").alias("n")
@@ -221,7 +278,10 @@ def c10b(fx):
     return by(W.categorise_b(b(fx), fx.seeds(), order="evaluation"), "leaf", "resolution_tier")
 
 
-@query("c11_mechanism_variant", f"SELECT native_leaf, {_BY} FROM (SELECT amount, CASE {_when(_T3A)} ELSE coalesce(s.leaf, p.leaf, 'unclassified_other') END AS native_leaf {_JOIN_A}) x GROUP BY 1", **MAPS)
+@query("c11_mechanism_variant", f"""
+SELECT native_leaf, {_BY} FROM (SELECT amount, CASE {_when(_T3A)} ELSE coalesce(s.leaf, p.leaf, 'unclassified_other') END AS native_leaf {_JOIN_A}) x
+GROUP BY 1
+""", **MAPS)
 def c11(fx):
     return by(W.native_a(a(fx), fx.seeds(), "mechanism"), "native_leaf")
 
@@ -244,7 +304,11 @@ def both(fx):
     return feeds.union_feeds(W.categorise_a(a(fx), fx.seeds()).select(*cols), W.categorise_b(b(fx), fx.seeds()).select(*cols))
 
 
-@query("a2_tier_report", "SELECT provider, resolution_tier, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY provider), 2) AS pct_of_provider, count(DISTINCT u.leaf) AS distinct_leaves, count(*) FILTER (t.leaf IS NULL) AS leaves_missing_metadata FROM u LEFT JOIN taxonomy t ON u.leaf = t.leaf GROUP BY 1, 2", **MAPS, cat_a=CAT_A, cat_b=CAT_B, u=BOTH)
+@query("a2_tier_report", """
+SELECT provider, resolution_tier, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY provider), 2) AS pct_of_provider,
+count(DISTINCT u.leaf) AS distinct_leaves, count(*) FILTER (t.leaf IS NULL) AS leaves_missing_metadata FROM u LEFT JOIN taxonomy t ON u.leaf = t.leaf
+GROUP BY 1, 2
+""", **MAPS, cat_a=CAT_A, cat_b=CAT_B, u=BOTH)
 def a2(fx):
     return W.tier_report(both(fx), fx.taxonomy)
 
@@ -254,8 +318,16 @@ def u1(fx):
     return by(both(fx), "provider", "leaf")
 
 
-MODAL_A = f"SELECT m, pair, n, volume FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY n DESC, pair ASC NULLS LAST) AS rn, CAST(sum(n) OVER (PARTITION BY m) AS BIGINT) AS volume FROM (SELECT {_MA} AS m, pri || ' | ' || sub AS pair, count(*) AS n FROM feed_a WHERE direction = 'debit' AND vendor IS NOT NULL AND trim(vendor) <> '' GROUP BY 1, 2) g) r WHERE rn = 1"
-MODAL_B = f"SELECT m, cat, n, volume FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY n DESC, cat ASC NULLS LAST) AS rn, CAST(sum(n) OVER (PARTITION BY m) AS BIGINT) AS volume FROM (SELECT {_MB} AS m, cat, count(*) AS n FROM feed_b WHERE amount > 0 AND merchant_raw IS NOT NULL AND trim(merchant_raw) <> '' GROUP BY 1, 2) g) r WHERE rn = 1"
+MODAL_A = f"""
+SELECT m, pair, n, volume FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY n DESC, pair ASC NULLS LAST) AS rn,
+CAST(sum(n) OVER (PARTITION BY m) AS BIGINT) AS volume FROM (SELECT {_MA} AS m, pri || ' | ' || sub AS pair, count(*) AS n FROM feed_a
+WHERE direction = 'debit' AND vendor IS NOT NULL AND trim(vendor) <> '' GROUP BY 1, 2) g) r WHERE rn = 1
+"""
+MODAL_B = f"""
+SELECT m, cat, n, volume FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY n DESC, cat ASC NULLS LAST) AS rn,
+CAST(sum(n) OVER (PARTITION BY m) AS BIGINT) AS volume FROM (SELECT {_MB} AS m, cat, count(*) AS n FROM feed_b
+WHERE amount > 0 AND merchant_raw IS NOT NULL AND trim(merchant_raw) <> '' GROUP BY 1, 2) g) r WHERE rn = 1
+"""
 
 
 def modal_a(fx):
@@ -303,14 +375,20 @@ def u2(fx):
     return X.distinct_vendors(a(fx))
 
 
-@query("u3_common_and_all_keys", "SELECT 'common' AS side, count(*) AS n FROM (SELECT merchant FROM strings INTERSECT SELECT merchant FROM dictionary) x UNION ALL SELECT 'all', count(*) FROM (SELECT merchant FROM strings UNION SELECT merchant FROM dictionary) y")
+@query("u3_common_and_all_keys", """
+SELECT 'common' AS side, count(*) AS n FROM (SELECT merchant FROM strings INTERSECT SELECT merchant FROM dictionary) x
+UNION ALL SELECT 'all', count(*) FROM (SELECT merchant FROM strings UNION SELECT merchant FROM dictionary) y
+""")
 def u3(fx):
     n = F.count("*").alias("n")
     one, two = fx.strings.select("merchant"), fx.dictionary.select("merchant")
     return X.common_keys(one, two).agg(n).select(F.lit("common").alias("side"), "n").union(X.all_keys(one, two).agg(n).select(F.lit("all"), "n"))
 
 
-AGREED = f"SELECT s.*, coalesce(sm.leaf, pm.leaf) AS leaf_a, cm.leaf AS leaf_b FROM ({SHARED}) s LEFT JOIN sub_map sm ON split_part(s.pair, ' | ', 2) = sm.value LEFT JOIN pri_map pm ON split_part(s.pair, ' | ', 1) = pm.value LEFT JOIN cat_map cm ON s.cat = cm.value"
+AGREED = f"""
+SELECT s.*, coalesce(sm.leaf, pm.leaf) AS leaf_a, cm.leaf AS leaf_b FROM ({SHARED}) s LEFT JOIN sub_map sm ON split_part(s.pair, ' | ', 2) = sm.value
+LEFT JOIN pri_map pm ON split_part(s.pair, ' | ', 1) = pm.value LEFT JOIN cat_map cm ON s.cat = cm.value
+"""
 _AGREED = {**MAPS, **{k: v for k, v in _MODALS.items() if k.startswith("modal")}, "agreed": AGREED}
 
 
@@ -318,7 +396,12 @@ def agreed(fx):
     return X.with_leaves(X.shared_merchants(modal_a(fx), modal_b(fx)), fx.seeds())
 
 
-@query("a7_agreement_summary", f"SELECT count(*) AS merchants, CAST(sum(volume_b) AS BIGINT) AS volume, count(*) FILTER (leaf_a = leaf_b) AS agree, CAST(coalesce(sum(volume_b) FILTER (leaf_a = leaf_b), 0) AS BIGINT) AS agree_volume, count(*) FILTER (leaf_a <> leaf_b AND (leaf_a IN {COARSE} OR leaf_b IN {COARSE})) AS coarse, count(*) FILTER (leaf_a <> leaf_b AND NOT (leaf_a IN {COARSE} OR leaf_b IN {COARSE})) AS genuine FROM agreed", **_AGREED)
+@query("a7_agreement_summary", f"""
+SELECT count(*) AS merchants, CAST(sum(volume_b) AS BIGINT) AS volume, count(*) FILTER (leaf_a = leaf_b) AS agree,
+CAST(coalesce(sum(volume_b) FILTER (leaf_a = leaf_b), 0) AS BIGINT) AS agree_volume,
+count(*) FILTER (leaf_a <> leaf_b AND (leaf_a IN {COARSE} OR leaf_b IN {COARSE})) AS coarse,
+count(*) FILTER (leaf_a <> leaf_b AND NOT (leaf_a IN {COARSE} OR leaf_b IN {COARSE})) AS genuine FROM agreed
+""", **_AGREED)
 def a7(fx):
     return X.agreement_summary(agreed(fx), list(COARSE))
 
@@ -328,12 +411,20 @@ def k2(fx):
     return X.top_conflicts(agreed(fx), 20)
 
 
-@query("a16_category_bridge", "SELECT pair, cat, n, round(100.0 * n / total, 2) AS pct, kinds FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY n DESC, cat) AS rn, sum(n) OVER (PARTITION BY pair) AS total, count(*) OVER (PARTITION BY pair) AS kinds FROM (SELECT pair, cat, count(*) AS n FROM agreed WHERE pair IS NOT NULL GROUP BY 1, 2) g) r WHERE rn = 1", **_AGREED)
+@query("a16_category_bridge", """
+SELECT pair, cat, n, round(100.0 * n / total, 2) AS pct, kinds FROM (SELECT *, row_number() OVER (PARTITION BY pair
+ORDER BY n DESC, cat) AS rn, sum(n) OVER (PARTITION BY pair) AS total, count(*) OVER (PARTITION BY pair) AS kinds
+FROM (SELECT pair, cat, count(*) AS n FROM agreed WHERE pair IS NOT NULL GROUP BY 1, 2) g) r WHERE rn = 1
+""", **_AGREED)
 def a16(fx):
     return X.category_bridge(agreed(fx))
 
 
-@query("l16_ground_truth", f"SELECT (SELECT count(*) FROM agreed) AS shared, (SELECT count(*) FROM agreed WHERE split_part(pair, ' | ', 1) IN ('Identified Salary', 'Refund')) AS mechanism, count(*) FILTER (leaf_a IS NULL) AS unresolved, count(*) FILTER (leaf_a IS NOT NULL) AS kept FROM agreed WHERE split_part(coalesce(pair, ''), ' | ', 1) NOT IN ('Identified Salary', 'Refund')", **_AGREED)
+@query("l16_ground_truth", f"""
+SELECT (SELECT count(*) FROM agreed) AS shared, (SELECT count(*) FROM agreed
+WHERE split_part(pair, ' | ', 1) IN ('Identified Salary', 'Refund')) AS mechanism, count(*) FILTER (leaf_a IS NULL) AS unresolved,
+count(*) FILTER (leaf_a IS NOT NULL) AS kept FROM agreed WHERE split_part(coalesce(pair, ''), ' | ', 1) NOT IN ('Identified Salary', 'Refund')
+""", **_AGREED)
 def l16(fx):
     return X.ground_truth_counts(agreed(fx), list(MECHANISMS))
 
@@ -343,12 +434,19 @@ def a17(fx):
     return both(fx).groupBy("provider").agg(F.round(F.avg((F.col("leaf") == W.RESIDUAL).cast("int")), 6).alias("rate"))
 
 
-@query("a18_per_applicant", "SELECT count(*) AS applicants, round(avg(n), 4) AS mean, max(n) AS most, min(n) AS least, round(quantile_cont(n, 0.5), 4) AS median, round(quantile_cont(n, 0.9), 4) AS p90, round(quantile_cont(n, 0.95), 4) AS p95, round(quantile_cont(n, 0.99), 4) AS p99 FROM (SELECT applicant, count(*) AS n FROM (SELECT applicant FROM raw_a UNION ALL SELECT applicant FROM raw_b) x GROUP BY 1) y")
+@query("a18_per_applicant", """
+SELECT count(*) AS applicants, round(avg(n), 4) AS mean, max(n) AS most, min(n) AS least, round(quantile_cont(n, 0.5), 4) AS median,
+round(quantile_cont(n, 0.9), 4) AS p90, round(quantile_cont(n, 0.95), 4) AS p95, round(quantile_cont(n, 0.99), 4) AS p99
+FROM (SELECT applicant, count(*) AS n FROM (SELECT applicant FROM raw_a UNION ALL SELECT applicant FROM raw_b) x GROUP BY 1) y
+""")
 def a18(fx):
     return X.per_applicant(fx.raw_a.select("applicant").union(fx.raw_b.select("applicant")))
 
 
-@query("e11_feed_independence", "SELECT count(*) AS merchants, round(avg(CASE WHEN leaf_a = leaf_b THEN 1.0 ELSE 0.0 END), 6) AS same FROM agreed WHERE leaf_a IS NOT NULL AND leaf_b IS NOT NULL", **_AGREED)
+@query("e11_feed_independence", """
+SELECT count(*) AS merchants, round(avg(CASE WHEN leaf_a = leaf_b THEN 1.0 ELSE 0.0 END), 6) AS same FROM agreed
+WHERE leaf_a IS NOT NULL AND leaf_b IS NOT NULL
+""", **_AGREED)
 def e11(fx):
     rows = agreed(fx).where("leaf_a is not null and leaf_b is not null")
     return rows.agg(F.count("*").alias("merchants"), F.round(F.avg((F.col("leaf_a") == F.col("leaf_b")).cast("int")), 6).alias("same"))
@@ -393,7 +491,10 @@ def j11(fx):
     return by(X.label_rows(rows, fx.gold.withColumnRenamed("gold_leaf", "leaf")), "leaf")
 
 
-@query("j6_prefer", f"SELECT coalesce(b.m, a.m) AS m, coalesce(b.cat, a.pair) AS category, CASE WHEN b.m IS NULL THEN 'A' ELSE 'B' END AS provider FROM modal_a a FULL JOIN modal_b b ON a.m = b.m WHERE (b.m IS NOT NULL AND b.cat IS NOT NULL) OR b.m IS NULL", **_MODALS)
+@query("j6_prefer", f"""
+SELECT coalesce(b.m, a.m) AS m, coalesce(b.cat, a.pair) AS category, CASE WHEN b.m IS NULL THEN 'A' ELSE 'B' END AS provider FROM modal_a a FULL
+JOIN modal_b b ON a.m = b.m WHERE (b.m IS NOT NULL AND b.cat IS NOT NULL) OR b.m IS NULL
+""", **_MODALS)
 def j6(fx):
     return X.prefer(modal_b(fx).select("m", F.col("cat").alias("category")), modal_a(fx).select("m", F.col("pair").alias("category")), "m")
 
