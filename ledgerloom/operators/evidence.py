@@ -15,27 +15,30 @@ def top_k_counts(df: DataFrame, key: str, col: str, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def credit_and_median(df: DataFrame, key: str) -> DataFrame:
-    """Credit share and exact median absolute amount of each key.
+def evidence(feed_b: DataFrame) -> DataFrame:
+    """Credit share, median absolute amount, top 2 categories and top 3 narratives of each merchant ``m``.
 
-    Amounts are counted first; the counts run over each key's amounts in order, which spills where a key is hot.
+    One pass over the feed: amounts, categories and narratives are counted side by side.  The counts then run over each
+    merchant's amounts in order (the exact median) and are ranked; both are sorts, which spill where a merchant is hot.
     """
-    credit = F.count_if(F.col("direction") == "credit")
-    counts = df.groupBy(key, F.abs("amount").alias("v")).agg(F.count("*").alias("n"), credit.alias("c"))
-    whole = Window.partitionBy(key)
-    upto = F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).over(whole)
-    run = counts.withColumns({"upto": upto, "total": total})
-    at = lambda place: F.max(F.when(F.col("v").isNotNull() & (place < F.col("upto")) & (place >= F.col("upto") - F.col("n")), F.col("v")))
+    kind = lambda name, value, v: F.struct(F.lit(name).alias("kind"), value.cast("string").alias("value"), v.cast("double").alias("v"))
+    none = F.lit(None)
+    each = F.array(kind("amount", none, F.abs("amount")), kind("cat", F.col("cat"), none), kind("desc", F.col("description_raw"), none))
+    rows = feed_b.select("m", (F.col("direction") == "credit").cast("int").alias("credit"), F.explode(each).alias("k"))
+    counts = rows.groupBy("m", "k.kind", "k.value", "k.v").agg(F.count("*").alias("n"), F.sum("credit").alias("c"))
+    own = Window.partitionBy("m", "kind")
+    valued = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
+    upto = F.sum(valued).over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.row_number().over(own.orderBy(F.col("n").desc(), F.col("value").asc_nulls_last()))
+    run = counts.withColumns({"upto": upto, "total": F.sum(valued).over(own), "rank": rank})
+    is_amount = F.col("kind") == "amount"
+    at = lambda place: F.max(F.when(is_amount & F.col("v").isNotNull() & (place < F.col("upto")) & (place >= F.col("upto") - F.col("n")), F.col("v")))
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    return run.groupBy(key).agg(F.round(F.sum("c") / F.sum("n"), 2).alias("pct_credit"), F.round((at(low) + at(high)) / 2, 4).alias("median_amount"))
-
-
-def evidence(feed_b: DataFrame) -> DataFrame:
-    """Credit share, median absolute amount, top 2 categories and top 3 narratives of each merchant ``m``."""
-    base = credit_and_median(feed_b, "m")
-    listed = lambda c, k: top_k_counts(feed_b, "m", c, k).groupBy("m").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("_l")).select("m", F.transform("_l", lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count"))).alias("found"))
-    return base.join(listed("cat", 2).withColumnRenamed("found", "cats"), "m").join(listed("description_raw", 3).withColumnRenamed("found", "descs"), "m")
+    top = lambda name, k: F.array_sort(F.collect_list(F.when((F.col("kind") == name) & (F.col("rank") <= k), F.struct("rank", "value", "n"))))
+    shown = lambda c: F.transform(c, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count")))
+    share = F.sum(F.when(is_amount, F.col("c"))) / F.sum(F.when(is_amount, F.col("n")))
+    out = run.groupBy("m").agg(F.round(share, 2).alias("pct_credit"), F.round((at(low) + at(high)) / 2, 4).alias("median_amount"), top("cat", 2).alias("_c"), top("desc", 3).alias("_d"))
+    return out.select("m", "pct_credit", "median_amount", shown("_c").alias("cats"), shown("_d").alias("descs"))
 
 
 def render_evidence(df: DataFrame, col: str, trim: int = 70) -> DataFrame:

@@ -1,6 +1,7 @@
 """Global orders, quantiles, draws and matches without a single task or a driver loop, held against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,14 +52,23 @@ def test_quantiles(spark):
     assert tables.quantiles(spark.createDataFrame([(3.5,)], "v double"), "v", [0.3]) == [3.5]
 
 
-def test_credit_and_median(spark):
+def test_evidence_by_counting(spark):
     draw = random.Random(2)
-    rows = [(f"m{draw.randrange(9)}", draw.choice([None, *map(float, range(-6, 7))]), draw.choice(["credit", "debit"])) for _ in range(400)] + [("lone", None, "debit")]
-    got = {r.m: r for r in E.credit_and_median(spark.createDataFrame(rows, "m string, amount double, direction string"), "m").collect()}
+    word = lambda letters: draw.choice([None, *letters])
+    rows = [(f"m{draw.randrange(9)}", draw.choice([None, *map(float, range(-6, 7))]), draw.choice(["credit", "debit"]), word("abc"), word("wxyz")) for _ in range(400)]
+    rows.append(("lone", None, "debit", None, None))
+    df = spark.createDataFrame(rows, "m string, amount double, direction string, cat string, description_raw string")
+    got = {r.m: r for r in E.evidence(df).collect()}
+
+    def top(values, k):
+        return sorted(Counter(values).items(), key=lambda x: (-x[1], x[0] is None, x[0]))[:k]
+
     for m in {r[0] for r in rows}:
-        amounts = [abs(r[1]) for r in rows if r[0] == m and r[1] is not None]
+        own = [r for r in rows if r[0] == m]
+        amounts = [abs(r[1]) for r in own if r[1] is not None]
         assert got[m].median_amount == (np.median(amounts) if amounts else None)
-        assert got[m].pct_credit == pytest.approx(np.mean([r[2] == "credit" for r in rows if r[0] == m]), abs=0.0051)
+        assert got[m].pct_credit == pytest.approx(np.mean([r[2] == "credit" for r in own]), abs=0.0051)
+        assert [tuple(x) for x in got[m].cats] == top([r[3] for r in own], 2) and [tuple(x) for x in got[m].descs] == top([r[4] for r in own], 3)
 
 
 def test_auc_and_ks_by_pairs(spark):
