@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import tempfile
 import uuid
 
 import numpy as np
@@ -19,10 +20,16 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset the context's own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset the context's own.
+
+    Where neither is set, a session of one machine (master ``local``) gets a folder of that machine; others must set one.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
