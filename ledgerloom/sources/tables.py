@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,10 +87,16 @@ def read_verdicts(df: DataFrame, vocabulary: list[str], leaves: DataFrame) -> tu
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or else the context's own."""
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or else the context's own.
+
+    Where neither is set, a session of one machine (master ``local``) gets a folder of that machine; others must set one.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+        where = spark.sparkContext.getCheckpointDir()
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
