@@ -94,7 +94,7 @@ def text_slices(texts: pa.Array, most: int = 1 << 20):
         at = end
 
 
-def pieces(batches, column: str = "text", most: int = 1 << 20):
+def pieces(batches, column: str = "text", most: int = 1 << 18):
     """The batches cut into slices of about ``most`` bytes of text, which bounds what is derived from a slice."""
     for batch in batches:
         for at, n in text_slices(batch.column(column), most):
