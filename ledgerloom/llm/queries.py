@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, hmm, mixing, quality, simhash, substring, suffixes, syncmers, token_files, webp
+from ledgerloom.llm import bpe, hmm, middle, mixing, quality, simhash, substring, suffixes, syncmers, token_files, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,13 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_table(documents(spark, sf_dir))
 
 
+def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rearrange every document for fill-in-middle training and restore it from the result."""
+    return middle.middle_table(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_syncmers": op2_syncmers, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op7_suffixes": op7_suffixes, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_hmm": op10_hmm}
+    return {"op1_token_files": op1_token_files, "op2_syncmers": op2_syncmers, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op7_suffixes": op7_suffixes, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_hmm": op10_hmm, "op11_middle": op11_middle}
 
 
 #: Windows of 50 words by content; a word goes if a window over it starts in a document of smaller id too.
@@ -96,7 +101,16 @@ kept AS (SELECT doc_id, string_agg(substr(h, 2 * (e.z + 1) + 1, greatest(0, 2 *
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN kept.doc_id IS NULL THEN h ELSE kept.k END)) AS kept_sha256 FROM d LEFT JOIN span USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: Cuts in characters, and the parts in their new order; the text restored from exact parts is the text.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(s, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(s, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """Twins of the two removals; the other operators need hashes, merges, files or fits that SQL has none of."""
-    return {"op4_substring": OP4_SQL, "op7_suffixes": OP7_SQL}
+    """Twins of the two removals and of the rearrangement; the other operators need hashes, merges, files or fits that SQL has none of."""
+    return {"op4_substring": OP4_SQL, "op7_suffixes": OP7_SQL, "op11_middle": OP11_SQL}
