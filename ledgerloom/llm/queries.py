@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, conversations, hmm, middle, mixing, quality, simhash, substring, suffixes, syncmers, token_files, webp
+from ledgerloom.llm import bpe, conversations, hmm, middle, mixing, packing, quality, simhash, substring, suffixes, syncmers, token_files, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +79,13 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_table(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack the pieces of all documents into few sequences of at most 1024 tokens."""
+    return packing.packing_table(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op2_syncmers": op2_syncmers, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op7_suffixes": op7_suffixes, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_hmm": op10_hmm, "op11_middle": op11_middle, "op12_repair": op12_repair}
+    return {"op1_token_files": op1_token_files, "op2_syncmers": op2_syncmers, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_simhash": op5_simhash, "op6_webp": op6_webp, "op7_suffixes": op7_suffixes, "op8_mixing": op8_mixing, "op9_bpe": op9_bpe, "op10_hmm": op10_hmm, "op11_middle": op11_middle, "op12_repair": op12_repair, "op13_packing": op13_packing}
 
 
 #: Windows of 50 words by content; a word goes if a window over it starts in a document of smaller id too.
