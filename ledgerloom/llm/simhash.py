@@ -18,8 +18,8 @@ trees of vantage points:
 Components come from alternating large-star and small-star steps over the links, stored after each step.
 
 Defined results: a null text is the empty text; a text without words has fingerprint zero and links like any other;
-repeated rows are copies; a row without an id takes the least id of its fingerprint's group, and a fingerprint that
-only such rows have is not linked (its component is null); an empty table gives an empty table.
+repeated rows are copies; rows of one id are documents of their own; a row without an id links like any other and takes
+the least id of its component, which is null where all its rows have none; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -267,13 +267,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 5, together: int = 3, pivots: int = 10) -> DataFrame:
-    """``doc_id, fp, component_id`` of every document."""
+    """``doc_id, fp, component_id`` of every document.
+
+    A fingerprint of 64 bits is its own name among the nodes, so rows of one id, or without one, stay apart; the least id
+    is a value that each fingerprint brings to its component.
+    """
     fps = stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    known = stored(nodes.where("node is not null"), "nodes")
-    found = components(near_links(known, radius, blocks, together, pivots))
-    classes = known.join(found, "node", "left").select(F.col("fp").alias("own"), F.coalesce("component", "node").alias("component_id"))
-    return fps.join(stored(classes, "classes"), F.col("fp") == F.col("own"), "left").select("doc_id", "fp", "component_id")
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")[0]), "nodes")
+    found = components(near_links(nodes, radius, blocks, together, pivots)).withColumnRenamed("node", "own")
+    named = nodes.join(found, F.col("node") == F.col("own"), "left").select("node", "least", F.coalesce("component", "node").alias("class"))
+    named = stored(named, "classes")
+    ids = named.groupBy(F.col("class").alias("c")).agg(F.min("least").alias("component_id"))
+    classes = stored(named.join(ids, F.col("class") == F.col("c")).select(F.col("node").alias("own"), "component_id"), "classes")
+    return fps.join(classes, F.col("fp")[0] == F.col("own")).select("doc_id", "fp", "component_id")
 
 
 def simhash_table(docs: DataFrame) -> DataFrame:

@@ -38,6 +38,8 @@ from ledgerloom.llm.substring import KEY, KEY_TYPE, keys_of, numbered
 WINDOW, KMER = 200, 48
 SPAN = WINDOW - KMER + 1  # substrings in a window
 SHARD_BYTES, HOT_BYTES = 2 << 20, 256 << 10
+#: Windows of a longer text that are worked off at a time; pieces end there.
+SEGMENT = 1 << 20
 #: Steps by which the keys of hot pieces are widened, one refinement after the other; after 8 a key is a whole window.
 DEPTHS = (3, 8)
 #: Symbols up to which buckets are worked off with arrays, and pairs in a row that share one comparison.
@@ -336,13 +338,43 @@ def raw(text) -> bytes:
     return text.as_buffer().to_pybytes()
 
 
+def segments(texts: pa.Array):
+    """The texts with place 0; one long text of its own as consecutive parts, which overlap so that each window is in one."""
+    if len(texts) != 1 or (size := texts[0].as_buffer().size) <= SEGMENT + WINDOW - 1:
+        yield texts, 0
+        return
+    for at in range(0, size - WINDOW + 1, SEGMENT):
+        part = texts[0].as_buffer().slice(at, min(SEGMENT + WINDOW - 1, size - at))
+        yield pa.Array.from_buffers(pa.binary(), 1, [None, pa.array([0, part.size], pa.int32()).buffers()[1], part]), at
+
+
+def progressions(places: np.ndarray) -> list[tuple[int, int, int]]:
+    """Rising places as (first, step, number)."""
+    if len(places) == 1:
+        return [(int(places[0]), 0, 1)]
+    step = np.diff(places)
+    change = np.append(np.flatnonzero(step[1:] != step[:-1]) + 1, len(step))
+    out, i, k = [], 0, 0
+    while i < len(places):
+        if i == len(step):
+            out.append((int(places[i]), 0, 1))
+            break
+        while change[k] <= i:
+            k += 1
+        end = int(change[k])
+        out.append((int(places[i]), int(step[i]), end - i + 1))
+        i = end + 1
+    return out
+
+
 def piece_table(rows: DataFrame) -> DataFrame:
     """``k, c, n, tied, KEY, at``: key, content, number of windows and place of every piece of every text."""
 
     def run(batches):
         for batch in pieces(batches):
-            w = Windows(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"k": w.keys.view(np.int64), "c": w.contents().view(np.int64), "n": w.n.astype(np.int32), "tied": w.tied.astype(np.int32), **keys_of(batch, w.doc), "at": w.at.astype(np.int32)})
+            for texts, base in segments(batch.column("text")):
+                w = Windows(texts)
+                yield pa.RecordBatch.from_pydict({"k": w.keys.view(np.int64), "c": w.contents().view(np.int64), "n": w.n.astype(np.int32), "tied": w.tied.astype(np.int32), **keys_of(batch, w.doc), "at": (w.at + base).astype(np.int32)})
 
     return rows.select(*KEY, "text").mapInArrow(run, f"k long, c long, n int, tied int, {KEY_TYPE}, at int")
 
@@ -377,22 +409,34 @@ def piece_bytes(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def widened(units: DataFrame, depth: int) -> DataFrame:
-    """The units cut by longer keys: ``k, u, c, n, piece`` of each run, with unit, content and place of where it is from."""
+    """The units cut by longer keys: ``k, u, c, n, piece`` of each run, with unit, content and places of where it is from.
+
+    Equal runs of a piece are one row and its bytes are cut out once; their places are progressions (first, step, number),
+    so that periodic pieces of any length take few rows.
+    """
 
     def run(batches):
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        names = ("k", "u", "c", "n", "piece", "of_u", "of_c", "at", "step", "number")
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("k", "u", "c", "n", "piece", "of_u", "of_c", "at")}
-            for k, u, c, piece in zip(*(batch.column(x).to_pylist() for x in ("k", "u", "c", "piece"))):
-                sums = sums_of(np.frombuffer(piece, np.uint8))
+            for i in range(batch.num_rows):
+                k, u, c = (batch.column(x)[i].as_py() for x in ("k", "u", "c"))
+                piece = raw(batch.column("piece")[i])
                 first, n, longer = wider_keys(piece, k, depth)
-                content = hash_runs(sums, first, n + WINDOW - 1).view(np.int64)
-                cut_out = [piece[a : a + m + WINDOW - 1] for a, m in zip(first.tolist(), n.tolist())]
-                for to, value in zip(out.values(), ([k] * len(n), longer.tolist(), content.tolist(), n.tolist(), cut_out, [u] * len(n), [c] * len(n), first.tolist())):
-                    to.extend(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
-
-    return units.select("k", "u", "c", "piece").mapInArrow(run, "k long, u long, c long, n int, piece binary, of_u long, of_c long, at int")
+                content = hash_runs(sums_of(np.frombuffer(piece, np.uint8)), first, n + WINDOW - 1).view(np.int64)
+                order = np.lexsort((first, n, content))
+                first, n, longer, content = first[order], n[order], longer[order], content[order]
+                edges = [0, *(np.flatnonzero((content[1:] != content[:-1]) | (n[1:] != n[:-1])) + 1).tolist(), len(n)]
+                rows = []
+                for a, b in zip(edges, edges[1:]):
+                    cut_out = piece[first[a] : first[a] + n[a] + WINDOW - 1]
+                    for at, step, number in progressions(first[a:b]):
+                        rows.append((k, longer[a], content[a], n[a], cut_out, u, c, at, step, number))
+                        cut_out = None
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=list(names))
+
+    out = "k long, u long, c long, n int, piece binary, of_u long, of_c long, at int, step int, number int"
+    return units.select("k", "u", "c", "piece").mapInArrow(run, out)
 
 
 def sorted_spans(units: DataFrame, size: int) -> DataFrame:
@@ -421,10 +465,15 @@ def unit_spans(units: DataFrame, depths: tuple[int, ...]) -> DataFrame:
     hot = stored(bytes_of.where(F.col("bytes") > HOT_BYTES).select(F.col("u").alias("hot")), "hot")
     found = sorted_spans(units.join(hot, F.col("u") == F.col("hot"), "left_anti"), sizes.cold or 0)
     cut_up = stored(widened(units.join(hot, F.col("u") == F.col("hot"), "left_semi"), depths[0]), "widened")
-    finer = cut_up.groupBy("u", "c", "n").agg(F.first("k").alias("k"), F.count("*").alias("times"), F.first("piece").alias("piece"))
+    finer = cut_up.groupBy("u", "c", "n").agg(F.first("k").alias("k"), F.sum("number").alias("times"), F.first("piece", ignorenulls=True).alias("piece"))
     spans = stored(unit_spans(stored(finer, "finer"), depths[1:]).withColumnsRenamed({"u": "v", "c": "d", "at": "start", "n": "m"}), "spans")
     told = cut_up.join(spans, (F.col("u") == F.col("v")) & (F.col("c") == F.col("d")))
-    told = told.select(F.col("of_u").alias("u"), F.col("of_c").alias("c"), (F.col("at") + F.col("start")).alias("at"), F.col("m").alias("n"))
+    # Where the runs of a progression touch, they cover what one run over all of them covers.
+    place = lambda at, n: F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"))
+    at, over = F.col("at") + F.col("start"), (F.col("number") - 1) * F.col("step")
+    each = F.transform(F.sequence(F.lit(0), F.col("number") - 1), lambda i: place(at + i * F.col("step"), F.col("m")))
+    covered = F.when(F.col("step") <= F.col("m") + (WINDOW - 1), F.array(place(at, over + F.col("m")))).otherwise(each)
+    told = told.select(F.col("of_u").alias("u"), F.col("of_c").alias("c"), F.inline(covered))
     return again.unionByName(found).unionByName(told)
 
 

@@ -8,11 +8,13 @@ found by position and mapped without a copy):
   padding, only in a shard's last row);
 * ``<shard>.docs.arrow``: ``doc_id``, ``first`` (place of its first id in the shard), ``n_tokens``.
 
-Shards are written under another name and moved, so a retried or doubled task leaves one whole file.  A shard holds
-at most about ``shard_tokens`` ids (one document more), which bounds a task's memory.
+Every attempt of a task names its shards anew, and the stored table of shards lists those of the attempts that counted; a
+retried or doubled task leaves files that nothing reads.  A shard holds at most about ``shard_tokens`` ids (one document
+more), which bounds a task's memory.  Ranges are of the id and a hash of the text, so that many rows of one id, or without
+one, spread over tasks.
 
 Defined results: a null text is the empty text and yields the end id only; rows with a null ``doc_id`` come first;
-rows of equal ``doc_id`` are ordered by text; an empty table gives no shards; other columns are left out.
+rows of equal ``doc_id`` are ordered by the hash of their text; an empty table gives no shards; other columns are left out.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from ledgerloom.llm.bpe import byte_letters
 from ledgerloom.llm.common import shared_dir, stored, text_of, width
 
 #: Words kept in each of the two cache generations of a worker.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 450_000
 CACHE_WORD_CHARS = 64
 ROWS_PER_BATCH = 1024
 
@@ -103,13 +105,11 @@ def encoder(path: str, dtype: str) -> LibraryEncoder:
 
 
 def write_file(where: str, batches, schema: pa.Schema) -> None:
-    """Write an Arrow file under a name of its own, then move it to its place."""
+    """Write an Arrow file; its name must be new."""
     store, path = fs.FileSystem.from_uri(where)
-    own = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(own) as out, pa.ipc.new_file(out, schema) as writer:
+    with store.open_output_stream(path) as out, pa.ipc.new_file(out, schema) as writer:
         for batch in batches:
             writer.write_batch(batch)
-    store.move(own, path)
 
 
 def open_file(where: str) -> pa.ipc.RecordBatchFileReader:
@@ -152,6 +152,37 @@ def read_shard(where: str) -> tuple[np.ndarray, pa.RecordBatch]:
     return np.concatenate(parts), docs
 
 
+def write_part(batches, where: str, part: int, path: str, end_id: int, length: int, shard_tokens: int, dtype: str):
+    """An attempt at one range of documents: writes its shards and yields a row for each."""
+    enc = encoder(path, dtype)
+    end, attempt = np.array([end_id], dtype).tobytes(), uuid.uuid4().hex
+    seq = total = 0
+    ids: list[bytes] = []
+    names: list = []
+    sizes: list[int] = []
+
+    def flush():
+        tokens = np.frombuffer(b"".join(ids), dtype)
+        n = np.array(sizes, np.int64)
+        table = pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64()), "first": pa.array(np.cumsum(n) - n), "n_tokens": pa.array(n)})
+        name = f"{where}/part-{part:06d}-{seq:05d}-{attempt}"
+        write_shard(name, tokens, length, table)
+        return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [name], "n_tokens": [len(tokens)], "n_docs": [len(names)]})
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            packed = enc.encode(text.as_py()) + end
+            ids.append(packed)
+            names.append(doc_id)
+            sizes.append(len(packed) // np.dtype(dtype).itemsize)
+            total += sizes[-1]
+            if total >= shard_tokens:
+                yield flush()
+                seq, total, ids, names, sizes = seq + 1, 0, [], [], []
+    if names:
+        yield flush()
+
+
 def write_tokens(docs: DataFrame, path: str, end_id: int, length: int = 1024, shard_tokens: int = 1 << 22, dtype: str = "<u2") -> DataFrame:
     """Encode every text, append ``end_id``, write the shards; returns their table (part, seq, path, n_tokens, n_docs).
 
@@ -163,37 +194,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, length: int = 1024, sh
     store.create_dir(folder, recursive=True)
 
     def run(batches):
-        enc = encoder(path, dtype)
-        end = np.array([end_id], dtype).tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
-        names: list = []
-        sizes: list[int] = []
-
-        def flush():
-            tokens = np.frombuffer(b"".join(ids), dtype)
-            n = np.array(sizes, np.int64)
-            table = pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64()), "first": pa.array(np.cumsum(n) - n), "n_tokens": pa.array(n)})
-            name = f"{where}/part-{part:06d}-{seq:05d}"
-            write_shard(name, tokens, length, table)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "path": [name], "n_tokens": [len(tokens)], "n_docs": [len(names)]})
-
-        total = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                packed = enc.encode(text.as_py()) + end
-                ids.append(packed)
-                names.append(doc_id)
-                sizes.append(len(packed) // np.dtype(dtype).itemsize)
-                total += sizes[-1]
-                if total >= shard_tokens:
-                    yield flush()
-                    seq, total, ids, names, sizes = seq + 1, 0, [], [], []
-        if names:
-            yield flush()
-
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ranged = ranged.repartitionByRange(width(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+        return write_part(batches, where, TaskContext.get().partitionId(), path, end_id, length, shard_tokens, dtype)
+
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("name", F.xxhash64("text"))
+    ranged = ranged.repartitionByRange(width(docs), "doc_id", "name").sortWithinPartitions("doc_id", "name").select("doc_id", "text")
     return stored(ranged.mapInArrow(run, "part long, seq long, path string, n_tokens long, n_docs long"), "shards")
 
 

@@ -48,6 +48,44 @@ def families(n=60, seed=1):
     return rows
 
 
+@pytest.fixture
+def given_fingerprints(spark, monkeypatch):
+    """near_duplicates over (id, fingerprint) rows."""
+
+    def run(rows):
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        table = spark.createDataFrame([(i, [signed(v)]) for i, v in rows], "doc_id long, fp array<long>").repartition(3)
+        monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: table)
+        got = [(r.doc_id, r.fp[0] % (1 << 64), r.component_id) for r in simhash.near_duplicates(table).collect()]
+        nodes = sorted({v for _, v in rows})
+        comp = brute_components(list(enumerate(nodes)), 2)
+        least: dict = {}
+        for i, v in rows:
+            root = comp[nodes.index(v)]
+            least[root] = min((x for x in (least.get(root), i) if x is not None), default=None)
+        key = lambda r: (r[1], r[0] is not None, r[0] or 0)
+        assert sorted(got, key=key) == sorted([(i, v, least[comp[nodes.index(v)]]) for i, v in rows], key=key)
+
+    return run
+
+
+def test_a_row_without_an_id_links_two_others(given_fingerprints):
+    f = 0x123456789ABCDEF0
+    given_fingerprints([(1, f), (None, f ^ 0b11), (3, f ^ 0b1111)])
+    given_fingerprints([(None, f), (None, f ^ 1), (7, ~f % (1 << 64))])
+
+
+def test_unrelated_fingerprints_of_one_id(given_fingerprints):
+    f, g = 0x0F0F0F0F12345678, 0xF0F0F0F087654321
+    given_fingerprints([(3, f ^ 1), (5, f), (5, g), (9, g ^ 2)])
+
+
+def test_thousands_of_rows_of_one_id(given_fingerprints):
+    draw = random.Random(2)
+    base = [draw.getrandbits(64) for _ in range(30)]
+    given_fingerprints([(4, draw.choice(base) ^ (1 << draw.randrange(64))) for _ in range(3000)])
+
+
 def test_table_by_brute_force(docs_of, odd_rows):
     rows = families() + [(i + 5000, t) for i, t in odd_rows]
     want = {i: brute_fingerprint(t) for i, t in rows}

@@ -104,6 +104,25 @@ def test_very_long_text(docs_of):
     assert (got.n_bytes, got.n_removed, got.n_spans) == (len(text), len(text), 1)
 
 
+@pytest.mark.parametrize("unit", ["a", "ab, ", "one word ", "a line that is repeated over and over, with a number 7\n"])
+def test_periodic_texts_over_the_bound_of_hot_keys(docs_of, monkeypatch, unit):
+    """Pieces above HOT_BYTES and texts of several segments, alone and beside texts that share some of it."""
+    monkeypatch.setattr(suffixes, "HOT_BYTES", 4000)
+    monkeypatch.setattr(suffixes, "SEGMENT", 5000)
+    long = unit * (23_000 // len(unit))
+    check(docs_of, [(1, long)])
+    check(docs_of, [(1, "start " + long), (2, unit * (7000 // len(unit)) + "end"), (3, "other " * 20 + unit * 30), (4, "none")])
+
+
+def test_progressions_hold_every_place_once():
+    draw = random.Random(4)
+    for _ in range(300):
+        places = np.array(sorted(draw.sample(range(60), draw.randrange(1, 30))))
+        found = suffixes.progressions(places)
+        assert [a + i * s for a, s, n in found for i in range(n)] == places.tolist()
+    assert suffixes.progressions(np.arange(5, 500, 3)) == [(5, 3, 165)]
+
+
 def test_many_rows_of_one_id(docs_of):
     draw = random.Random(3)
     passages = ["".join(draw.choice("abcdefg ") for _ in range(260)) for _ in range(4)]
