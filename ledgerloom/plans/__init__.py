@@ -1,6 +1,6 @@
 """Queries over the given tables, with their SQL twins."""
 
-from ledgerloom.plans import features, feeds, labels, roundtrips, scoring  # noqa: F401  (they register their queries)
+from ledgerloom.plans import features, feeds, labels, roundtrips, scoring, streams, synthesis  # noqa: F401  (they register their queries)
 from ledgerloom.plans.registry import QUERIES, TWINS
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators import binning as BN
+from ledgerloom.operators import boosting as B
 from ledgerloom.operators import normalise as N
 from ledgerloom.operators import risk as R
+from ledgerloom.operators import sgd as G
 from ledgerloom.operators import textml as M
 from ledgerloom.operators import waterfall as W
 from ledgerloom.plans.feeds import CAT_A, CAT_B, FEED_A, MAPS, _MA, a, b
@@ -141,6 +145,72 @@ def r4(fx):
     return R.woe_iv(outcome(fx), "total", "bad", 4)
 
 
+#: Every way to merge ten quantile bins, as a mask of the edges that stay.
+_FINE = """
+SELECT dense_rank() OVER (ORDER BY bin) - 1 AS i, bin, n, bad FROM (
+  SELECT bin, count(*) AS n, sum(bad) AS bad FROM (
+    SELECT bad, len(list_filter(cuts, lambda c: c < total)) AS bin FROM outcome,
+      (SELECT quantile_cont(total, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM outcome) q WHERE total IS NOT NULL
+  ) x GROUP BY 1
+) y
+"""
+_WAYS = """
+SELECT mask, seg, min(bin) AS first_bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM (
+  SELECT mask, bin, n, bad, bit_count(CAST(mask & ((1 << CAST(i AS INTEGER)) - 1) AS INTEGER)) AS seg
+  FROM fine, (SELECT unnest(range(0, 512)) AS mask) m WHERE mask < (SELECT 1 << CAST(max(i) AS INTEGER) FROM fine)
+) x GROUP BY 1, 2
+"""
+_SEGMENTS = """
+SELECT *, (bad + 0.5) / (tb + 0.5) AS b, (n - bad + 0.5) / (tn - tb + 0.5) AS g, bad / n AS rate,
+  bad / n - lag(bad / n) OVER (PARTITION BY mask ORDER BY seg) AS step FROM ways, (SELECT sum(n) AS tn, sum(bad) AS tb FROM (SELECT 1 AS n, bad FROM outcome) o) t
+"""
+_BEST = """
+SELECT mask FROM segments GROUP BY mask HAVING min(n) >= 0.05 * (SELECT sum(n) FROM fine) AND (coalesce(min(step), 1) > 0 OR coalesce(max(step), -1) < 0)
+ORDER BY round(sum((g - b) * ln(g / b)), 9) DESC, count(*), mask LIMIT 1
+"""
+
+
+@query("r4_optimal_bins", """
+SELECT seg AS bin, n, bad, round(ln(g / b), 6) AS woe, round((g - b) * ln(g / b), 6) AS iv FROM segments JOIN best USING (mask)
+UNION ALL SELECT -1, n, bad, round(ln(g / b), 6), round((g - b) * ln(g / b), 6)
+FROM (SELECT n, bad, (bad + 0.5) / (tb + 0.5) AS b, (n - bad + 0.5) / (tn - tb + 0.5) AS g
+  FROM (SELECT count(*) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM outcome WHERE total IS NULL) z, (SELECT count(*) AS tn, sum(bad) AS tb FROM outcome) t WHERE n > 0) w
+""", outcome=_OUT, fine=_FINE, ways=_WAYS, segments=_SEGMENTS, best=_BEST)
+def r4o(fx):
+    """Monotone bins of greatest information value, each of a twentieth of the rows or more, out of ten quantile bins."""
+    return BN.optimal_bins(outcome(fx), "total", "bad", fine=10).drop("low", "high")
+
+
+_FEATURES = ("n", "total", "credits", "mean", "share")
+_MORE = "SELECT *, total / n AS mean, credits / nullif(total, 0) AS share FROM outcome"
+_IVS = {f"iv_{f}": f"""
+SELECT '{f}' AS feature, round(sum(round((g - b) * ln(g / b), 6)), 6) AS iv FROM (
+  SELECT (bad + 0.5) / sum(bad + 0.5) OVER () AS b, (n - bad + 0.5) / sum(n - bad + 0.5) OVER () AS g FROM (
+    SELECT count(*) AS n, sum(bad) AS bad, CASE WHEN {f} IS NULL THEN -1 ELSE CAST({f} > c1 AS INTEGER) + CAST({f} > c2 AS INTEGER) + CAST({f} > c3 AS INTEGER) END AS bin
+    FROM more, (SELECT quantile_cont({f}, 0.25) AS c1, quantile_cont({f}, 0.5) AS c2, quantile_cont({f}, 0.75) AS c3 FROM more) q GROUP BY 3
+  ) x
+) y
+""" for f in _FEATURES}
+_CORR = " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, corr({x}, {y}) AS r FROM more" for x in _FEATURES for y in _FEATURES if x != y)
+_RANKED = "SELECT feature, iv, row_number() OVER (ORDER BY iv DESC, feature) AS rn, list(b) FILTER (abs(r) >= 0.6) AS near FROM (" + " UNION ALL ".join(f"SELECT * FROM iv_{f}" for f in _FEATURES) + ") v JOIN corrs ON a = feature GROUP BY 1, 2"
+_GREEDY = """
+SELECT rn, feature, iv, near, CASE WHEN false THEN near ELSE [feature] END AS kept FROM ranked WHERE rn = 1
+UNION ALL SELECT k.rn, k.feature, k.iv, k.near, CASE WHEN list_has_any(coalesce(k.near, []), g.kept) THEN g.kept ELSE list_append(g.kept, k.feature) END
+FROM greedy g JOIN ranked k ON k.rn = g.rn + 1
+"""
+
+
+@query("r7_choice", f"""
+SELECT feature, iv, list_contains(kept, feature) AS kept, CASE WHEN NOT list_contains(kept, feature) THEN (SELECT feature FROM ranked r
+WHERE list_contains(near, g.feature) AND list_contains(g.kept, r.feature) ORDER BY rn LIMIT 1) END AS because FROM (WITH RECURSIVE greedy AS ({_GREEDY}) SELECT * FROM greedy) g
+""", outcome=_OUT, more=_MORE, **_IVS, corrs=_CORR, ranked=_RANKED)
+def r7c(fx):
+    """Features by falling information value; one that is close to a kept one goes, with the reason."""
+    more = outcome(fx).withColumns({"mean": F.col("total") / F.col("n"), "share": F.col("credits") / F.nullif(F.col("total"), F.lit(0.0))})
+    return BN.choose_features(more, list(_FEATURES), "bad", 0.6).drop("r")
+
+
+
 _END, _HORIZONS = "2001-06-01", [12, 36]
 
 
@@ -302,13 +372,12 @@ def n2(fx):
     return N.fuzzy_match(fx.strings.select("merchant"), fx.part.select("p_name").distinct())
 
 
-@query("m1_char_wb_ngrams", """
-SELECT g, count(*) AS n FROM (SELECT unnest(list_concat(list_transform(range(1, length(p) - 1 + 1), lambda i: substr(p, i, 2)),
-list_transform(range(1, length(p) - 2 + 1), lambda i: substr(p, i, 3)))) AS g FROM (SELECT ' ' || unnest(string_split(p_name, ' ')) || ' ' AS p
-FROM part) w) x GROUP BY 1
-""")
+_GRAMS = " UNION ALL ".join(f"SELECT unnest(list_transform(range(1, length(p) - {n} + 2), lambda i: substr(p, i, {n}))) AS g FROM words" for n in range(2, 6))
+
+
+@query("m1_char_wb_ngrams", f"SELECT g, count(*) AS n FROM ({_GRAMS}) x GROUP BY 1", words="SELECT ' ' || unnest(string_split(p_name, ' ')) || ' ' AS p FROM part")
 def m1(fx):
-    grams = fx.part.select(F.explode(M.char_wb_ngrams(F.col("p_name"), 2, 3)).alias("g"))
+    grams = fx.part.select(F.explode(M.char_wb_ngrams(F.col("p_name"), 2, 5)).alias("g"))
     return grams.groupBy("g").agg(F.count("*").alias("n"))
 
 
@@ -330,21 +399,28 @@ def texts(fx):
     return rows.withColumns({"grams": M.char_wb_ngrams(F.col("t"), 2, 5), "fold": F.pmod(F.xxhash64("t"), F.lit(10))})
 
 
-def _scored(model, rows):
-    out = M.predict_top1(model, rows)
+def _scored(out):
     return out.groupBy("leaf").agg(F.count("*").alias("n"), F.round(F.avg((F.col("predicted") == F.col("leaf")).cast("int")), 4).alias("accuracy"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
+def _leaves(rows):
+    return [r[0] for r in rows.where("leaf is not null").select("leaf").distinct().orderBy("leaf").collect()]
+
+
 @query("m2_m4_hashed_linear")
 def m2(fx):
-    rows = texts(fx)
-    return _scored(M.fit_linear(rows.where("fold > 1"), M.hashed_features(numerics=NUMERICS), "leaf"), rows.where("fold <= 1"))
+    """One class against the rest over 2^20 hashed places, by gradient descent in partitions."""
+    rows, sgd = texts(fx), G.Sgd()
+    train = rows.where("fold > 1")
+    sparse = G.sparse_rows(rows, "grams", G.root_mean_squares(train, list(NUMERICS)), sgd, ["leaf", "fold"])
+    leaves = _leaves(train)
+    return _scored(G.predict(sparse.where("fold <= 1"), G.fit(sparse.where("fold > 1"), "leaf", leaves, sgd), leaves, ["leaf"]))
 
 
 @query("m3_m7_tfidf_linear")
 def m3(fx):
     rows = texts(fx)
-    return _scored(M.fit_linear(rows.where("fold > 1"), M.tfidf_features(numerics=NUMERICS), "leaf"), rows.where("fold <= 1"))
+    return _scored(M.predict_top1(M.fit_linear(rows.where("fold > 1"), M.tfidf_features(numerics=NUMERICS), "leaf"), rows.where("fold <= 1")))
 
 
 @query("m9_top_terms")
@@ -356,10 +432,15 @@ def m9(fx):
 
 @query("m5_trees")
 def m5t(fx):
-    """Weighted forests that stop growing by a tenth of the training rows; scored on rows they have not seen."""
+    """Weighted boosted trees that a tenth of the training rows stop; scored on rows they have not seen."""
     rows = texts(fx)
-    weighted = rows.where("fold > 2").join(M.class_weights(rows.where("fold > 2"), "leaf").select("leaf", "weight"), "leaf")
-    return _scored(M.fit_trees(weighted, rows.where("fold = 2"), M.tfidf_features(numerics=NUMERICS), "leaf", "weight"), rows.where("fold <= 1"))
+    train = rows.where("fold > 1")
+    weighted = train.join(M.class_weights(train, "leaf").select("leaf", "weight"), "leaf")
+    chosen = M.chosen_features(train, M.tfidf_features(numerics=NUMERICS), "leaf")
+    as_array = lambda df: chosen.transform(df).withColumn("x", vector_to_array("chosen"))
+    held = (F.pmod(F.xxhash64("t", F.lit(1)), F.lit(10)) == 0).alias("valid")
+    model = B.fit(as_array(weighted).select("x", "leaf", "weight", held), "x", "leaf", "weight", "valid", _leaves(train))
+    return _scored(B.predict(as_array(rows.where("fold <= 1")), "x", model, ["leaf"]))
 
 
 @query("m6_embeddings")
@@ -368,7 +449,7 @@ def m6(fx):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     rows = M.with_vector(fx.embeddings.withColumn("norm", norm), "embedding").select("vec_id", "vector", "norm", F.col("label").cast("string").alias("leaf"))
     model = M.fit_linear(rows.where("vec_id % 4 <> 0"), M.embedding_features(["norm"]), "leaf")
-    return _scored(model, rows.where("vec_id % 4 = 0"))
+    return _scored(M.predict_top1(model, rows.where("vec_id % 4 = 0")))
 
 
 @query("t2_event_windows", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
