@@ -35,21 +35,24 @@ def _share(c: Column) -> Column:
     return F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
 
 
+def _shares(pred: str, gold: str, null_equal: bool) -> list[Column]:
+    a, b = F.col(f"{pred}_general"), F.col(f"{gold}_general")
+    return [F.count("*").alias("n"), _share(F.col(pred) == F.col(gold)).alias("leaf_accuracy"), _share(a.eqNullSafe(b) if null_equal else a == b).alias("general_accuracy")]
+
+
 def accuracy(df: DataFrame, pred: str, gold: str, null_equal: bool = True, *by: str) -> DataFrame:
     """Rows with a prediction, and the shares that are right at leaf and at general level; null and 0 without rows.
 
     ``null_equal``: whether two unknown general categories count as equal.
     """
-    a, b = F.col(f"{pred}_general"), F.col(f"{gold}_general")
     rows = df.where(F.coalesce(pred, F.lit("")) != "")
-    out = rows.groupBy(*by) if by else rows
-    return out.agg(F.count("*").alias("n"), _share(F.col(pred) == F.col(gold)).alias("leaf_accuracy"), _share(a.eqNullSafe(b) if null_equal else a == b).alias("general_accuracy"))
+    return (rows.groupBy(*by) if by else rows).agg(*_shares(pred, gold, null_equal))
 
 
 def accuracy_by(df: DataFrame, pred: str, gold: str, col: str) -> DataFrame:
-    """As ``accuracy`` for each value of a column, and for ALL."""
-    each = accuracy(df, pred, gold, True, col).withColumnRenamed(col, "grp")
-    return each.unionByName(accuracy(df, pred, gold).withColumn("grp", F.lit("ALL")))
+    """As ``accuracy`` for each value of a column, and for ALL, in one pass."""
+    out = df.where(F.coalesce(pred, F.lit("")) != "").rollup(col).agg(*_shares(pred, gold, True), F.grouping(col).alias("_all"))
+    return out.withColumn("grp", F.when(F.col("_all") == 1, "ALL").otherwise(F.col(col))).drop(col, "_all")
 
 
 def volume_accuracy(df: DataFrame, pred: str, gold: str, weight: str) -> DataFrame:

@@ -68,3 +68,42 @@ def fuzzy_match(raw: DataFrame, canonical: DataFrame, edits: int = 4) -> DataFra
     pairs = left.join(right, "k").select("raw", "canonical").distinct()
     pairs = pairs.withColumn("edits", F.levenshtein("raw", "canonical")).where(F.col("edits") <= edits)
     return pairs.groupBy("raw").agg(F.min(F.struct("edits", "canonical")).alias("m")).select("raw", "m.canonical", "m.edits")
+
+
+def _grams(names: DataFrame, name: str, n: int) -> DataFrame:
+    """``name, g, k``: distinct n-grams of a padded name and how often each stands in it."""
+    text = F.concat(F.lit(" "), F.col(name), F.lit(" "))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+    return names.select(name, F.explode(F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).alias("g")).groupBy(name, "g").agg(F.count("*").alias("k"))
+
+
+def similar_names(raw: DataFrame, canonical: DataFrame, least: float = 0.6, n: int = 3) -> DataFrame:
+    """``raw, canonical, similarity``: the canonical name of greatest cosine of weighted n-grams, ``least`` or more.
+
+    An n-gram weighs by how often it stands in the name and by how few names of both sides have it.  The n-grams of each
+    name are put in order of rarity; two names of that cosine always share one of the first of both, up to where the rest
+    of the vector is shorter than ``least``.  So candidates meet over their rare n-grams, none is missed, and names made of
+    frequent ones alone are compared with names of that kind only.  Ties go to the lesser name.
+    """
+    names = lambda df, out: df.select(F.col(df.columns[0]).alias(out)).where(F.col(out).isNotNull()).distinct()
+    left, right = _grams(names(raw, "raw"), "raw", n), _grams(names(canonical, "canonical"), "canonical", n)
+    counts = left.select("g").unionAll(right.select("g")).groupBy("g").agg(F.count("*").alias("df"))
+    whole = counts.agg(F.sum("df").alias("all"))
+    counts = counts.crossJoin(F.broadcast(whole)).select("g", "df", F.log(1 + F.col("all") / F.col("df")).alias("idf"))  # one row
+
+    def vectors(grams: DataFrame, name: str) -> DataFrame:
+        entry = F.struct("df", "g", (F.col("k") * F.col("idf")).alias("w"))
+        own = grams.join(counts, "g").groupBy(name).agg(F.array_sort(F.collect_list(entry)).alias("v"))
+        size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+        own = own.withColumn("size", size).withColumn("v", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("size")).alias("w"))))
+        # A rest of exactly the bound stays out of the first part only by rounding; a little more is kept.
+        rest = lambda i: F.aggregate(F.slice("v", i + 1, F.size("v")), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+        first = F.filter(F.transform("v", lambda x, i: F.when(rest(i) >= least * least - 1e-9, x["g"])), lambda g: g.isNotNull())
+        return own.select(name, F.map_from_entries("v").alias(f"{name}_v"), F.explode(first).alias("g"))
+
+    x, y = vectors(left, "raw"), vectors(right, "canonical")
+    pairs = x.join(y, "g").drop("g").dropDuplicates(["raw", "canonical"])
+    dot = F.aggregate(F.map_entries("raw_v"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("canonical_v", e["key"]), F.lit(0.0)))
+    found = pairs.select("raw", "canonical", F.round(dot, 6).alias("similarity")).where(F.col("similarity") >= least)
+    best = found.groupBy("raw").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "canonical")).alias("m"))
+    return best.select("raw", "m.canonical", (-F.col("m.s")).alias("similarity"))

@@ -15,6 +15,15 @@ def percent_sample(df: DataFrame, pct: float, seed: int, *key: str) -> DataFrame
     return df.where(uniform(seed, *map(F.col, key)) < pct / 100)
 
 
+def block_sample(df: DataFrame, pct: float, seed: int) -> DataFrame:
+    """Every row of about ``pct`` percent of the files of a table read from files; the others are not opened.
+
+    As in a sample by blocks, rows of one file come or stay together, so the share of rows varies with the files' sizes.  The
+    draw is of a file's place alone: Spark applies the condition to the list of files before it plans the scan.
+    """
+    return df.where(F.pmod(F.xxhash64("_metadata.file_path", F.lit(seed)), F.lit(1_000_000)) < round(pct * 10_000))
+
+
 def cap_per_group(df: DataFrame, group: str | list[str], n: int, seed: int, *key: str) -> DataFrame:
     """Up to ``n`` rows of each group in drawn order; Spark prunes to n a partition before the exchange."""
     cols = [group] if isinstance(group, str) else group

@@ -372,6 +372,20 @@ def n2(fx):
     return N.fuzzy_match(fx.strings.select("merchant"), fx.part.select("p_name").distinct())
 
 
+_TRI = "SELECT {c} AS name, substr(' ' || {c} || ' ', i, 3) AS g, count(*) AS k FROM (SELECT {c}, unnest(range(1, greatest(1, length({c}) + 2 - 3 + 1) + 1)) AS i FROM (SELECT DISTINCT {c} FROM {t} WHERE {c} IS NOT NULL) d) x GROUP BY 1, 2"
+_IDF = "SELECT g, ln(1 + sum(count(*)) OVER () / count(*)) AS idf FROM (SELECT g FROM tri_a UNION ALL SELECT g FROM tri_b) x GROUP BY 1"
+_UNIT = "SELECT name, g, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS w FROM (SELECT name, g, k * idf AS w FROM {t} JOIN idfs USING (g)) x"
+
+
+@query("n2_similar_names", """
+SELECT raw, canonical, similarity FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY similarity DESC, canonical) AS rn
+FROM (SELECT x.name AS raw, y.name AS canonical, round(sum(x.w * y.w), 6) AS similarity FROM unit_a x JOIN unit_b y USING (g) GROUP BY 1, 2) p
+WHERE similarity >= 0.6) q WHERE rn = 1
+""", tri_a=_TRI.format(c="merchant", t="strings"), tri_b=_TRI.format(c="p_name", t="part"), idfs=_IDF, unit_a=_UNIT.format(t="tri_a"), unit_b=_UNIT.format(t="tri_b"))
+def n2s(fx):
+    return N.similar_names(fx.strings.select("merchant"), fx.part.select("p_name"))
+
+
 _GRAMS = " UNION ALL ".join(f"SELECT unnest(list_transform(range(1, length(p) - {n} + 2), lambda i: substr(p, i, {n}))) AS g FROM words" for n in range(2, 6))
 
 

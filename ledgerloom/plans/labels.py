@@ -8,6 +8,7 @@ from ledgerloom.functions import scalars as S
 from ledgerloom.operators import checks as Q
 from ledgerloom.operators import consensus as C
 from ledgerloom.operators import evidence as E
+from ledgerloom.operators import sketches as K
 from ledgerloom.operators.crossfeed import keys_not_in
 from ledgerloom.operators.seeds import parse_sources
 from ledgerloom.plans.feeds import FEED_A, FEED_B, MAPS, RISKY, _MB, a, b
@@ -217,6 +218,32 @@ def a3(fx):
     return E.evidence(keyed_b(fx)).select("m", "pct_credit", "median_amount", (F.size("cats") > 1).alias("more"))
 
 
+@query("a4_top_k_sketched", """
+SELECT m, CAST(rank AS INTEGER) AS rank, value, n FROM (SELECT m, cat AS value, count(*) AS n, row_number() OVER (PARTITION BY m
+ORDER BY count(*) DESC, cat ASC NULLS LAST) AS rank FROM keyed GROUP BY 1, 2) x WHERE rank <= 2
+""", **_K)
+def a4s(fx):
+    """Top categories by a sketch that holds all of a merchant's, so that the counts are exact."""
+    tops = keyed_b(fx).groupBy("m").agg(K.top_values("cat", 2, 1024).alias("cats"))
+    return tops.select("m", F.posexplode("cats").alias("at", "one")).select("m", (F.col("at") + 1).alias("rank"), "one.value", F.col("one.count").alias("n"))
+
+
+@query("a3_evidence_sketched", """
+SELECT m, round(avg(CASE WHEN direction = 'credit' THEN 1.0 ELSE 0.0 END), 2) AS pct_credit, count(amount) > 0 AS has_median,
+CASE WHEN count(amount) > 0 THEN true END AS within FROM keyed GROUP BY 1
+""", **_K)
+def a3s(fx):
+    """Evidence by sketches, and whether the true ranks around each median are within the sketch's error."""
+    rows, accuracy = keyed_b(fx), 400
+    told = K.evidence(rows, accuracy=accuracy).select(F.col("m").alias("own"), "pct_credit", "median_amount")
+    met = rows.join(told, F.col("m").eqNullSafe(F.col("own"))).where(F.col("amount").isNotNull())
+    at = F.round(F.abs("amount"), 4)
+    ranks = met.groupBy(F.col("own").alias("o")).agg(F.avg((at < F.col("median_amount")).cast("int")).alias("below"), F.avg((at <= F.col("median_amount")).cast("int")).alias("upto"))
+    error = 1.7 / accuracy
+    out = told.join(ranks, F.col("own").eqNullSafe(F.col("o")), "left")
+    return out.select(F.col("own").alias("m"), "pct_credit", F.col("median_amount").isNotNull().alias("has_median"), ((F.col("below") <= 0.5 + error) & (F.col("upto") >= 0.5 - error)).alias("within"))
+
+
 @query("p18_render_evidence", """
 SELECT m, string_agg(substr(coalesce(value, 'n/a'), 1, 70) || ' ' || n || 'x', '; ' ORDER BY rank) AS cats_text
 FROM (SELECT m, cat AS value, count(*) AS n, row_number() OVER (PARTITION BY m ORDER BY count(*) DESC, cat ASC NULLS LAST) AS rank FROM keyed

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import evidence as E
 from ledgerloom.plans.feeds import _BY, CAT_B, MAPS, by
 from ledgerloom.plans.labels import _K, keyed_b
+from ledgerloom.operators.sampling import block_sample
 from ledgerloom.plans.registry import query
 from ledgerloom.sources import tables
+from ledgerloom.sources.buckets import BucketTable
 from ledgerloom.streaming.feeds import categorise_stream, run_to_end
 
 #: Seeds whose fields hold commas, quotes, patterns, blanks and nulls.
@@ -69,6 +71,29 @@ def s11(fx):
     return fx.spark.read.parquet(path).select(F.col("day").cast("string").alias("day"), "n", "version")
 
 
+@query("s12_bucketed_upsert", """
+SELECT merchant, llm_leaf, 2 AS run FROM labels_b WHERE llm_confidence >= 0.9 UNION ALL SELECT merchant, llm_leaf, 1 FROM labels_a
+WHERE merchant NOT IN (SELECT merchant FROM labels_b WHERE llm_confidence >= 0.9)
+""")
+def s12b(fx):
+    """A first run of predictions and a second one of some, which rewrites only the buckets of its keys."""
+    cols = ["merchant", "llm_leaf"]
+    first = fx.labels_a.select(*cols, F.lit(1).alias("run"))
+    table = BucketTable(fx.spark, tables.work_path(fx.spark, "predictions"), first.schema, "merchant", 64)
+    table.upsert(first)
+    table.upsert(fx.labels_b.where("llm_confidence >= 0.9").select(*cols, F.lit(2).alias("run")))
+    return table.read()
+
+
+@query("g1_block_sample")
+def g1b(fx):
+    """A fifth of the blocks of a table of many files, and the rows that they hold."""
+    path = tables.work_path(fx.spark, "blocks")
+    fx.lineitem.repartition(50).write.parquet(path)
+    some = block_sample(fx.spark.read.parquet(path), 20, 42)
+    return some.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_distinct("_metadata.file_path").alias("blocks"))
+
+
 @query("t1_waterfall_stream", f"SELECT leaf, resolution_tier, {_BY} FROM cat_b GROUP BY 1, 2", **MAPS, cat_b=CAT_B)
 def t1(fx):
     """The raw feed as files of a directory, categorised as a stream and read from the stream's own table."""
