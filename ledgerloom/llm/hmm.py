@@ -348,7 +348,7 @@ def train_round(coded: DataFrame, model: Hmm, step) -> tuple[np.ndarray, np.ndar
     return table[-2], table[-2 - STATES : -2], table[: OWN + TAILS], float(table[-1, 0])
 
 
-def train(coded: DataFrame, shares: np.ndarray, rounds: int, mixture_rounds: int, settled: float = 1e-4) -> Hmm:
+def train(coded: DataFrame, shares: np.ndarray, rounds: int, mixture_rounds: int, settled: float) -> Hmm:
     """Mixture rounds from fixed starting values, then Baum-Welch until the likelihood gains less than ``settled``."""
     model = first_model(shares)
     for _ in range(mixture_rounds):
@@ -403,8 +403,11 @@ def rare_sums(coded: DataFrame, counts: DataFrame, least: int) -> DataFrame:
     return words.groupBy(*KEY).agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("rare_log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
 
 
-def score_table(docs: DataFrame, held_out_of: int = 10, rounds: int = 3, mixture_rounds: int = 3) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
+def score_table(docs: DataFrame, held_out_of: int = 10, rounds: int = 30, mixture_rounds: int = 3, settled: float = 1e-3) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document.
+
+    Training ends with the first Baum-Welch round that gains less than the share ``settled`` of the log-likelihood.
+    """
     spark = docs.sparkSession
     rows = numbered(docs).withColumn("held_out", crc_mod("doc_id", held_out_of) == 0)
     counts = word_counts(rows.where("not held_out"))
@@ -412,7 +415,7 @@ def score_table(docs: DataFrame, held_out_of: int = 10, rounds: int = 3, mixture
     own = vocab.counts[:OWN]
     shares = np.concatenate((own + 0.1, np.full(OWN - len(own), 0.1), vocab.tail_total + 0.1))
     coded = stored(coded_texts(rows, spark.sparkContext.broadcast(vocab)), "coded")  # at most TOP words
-    trained = train(coded.where("not held_out"), shares / shares.sum(), rounds, mixture_rounds)
+    trained = train(coded.where("not held_out"), shares / shares.sum(), rounds, mixture_rounds, settled)
     model = spark.sparkContext.broadcast(trained)
     rare = stored(rare_sums(coded, counts, least), "rare")
 

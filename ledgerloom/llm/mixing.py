@@ -62,10 +62,11 @@ def tilted(y: float, mean: float, cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(F.lit(60.0), F.col("x") + y * log_length(mean))))
 
 
-def balance(sizes: DataFrame, targets: DataFrame, cap: float = 3.0, most_tilt: float = 1.0, steps: int = 40, close: float = 1e-7) -> tuple[DataFrame, float, float]:
+def balance(sizes: DataFrame, targets: DataFrame, cap: float = 3.0, most_tilt: float = 1.0, steps: int = 40, close: float = 1e-7, missed: float = 1e-4) -> tuple[DataFrame, float, float]:
     """``targets`` with the dual variable ``x`` of each source, the tilt ``y`` and the mean log length.
 
     The last third of the steps leaves ``y`` as it is, so the sources' constraints are met whatever became of the other.
+    Raises an error where some source is further than the share ``missed`` from its target after all steps.
     """
     kinds = stored(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")).withColumn("words", F.col("size") * F.col("n")), "kinds")
     whole = kinds.agg(F.sum(F.col("words") * F.log1p("size")).alias("length"), F.sum("words").alias("words")).first()
@@ -104,6 +105,9 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float = 3.0, most_tilt: f
         y += dy
         dx = F.when(F.col("h") > 0, (short - F.col("hy") * dy) / F.col("h")).otherwise(0.0)
         state = state.withColumn("x", F.col("x") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dx))).drop("mass", "pull", "h", "hy", "yy")
+    else:
+        if (got.off or 0.0) > missed:
+            raise RuntimeError(f"after {steps} Newton steps a source is {got.off:.2%} off its target")
     # Sums depend on the order of partitions in their last digits; what follows from them must not.
     return state.withColumn("x", F.round("x", 9)), round(y, 9), mean
 

@@ -138,3 +138,13 @@ def test_carried_columns(docs_of):
     out = mixing.mix(docs, carry=[F.col("text"), F.col("rest")]).collect()
     assert sorted((r.doc_id, r.rest.text) for r in out) == sorted((r[0], r[1]) for r in rows)
     assert {(r.doc_id, r.copies) for r in out} == {(r.doc_id, r.copies) for r in mixing.mix(docs_of(rows)).collect()}
+
+
+def test_a_mix_that_has_not_converged_is_an_error(spark):
+    rows = [(s, n) for s, scale in (("a", 1), ("b", 40)) for n in range(1, 60 * scale, scale)]
+    sizes = spark.createDataFrame(rows, "source string, size long")
+    targets = mixing.source_targets(sizes, (5.0, 2.0), 3)
+    with pytest.raises(RuntimeError, match="after 2 Newton steps"):
+        mixing.balance(sizes, targets, steps=2, missed=1e-9)
+    state, _, _ = mixing.balance(sizes, targets)
+    assert state.count() == 2
