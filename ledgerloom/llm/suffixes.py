@@ -37,7 +37,7 @@ from ledgerloom.llm.substring import KEY, KEY_TYPE, keys_of, numbered
 
 WINDOW, KMER = 200, 48
 SPAN = WINDOW - KMER + 1  # substrings in a window
-SHARD_BYTES, HOT_BYTES = 2 << 20, 256 << 10
+SHARD_BYTES, HOT_BYTES = 1 << 20, 256 << 10
 #: Windows of a longer text that are worked off at a time; pieces end there.
 SEGMENT = 1 << 20
 #: Steps by which the keys of hot pieces are widened, one refinement after the other; after 8 a key is a whole window.
