@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.tables import shared_dir, work_path  # noqa: F401  (shared_dir: for the operators that write files)
+
 #: The six ASCII white-space bytes between words (fixed values of the word rule ``[^\x20\x09-\x0D]+``).
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -19,20 +19,6 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset the context's own.
-
-    Where neither is set, a session of one machine (master ``local``) gets a folder of that machine; others must set one.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-        where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
-
-
 @contextlib.contextmanager
 def cleaned_shuffles(spark: SparkSession):
     """Commands within remove their shuffle files when they end, so that what is on disk is one step's, not all steps'."""
@@ -50,7 +36,7 @@ def cleaned_shuffles(spark: SparkSession):
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = work_path(spark, name)
     with cleaned_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
