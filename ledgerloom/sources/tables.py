@@ -86,8 +86,8 @@ def read_verdicts(df: DataFrame, vocabulary: list[str], leaves: DataFrame) -> tu
     return flagged.where("ok").drop("ok"), flagged.where("not ok").drop("ok")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or else the context's own.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or else the context's own.
 
     Where neither is set, a session of one machine (master ``local``) gets a folder of that machine; others must set one.
     """
@@ -97,7 +97,12 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         where = spark.sparkContext.getCheckpointDir()
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import boosting as B
 from ledgerloom.operators import sgd as G
+from ledgerloom.operators import textml as M
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +61,21 @@ def test_sgd_learns_over_parts_as_over_one(texts):
     assert min(accuracy) > 0.93
 
 
+def test_embeddings_and_their_length_tell_classes(spark):
+    """Two classes lie apart in direction, two only in length, which is the number beside the vector."""
+    draw = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        leaf = i % 3
+        v = draw.normal(0, 0.3, 6) + (np.eye(6)[0] if leaf == 0 else np.eye(6)[1])
+        v *= 4 if leaf == 2 else 1
+        rows.append((i, [float(x) for x in v], float(np.linalg.norm(v)), "abc"[leaf]))
+    df = M.with_vector(spark.createDataFrame(rows, "id long, e array<double>, norm double, leaf string"), "e")
+    model = M.fit_linear(df.where("id % 4 <> 0"), M.embedding_features(["norm"]), "leaf")
+    out = M.predict_top1(model, df.where("id % 4 = 0"))
+    assert share(out) > 0.95 and out.where("confidence < 1.0 / 3 - 1e-9 or confidence > 1").count() == 0
+
+
 def test_best_split_by_brute_force():
     draw = np.random.default_rng(2)
     boost = B.Boost(bins=6, least_rows=3, l1=0.1, l2=0.5)
