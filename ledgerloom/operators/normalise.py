@@ -25,17 +25,27 @@ def new_values(feed: DataFrame, col: str, ts: str, since: str) -> DataFrame:
     return late.select(col).distinct().join(early.select(col).distinct(), col, "left_anti")
 
 
-def _start(length: Column, i: Column, parts: int) -> Column:
+#: Letters of a name for each edit that it may have, so that short names do not match all names of their length.
+LETTERS = 3
+
+
+def _allowed(n: Column, edits: int) -> Column:
+    """Edits within which a canonical name of a length may be matched."""
+    return F.least(F.lit(edits), F.floor(n / LETTERS)).cast("int")
+
+
+def _start(length: Column, i: Column, parts: Column) -> Column:
     """First character (from 1) of the i-th of ``parts`` even segments of a text of the length; the last ones are longer."""
     short, longer = F.floor(length / parts), length % parts
     return ((i - 1) * short + F.greatest(F.lit(0), i - 1 - (parts - longer)) + 1).cast("int")
 
 
 def _segments(name: Column, edits: int) -> Column:
-    """(length, number, text) of the ``edits`` + 1 even segments of a name."""
-    n, parts = F.length(name), edits + 1
+    """(length, number, text) of the even segments of a name, one more than the edits that it may have."""
+    n = F.length(name)
+    parts = _allowed(n, edits) + 1
     one = lambda i: F.struct(n.alias("n"), i.alias("i"), name.substr(_start(n, i, parts), _start(n, i + 1, parts) - _start(n, i, parts)).alias("s"))
-    return F.transform(F.sequence(F.lit(1), F.lit(parts)), one)
+    return F.transform(F.sequence(F.lit(1), parts), one)
 
 
 def _probes(name: Column, edits: int) -> Column:
@@ -44,29 +54,30 @@ def _probes(name: Column, edits: int) -> Column:
     If two names are within the edits, one segment of the one stands whole in the other, at a place that the edits before
     it and after it allow.
     """
-    m, parts = F.length(name), edits + 1
+    m = F.length(name)
 
     def of(n: Column, i: Column) -> Column:
+        parts = _allowed(n, edits) + 1
         start, length, more = _start(n, i, parts), _start(n, i + 1, parts) - _start(n, i, parts), m - n
         low = F.greatest(F.lit(1), start + F.greatest(1 - i, more - (parts - i)))
         high = F.least(m - length + 1, start + F.least(i - 1, more + (parts - i)))
         found = F.transform(F.sequence(low, high), lambda p: F.struct(n.alias("n"), i.alias("i"), name.substr(p, length).alias("s")))
-        return F.when(low <= high, found).otherwise(F.expr("cast(array() as array<struct<n: int, i: int, s: string>>)"))
+        return F.when((low <= high) & (F.abs(m - n) < parts), found).otherwise(F.expr("cast(array() as array<struct<n: int, i: int, s: string>>)"))
 
     lengths = F.sequence(F.greatest(F.lit(0), m - edits), m + edits)
-    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda i: of(n, i))))))
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(F.sequence(F.lit(1), _allowed(n, edits) + 1), lambda i: of(n, i))))))
 
 
 def fuzzy_match(raw: DataFrame, canonical: DataFrame, edits: int = 4) -> DataFrame:
-    """``raw, canonical, edits``: the nearest canonical name of each raw one within ``edits``; ties go to the lesser name.
+    """``raw, canonical, edits``: the nearest canonical name of each raw one; ties go to the lesser name.
 
-    Candidates share a segment of the canonical name at a fitting place, so none is missed; the edit distance decides.
+    A canonical name is matched within ``edits``, and within one edit for each LETTERS letters that it has.  Candidates share a segment of the canonical name at a fitting place, so none is missed; the edit distance decides.
     """
     names = lambda df, out: df.select(F.col(df.columns[0]).alias(out)).where(F.col(out).isNotNull()).distinct()
     left = names(raw, "raw").select("raw", F.explode(_probes(F.col("raw"), edits)).alias("k"))
     right = names(canonical, "canonical").select("canonical", F.explode(_segments(F.col("canonical"), edits)).alias("k"))
     pairs = left.join(right, "k").select("raw", "canonical").distinct()
-    pairs = pairs.withColumn("edits", F.levenshtein("raw", "canonical")).where(F.col("edits") <= edits)
+    pairs = pairs.withColumn("edits", F.levenshtein("raw", "canonical")).where(F.col("edits") <= _allowed(F.length("canonical"), edits))
     return pairs.groupBy("raw").agg(F.min(F.struct("edits", "canonical")).alias("m")).select("raw", "m.canonical", "m.edits")
 
 

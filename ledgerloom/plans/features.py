@@ -366,7 +366,7 @@ def n4n(fx):
 @query("n2_fuzzy_match", """
 SELECT raw, canonical, edits FROM (SELECT raw, canonical, edits, row_number() OVER (PARTITION BY raw ORDER BY edits, canonical) AS rn
 FROM (SELECT s.merchant AS raw, p.p_name AS canonical, CAST(levenshtein(s.merchant, p.p_name) AS INTEGER) AS edits
-FROM strings s, (SELECT DISTINCT p_name FROM part) p) x WHERE edits <= 4) y WHERE rn = 1
+FROM strings s, (SELECT DISTINCT p_name FROM part) p) x WHERE edits <= least(4, length(canonical) // 3)) y WHERE rn = 1
 """)
 def n2(fx):
     return N.fuzzy_match(fx.strings.select("merchant"), fx.part.select("p_name").distinct())
