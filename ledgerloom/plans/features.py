@@ -453,7 +453,7 @@ def m5t(fx):
     chosen = M.chosen_features(train, M.tfidf_features(numerics=NUMERICS), "leaf")
     as_array = lambda df: chosen.transform(df).withColumn("x", vector_to_array("chosen"))
     held = (F.pmod(F.xxhash64("t", F.lit(1)), F.lit(10)) == 0).alias("valid")
-    model = B.fit(as_array(weighted).select("x", "leaf", "weight", held), "x", "leaf", "weight", "valid", _leaves(train))
+    model = B.fit(as_array(weighted).select("x", "leaf", "weight", held), "x", "leaf", "weight", "valid", _leaves(train), B.Boost(rounds=25, step=0.4))
     return _scored(B.predict(as_array(rows.where("fold <= 1")), "x", model, ["leaf"]))
 
 
