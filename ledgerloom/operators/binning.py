@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.risk import woe_iv
+from ledgerloom.operators.selection import information_values
 from ledgerloom.sources.tables import quantiles
 
 SMOOTH = 0.5
@@ -118,7 +118,7 @@ def choose_features(df: DataFrame, features: list[str], target: str, least: floa
 
     Close is a correlation of ``least`` or more in size.
     """
-    value = {f: woe_iv(df, f, target, bins).agg(F.round(F.sum("iv"), 6)).first()[0] or 0.0 for f in features}
+    value = dict.fromkeys(features, 0.0) | {r.feature: r.iv or 0.0 for r in information_values(df, features, target, bins).collect()}
     near = {(r.a, r.b): r.r for r in correlations(df, features).collect()}
     ranked = sorted(features, key=lambda f: (-value[f], f))
     return df.sparkSession.createDataFrame([(f, value[f], *rest) for f, *rest in greedy(ranked, near, least)], "feature string, iv double, kept boolean, because string, r double")

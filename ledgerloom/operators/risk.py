@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,22 +167,3 @@ def auc_ks(df: DataFrame, score: str, target: str) -> DataFrame:
     run = run.crossJoin(F.broadcast(whole))  # one row
     area = F.sum(F.col("bad") * (F.col("_g") - F.col("good") / 2)) / F.nullif(F.max("_tb") * F.max("_tg"), F.lit(0))
     return run.agg(_round(area, 6).alias("auc"), _round(F.max(F.abs(F.col("_b") / F.nullif(F.col("_tb"), F.lit(0)) - F.col("_g") / F.nullif(F.col("_tg"), F.lit(0)))), 6).alias("ks"))
-
-
-def forward_select(train: DataFrame, test: DataFrame, features: list[str], target: str, most: int = 5) -> list[tuple[str, float]]:
-    """Greedy choice of features by the test Gini of a logistic model, until none gains; candidates are a bounded list."""
-    chosen, best, judge = [], 0.0, BinaryClassificationEvaluator(labelCol=target)
-    out: list[tuple[str, float]] = []
-    while len(chosen) < most:
-        gains = []
-        for f in features:
-            if f not in chosen:
-                vector = VectorAssembler(inputCols=[*chosen, f], outputCol="features", handleInvalid="keep")
-                model = LogisticRegression(labelCol=target, maxIter=20).fit(vector.transform(train))
-                gains.append((2 * judge.evaluate(model.transform(vector.transform(test))) - 1, f))
-        if not gains or max(gains)[0] <= best + 1e-6:
-            break
-        best, f = max(gains)
-        chosen.append(f)
-        out.append((f, best))
-    return out

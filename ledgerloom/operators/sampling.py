@@ -35,15 +35,17 @@ def one_per_key(df: DataFrame, key: str, seed: int, *tie: str) -> DataFrame:
     return cap_per_group(df, key, 1, seed, *tie)
 
 
-def least_drawn(keys: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """The ``n`` keys of least draw, a share of all: whole ranges of draws, and the first rows of one range.
+def least_drawn(keys: DataFrame, share: float | int, seed: int, key: str) -> DataFrame:
+    """The keys of least draw: a number of them, or a share (a float; at least one): whole ranges of draws, and the first rows of one.
 
-    Draws are counted by their first three digits (4,096 ranges); only within the range where the number is reached
-    are keys put in order.
+    Draws are counted by their first three digits (4,096 ranges), which tells the number of keys too; only within the
+    range where the wanted number is reached are keys put in order.
     """
     drawn = keys.select(key, draw_key(seed, F.col(key)).alias("_d")).withColumn("_b", F.substring("_d", 1, 3))
-    left, last = n, "zzz"
-    for r in drawn.groupBy("_b").agg(F.count("*").alias("n")).orderBy("_b").collect():
+    counts = drawn.groupBy("_b").agg(F.count("*").alias("n")).orderBy("_b").collect()
+    left = max(1, math.floor(sum(r.n for r in counts) * share)) if isinstance(share, float) else share
+    last = "zzz"
+    for r in counts:
         if r.n > left:
             last = r._b
             break
@@ -115,8 +117,7 @@ def merchant_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataF
     The rank is over distinct keys.
     """
     keys = df.select(key).distinct()
-    held = max(1, math.floor(keys.count() * fraction))
-    chosen = least_drawn(keys, held, seed, key).withColumn("_v", F.lit(1))
+    chosen = least_drawn(keys, float(fraction), seed, key).withColumn("_v", F.lit(1))
     return df.join(chosen, key, "left").withColumn("split", F.when(F.col("_v") == 1, "validation").otherwise("train")).drop("_v")
 
 
@@ -124,8 +125,7 @@ def holdout(gold: DataFrame, key: str, label: str, fraction: float, seed: int) -
     """As ``merchant_split`` over keys of one label; keys of conflicting labels always train."""
     agreed = gold.groupBy(key).agg((F.countDistinct(label) > 1).alias("conflicting"))
     calm = agreed.where("not conflicting").select(key)
-    held = max(1, math.floor(calm.count() * fraction))
-    chosen = least_drawn(calm, held, seed, key).withColumn("_v", F.lit(1))
+    chosen = least_drawn(calm, float(fraction), seed, key).withColumn("_v", F.lit(1))
     out = gold.join(agreed, key).join(chosen, key, "left")
     return out.withColumn("split", F.when(F.col("_v") == 1, "holdout").otherwise("train")).drop("_v")
 

@@ -310,15 +310,6 @@ def r9(fx):
     return R.auc_ks(outcome(fx).withColumn("n_tx", F.coalesce("n", F.lit(0))), "n_tx", "bad")
 
 
-@query("r5_forward_select")
-def r5(fx):
-    """All numeric features of an applicant compete for each place; a third of the applicants judges."""
-    rows = outcome(fx).withColumns({"mean": F.col("total") / F.col("n"), "share": F.col("credits") / F.nullif(F.col("total"), F.lit(0.0))}).na.fill(0.0).na.fill(0)
-    held = F.pmod(F.xxhash64("applicant"), F.lit(3)) == 0
-    found = R.forward_select(rows.where(~held), rows.where(held), ["n", "total", "credits", "mean", "share"], "bad", 5)
-    return fx.spark.createDataFrame(found or [("none", 0.0)], "feature string, gini double")
-
-
 @query("n1_clean_merchant", """
 SELECT DISTINCT transaction_name, trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(trim(transaction_name)),
 '\\b(pos|card|ref|txn)\\b[ :#]*[0-9a-z]*$', '')), '[ ]+[0-9]+$', ''), '\\s+', ' ', 'g')) AS cleaned FROM raw_b

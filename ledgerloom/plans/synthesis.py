@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import binning as BN
+from ledgerloom.operators import risk as R
+from ledgerloom.operators import selection as C
 from ledgerloom.operators import synthesis as Y
+from ledgerloom.plans.features import outcome
 from ledgerloom.plans.feeds import a
 from ledgerloom.plans.registry import query
+from ledgerloom.sources.tables import materialised
 
 CUT = "1999-07-01"
 #: Money in hundredths: whole numbers, whose sums are the same in any order.
@@ -160,3 +165,53 @@ def r3s(fx):
 def r3h(fx):
     """All transactions before each order of an applicant."""
     return _sweep(fx, None)
+
+
+def feature_rows(fx):
+    """The whole feature table, synthesised and from transactions, with the outcome of each customer, stored once."""
+    tables, relations = entities(fx)
+    deep = Y.feature_table(tables, relations, "customer", PLANNED, F.lit(CUT).cast("timestamp"))
+    own = outcome(fx).select(F.col("applicant").alias("customer"), "bad", *[F.col(c).alias(f"feed_{c}") for c in ("n", "total", "credits")])
+    names = [f.name for f in PLANNED["customer"]] + ["feed_n", "feed_total", "feed_credits"]
+    return materialised(own.join(deep, "customer", "left"), "features"), names
+
+
+_LIVE = " UNION ALL ".join(
+    f"SELECT '{f.name}' AS feature, round(avg(CASE WHEN coalesce({f.name}, 0) <> 0 THEN 1.0 ELSE 0.0 END), 6) AS live, min({f.name}) IS NOT DISTINCT FROM max({f.name}) AS constant FROM shown"
+    for f in PLANNED["customer"]
+)
+
+
+@query("r6_live_features", _LIVE, **_PARTS, shown=_SQL)
+def r6s(fx):
+    """Live rates of the whole table of synthesised features."""
+    return R.live_rate(r2s(fx), [f.name for f in PLANNED["customer"]])
+
+
+_BOUNDS = {f.name: f"(SELECT quantile_cont(CAST({f.name} AS DOUBLE), [0.25, 0.5, 0.75]) FROM shown)" for f in PLANNED["customer"]}
+_BINNED = "SELECT customer, bad, " + ", ".join(f"CASE WHEN {n} IS NULL THEN -1 ELSE len(list_filter({q}, lambda c: c < {n})) END AS {n}" for n, q in _BOUNDS.items()) + " FROM shown JOIN (SELECT c_custkey AS customer, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS bad FROM customer) o USING (customer)"
+_IV = """
+SELECT feature, round(sum(round((g - b) * ln(g / b), 6)), 6) AS iv FROM (
+  SELECT feature, (bad + 0.5) / sum(bad + 0.5) OVER (PARTITION BY feature) AS b, (n - bad + 0.5) / sum(n - bad + 0.5) OVER (PARTITION BY feature) AS g
+  FROM (SELECT feature, bin, count(*) AS n, sum(bad) AS bad FROM (UNPIVOT binned ON COLUMNS(* EXCLUDE (customer, bad)) INTO NAME feature VALUE bin) u GROUP BY 1, 2) x
+) y GROUP BY 1
+"""
+
+
+@query("r4_iv_of_all_features", _IV, **_PARTS, shown=_SQL, binned=_BINNED)
+def r4s(fx):
+    """Information values of the whole table of synthesised features, in one order and one count."""
+    rows = r2s(fx).join(fx.customer.select(F.col("c_custkey").alias("customer"), (F.col("c_acctbal") < 0).cast("int").alias("bad")), "customer")
+    return C.information_values(materialised(rows, "features"), [f.name for f in PLANNED["customer"]], "bad")
+
+
+@query("r5_forward_select")
+def r5(fx):
+    """The whole feature table competes: live features that are not close to one of more information value, then the
+    choice by the Gini of the third of the customers that no model has seen."""
+    rows, names = feature_rows(fx)
+    live = [r.feature for r in R.live_rate(rows, names).where("live >= 0.05 and not constant").collect()]
+    kept = [r.feature for r in BN.choose_features(rows, live, "bad", 0.9).where("kept").collect()]
+    held = F.pmod(F.xxhash64("customer"), F.lit(3)) == 0
+    found = C.forward_select(rows.where(~held), rows.where(held), sorted(kept), "bad", 5)
+    return fx.spark.createDataFrame([(i + 1, f, round(g, 6)) for i, (f, g) in enumerate(found)] or [(0, "none", 0.0)], "step int, feature string, gini double")

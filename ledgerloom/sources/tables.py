@@ -112,14 +112,14 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running_sums(df: DataFrame, order: list[str | Column], **sums: str | Column) -> DataFrame:
-    """Running totals over a global order, the row's own value included, as columns of the given names.
-
-    The rows are cut into ranges of the order and stored; each range sums its own rows and begins at the total of the
-    ranges before it, a table of one row a range.  No task sees more than its range.
-    """
+def in_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """``df`` cut into ranges of an order, numbered by ``_range``, and stored."""
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = materialised(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    return materialised(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def sums_over_ranges(cut: DataFrame, order: list[str | Column], **sums: str | Column) -> DataFrame:
+    """Running totals over rows in ranges: each range begins at the total of those before it, one row a range."""
     values = {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
     each = cut.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in values.items()])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -129,19 +129,49 @@ def running_sums(df: DataFrame, order: list[str | Column], **sums: str | Column)
     return out.withColumns({name: F.col(f"_s_{name}") + F.sum(c).over(within) for name, c in values.items()}).drop("_range", *[f"_s_{name}" for name in values])
 
 
-def quantiles(df: DataFrame, col: str, at: list[float]) -> list[float | None]:
-    """Exact quantiles (interpolated) of a column: values are counted, and the counts run over their order."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n"))
-    run = materialised(running_sums(counts, ["v"], upto="n"), "quantiles")
-    total = run.agg(F.max("upto")).first()[0]
-    if not total:
-        return [None] * len(at)
-    places = [q * (total - 1) for q in at]
-    wanted = sorted({p for x in places for p in (int(x), min(int(x) + 1, total - 1))})
-    # The value at each wanted place, at most two for each quantile.
-    found = run.select("v", F.explode(F.filter(F.array(*[F.lit(p) for p in wanted]), lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))).alias("p")).collect()
+def running_sums(df: DataFrame, order: list[str | Column], **sums: str | Column) -> DataFrame:
+    """Running totals over a global order, the row's own value included, as columns of the given names.
+
+    The rows are cut into ranges of the order and stored; each range sums its own rows and begins at the total of the
+    ranges before it, a table of one row a range.  No task sees more than its range.
+    """
+    return sums_over_ranges(in_ranges(df, order), order, **sums)
+
+
+def column_quantiles(df: DataFrame, cols: list[str], at: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles (interpolated) of many columns at once; nulls and NaN do not count.
+
+    Values are counted by column, and the counts run over one order of (column, value), whatever the number of columns.
+    """
+    each = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("c", "v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    cut = in_ranges(each.groupBy("c", "v").agg(F.count("*").alias("n")), ["c", "v"])
+    totals = {r.c: r.t for r in cut.groupBy("c").agg(F.sum("n").alias("t")).collect()}  # a row a column
+    wanted, start = [], 0
+    for c in range(len(cols)):
+        n = totals.get(c, 0)
+        wanted.append(sorted({start + p for q in at for x in [q * (n - 1)] for p in (int(x), min(int(x) + 1, n - 1))}) if n else [])
+        start += n
+    places = F.array(*[F.array(*[F.lit(p) for p in ps]).cast("array<bigint>") for ps in wanted])
+    run = sums_over_ranges(cut, ["c", "v"], upto="n")
+    # The value at each wanted place, at most two for each column and quantile.
+    found = run.select("c", "v", F.explode(F.filter(F.get(places, F.col("c")), lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))).alias("p")).collect()
     value = {r.p: float(r.v) for r in found}
-    return [value[int(x)] + (x - int(x)) * (value[min(int(x) + 1, total - 1)] - value[int(x)]) for x in places]
+    out, start = {}, 0
+    for c, name in enumerate(cols):
+        n = totals.get(c, 0)
+        cuts = []
+        for q in at if n else []:
+            x = q * (n - 1)
+            low, high = value[start + int(x)], value[start + min(int(x) + 1, n - 1)]
+            cuts.append(low + (x - int(x)) * (high - low))
+        out[name] = cuts or [None] * len(at)
+        start += n
+    return out
+
+
+def quantiles(df: DataFrame, col: str, at: list[float]) -> list[float | None]:
+    """Exact quantiles (interpolated) of one column."""
+    return column_quantiles(df, [col], at)[col]
 
 
 def stable_ids(df: DataFrame, order: list[str | Column], offset: int = 0, within: list[str] | None = None) -> DataFrame:

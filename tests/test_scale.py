@@ -142,15 +142,6 @@ def test_planning_runs_no_job_and_forces_no_broadcast(spark):
     assert "strategy=broadcast" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_forward_selection_takes_what_tells_and_stops(spark):
-    draw = random.Random(6)
-    rows = [(draw.gauss(0, 1), draw.gauss(0, 1), draw.gauss(0, 1)) for _ in range(1200)]
-    rows = [(x, y, z, int(2 * x + y + draw.gauss(0, 0.7) > 0)) for x, y, z in rows]
-    df = spark.createDataFrame(rows, "x double, y double, z double, bad int")
-    found = R.forward_select(df.limit(800), df.exceptAll(df.limit(800)), ["z", "y", "x"], "bad", 3)
-    assert [f for f, _ in found][:2] == ["x", "y"] and found[1][1] > found[0][1] > 0.5
-
-
 @pytest.fixture(scope="module")
 def texts(spark):
     draw = random.Random(8)
