@@ -18,27 +18,25 @@ def top_k_counts(df: DataFrame, key: str, col: str, k: int) -> DataFrame:
 def evidence(feed_b: DataFrame) -> DataFrame:
     """Credit share, median absolute amount, top 2 categories and top 3 narratives of each merchant ``m``.
 
-    One pass over the feed: amounts, categories and narratives are counted side by side.  The counts then run over each
-    merchant's amounts in order (the exact median) and are ranked; both are sorts, which spill where a merchant is hot.
+    Amounts are counted apart from categories and narratives; the two scans read different columns.  Counts run over each
+    merchant's amounts in order (the exact median), a sort that spills where a merchant is hot.  Of categories and
+    narratives only the first ranks of each partition reach the exchange by merchant.
     """
-    kind = lambda name, value, v: F.struct(F.lit(name).alias("kind"), value.cast("string").alias("value"), v.cast("double").alias("v"))
-    none = F.lit(None)
-    each = F.array(kind("amount", none, F.abs("amount")), kind("cat", F.col("cat"), none), kind("desc", F.col("description_raw"), none))
-    rows = feed_b.select("m", (F.col("direction") == "credit").cast("int").alias("credit"), F.explode(each).alias("k"))
-    counts = rows.groupBy("m", "k.kind", "k.value", "k.v").agg(F.count("*").alias("n"), F.sum("credit").alias("c"))
-    own = Window.partitionBy("m", "kind")
+    counts = feed_b.groupBy("m", F.abs("amount").cast("double").alias("v")).agg(F.count("*").alias("n"), F.count_if(F.col("direction") == "credit").alias("c"))
+    own = Window.partitionBy("m")
     valued = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
-    upto = F.sum(valued).over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.row_number().over(own.orderBy(F.col("n").desc(), F.col("value").asc_nulls_last()))
-    run = counts.withColumns({"upto": upto, "total": F.sum(valued).over(own), "rank": rank})
-    is_amount = F.col("kind") == "amount"
-    at = lambda place: F.max(F.when(is_amount & F.col("v").isNotNull() & (place < F.col("upto")) & (place >= F.col("upto") - F.col("n")), F.col("v")))
+    run = counts.withColumns({"upto": F.sum(valued).over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum(valued).over(own)})
+    at = lambda place: F.max(F.when(F.col("v").isNotNull() & (place < F.col("upto")) & (place >= F.col("upto") - F.col("n")), F.col("v")))
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    amounts = run.groupBy("m").agg(F.round(F.sum("c") / F.sum("n"), 2).alias("pct_credit"), F.round((at(low) + at(high)) / 2, 4).alias("median_amount"))
+    kind = lambda name, value: F.struct(F.lit(name).alias("kind"), F.col(value).cast("string").alias("value"))
+    values = feed_b.select("m", F.inline(F.array(kind("cat", "cat"), kind("desc", "description_raw")))).groupBy("m", "kind", "value").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("m", "kind").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last()))
+    ranked = values.withColumn("rank", rank).where("rank <= 3")
     top = lambda name, k: F.array_sort(F.collect_list(F.when((F.col("kind") == name) & (F.col("rank") <= k), F.struct("rank", "value", "n"))))
     shown = lambda c: F.transform(c, lambda x: F.struct(x["value"].alias("value"), x["n"].alias("count")))
-    share = F.sum(F.when(is_amount, F.col("c"))) / F.sum(F.when(is_amount, F.col("n")))
-    out = run.groupBy("m").agg(F.round(share, 2).alias("pct_credit"), F.round((at(low) + at(high)) / 2, 4).alias("median_amount"), top("cat", 2).alias("_c"), top("desc", 3).alias("_d"))
-    return out.select("m", "pct_credit", "median_amount", shown("_c").alias("cats"), shown("_d").alias("descs"))
+    tops = ranked.groupBy(F.col("m").alias("_m")).agg(shown(top("cat", 2)).alias("cats"), shown(top("desc", 3)).alias("descs"))
+    return amounts.join(tops, F.col("m").eqNullSafe(F.col("_m"))).select("m", "pct_credit", "median_amount", "cats", "descs")
 
 
 def render_evidence(df: DataFrame, col: str, trim: int = 70) -> DataFrame:
