@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerloom.operators.seeds import parse_sources
 from ledgerloom.plans.feeds import CAT_A, CAT_B, MAPS
@@ -16,6 +17,8 @@ LENGTH, LATE = 28, 56
 SLICES = ("1970-01-01", "1996-01-01", "1997-07-01", "1999-01-01", "2000-07-01")
 LAST = len(SLICES)
 FILES = 2
+#: Rows of a feed's file at most, on average over the slices; larger feeds come in more files a slice.
+FILE_ROWS = 1_000_000
 
 
 def arrival(ts: str, applicant: str) -> str:
@@ -24,26 +27,40 @@ def arrival(ts: str, applicant: str) -> str:
     return f"CASE WHEN {applicant} % 20 = 7 THEN {LAST} ELSE {passed} END"
 
 
-def arrive(df: DataFrame, path: str) -> None:
-    """The feed as files that come slice after slice, ``FILES`` a slice."""
-    sliced = df.withColumn("_slice", F.expr(arrival("ts", "applicant")))
-    for k in range(LAST + 1):
-        sliced.where(F.col("_slice") == k).drop("_slice").repartition(FILES).write.mode("append").parquet(path)
+def sliced(df: DataFrame, name: str) -> str:
+    """Folder of the feed with a folder for each slice: the feed is made once, however many slices it has."""
+    path = tables.work_path(df.sparkSession, name)
+    df.withColumn("_slice", F.expr(arrival("ts", "applicant"))).write.partitionBy("_slice").parquet(path)
+    return path
+
+
+def arrive(feeds: list[DataFrame], paths: list[str]) -> int:
+    """The feeds as files that come slice after slice; how many files a slice of each has, ``FILES`` or more."""
+    spark, kept = feeds[0].sparkSession, [sliced(df, "slices") for df in feeds]
+    columns = [StructType([*df.schema, StructField("_slice", IntegerType())]) for df in feeds]
+    rows = [spark.read.schema(c).parquet(k) for c, k in zip(columns, kept)]
+    files = max([FILES, *(-(-r.count() // (FILE_ROWS * (LAST + 1))) for r in rows)])
+    for df, path in zip(rows, paths):
+        for k in range(LAST + 1):
+            df.where(F.col("_slice") == k).drop("_slice").repartition(files).write.mode("append").parquet(path)
+    return files
 
 
 def streams(fx):
-    """Both feeds as streams over folders in which they have arrived."""
+    """Both feeds as streams over folders in which they have arrived, and as the rows of those folders."""
     paths = [tables.work_path(fx.spark, name) for name in ("incoming-a", "incoming-b")]
-    for df, path in zip((fx.raw_a, fx.raw_b), paths):
-        arrive(df, path)
-    return D.both_feeds(fx.spark, *paths, fx.raw_a.schema, fx.raw_b.schema, FILES)
+    schemas = [fx.raw_a.schema, fx.raw_b.schema]
+    files = arrive([fx.raw_a, fx.raw_b], paths)
+    return D.both_feeds(fx.spark, *paths, *schemas, files), [fx.spark.read.schema(s).parquet(p) for s, p in zip(schemas, paths)]
 
 
-def windows(fx) -> DataFrame:
+def windows(fx) -> tuple[DataFrame, list[DataFrame]]:
+    """The windows when all has come, and the rows of both feeds that came."""
     out = tables.work_path(fx.spark, "windows")
-    rows = D.resolved(*streams(fx), fx.seeds())
+    feeds, came = streams(fx)
+    rows = D.resolved(*feeds, fx.seeds())
     D.run_batches(D.drift_windows(rows, f"{LENGTH} days", f"{LATE} days"), out, tables.work_path(fx.spark, "stream"), "update")
-    return D.latest(fx.spark, out, ["provider", "start"])
+    return D.latest(fx.spark, out, ["provider", "start"]), came
 
 
 #: Rows that count: those of the last slice do where their window is open when it comes; a batch's late rows are told by the
@@ -64,7 +81,7 @@ FROM counted GROUP BY 1, 2
 """, **_S)
 def t2d(fx):
     """Unmatched and fall-through rows of both feeds by window, from six micro-batches of which the last is late."""
-    return windows(fx)
+    return windows(fx)[0]
 
 
 @query("t2_late_rows", """
@@ -72,8 +89,9 @@ SELECT provider, count(*) AS arrived, count(*) FILTER (NOT (slice < 5 OR start +
 """, **_S)
 def t2l(fx):
     """Rows of each feed that came after their window had closed."""
-    came = fx.raw_a.where("ts is not null").select(F.lit("A").alias("provider")).unionByName(fx.raw_b.where("ts is not null").select(F.lit("B").alias("provider")))
-    return D.late_rows(came, windows(fx))
+    counted, came = windows(fx)
+    rows = [df.where("ts is not null").select(F.lit(name).alias("provider")) for name, df in zip("AB", came)]
+    return D.late_rows(rows[0].unionByName(rows[1]), counted)
 
 
 _VALUES = f"""
@@ -88,7 +106,7 @@ LEFT JOIN (SELECT 'A' AS provider, value FROM sub_map UNION SELECT 'A', value FR
 """, **MAPS, vals=_VALUES)
 def n4f(fx):
     """Category values of both feeds with the micro-batch that had them first, and whether the taxonomy knows them."""
-    a, b = streams(fx)
+    (a, b), _ = streams(fx)
     values = a.select(F.lit("A").alias("provider"), F.coalesce("sub", "pri").alias("value")).unionByName(b.select(F.lit("B").alias("provider"), F.col("cat").alias("value")))
     known = parse_sources(fx.taxonomy, "sources").select(F.lit("A").alias("provider"), "value").unionByName(parse_sources(fx.taxonomy, "sources_b").select(F.lit("B").alias("provider"), "value"))
     out = tables.work_path(fx.spark, "first-values")
