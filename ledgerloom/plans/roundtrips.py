@@ -98,6 +98,6 @@ def g1b(fx):
 def t1(fx):
     """The raw feed as files of a directory, categorised as a stream and read from the stream's own table."""
     source, out = tables.work_path(fx.spark, "incoming"), tables.work_path(fx.spark, "categorised")
-    fx.raw_b.repartition(4).write.parquet(source)
+    fx.raw_b.hint("rebalance").write.parquet(source)  # files of the size that the session advises, so more for a larger feed
     run_to_end(categorise_stream(fx.spark, source, fx.raw_b.schema, fx.seeds()), out, tables.work_path(fx.spark, "stream"))
     return by(fx.spark.read.parquet(out), "leaf", "resolution_tier")
