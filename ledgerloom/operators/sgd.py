@@ -74,17 +74,18 @@ def sparse_rows(df: DataFrame, grams: str, numerics: dict[str, float], sgd: Sgd,
     return raw.select(*names).mapInArrow(run, f"{kept}, idx array<int>, val array<float>")
 
 
-def dealt(rows: DataFrame, part_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with the number of their ``part``, stored, and the distinct places of each part."""
+def dealt(rows: DataFrame, part_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows with the number of their ``part``, stored, the distinct places of each part, and the number of parts."""
     stored = materialised(rows.withColumn("row", F.monotonically_increasing_id()), "sparse")
     parts = max(1, -(-stored.count() // part_rows))
-    rows = stored.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    return rows, materialised(rows.select("part", F.explode("idx").alias("place")).distinct(), "needs")
+    # As many partitions as parts: parts are few bytes but much work, so they must not share a task for being small.
+    rows = stored.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).repartition(parts, "part")
+    return rows, materialised(rows.select("part", F.explode("idx").alias("place")).distinct(), "needs"), parts
 
 
-def part_weights(needs: DataFrame, weights: DataFrame) -> DataFrame:
+def part_weights(needs: DataFrame, weights: DataFrame, parts: int) -> DataFrame:
     """``part, place, w`` of the places that each part needs; null where there is no weight yet."""
-    return needs.join(weights, "place", "left").select("part", "place", "w")
+    return needs.join(weights, "place", "left").select("part", "place", "w").repartition(parts, "part")
 
 
 def _csr(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,7 +136,7 @@ def fit(rows: DataFrame, label: str, classes: list, sgd: Sgd = Sgd()) -> DataFra
     ``classes`` are the labels; rows with another label do not train.
     """
     numbered = F.element_at(F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))]), F.col(label))
-    own, needs = dealt(rows.withColumn("_y", numbered.cast("int")).where(F.col("_y").isNotNull()).select("idx", "val", "_y"), sgd.part_rows)
+    own, needs, parts = dealt(rows.withColumn("_y", numbered.cast("int")).where(F.col("_y").isNotNull()).select("idx", "val", "_y"), sgd.part_rows)
     spark, k = rows.sparkSession, len(classes)
     weights = spark.createDataFrame([], "place int, w array<float>")
     out_schema = pa.schema([("range", pa.int32()), ("place", pa.int32()), ("w", pa.list_(pa.float32()))])
@@ -160,14 +161,14 @@ def fit(rows: DataFrame, label: str, classes: list, sgd: Sgd = Sgd()) -> DataFra
         return pa.table([pa.array(place[order][edges], pa.int32()), lists(np.add.reduceat(w[order], edges, axis=0) / count)], names=["place", "w"])
 
     for epoch in range(sgd.epochs):
-        made = own.groupBy("part").cogroup(part_weights(needs, weights).groupBy("part")).applyInArrow(learner(epoch), "range int, place int, w array<float>")
+        made = own.groupBy("part").cogroup(part_weights(needs, weights, parts).groupBy("part")).applyInArrow(learner(epoch), "range int, place int, w array<float>")
         weights = materialised(made.groupBy("range").applyInArrow(average, "place int, w array<float>"), "weights")
     return weights
 
 
 def predict(rows: DataFrame, weights: DataFrame, classes: list, keep: list[str], part_rows: int = Sgd.part_rows) -> DataFrame:
     """The columns ``keep`` with ``predicted``, the class of largest probability, and ``confidence``, its share of all classes'."""
-    own, needs = dealt(rows.select(*keep, "idx", "val"), part_rows)
+    own, needs, parts = dealt(rows.select(*keep, "idx", "val"), part_rows)
     k, schema = len(classes), rows.select(*keep).schema
 
     def score(rows: pa.Table, weights: pa.Table) -> pa.Table:
@@ -180,5 +181,5 @@ def predict(rows: DataFrame, weights: DataFrame, classes: list, keep: list[str],
         return rows.select(keep).append_column("_best", pa.array(best, pa.int32())).append_column("confidence", pa.array(share.astype(np.float64)))
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    out = own.groupBy("part").cogroup(part_weights(needs, weights).groupBy("part")).applyInArrow(score, f"{kept}, _best int, confidence double")
+    out = own.groupBy("part").cogroup(part_weights(needs, weights, parts).groupBy("part")).applyInArrow(score, f"{kept}, _best int, confidence double")
     return out.withColumn("predicted", F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("_best") + 1)).drop("_best")

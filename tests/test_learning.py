@@ -130,3 +130,10 @@ def test_boosting_stops_when_validation_does_not_gain(spark):
 def test_boosting_without_rows(spark):
     df = spark.createDataFrame([], "x array<double>, leaf string, w double, v boolean")
     assert B.fit(df, "x", "leaf", "w", "v", ["a"]).rounds == []
+
+
+def test_parts_keep_tasks_of_their_own(spark, texts):
+    """Small parts are not put together in one task, however few bytes they have."""
+    rows = G.sparse_rows(texts, "grams", {}, G.Sgd(places=1 << 10), ["id"])
+    own, needs, parts = G.dealt(rows, 100)
+    assert parts == 16 and own.rdd.getNumPartitions() == parts
