@@ -132,6 +132,21 @@ def test_boosting_without_rows(spark):
     assert B.fit(df, "x", "leaf", "w", "v", ["a"]).rounds == []
 
 
+def test_sums_of_rare_bins_are_those_of_all_bins():
+    """Nodes without rows, features that are always or never usual; and mostly zero features cost only what is not zero."""
+    draw = np.random.default_rng(9)
+    bins = np.where(draw.random((500, 12)) < 0.1, draw.integers(0, 7, (500, 12)), 0).astype(np.uint8)
+    bins[:, 0], bins[:, 1] = 3, draw.integers(0, 7, 500)
+    g, h, node = draw.normal(size=500), draw.uniform(0.1, 1, 500), draw.choice([1, 3, 5, 6], 500)
+    want = np.zeros((4, 12, 7, 3))
+    for r in range(500):
+        if node[r] >= 3:
+            for f in range(12):
+                want[node[r] - 3, f, bins[r, f]] += (g[r], h[r], 1)
+    assert np.allclose(B.block_sums(bins, g, h, node, 3, 4, 7), want)
+    assert len(B.rare_bins(bins[:, 2:])[1]) < 0.12 * bins[:, 2:].size
+
+
 def test_parts_keep_tasks_of_their_own(spark, texts):
     """Small parts are not put together in one task, however few bytes they have."""
     rows = G.sparse_rows(texts, "grams", {}, G.Sgd(places=1 << 10), ["id"])
