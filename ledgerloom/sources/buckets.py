@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.sources.tables import materialised
+
 MANIFEST = "version long, bucket int"
 
 
@@ -40,7 +42,7 @@ class BucketTable:
 
     def upsert(self, new: DataFrame) -> set[int]:
         """New rows win over old ones of their key; rows of other keys stay.  Returns the buckets that were written."""
-        new = new.select(*self.schema.names)
+        new = materialised(new.select(*self.schema.names), "upsert")  # its buckets, keys and rows are read one after the other
         touched = {r[0] for r in new.select(self.bucket()).distinct().collect()}
         if not touched:
             return touched
