@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.tables import quantiles, running_sums
+from ledgerloom.sources.tables import materialised, quantiles, running_sums
 
 
 def _round(c: Column, n: int = 4) -> Column:
@@ -73,7 +73,7 @@ def iv_by_form(df: DataFrame, outcomes: DataFrame, leaf: str, as_of: str, horizo
     within = lambda h: F.col("ago") <= h
     forms = [(form, h) for h in horizons for form in ("persistence", "frequency")]
     aggs = [F.nullif(F.count_if(within(h)) if form == "persistence" else F.coalesce(F.sum(F.when(within(h), F.col("k"))), F.lit(0)), F.lit(0)).alias(f"{form}_{h}") for form, h in forms]
-    table = outcomes.select("applicant", target).join(monthly.groupBy("applicant").agg(*aggs), "applicant", "left")
+    table = materialised(outcomes.select("applicant", target).join(monthly.groupBy("applicant").agg(*aggs), "applicant", "left"), "forms")
     out = None
     for form, h in forms:
         one = woe_iv(table, f"{form}_{h}", target, bins).agg(_round(F.sum("iv"), 4).alias("iv")).select(F.lit(form).alias("form"), F.lit(h).alias("horizon"), "iv")
