@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import pieces, stored, text_of, width
@@ -63,7 +63,10 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
-    hashes = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     return int(np.bitwise_or.reduce((bit_counts(hashes) * 2 > len(hashes)).astype(np.uint64) << _PLACES))
@@ -340,16 +343,20 @@ def map_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def common_shingles(rows: DataFrame, sample: int = 4096, least: int = 8, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents of a sample have, rising, and their counts.  Results do not depend on them, time does."""
+def common_shingles(rows: DataFrame, sample: int = 65_536, least: int = 4, most: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, rising, and their counts.  Results do not depend on them, time does.
+
+    Passages that a ten-thousandth of the texts share are found by a sample of this size, whatever the number of rows.
+    """
 
     def run(batches):
-        for batch in batches:
-            for t in batch.column("text"):
-                yield pa.RecordBatch.from_pydict({"h": shingle_set(t.as_buffer().to_pybytes()).view(np.int64)})
+        for batch in pieces(batches):
+            sets = [shingle_set(t.as_buffer().to_pybytes()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"h": np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)})
 
     every = max(1, rows.count() // sample)
-    some = rows.where(F.pmod(F.xxhash64("id", "name", F.lit(5)), F.lit(every)) == 0).select("text")
+    # Copies of a text count once, so that large groups of copies do not push passages out.
+    some = rows.where(F.pmod(F.xxhash64("name", F.lit(5)), F.lit(every)) == 0).select("name", "size", "text").dropDuplicates(["name", "size"]).select("text")
     top = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n")).limit(most).collect()
     found = np.array([r.h for r in top], np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -357,7 +364,7 @@ def common_shingles(rows: DataFrame, sample: int = 4096, least: int = 8, most: i
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """``KEY, node, n, map, full, keys``: name, size, parity maps and prefix of every row's shingle set."""
+    """``KEY, node, fp, n, map, full, keys``: name, fingerprint, size, parity maps and prefix of every row's shingle set."""
     common, counts = common_shingles(rows)
 
     def run(batches):
@@ -369,6 +376,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 {
                     **{c: batch.column(c) for c in KEY},
                     "node": pa.array([set_name(s) for s in sets], pa.int64()),
+                    "fp": pa.array(np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "map": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * MAP_WORDS), pa.array(np.concatenate([parity_map(s) for s in sets] or [np.zeros(0, np.int64)]))),
                     "full": pa.array([full_map(s) for s in sets], pa.binary()),
@@ -376,7 +384,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 }
             )
 
-    return rows.select(*KEY, "text").mapInArrow(run, f"{KEY_TYPE}, node long, n long, map array<long>, full binary, keys array<long>")
+    return rows.select(*KEY, "text").mapInArrow(run, f"{KEY_TYPE}, node long, fp long, n long, map array<long>, full binary, keys array<long>")
 
 
 def may_be_similar(n_a, n_b, differ):
@@ -435,31 +443,64 @@ def rest_pairs(number: np.ndarray, n: np.ndarray, classes: np.ndarray, maps: np.
     return (np.concatenate(left), np.concatenate(right)) if left else (first[:0], first[:0])
 
 
-def similar_links(rows: DataFrame, sets: DataFrame, shard_rows: int = 128) -> DataFrame:
-    """Links ``a, b`` between names of shingle sets that have the components of all pairs of similar sets.
+def fingerprint_pairs(nodes: DataFrame, radius: int = 2, blocks: int = 5, together: int = 3, pivots: int = 10) -> DataFrame:
+    """Pairs ``a, b`` of nodes that SimHash links: the first of each fingerprint with its others, and first ones within ``radius`` bits."""
+    firsts = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    near = near_links(firsts.select(F.col("fp").alias("node"), F.array("fp").alias("fp")), radius, blocks, together, pivots)
+    near = near.distinct().withColumnsRenamed({"a": "fp_a", "b": "fp_b"})
+    for c in ("a", "b"):
+        near = near.join(firsts.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(c)), f"fp_{c}")
+    equal = nodes.select("node", "fp").join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return near.select("a", "b").unionByName(equal)
 
-    A set goes to a shard for each shingle of its prefix, so every similar pair meets.  First each member is compared
-    with the least of its shard; then the pairs of a shard that are not connected by that are compared.
-    """
-    nodes = stored(sets.groupBy("node").agg(F.min(F.struct(*KEY)).alias("row"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("full").alias("full"), F.first("keys").alias("keys")), "nodes")
-    shard = Window.partitionBy("key")
-    dealt = nodes.select(F.explode("keys").alias("key"), "node").withColumns({"members": F.count("*").over(shard), "hub": F.min("node").over(shard)})
-    held = stored(dealt.where("members > 1"), "held")
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("map").alias(f"map_{c}"))
-    near = held.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.col("map_a")[i].bitwiseXOR(F.col("map_b")[i])) for i in range(MAP_WORDS)), F.lit(0))
-    near = stored(near.where(may_be_similar(F.col("n_a"), F.col("n_b"), differ)).select("a", "b"), "pairs")
-    links = stored(confirmed(near, nodes, rows), "links")
 
+def classed_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, n, map, full, class`` of all nodes by the links so far."""
     classes = components(links).withColumnRenamed("node", "own")
-    classed = nodes.join(classes, F.col("node") == F.col("own"), "left").select("node", "n", "map", F.coalesce("component", "node").alias("class"))
-    open_ = held.join(classed.select(F.col("node").alias("own"), "class"), F.col("node") == F.col("own")).groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    open_ = open_.where("low <> high").select(F.col("key").alias("shard"))
-    rest = held.where("members > 2").join(open_, F.col("key") == F.col("shard")).select("key", "node", F.ceil(F.col("members") / shard_rows).cast("int").alias("parts"))
+    named = nodes.join(classes, F.col("node") == F.col("own"), "left")
+    return stored(named.select("node", "n", "map", "full", F.coalesce("component", "node").alias("class")), "classes")
+
+
+def open_shards(held: DataFrame, classed: DataFrame, turn: int) -> DataFrame:
+    """``shard, hub, hub_class``: shards whose members are of more than one class, and one member drawn by the turn."""
+    each = held.join(classed.select("node", "class"), "node")
+    found = each.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "class")).alias("hub"))
+    return found.where("low <> high").select(F.col("key").alias("shard"), F.col("hub.node").alias("hub"), F.col("hub.class").alias("hub_class"))
+
+
+def hub_pairs(held: DataFrame, classed: DataFrame, turn: int) -> DataFrame:
+    """For each node the hub of another class that it shares most shards with: a pair a node at most."""
+    each = held.join(classed.select("node", "class"), "node").join(open_shards(held, classed, turn), F.col("key") == F.col("shard")).where("class <> hub_class")
+    shared = each.groupBy("node", "hub").agg(F.count("*").alias("times"))
+    return shared.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best")).select(F.col("best.hub").alias("a"), F.col("node").alias("b"))
+
+
+def similar_links(rows: DataFrame, sets: DataFrame, shard_rows: int = 128, turns: int = 2) -> DataFrame:
+    """Links ``a, b`` between names of shingle sets that have the components of all pairs of similar sets.
+
+    SimHash comes first: sets whose fingerprints are near are compared and linked where they are similar.  Similar sets
+    whose fingerprints are not near enough are found by shards, one for each shingle of a prefix, in which every similar
+    pair meets: each member is compared with a hub of its shards in turns, then the pairs of a shard that are not
+    connected by all that.
+    """
+    kept = [F.first(c).alias(c) for c in ("fp", "n", "map", "full", "keys")]
+    nodes = stored(sets.groupBy("node").agg(F.min(F.struct(*KEY)).alias("row"), *kept), "nodes")
+    links = stored(confirmed(fingerprint_pairs(nodes), nodes, rows), "links")
+
+    dealt = nodes.select(F.explode("keys").alias("key"), "node")
+    counts = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").withColumnRenamed("key", "shard")
+    held = stored(dealt.join(counts, F.col("key") == F.col("shard")).select("key", "node", "members"), "held")
+    classed = classed_nodes(nodes, links)
+    for turn in range(turns):
+        near = stored(hub_pairs(held, classed, turn), "pairs")
+        links = stored(links.unionByName(confirmed(near, nodes, rows)), "links")
+        classed = classed_nodes(nodes, links)
+
+    rest = held.join(open_shards(held, classed, 0), F.col("key") == F.col("shard")).select("key", "node", F.ceil(F.col("members") / shard_rows).cast("int").alias("parts"))
     rest = rest.join(classed.withColumnRenamed("node", "own"), F.col("node") == F.col("own")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     # A member goes to every pair of parts that holds its own: (p, q) with p <= q.
     both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q")))
-    rest = rest.select("key", F.explode(both).alias("pair"), "node", "n", "class", "map").select("key", "pair.p", "pair.q", "node", "n", "class", "map")
+    rest = rest.select("key", F.explode(both).alias("pair"), "node", "n", "class", "map", "full").select("key", "pair.p", "pair.q", "node", "n", "class", "map", "full")
     rest = rest.repartition(width(nodes), "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
 
     def run(batches):
@@ -482,6 +523,10 @@ def similar_links(rows: DataFrame, sets: DataFrame, shard_rows: int = 128) -> Da
     def pairs_of(table, number):
         names, n, classes = (table.column(c).to_numpy() for c in ("node", "n", "class"))
         i, j = rest_pairs(number, n, classes, matrix(table.column("map").combine_chunks()))
+        # Short maps let all pairs of long texts pass, full ones hardly any that is not similar.
+        full = table.column("full")
+        ok = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())) if may_be_similar(n[x], n[y], map_distance(full[x].as_py(), full[y].as_py()))]
+        i, j = i[ok], j[ok]
         return pa.RecordBatch.from_pydict({"a": names[i], "b": names[j]})
 
     more = stored(rest.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -491,8 +536,8 @@ def similar_links(rows: DataFrame, sets: DataFrame, shard_rows: int = 128) -> Da
 def similar_documents(docs: DataFrame) -> DataFrame:
     """``KEY, class`` of every row, linked at a Jaccard similarity of 0.8 or more.
 
-    Similarity is that of the sets of five-word shingles and decided by the sets.  Candidates come from a prefix of
-    each set that two similar sets always share, so no pair is missed, however many documents stand in the table.
+    Similarity is that of the sets of five-word shingles and decided by the sets.  Candidates come from SimHash and then
+    from a prefix of each set that two similar sets always share, so no pair is missed, however many documents there are.
     """
     rows = numbered(docs)
     sets = stored(shingle_sets(rows), "fingerprints")

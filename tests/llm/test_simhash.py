@@ -276,3 +276,32 @@ def test_links_do_not_follow_the_number_of_rows(docs_of):
     alone = {r.doc_id for r in simhash.keep_one(docs_of(rows)).collect()}
     within = {r.doc_id for r in simhash.keep_one(docs_of(rows + more)).collect()}
     assert alone == {i for i in within if i < 1000} == brute_kept(rows)[0]
+
+
+def test_shared_passages_make_no_pairs(docs_of, monkeypatch):
+    """Long texts that share a passage are not similar: hardly any pair of them is compared by sets."""
+    draw = random.Random(15)
+    rows = []
+    for g in range(30):
+        passage = [f"p{g}w{k}" for k in range(60)]
+        for _ in range(6):
+            words = [f"w{draw.randrange(10**9)}" for _ in range(1500)]
+            rows.append((len(rows), " ".join(words[:700] + passage + words[700:])))
+    seen, inner = [], simhash.confirmed
+
+    def counted(pairs, nodes, rows):
+        seen.append(pairs.count())
+        return inner(pairs, nodes, rows)
+
+    monkeypatch.setattr(simhash, "confirmed", counted)
+    assert simhash.keep_one(docs_of(rows)).count() == len(rows)
+    assert sum(seen) < len(rows) // 2
+
+
+def test_near_copies_come_through_simhash(docs_of):
+    words = [f"w{k * 7919 % 10007}" for k in range(3000)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(f"x{k}" for k in range(500))]
+    rows = simhash.numbered(docs_of(list(enumerate(texts))))
+    nodes = simhash.stored(simhash.shingle_sets(rows).withColumn("row", simhash.F.struct(*simhash.KEY)), "nodes")
+    names = [simhash.set_name(simhash.shingle_set(t.encode())) for t in texts]
+    assert {frozenset((r.a, r.b)) for r in simhash.fingerprint_pairs(nodes).collect()} == {frozenset(names[:2])}
