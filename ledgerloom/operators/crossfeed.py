@@ -128,21 +128,21 @@ def per_applicant(df: DataFrame) -> DataFrame:
 
 
 def source_match(feed: DataFrame, predicates: DataFrame, compounds: DataFrame | None = None) -> DataFrame:
-    """Transactions of each parsed source, by equi joins: on sub, on primary category, and for compound sources on both.
+    """Transactions of each parsed source, by one equi join: on sub, on primary category, and for compound sources on both.
 
     A compound source (``leaf, pri, subs``) may leave either side out, which then is any; its value is ``pri + sub``.
+    The feed is read once: each row asks by its sub, by its primary category and by both.
     """
-    subs, pris = (predicates.where(F.col("kind") == k).select("value", "leaf") for k in ("sub", "pri"))
-    out = feed.join(subs, F.col("sub") == F.col("value")).unionByName(feed.join(pris, F.col("pri") == F.col("value")))
-    if compounds is None:
-        return out
-    each = compounds.select("leaf", F.col("pri").alias("_p"), F.explode_outer(F.array_distinct("subs")).alias("_s")).distinct()
-    each = each.withColumn("value", F.concat_ws(" + ", "_p", "_s"))
-    both, left, right = each.where("_p is not null and _s is not null"), each.where("_p is not null and _s is null"), each.where("_p is null and _s is not null")
-    hits = feed.join(both, (F.col("pri") == F.col("_p")) & (F.col("sub") == F.col("_s")))
-    for side, on in ((left, F.col("pri") == F.col("_p")), (right, F.col("sub") == F.col("_s"))):
-        hits = hits.unionByName(feed.join(side, on))
-    return out.unionByName(hits.drop("_p", "_s"))
+    kind, value, none = F.col("kind"), F.col("value"), F.lit("")
+    sources = predicates.where(kind.isin("sub", "pri")).select("value", "leaf", kind.alias("_kind"), F.when(kind == "pri", value).otherwise(none).alias("_p"), F.when(kind == "sub", value).otherwise(none).alias("_s"))
+    if compounds is not None:
+        each = compounds.select("leaf", F.col("pri").alias("_p"), F.explode_outer(F.array_distinct("subs")).alias("_s")).distinct().where("_p is not null or _s is not null")
+        which = F.when(F.col("_s").isNull(), "pri").when(F.col("_p").isNull(), "sub").otherwise("both")
+        sources = sources.unionByName(each.select(F.concat_ws(" + ", "_p", "_s").alias("value"), "leaf", which.alias("_kind"), F.coalesce("_p", none).alias("_p"), F.coalesce("_s", none).alias("_s")))
+    asks = [F.struct(F.lit(k).alias("kind"), p.alias("p"), s.alias("s")) for k, p, s in (("sub", none, F.col("sub")), ("pri", F.col("pri"), none), ("both", F.col("pri"), F.col("sub")))]
+    asked = feed.select("*", F.explode(F.array(*asks)).alias("_ask"))
+    hit = (F.col("_ask.kind") == F.col("_kind")) & (F.col("_ask.p") == F.col("_p")) & (F.col("_ask.s") == F.col("_s"))
+    return asked.join(sources, hit).drop("_ask", "_kind", "_p", "_s")
 
 
 def label_rows(df: DataFrame, labels: DataFrame, key: str = "merchant", label: str = "leaf") -> DataFrame:

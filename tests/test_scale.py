@@ -174,3 +174,16 @@ def test_top_terms_are_the_words_of_the_class(texts):
     assert {leaf for leaf, _, _ in found} == {"food", "fuel", "pay"}
     marks = {"food": "breadapplecheese", "fuel": "petroldieselpump", "pay": "salarywagesbonus"}
     assert all(gram.strip() in marks[leaf] for leaf, gram, _ in found)
+
+
+def test_sources_meet_the_feed_in_one_join(spark):
+    from ledgerloom.operators.crossfeed import source_match
+
+    feed = spark.range(6).selectExpr("id", "CASE WHEN id < 4 THEN 'p' END AS pri", "CASE WHEN id % 2 = 0 THEN 's' END AS sub").repartition(3)
+    sources = spark.createDataFrame([("sub", "s", "a"), ("pri", "p", "b"), ("pri", "p", "b")], "kind string, value string, leaf string")
+    compounds = spark.createDataFrame([("c", "p", ["s", "s"]), ("d", "p", None), ("e", None, ["s"])], "leaf string, pri string, subs array<string>")
+    got = source_match(feed, sources, compounds)
+    want = [(i, leaf, v) for i in range(6) for leaf, v, met in (("a", "s", i % 2 == 0), ("b", "p", i < 4), ("b", "p", i < 4), ("c", "p + s", i % 2 == 0 and i < 4), ("d", "p", i < 4), ("e", "s", i % 2 == 0)) if met]
+    assert sorted((r.id, r.leaf, r.value) for r in got.collect()) == sorted(want)
+    assert got.columns == ["id", "pri", "sub", "value", "leaf"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6") == 1
