@@ -51,7 +51,7 @@ NUMERIC = {
     "skew": F.skewness,
 }
 #: Aggregates of categories.
-CATEGORICAL = {"nunique": F.count_distinct, "mode": lambda c: F.mode(c, True)}
+CATEGORICAL = {"mode": lambda c: F.mode(c, True)}
 #: Numbers from a time.
 TRANSFORMS = {"month": F.month, "weekday": F.weekday}
 
@@ -218,6 +218,11 @@ def _aggregates(df: DataFrame, i: int, child: Entity, wanted: list[Feature]) ->
         sums = {f"_sum_{i}_{c}": F.sum(f"_{i}_{c}").over(own) for c in dict.fromkeys(f.of for f in monthly if f.of)}
         df = df.withColumns({f"_nth_{i}": F.row_number().over(own.orderBy(time)), f"_count_{i}": F.count("*").over(own), **sums})
 
+    # The first row of each value of a category, so that distinct values are counted without grouping by them.
+    named = dict.fromkeys(f.of for f in wanted if f.kind == "category" and f.agg == "nunique")
+    if named:
+        df = df.withColumns({f"_new_{i}_{c}": F.row_number().over(Window.partitionBy("_key", "_of", f"_{i}_{c}").orderBy(f"_{i}_{c}")) == 1 for c in named})
+
     def value(f: Feature) -> Column:
         if f.kind == "monthly":
             inner = F.col(f"_count_{i}") if f.inner == "count" else F.col(f"_sum_{i}_{f.of}")
@@ -230,6 +235,8 @@ def _aggregates(df: DataFrame, i: int, child: Entity, wanted: list[Feature]) ->
         v = value(f)
         if f.kind == "count":
             return F.count(v)
+        if f.kind == "category" and f.agg == "nunique":
+            return F.count(F.when(F.col(f"_new_{i}_{f.of}"), v))
         if f.kind == "category":
             return CATEGORICAL[f.agg](v)
         if f.kind == "trend":

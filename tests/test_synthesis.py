@@ -87,3 +87,12 @@ def test_sweep_has_one_exchange_of_the_rows_and_no_join(spark):
     plan = P._sweep(fx, 30)._jdf.queryExecution().optimizedPlan().toString()
     swept = plan[: plan.index("Union")]
     assert "Join" not in swept and swept.count("Repartition") == 1
+
+
+def test_distinct_values_are_counted_without_grouping_by_them(spark):
+    child = spark.createDataFrame([(1, "x"), (1, "x"), (1, None), (1, "y"), (2, None)], "k long, c string")
+    tables = [Y.Entity("top", spark.createDataFrame([(1,), (2,), (3,)], "id long"), "id"), Y.Entity("low", child, "k", categories={"c": ()})]
+    relations = [Y.Relation("top", "low", "k")]
+    got = Y.feature_table(tables, relations, "top", Y.plan(tables, relations, "top"))
+    assert {r.id: r.nunique__low__c for r in got.collect()} == {1: 2, 2: 0, 3: 0}
+    assert "distinct" not in got._jdf.queryExecution().optimizedPlan().toString()
