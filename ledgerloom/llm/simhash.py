@@ -393,14 +393,23 @@ def may_be_similar(n_a, n_b, differ):
     return (n_a * down >= n_b * up) & (n_b * down >= n_a * up) & (differ * (down + up) <= (n_a + n_b) * (down - up))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose shingle sets are similar, by the sets themselves."""
+def member_sets(used: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``own, members``: the shingle sets of the nodes in ``used``, made anew from one row that has each."""
 
     def run(batches):
         for batch in pieces(batches):
             sets = [shingle_set(t.as_buffer().to_pybytes()).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_pydict({"own": batch.column("node"), "members": pa.array(sets, pa.list_(pa.int64()))})
 
+    # Rows that repeat it in every column of the key are dropped.
+    used = used.join(nodes.select("node", "row.*"), "node")
+    texts = rows.select(*KEY, "text").join(used, [*KEY]).dropDuplicates(["node"]).select("node", "text")
+    return stored(texts.mapInArrow(run, "own long, members array<long>"), "sets")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose shingle sets are similar, by the sets themselves."""
+
     def near(batches):
         for batch in batches:
             n_a, n_b, full_a, full_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "full_a", "full_b"))
@@ -409,38 +418,85 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("full").alias(f"full_{c}"))
     pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long"), "pairs")
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # One row has each set; rows that repeat it in every column of the key are dropped.
-    used = used.join(nodes.select("node", "row.*"), "node")
-    texts = rows.select(*KEY, "text").join(used, [*KEY]).dropDuplicates(["node"]).select("node", "text")
-    sets = stored(texts.mapInArrow(run, "own long, members array<long>"), "sets")
+    sets = member_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, rows)
     side = lambda c: sets.select(F.col("own").alias(c), F.col("members").alias(f"{c}_members"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared, sizes = F.size(F.array_intersect("a_members", "b_members")), F.size("a_members") + F.size("b_members")
     return both.where(shared * (SIMILAR[0] + SIMILAR[1]) >= sizes * SIMILAR[0]).select("a", "b").distinct()
 
 
-def rest_pairs(number: np.ndarray, n: np.ndarray, classes: np.ndarray, maps: np.ndarray, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of a shard (``number``, rising) that are of different classes and may be similar."""
+class Forest:
+    """Names in trees: ``join`` tells whether two names were in different ones and makes them one."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while (up := root.get(i, i)) != i:
+            root[i] = root.get(up, up)
+            i = root[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            self.root[max(i, j)] = min(i, j)
+        return i != j
+
+
+def rest_pairs(number: np.ndarray, part: np.ndarray, n: np.ndarray, classes: np.ndarray, maps: np.ndarray, small: int = 16):
+    """Places of the pairs of a shard that are of different classes and may be similar, a few at a time.
+
+    Rows of a shard (``number``, rising) stand together by ``part``; if it has two parts, pairs within one are left to
+    the shard of that part alone.
+    """
     first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
     size = np.diff(np.concatenate((first, [len(number)])))
     of = np.repeat(size, size)
-    left, right = [], []
+    two = np.repeat(part[first] != part[first + size - 1], size)
 
     def test(i, j):
-        i, j = (x[classes[i] != classes[j]] for x in (i, j))
+        ok = (classes[i] != classes[j]) & (~two[i] | (part[i] != part[j]))
+        i, j = i[ok], j[ok]
         ok = may_be_similar(n[i], n[j], np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64))
-        left.append(i[ok])
-        right.append(j[ok])
+        return zip(i[ok].tolist(), j[ok].tolist())
 
     for lag in range(1, min(small, int(size.max(initial=1)))):
         i = np.flatnonzero((number[lag:] == number[:-lag]) & (of[lag:] <= small))
-        test(i, i + lag)
+        yield from test(i, i + lag)
     for a, m in zip(first[size > small].tolist(), size[size > small].tolist()):
         for k in range(a, a + m - 1):
             j = np.arange(k + 1, a + m)
-            test(np.full(len(j), k), j)
-    return (np.concatenate(left), np.concatenate(right)) if left else (first[:0], first[:0])
+            yield from test(np.full(len(j), k), j)
+
+
+def in_parts(held: DataFrame, nodes_width: int) -> DataFrame:
+    """Members (``key, parts, node`` and more) at every pair of parts (``p, q`` with p <= q) of their shard that holds their own ``part``."""
+    held = held.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q")))
+    rest = [c for c in held.columns if c not in ("key", "parts")]
+    held = held.select("key", F.explode(both).alias("pair"), *rest).select("key", "pair.p", "pair.q", *rest)
+    return held.repartition(nodes_width, "key", "p", "q").sortWithinPartitions("key", "p", "q", "part", "node")
+
+
+def whole_shards(batches):
+    """Tables of whole shards (``key, p, q``) and the number of each row's shard in its table; at most one shard more than a batch is held."""
+    kept = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if kept is not None:
+            table = pa.concat_tables([kept, table]).combine_chunks()
+        if not table.num_rows:
+            continue
+        shard = np.stack([table.column(c).to_numpy() for c in ("key", "p", "q")])
+        number = np.concatenate(([0], np.cumsum((shard[:, 1:] != shard[:, :-1]).any(axis=0))))
+        whole = int(np.searchsorted(number, number[-1]))  # the last shard may go on in the next batch
+        kept = table.slice(whole)
+        if whole:
+            yield table.slice(0, whole), number[:whole]
+    if kept is not None and kept.num_rows:
+        yield kept, np.zeros(kept.num_rows, np.int64)
 
 
 def fingerprint_pairs(nodes: DataFrame, radius: int = 2, blocks: int = 5, together: int = 3, pivots: int = 10) -> DataFrame:
@@ -455,10 +511,10 @@ def fingerprint_pairs(nodes: DataFrame, radius: int = 2, blocks: int = 5, togeth
 
 
 def classed_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, n, map, full, class`` of all nodes by the links so far."""
+    """``node, class`` of all nodes by the links so far."""
     classes = components(links).withColumnRenamed("node", "own")
     named = nodes.join(classes, F.col("node") == F.col("own"), "left")
-    return stored(named.select("node", "n", "map", "full", F.coalesce("component", "node").alias("class")), "classes")
+    return stored(named.select("node", F.coalesce("component", "node").alias("class")), "classes")
 
 
 def open_shards(held: DataFrame, classed: DataFrame, turn: int) -> DataFrame:
@@ -475,13 +531,66 @@ def hub_pairs(held: DataFrame, classed: DataFrame, turn: int) -> DataFrame:
     return shared.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best")).select(F.col("best.hub").alias("a"), F.col("node").alias("b"))
 
 
+def class_links(held: DataFrame, classed: DataFrame, nodes: DataFrame, shard_rows: int) -> DataFrame:
+    """Links ``a, b`` between classes that have the components of all pairs of a shard that may be similar by their maps.
+
+    A task links its classes as a forest, over all of its shards, so it makes fewer links than it has members.
+    """
+    rest = held.join(open_shards(held, classed, 0), F.col("key") == F.col("shard")).select("key", "node", F.ceil(F.col("members") / shard_rows).cast("int").alias("parts"))
+    rest = rest.join(classed, "node").join(nodes.select("node", "n", "map", "full"), "node")
+
+    def run(batches):
+        forest = Forest()
+        for table, number in whole_shards(batches):
+            part, n, names = (table.column(c).to_numpy() for c in ("part", "n", "class"))
+            roots = np.array([forest.find(c) for c in names.tolist()], np.int64)
+            full, a, b = table.column("full"), [], []
+            for x, y in rest_pairs(number, part, n, roots, matrix(table.column("map").combine_chunks())):
+                # Short maps let all pairs of long texts pass, full ones hardly any that is not similar.
+                u, v = int(names[x]), int(names[y])
+                if forest.find(u) != forest.find(v) and may_be_similar(n[x], n[y], map_distance(full[x].as_py(), full[y].as_py())):
+                    forest.join(u, v)
+                    a.append(u)
+                    b.append(v)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return in_parts(rest, width(nodes)).mapInArrow(run, "a long, b long")
+
+
+def set_links(members: DataFrame, partitions: int, shard_rows: int, shard_hashes: int = 1 << 20) -> DataFrame:
+    """Links ``a, b`` between similar members of one group (``key, node, class, n, members``), by their sets, in a forest."""
+    sizes = members.groupBy(F.col("key").alias("own_key")).agg(F.greatest(F.ceil(F.count("*") / shard_rows), F.ceil(F.sum("n") / shard_hashes), F.lit(1)).cast("int").alias("parts"))
+    rest = members.join(sizes, F.col("key") == F.col("own_key")).drop("own_key")
+
+    def run(batches):
+        for table, number in whole_shards(batches):
+            part, n, names, classes = (table.column(c).to_numpy() for c in ("part", "n", "node", "class"))
+            lists = table.column("members").combine_chunks()
+            sets = np.split(lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+            maps, full = np.stack([parity_map(s) for s in sets]).view(np.uint64), [full_map(s) for s in sets]
+            forest, a, b = Forest(), [], []
+            for x, y in rest_pairs(number, part, n, classes, maps):
+                u, v = int(classes[x]), int(classes[y])
+                if forest.find(u) == forest.find(v) or not may_be_similar(n[x], n[y], map_distance(full[x], full[y])):
+                    continue
+                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if shared * sum(SIMILAR) >= (n[x] + n[y]) * SIMILAR[0]:
+                    forest.join(u, v)
+                    a.append(names[x])
+                    b.append(names[y])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return in_parts(rest, partitions).mapInArrow(run, "a long, b long")
+
+
 def similar_links(rows: DataFrame, sets: DataFrame, shard_rows: int = 128, turns: int = 2) -> DataFrame:
     """Links ``a, b`` between names of shingle sets that have the components of all pairs of similar sets.
 
     SimHash comes first: sets whose fingerprints are near are compared and linked where they are similar.  Similar sets
     whose fingerprints are not near enough are found by shards, one for each shingle of a prefix, in which every similar
-    pair meets: each member is compared with a hub of its shards in turns, then the pairs of a shard that are not
-    connected by all that.
+    pair meets: each member is compared with a hub of its shards in turns.  Classes that are not connected by all that,
+    but have a pair in a shard that may be similar by its maps, make groups; within a group the sets themselves decide.
+    Tasks compare pairs and yield forests only, so rows grow with the members, not with their pairs.
     """
     kept = [F.first(c).alias(c) for c in ("fp", "n", "map", "full", "keys")]
     nodes = stored(sets.groupBy("node").agg(F.min(F.struct(*KEY)).alias("row"), *kept), "nodes")
@@ -496,41 +605,12 @@ def similar_links(rows: DataFrame, sets: DataFrame, shard_rows: int = 128, turns
         links = stored(links.unionByName(confirmed(near, nodes, rows)), "links")
         classed = classed_nodes(nodes, links)
 
-    rest = held.join(open_shards(held, classed, 0), F.col("key") == F.col("shard")).select("key", "node", F.ceil(F.col("members") / shard_rows).cast("int").alias("parts"))
-    rest = rest.join(classed.withColumnRenamed("node", "own"), F.col("node") == F.col("own")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
-    # A member goes to every pair of parts that holds its own: (p, q) with p <= q.
-    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q")))
-    rest = rest.select("key", F.explode(both).alias("pair"), "node", "n", "class", "map", "full").select("key", "pair.p", "pair.q", "node", "n", "class", "map", "full")
-    rest = rest.repartition(width(nodes), "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
-
-    def run(batches):
-        kept = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if kept is not None:
-                table = pa.concat_tables([kept, table]).combine_chunks()
-            if not table.num_rows:
-                continue
-            shard = np.stack([table.column(c).to_numpy() for c in ("key", "p", "q")])
-            number = np.concatenate(([0], np.cumsum((shard[:, 1:] != shard[:, :-1]).any(axis=0))))
-            whole = int(np.searchsorted(number, number[-1]))  # the last shard may go on in the next batch
-            kept = table.slice(whole)
-            if whole:
-                yield pairs_of(table.slice(0, whole), number[:whole])
-        if kept is not None and kept.num_rows:
-            yield pairs_of(kept, np.zeros(kept.num_rows, np.int64))
-
-    def pairs_of(table, number):
-        names, n, classes = (table.column(c).to_numpy() for c in ("node", "n", "class"))
-        i, j = rest_pairs(number, n, classes, matrix(table.column("map").combine_chunks()))
-        # Short maps let all pairs of long texts pass, full ones hardly any that is not similar.
-        full = table.column("full")
-        ok = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())) if may_be_similar(n[x], n[y], map_distance(full[x].as_py(), full[y].as_py()))]
-        i, j = i[ok], j[ok]
-        return pa.RecordBatch.from_pydict({"a": names[i], "b": names[j]})
-
-    more = stored(rest.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    return links.unionByName(confirmed(more, nodes, rows))
+    groups = components(class_links(held, classed, nodes, shard_rows)).select(F.col("node").alias("linked"), F.col("component").alias("key"))
+    groups = groups.unionByName(groups.select(F.col("key").alias("linked"), "key")).distinct()
+    members = stored(classed.join(groups, F.col("class") == F.col("linked")).select("key", "node", "class"), "members")
+    sizes = nodes.select(F.col("node").alias("sized"), "n")
+    members = members.join(sizes, F.col("node") == F.col("sized")).join(member_sets(members.select("node"), nodes, rows), F.col("node") == F.col("own"))
+    return links.unionByName(set_links(members.select("key", "node", "class", "n", "members"), width(nodes), shard_rows))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:

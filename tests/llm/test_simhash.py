@@ -305,3 +305,50 @@ def test_near_copies_come_through_simhash(docs_of):
     nodes = simhash.stored(simhash.shingle_sets(rows).withColumn("row", simhash.F.struct(*simhash.KEY)), "nodes")
     names = [simhash.set_name(simhash.shingle_set(t.encode())) for t in texts]
     assert {frozenset((r.a, r.b)) for r in simhash.fingerprint_pairs(nodes).collect()} == {frozenset(names[:2])}
+
+
+def test_rows_grow_with_members_not_pairs(docs_of, monkeypatch):
+    """A large group of copies of one text, edited so that many pairs are about as similar as the limit."""
+    draw = random.Random(21)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for k in draw.sample(range(len(words)), draw.randrange(1, 5)):
+            words[k] = f"e{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    inner, made = simhash.stored, []
+
+    def counted(df, name):
+        out = inner(df, name)
+        if len(df.columns) == 2 and name in ("pairs", "links"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    want, seen = brute_kept(rows)
+    assert sum(0.75 <= j < 0.8 for j in seen) > 500 and len(want) > 1
+    assert {r.doc_id for r in simhash.keep_one(docs_of(rows)).collect()} == want
+    assert max(made) <= 4 * len(rows)
+
+
+def test_links_of_a_group_in_parts(spark):
+    """Members of one group in many parts: every class that has a similar member elsewhere is linked, no other."""
+    draw = random.Random(22)
+    sets = []
+    for _ in range(12):
+        base = [draw.randrange(2**63) for _ in range(100)]
+        for _ in range(10):
+            sets.append(base[: 100 - draw.randrange(0, 22)] + [draw.randrange(2**63) for _ in range(draw.randrange(0, 4))])
+    sets.append([])
+    members = [(i % 2, i, i, len(s), sorted(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(members, "key long, node long, class long, n long, members array<long>")
+    joined = [set(s) for s in sets]
+    similar = {(i, j) for i in range(len(sets)) for j in range(i + 2, len(sets), 2) if 5 * len(joined[i] & joined[j]) >= 4 * len(joined[i] | joined[j]) > 0}
+    forest = simhash.Forest()
+    want = sum(forest.join(i, j) for i, j in sorted(similar))
+    for kind in ({"shard_rows": 7}, {"shard_rows": 1000}, {"shard_rows": 1000, "shard_hashes": 300}):
+        found = [(min(r), max(r)) for r in simhash.set_links(df, 4, **kind).collect()]
+        assert set(found) <= similar
+        forest = simhash.Forest()
+        assert sum(forest.join(i, j) for i, j in found) == want
