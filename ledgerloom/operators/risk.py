@@ -99,12 +99,20 @@ def redundant_pairs(df: DataFrame, features: list[str], least: float) -> DataFra
     return one.select(F.inline(rows)).where(F.abs("r") >= least)
 
 
-def named_features(df: DataFrame, recent_days: int = 35) -> DataFrame:
+#: Transactions of a part of the applicants at most, on average.
+PART_ROWS = 100_000
+
+
+def named_features(df: DataFrame, recent_days: int = 35, rows: int | None = None) -> DataFrame:
     """Named features of each applicant from rows with merchant, leaf, general, necessity, direction, amount, ts.
 
-    One exchange by applicant: transactions are summed by applicant, leaf, month and merchant, and all else follows from
-    those sums.  Recent is counted back from an applicant's last transaction.
+    One exchange by applicant for the sums: transactions are summed by applicant, leaf, month and merchant, and all else follows from
+    those sums.  Recent is counted back from an applicant's last transaction.  The windows and sums of a task hold its
+    part of the applicants, so the number of parts follows the number of ``rows`` (counted if it is not known); the distinct
+    counts after them take two exchanges of the usual width.
     """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(df.count() if rows is None else rows) // PART_ROWS))
+    df = df.select("applicant", "merchant", "leaf", "necessity", "direction", "amount", "ts").repartition(parts, "applicant")
     debit, amount = F.col("direction") == "debit", F.abs("amount")
     last = F.max("ts").over(Window.partitionBy("applicant"))
     ago = F.date_diff(F.to_date(F.col("_last")), F.to_date("ts"))

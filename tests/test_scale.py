@@ -187,3 +187,16 @@ def test_sources_meet_the_feed_in_one_join(spark):
     assert sorted((r.id, r.leaf, r.value) for r in got.collect()) == sorted(want)
     assert got.columns == ["id", "pri", "sub", "value", "leaf"]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6") == 1
+
+
+def test_named_features_deal_parts_by_rows(spark, monkeypatch):
+    """More transactions are more parts, with the same features."""
+    draw = random.Random(12)
+    rows = [(k % 40, f"m{draw.randrange(9)}", draw.choice(["salary", "groceries", "rent"]), "essential", draw.choice(["credit", "debit"]), float(draw.randrange(1, 500)), f"2001-0{draw.randrange(1, 10)}-11") for k in range(1200)]
+    df = spark.createDataFrame(rows, "applicant long, merchant string, leaf string, necessity string, direction string, amount double, day string").withColumn("ts", F.to_timestamp("day"))
+    whole = R.named_features(df)
+    monkeypatch.setattr(R, "PART_ROWS", 50, raising=False)
+    parts = R.named_features(df, rows=1200)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(applicant" in plan and ", 24), REPARTITION_BY_NUM" in plan
+    assert sorted(whole.collect()) == sorted(parts.collect()) and whole.count() == 40
