@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import pieces, stored, text_of, width
@@ -251,21 +251,24 @@ def near_links(nodes: DataFrame, radius: int, blocks: int, together: int, pivots
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component``: the least node that each linked node reaches, by large-star and small-star steps."""
+    """``node, component``: the least node that each linked node reaches, by large-star and small-star steps.
+
+    Both steps of a round take one job and two exchanges, since repeated links go where the links of a node meet anyway.
+    Links that moved are marked, so the last round is known without comparing it with the one before.
+    """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    around = Window.partitionBy("u")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select("u", "v").union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w")
         # large star: larger neighbours of u move to the least of u and its neighbours
-        large = edges.join(low, edges.v == low.w).select("u", F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its smaller neighbours move to the least of those
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        small = large.join(least, large.u == least.w)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        new = stored(small.where("u <> v").distinct(), "links")
-        same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
-        edges = new
-        if same:
+        large = edges.join(low, edges.v == low.w).select("u", F.col("m").alias("v"), (F.col("m") != F.col("v")).alias("moved"))
+        # small star: u and its smaller neighbours move to the least of those; the row of that one becomes u's own link
+        large = large.repartition("u").groupBy("u", "v").agg(F.max("moved").alias("moved"))
+        least = large.withColumns({"m": F.min("v").over(around), "moved": F.max("moved").over(around)})
+        own = F.col("v") == F.col("m")
+        edges = stored(least.select(F.when(own, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("moved") | ~own).alias("moved")), "links")
+        if edges.where("moved").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -357,7 +360,9 @@ def common_shingles(rows: DataFrame, sample: int = 65_536, least: int = 4, most:
     every = max(1, rows.count() // sample)
     # Copies of a text count once, so that large groups of copies do not push passages out.
     some = rows.where(F.pmod(F.xxhash64("name", F.lit(5)), F.lit(every)) == 0).select("name", "size", "text").dropDuplicates(["name", "size"]).select("text")
-    top = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n")).limit(most).collect()
+    # Stored, since the shuffle files of all the sample's shingles would stay beside those of later steps.
+    counted = stored(some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least), "common")
+    top = counted.orderBy(F.desc("n")).limit(most).collect()
     found = np.array([r.h for r in top], np.int64).view(np.uint64)
     order = np.argsort(found)
     return found[order], np.array([r.n for r in top], np.int64)[order]
@@ -517,6 +522,11 @@ def classed_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(named.select("node", F.coalesce("component", "node").alias("class")), "classes")
 
 
+def class_stars(classed: DataFrame) -> DataFrame:
+    """Links ``a, b`` of every node with its class, which stand for all links that made it."""
+    return classed.where("node <> class").select(F.col("node").alias("a"), F.col("class").alias("b"))
+
+
 def open_shards(held: DataFrame, classed: DataFrame, turn: int) -> DataFrame:
     """``shard, hub, hub_class``: shards whose members are of more than one class, and one member drawn by the turn."""
     each = held.join(classed.select("node", "class"), "node")
@@ -594,23 +604,21 @@ def similar_links(rows: DataFrame, sets: DataFrame, shard_rows: int = 128, turns
     """
     kept = [F.first(c).alias(c) for c in ("fp", "n", "map", "full", "keys")]
     nodes = stored(sets.groupBy("node").agg(F.min(F.struct(*KEY)).alias("row"), *kept), "nodes")
-    links = stored(confirmed(fingerprint_pairs(nodes), nodes, rows), "links")
+    classed = classed_nodes(nodes, confirmed(fingerprint_pairs(nodes), nodes, rows))
 
     dealt = nodes.select(F.explode("keys").alias("key"), "node")
     counts = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").withColumnRenamed("key", "shard")
     held = stored(dealt.join(counts, F.col("key") == F.col("shard")).select("key", "node", "members"), "held")
-    classed = classed_nodes(nodes, links)
     for turn in range(turns):
         near = stored(hub_pairs(held, classed, turn), "pairs")
-        links = stored(links.unionByName(confirmed(near, nodes, rows)), "links")
-        classed = classed_nodes(nodes, links)
+        classed = classed_nodes(nodes, class_stars(classed).unionByName(confirmed(near, nodes, rows)))
 
     groups = components(class_links(held, classed, nodes, shard_rows)).select(F.col("node").alias("linked"), F.col("component").alias("key"))
     groups = groups.unionByName(groups.select(F.col("key").alias("linked"), "key")).distinct()
     members = stored(classed.join(groups, F.col("class") == F.col("linked")).select("key", "node", "class"), "members")
     sizes = nodes.select(F.col("node").alias("sized"), "n")
     members = members.join(sizes, F.col("node") == F.col("sized")).join(member_sets(members.select("node"), nodes, rows), F.col("node") == F.col("own"))
-    return links.unionByName(set_links(members.select("key", "node", "class", "n", "members"), width(nodes), shard_rows))
+    return class_stars(classed).unionByName(set_links(members.select("key", "node", "class", "n", "members"), width(nodes), shard_rows))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:

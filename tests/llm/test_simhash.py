@@ -352,3 +352,34 @@ def test_links_of_a_group_in_parts(spark):
         assert set(found) <= similar
         forest = simhash.Forest()
         assert sum(forest.join(i, j) for i, j in found) == want
+
+
+def test_component_rounds_take_few_stages(spark, monkeypatch):
+    """Hubs of middling names, chains, rings, repeated and reversed links: right classes, from few stages a round."""
+    draw = random.Random(23)
+    names = [draw.randrange(-(2**63), 2**63) for _ in range(700)]
+    links = [(names[0], n) for n in names[1:300]] + list(zip(names[300:340], names[301:340])) + [(names[400 + k], names[400 + (k + 1) % 50]) for k in range(50)]
+    links += [tuple(draw.sample(names[450:], 2)) for _ in range(150)]
+    links += [(b, a) for a, b in links[::3]] + [(n, n) for n in names[:5]]
+    forest = simhash.Forest()
+    for a, b in links:
+        forest.join(a, b)
+    want = {n: forest.find(n) for n in {x for a, b in links if a != b for x in (a, b)} if forest.find(n) != n}
+    df = spark.createDataFrame(links, "a long, b long").repartition(4)
+    inner, rounds = simhash.stored, []
+
+    def counted(df, name):
+        rounds.append(name)
+        return inner(df, name)
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    spark.sparkContext.setJobGroup("component rounds", "")
+    try:
+        found = simhash.components(df)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("component rounds") for s in tracker.getJobInfo(j).stageIds}
+    ran = sum(bool((i := tracker.getStageInfo(s)) and i.numCompletedTasks) for s in stages)
+    assert [(r.node, r.component) for r in found.sort("node").collect()] == sorted(want.items())
+    assert ran <= 6 * len(rounds)
